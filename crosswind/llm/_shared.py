@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows that a function of ``map_rows`` gets at once; Spark's own batches are larger.
+SLICE = 1000
 #: Code points that the word rules of several operators treat as white space.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -47,9 +49,9 @@ def map_rows(df: DataFrame, schema: T.StructType, make: Callable[[], Callable[[p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into, work = to_arrow_schema(schema), make()
-        for batch in batches:
-            if batch.num_rows:
-                got = work(batch)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                got = work(whole.slice(at, SLICE))
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) if not isinstance(got[f.name], pa.Array) else got[f.name] for f in into], schema=into)
 
     return df.mapInArrow(run, schema)

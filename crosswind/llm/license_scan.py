@@ -43,7 +43,7 @@ GRAM = 3
 #: Diagonals this close, with matches this close, are one span; part of the words to be covered.
 NEIGHBOURS = 2
 COVERED = 0.8
-WORD_ENTRIES = 1_000_000
+WORD_ENTRIES = 300_000
 
 _KEEP = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c > 0x7F else 0x20 for c in range(256))
 _FIRST = np.uint64(0x9E3779B97F4A7C15)
