@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crosswind.llm import edit_fingerprint, html_text, lang_mix, license_scan, packing, quality_qda, rule_lists, url_cascade
+from crosswind.llm import edit_fingerprint, html_text, lang_mix, license_scan, near_dup, packing, quality_qda, rule_lists, url_cascade
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.find(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), near_dup.Settings(words=2, percent=80))
+
+
 def op5_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -44,7 +48,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_html_text, op3_license_scan, op5_quality_qda, op7_edit_fingerprint, op8_rule_list, op9_lang_mix, op10_url_filter)}
+    return {f.__name__: f for f in (op1_packing, op2_html_text, op3_license_scan, op4_near_dup, op5_quality_qda, op7_edit_fingerprint, op8_rule_list, op9_lang_mix, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
