@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crosswind.llm import edit_fingerprint, html_text, lang_mix, license_scan, near_dup, packing, quality_qda, rule_lists, url_cascade
+from crosswind.llm import edit_fingerprint, html_text, lang_mix, license_scan, mixing, near_dup, packing, quality_qda, rule_lists, url_cascade
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op5_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.decide(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprint.fingerprint_with_edit(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -48,7 +52,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_html_text, op3_license_scan, op4_near_dup, op5_quality_qda, op7_edit_fingerprint, op8_rule_list, op9_lang_mix, op10_url_filter)}
+    return {f.__name__: f for f in (op1_packing, op2_html_text, op3_license_scan, op4_near_dup, op5_quality_qda, op6_mixing, op7_edit_fingerprint, op8_rule_list, op9_lang_mix, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

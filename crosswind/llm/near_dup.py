@@ -41,12 +41,14 @@ MATCHES = 62
 SEED = 977
 #: Counters of the sketch that orders coordinate-value pairs, and bits of the filter for reading texts
 #: again; both of fixed size, and neither decides a result.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
 FILTER_BITS = 1 << 25
 WORD_ENTRIES = 300_000
 #: Random star rounds at most, and the part that a round must take of the pairs left to be repeated.
-STAR_ROUNDS = 6
-SHRINKS = 0.7
+STAR_ROUNDS = 4
+#: With so few pairs left for each class they are joined at once.
+PAIRS_PER_CLASS = 12
+SHRINKS = 0.6
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -145,10 +147,10 @@ def _sketch(classes: DataFrame, coordinates: int) -> np.ndarray:
         counts, total = np.zeros(COUNTERS, np.int64), 0
         for batch in batches:
             if batch.num_rows:
-                cells = (_pairs_of(_rows_of(batch.column(0), coordinates)) >> np.uint64(44)).astype(np.int64).ravel()
+                cells = (_pairs_of(_rows_of(batch.column(0), coordinates)) >> np.uint64(42)).astype(np.int64).ravel()
                 counts += np.bincount(cells, minlength=COUNTERS)
                 total += len(cells)
-        at = np.flatnonzero(counts >= 3 + 4 * total / COUNTERS)
+        at = np.flatnonzero(counts >= max(2.0, 1 + 6 * total / COUNTERS))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["cell", "n"])
 
     got = classes.select("sig").mapInArrow(run, _COUNTED).groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
@@ -164,7 +166,7 @@ def _postings(spark: SparkSession, classes: DataFrame, coordinates: int, matches
     def make():
         def work(batch: pa.RecordBatch) -> dict:
             names = _pairs_of(_rows_of(batch.column(2), coordinates))
-            order = (sketch.value[(names >> np.uint64(44)).astype(np.int64)] << np.uint64(44)) | (names & np.uint64((1 << 44) - 1))
+            order = (sketch.value[(names >> np.uint64(42)).astype(np.int64)] << np.uint64(44)) | (names & np.uint64((1 << 44) - 1))
             first = np.argpartition(order, prefix - 1, axis=1)[:, :prefix]
             picked = np.take_along_axis(names, first, axis=1).view(np.int64).ravel()
             rep = lambda c: np.repeat(batch.column(c).to_numpy(), prefix)
@@ -304,34 +306,27 @@ def find(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(),
         near = stars.where("a <> b").where(_near_sizes(settings.percent))
         return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    tried: DataFrame | None = None
-
     def linked(pairs: DataFrame, best_only: bool) -> DataFrame:
-        """Confirmed links of pairs not tried before.  Of a star it is enough to confirm the best pair of each member first."""
-        nonlocal tried
+        """Confirmed links of the pairs.  Of the first stars it is enough to confirm each member's best pair."""
         good = _colliding(pairs, lows, coordinates, matches)
         if best_only:
             good = good.groupBy("b").agg(F.max(F.struct("hits", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-        good = good.select("a", "b")
-        if tried is not None:
-            good = good.join(tried, ["a", "b"], "left_anti")
-        good = stored(spark, good, "candidates")
-        tried = good if tried is None else tried.unionByName(good)
+        good = stored(spark, good.select("a", "b"), "candidates")
         return stored(spark, _confirmed(spark, docs, good, settings), "confirmed")
 
     star = lists.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("head").alias("b"), F.col("head_n").alias("nb"))
     links = linked(pairs_with(star), True)
     roots = components(spark, links)
-    before = None
+    before, many = None, classes.count()
     for round_no in range(1, STAR_ROUNDS + 1):
         open_lists, pairs_left = _open_lists(spark, lists, roots)
         if not pairs_left:
             break
-        last = round_no == STAR_ROUNDS or pairs_left <= 4_000_000 or before is not None and pairs_left > SHRINKS * before
+        last = round_no == STAR_ROUNDS or pairs_left <= PAIRS_PER_CLASS * many or before is not None and pairs_left > SHRINKS * before
         x = open_lists.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
         if last:  # what is left, in full
             y = open_lists.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            pairs = x.join(y, "token").where("ra < rb")
+            pairs = x.join(y, "token").where("ra < rb").where(_near_sizes(settings.percent))
         else:  # each member with a random member of another component of its list
             hash_ = F.xxhash64(F.lit(round_no), "cls", "token")
             two = open_lists.groupBy("token", "root").agg(F.min(F.struct(hash_, "cls", "n")).alias("one")).groupBy("token").agg(F.min(F.struct("one", "root")).alias("p"), F.max(F.struct("one", "root")).alias("q"))
@@ -355,3 +350,9 @@ def _open_lists(spark: SparkSession, lists: DataFrame, roots: DataFrame) -> tupl
     by = open_lists.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
     left = by.agg(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2)).first()[0]
     return open_lists, int(left or 0)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The kept document of each group, once, with the input's columns."""
+    gone = find(spark, docs, settings).where("not kept").select("doc_id")
+    return docs.join(stored(spark, gone, "gone"), "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])

@@ -47,7 +47,9 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     Each step is a projection of its own, as its arrays are referred to more than once.
     """
     text = F.coalesce("text", F.lit(""))
-    cut = docs.select(*keep, text.alias("text")).withColumn("words", F.array_remove(F.split("text", _BLANKS), "")).withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t\\n\\x0B\\f\\r]")))
+    cut = docs.select(
+        *keep, text.alias("text"), F.array_remove(F.split(text, _BLANKS), "").alias("words"), F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\t\\n\\x0B\\f\\r]")).alias("lines")
+    )
     at = lambda i: F.get("words", i)
     grams = F.when(
         F.size("words") >= WINDOW,
@@ -198,3 +200,9 @@ def apply(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, base statistics, base_failed and kept of every document, by rules learned from the labelled ones."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return judged(docs, learned(spark, docs, labels), "doc_id")
+
+
+def filtered(spark: SparkSession, docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The documents that stay, with their columns."""
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))
+    return judged(whole, rules, "_row").where("kept").select("_row.*")
