@@ -31,8 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder, and read again: lineage ends there."""
+def stored(spark: SparkSession, df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder, and read again: lineage ends there.
+
+    A table much smaller than the corpus is written by an eighth of the shuffle's tasks.
+    """
+    if small:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

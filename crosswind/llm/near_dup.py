@@ -46,8 +46,9 @@ FILTER_BITS = 1 << 25
 WORD_ENTRIES = 300_000
 #: Random star rounds at most, and the part that a round must take of the pairs left to be repeated.
 STAR_ROUNDS = 4
-#: With so few pairs left for each class they are joined at once.
-PAIRS_PER_CLASS = 12
+#: With so few pairs left for each class all of them are compared; members of a block of a list then.
+PAIRS_PER_CLASS = 200
+BLOCK = 1024
 SHRINKS = 0.6
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -214,6 +215,75 @@ def _colliding(pairs: DataFrame, lows: DataFrame, coordinates: int, matches: int
     return map_rows(both.select("a", "b", "x", "y"), _COUNT, make)
 
 
+def _hits_of(cls: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray, low: np.ndarray, cross: bool, percent: int, matches: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one block of a list, or across two, of different components, near sizes and enough collisions."""
+    left = np.flatnonzero(side == side.min()) if cross else np.arange(len(cls))
+    right = np.flatnonzero(side != side.min()) if cross else left
+    found_a, found_b = [], []
+    for at in range(0, len(left), 64):
+        i = left[at : at + 64]
+        ok = (root[i][:, None] != root[right]) & (100 * np.minimum(n[i][:, None], n[right]) >= percent * np.maximum(n[i][:, None], n[right]))
+        if not cross:
+            ok &= cls[i][:, None] < cls[right]
+        x, y = np.nonzero(ok)
+        for part in range(0, len(x), 100_000):
+            px, py = i[x[part : part + 100_000]], right[y[part : part + 100_000]]
+            good = (low[px] == low[py]).sum(axis=1) >= matches
+            found_a.append(np.minimum(cls[px[good]], cls[py[good]]))
+            found_b.append(np.maximum(cls[px[good]], cls[py[good]]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
+
+
+def _all_colliding(open_lists: DataFrame, lows: DataFrame, settings: Settings, coordinates: int, matches: int) -> DataFrame:
+    """Pairs between components in the open lists that collide enough, each once.
+
+    A list is dealt in blocks of about ``BLOCK`` members and the pairs of its blocks, so that no
+    task holds a whole long list; pairs are counted in place and only what collides is a row.
+    """
+    sizes = open_lists.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = open_lists.join(sizes, "token").select("token", "cls", "n", "root", parts.alias("parts"), F.pmod(F.xxhash64("cls"), parts).cast("int").alias("side"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).join(lows, "cls")
+    dealt = dealt.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "cls", "n", "root", "low")
+    dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "cls")
+    percent = settings.percent
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def found(table: pa.Table) -> pa.RecordBatch:
+            token, i, j, side, cls, n, root = (table.column(c).to_numpy() for c in range(7))
+            low = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8).reshape(-1, coordinates)
+            change = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            a, b = [], []
+            for s, e in zip(np.concatenate([[0], change]), np.concatenate([change, [len(token)]])):
+                if e - s > 1 and (i[s] == j[s] or len(np.unique(side[s:e])) > 1):
+                    x, y = _hits_of(cls[s:e], n[s:e], root[s:e], side[s:e], low[s:e], i[s] != j[s], percent, matches)
+                    a.append(x)
+                    b.append(y)
+            none = np.zeros(0, np.int64)
+            ab = np.unique(np.stack([np.concatenate([none, *a]), np.concatenate([none, *b])]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # the last group may go on in the next batch
+            keys = [batch.column(c).to_numpy() for c in range(3)]
+            same = (keys[0] == keys[0][-1]) & (keys[1] == keys[1][-1]) & (keys[2] == keys[2][-1])
+            start = int(np.argmax(same))
+            if start:
+                yield found(pa.Table.from_batches([*held, batch.slice(0, start)]))
+                held = [batch.slice(start)]
+            else:
+                held.append(batch)
+        if held:
+            yield found(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, _LINK).distinct()
+
+
 _SET = T.StructType([T.StructField("cls", T.LongType()), T.StructField("hashes", T.BinaryType())])
 _LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
@@ -267,15 +337,15 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     Each round hooks nodes to their smallest neighbour, jumps along the hooks and contracts the
     links; the nodes left at least halve.
     """
-    left = stored(spark, links.select("a", "b").where("a <> b"), "links")
+    left = stored(spark, links.select("a", "b").where("a <> b"), "links", small=True)
     map_: DataFrame | None = None
     while not left.isEmpty():
         ends = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = stored(spark, ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "hooks")
+        hooks = stored(spark, ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "hooks", small=True)
         while True:
             up = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
             jumped = hooks.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), (F.col("above") < F.col("root")).alias("moved"))
-            hooks = stored(spark, jumped, "hooks")
+            hooks = stored(spark, jumped, "hooks", small=True)
             if hooks.where("moved").isEmpty():
                 break
         roots = hooks.select("node", "root")
@@ -283,9 +353,9 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             map_ = roots
         else:
             onto = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            map_ = stored(spark, map_.join(onto, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "roots")
+            map_ = stored(spark, map_.join(onto, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "roots", small=True)
         a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        left = stored(spark, left.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        left = stored(spark, left.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links", small=True)
     return map_ if map_ is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
 
 
@@ -295,27 +365,27 @@ def find(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(),
     sets = stored(spark, signatures(docs, settings.words, coordinates), "signatures")
     classes = stored(spark, sets.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("cls"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
 
-    posts = _postings(spark, classes, coordinates, matches)
-    posts = stored(spark, posts, "postings")
-    rank = lambda round_no: F.struct(F.xxhash64(F.lit(round_no), "cls"), "cls", "n")
-    heads = posts.groupBy("token").agg(F.min(rank(0)).alias("head"), F.max("cls").alias("most"), F.min("cls").alias("least")).where("most <> least").select("token", F.col("head.cls").alias("head"), F.col("head.n").alias("head_n"))
-    lists = stored(spark, posts.join(heads, "token"), "lists")
-    lows = stored(spark, _lows(classes.join(lists.select("cls").distinct(), "cls", "left_semi"), coordinates), "lows")
-
-    def pairs_with(stars: DataFrame) -> DataFrame:
-        near = stars.where("a <> b").where(_near_sizes(settings.percent))
-        return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    def linked(pairs: DataFrame, best_only: bool) -> DataFrame:
-        """Confirmed links of the pairs.  Of the first stars it is enough to confirm each member's best pair."""
-        good = _colliding(pairs, lows, coordinates, matches)
-        if best_only:
-            good = good.groupBy("b").agg(F.max(F.struct("hits", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-        good = stored(spark, good.select("a", "b"), "candidates")
-        return stored(spark, _confirmed(spark, docs, good, settings), "confirmed")
-
-    star = lists.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("head").alias("b"), F.col("head_n").alias("nb"))
-    links = linked(pairs_with(star), True)
+    posts = stored(spark, _postings(spark, classes, coordinates, matches), "postings")
+    shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("token", "m")
+    lists = stored(spark, posts.join(shared, "token"), "shared")
+    # a text that others are edits of shares all its pairs with them; an edit has some of its own
+    weight = lists.groupBy("cls").agg(F.sum("m").alias("w"))
+    lists = stored(spark, lists.join(weight, "cls").select("token", "cls", "n", "w"), "lists")
+    lows = stored(spark, _lows(classes.join(weight.select("cls"), "cls", "left_semi"), coordinates), "lows")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return stored(spark, _confirmed(spark, docs, stored(spark, pairs, "candidates", small=True), settings), "confirmed", small=True)
+
+    def star(pairs: DataFrame) -> DataFrame:
+        near = pairs.where("a <> b").where(_near_sizes(settings.percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return _colliding(near, lows, coordinates, matches)
+
+    # of the first stars it is enough to confirm each member's best pair
+    heads = lists.groupBy("token").agg(F.max(F.struct("w", "cls", "n")).alias("head"))
+    first = star(lists.join(heads, "token").select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("head.cls").alias("b"), F.col("head.n").alias("nb")))
+    both = first.select("a", "b", "hits").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b"), "hits"))
+    best = both.groupBy("b").agg(F.max(F.struct("hits", "a")).alias("best")).select(F.least("best.a", "b").alias("a"), F.greatest("best.a", "b").alias("b")).distinct()
+    links = linked(best)
     roots = components(spark, links)
     before, many = None, classes.count()
     for round_no in range(1, STAR_ROUNDS + 1):
@@ -323,17 +393,17 @@ def find(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(),
         if not pairs_left:
             break
         last = round_no == STAR_ROUNDS or pairs_left <= PAIRS_PER_CLASS * many or before is not None and pairs_left > SHRINKS * before
-        x = open_lists.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-        if last:  # what is left, in full
-            y = open_lists.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            pairs = x.join(y, "token").where("ra < rb").where(_near_sizes(settings.percent))
-        else:  # each member with a random member of another component of its list
-            hash_ = F.xxhash64(F.lit(round_no), "cls", "token")
-            two = open_lists.groupBy("token", "root").agg(F.min(F.struct(hash_, "cls", "n")).alias("one")).groupBy("token").agg(F.min(F.struct("one", "root")).alias("p"), F.max(F.struct("one", "root")).alias("q"))
-            pairs = x.join(two, "token").select("a", "na", F.when(F.col("p.root") != F.col("ra"), F.col("p.one")).otherwise(F.col("q.one")).alias("o")).select("a", "na", F.col("o.cls").alias("b"), F.col("o.n").alias("nb"))
-        more = linked(pairs_with(pairs.select("a", "na", "b", "nb")), False)
-        links = links.unionByName(more)
-        roots = components(spark, links)
+        if last:
+            pairs = _all_colliding(open_lists, lows, settings, coordinates, matches)
+        else:  # each member with the member of another component that leads its list
+            lead = F.struct("w", "cls", "n") if round_no == 1 else F.struct(F.xxhash64(F.lit(round_no), "cls").alias("w"), "cls", "n")
+            two = open_lists.groupBy("token", "root").agg(F.max(lead).alias("one")).groupBy("token").agg(F.min(F.struct("one", "root")).alias("p"), F.max(F.struct("one", "root")).alias("q"))
+            other = F.when(F.col("q.root") != F.col("root"), F.col("q.one")).otherwise(F.col("p.one"))
+            pairs = star(open_lists.join(two, "token").select(F.col("cls").alias("a"), F.col("n").alias("na"), other.alias("o")).select("a", "na", F.col("o.cls").alias("b"), F.col("o.n").alias("nb"))).select("a", "b")
+        more = linked(pairs)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(spark, links)
         if last:
             break
         before = pairs_left
@@ -344,7 +414,7 @@ def find(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(),
 
 def _open_lists(spark: SparkSession, lists: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
     """Members of lists with several components, with their root, and the number of pairs between those."""
-    at = lists.select("token", "cls", "n").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    at = lists.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     several = at.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     open_lists = stored(spark, at.join(several, "token", "left_semi"), "open")
     by = open_lists.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
