@@ -3,7 +3,7 @@
 1. One pass over the texts makes each document's set of shingle hashes, its digest and its
    signature of ``COORDINATES`` MinHash values.  Documents with equal sets are one class.
 2. A class is posted under coordinate-value pairs.  Two classes that collide in ``MATCHES`` pairs
-   share one of the first ``COORDINATES - MATCHES + 1`` of each, in any fixed order of pairs, so
+   share ``SHARED`` of the first ``COORDINATES - MATCHES + SHARED`` of each, in any fixed order of pairs, so
    only those are posted (prefix), rarest first by a sketch of the pairs' counts; the frequent
    rest is skipped.  Posting lists of one class are dropped.
 3. Candidates of a list are first its members with its head: a star, not all pairs.  Collisions
@@ -47,8 +47,12 @@ WORD_ENTRIES = 300_000
 #: Random star rounds at most, and the part that a round must take of the pairs left to be repeated.
 STAR_ROUNDS = 4
 #: With so few pairs left for each class all of them are compared; members of a block of a list then.
-PAIRS_PER_CLASS = 200
+PAIRS_PER_CLASS = 20
 BLOCK = 1024
+#: Two classes that collide enough share at least so many posted pairs; those that meet only in
+#: lists of up to FEW members are counted there first.
+SHARED = 4
+FEW = 4
 SHRINKS = 0.6
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -162,7 +166,7 @@ def _sketch(classes: DataFrame, coordinates: int) -> np.ndarray:
 
 def _postings(spark: SparkSession, classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
     """(token, cls, n): each class under the first of its pairs by (count, name)."""
-    sketch, prefix = spark.sparkContext.broadcast(_sketch(classes, coordinates)), coordinates - matches + 1
+    sketch, prefix = spark.sparkContext.broadcast(_sketch(classes, coordinates)), coordinates - matches + SHARED
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
@@ -235,15 +239,24 @@ def _hits_of(cls: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray,
     return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
 
 
-def _all_colliding(open_lists: DataFrame, lows: DataFrame, settings: Settings, coordinates: int, matches: int) -> DataFrame:
+def _all_colliding(spark: SparkSession, open_lists: DataFrame, lows: DataFrame, settings: Settings, coordinates: int, matches: int) -> DataFrame:
     """Pairs between components in the open lists that collide enough, each once.
 
-    A list is dealt in blocks of about ``BLOCK`` members and the pairs of its blocks, so that no
-    task holds a whole long list; pairs are counted in place and only what collides is a row.
+    Pairs of short lists are rows, counted by how many lists they share: classes that meet only
+    there must meet in ``SHARED``.  A longer list is dealt in blocks of about ``BLOCK`` members and
+    the pairs of its blocks, so that no task holds a whole long list; its pairs are compared in
+    place and only what collides is a row.
     """
     sizes = open_lists.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
+    sized = stored(spark, open_lists.join(sizes, "token").select("token", "cls", "n", "root", "m"), "sized")
+    short = sized.where(F.col("m") <= FEW)
+    x = short.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    y = short.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    met = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _near_sizes(settings.percent))
+    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists")).where(F.col("lists") >= SHARED)
+    counted = _colliding(met, lows, coordinates, matches).select("a", "b")
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = open_lists.join(sizes, "token").select("token", "cls", "n", "root", parts.alias("parts"), F.pmod(F.xxhash64("cls"), parts).cast("int").alias("side"))
+    dealt = sized.where(F.col("m") > FEW).select("token", "cls", "n", "root", parts.alias("parts"), F.pmod(F.xxhash64("cls"), parts).cast("int").alias("side"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).join(lows, "cls")
     dealt = dealt.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "cls", "n", "root", "low")
     dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "cls")
@@ -281,7 +294,7 @@ def _all_colliding(open_lists: DataFrame, lows: DataFrame, settings: Settings, c
         if held:
             yield found(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, _LINK).distinct()
+    return dealt.mapInArrow(run, _LINK).unionByName(counted).distinct()
 
 
 _SET = T.StructType([T.StructField("cls", T.LongType()), T.StructField("hashes", T.BinaryType())])
@@ -394,7 +407,7 @@ def find(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(),
             break
         last = round_no == STAR_ROUNDS or pairs_left <= PAIRS_PER_CLASS * many or before is not None and pairs_left > SHRINKS * before
         if last:
-            pairs = _all_colliding(open_lists, lows, settings, coordinates, matches)
+            pairs = _all_colliding(spark, open_lists, lows, settings, coordinates, matches)
         else:  # each member with the member of another component that leads its list
             lead = F.struct("w", "cls", "n") if round_no == 1 else F.struct(F.xxhash64(F.lit(round_no), "cls").alias("w"), "cls", "n")
             two = open_lists.groupBy("token", "root").agg(F.max(lead).alias("one")).groupBy("token").agg(F.min(F.struct("one", "root")).alias("p"), F.max(F.struct("one", "root")).alias("q"))

@@ -186,7 +186,7 @@ def learned(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int =
     few = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     stats = statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id"), "doc_id", "quality")
     got = stats.select("doc_id", "quality", *[v.alias(k) for k, v in shares().items()]).toPandas().sort_values("doc_id", kind="stable")
-    return learn(got[list(shares())].to_numpy(float).reshape(len(got), -1), got["quality"].to_numpy() == 0)
+    return learn(got[list(shares())].to_numpy(float), got["quality"].to_numpy() == 0)
 
 
 def judged(docs: DataFrame, rules: list[Rule], *keep: str) -> DataFrame:
