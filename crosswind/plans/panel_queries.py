@@ -6,6 +6,7 @@ dialect differs only where names do, and is the oracle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -208,8 +209,8 @@ def _ic(d: Dialect, horizon: int = 5, least: int = 15) -> tuple[tuple[str, str],
     rk = lambda x: f"rank() OVER (PARTITION BY date, factor ORDER BY {x}) + (count(*) OVER (PARTITION BY date, factor, {x}) - 1) / 2.0"
     return (
         ("wide", wide), ("scores", long), ("fwd", f"SELECT date, asset, {rd(f'lead(c, {horizon}) {P} / c - 1', 9)} AS fwd FROM panel"),
-        ("both", "SELECT s.date, s.asset, factor, score, fwd FROM scores s JOIN fwd f ON s.date = f.date AND s.asset = f.asset WHERE score IS NOT NULL AND fwd IS NOT NULL"),
-        ("rk", f"SELECT date, factor, {rk('score')} AS a, {rk('fwd')} AS b FROM both"),
+        ("met", "SELECT s.date, s.asset, factor, score, fwd FROM scores s JOIN fwd f ON s.date = f.date AND s.asset = f.asset WHERE score IS NOT NULL AND fwd IS NOT NULL"),
+        ("rk", f"SELECT date, factor, {rk('score')} AS a, {rk('fwd')} AS b FROM met"),
         ("ic", f"SELECT date, factor, CASE WHEN count(*) >= {least} THEN corr(a, b) END AS ic, count(*) AS n FROM rk GROUP BY date, factor"),
     )
 
@@ -254,7 +255,7 @@ FROM scores GROUP BY date, asset"""
 @query
 def quintile_spread(d):
     more = (
-        *_ic(d)[:4], ("p", "SELECT date, factor, fwd, (rank() OVER (PARTITION BY date, factor ORDER BY score) + (count(*) OVER (PARTITION BY date, factor, score) - 1) / 2.0) / count(*) OVER (PARTITION BY date, factor) AS q FROM both"),
+        *_ic(d)[:4], ("p", "SELECT date, factor, fwd, (rank() OVER (PARTITION BY date, factor ORDER BY score) + (count(*) OVER (PARTITION BY date, factor, score) - 1) / 2.0) / count(*) OVER (PARTITION BY date, factor) AS q FROM met"),
     )
     return ctes(d, *more) + f"SELECT date, factor, {rd('avg(CASE WHEN q > 0.8 THEN fwd END) - avg(CASE WHEN q < 0.2 THEN fwd END)')} AS spread FROM p GROUP BY date, factor"
 
@@ -343,7 +344,7 @@ def benchmark_metrics(d):
 
 @query
 def yearly_table(d):
-    return ctes(d, *_book(d)) + f"SELECT year(date) AS y, count(*) AS days, {rd('exp(sum(ln(1 + net))) - 1', 5)} AS ret, {rd('stddev_samp(net) * sqrt(252.0)')} AS vol FROM net WHERE net > -1 GROUP BY year(date) HAVING count(*) >= 40"
+    return ctes(d, *_book(d)) + f"SELECT year(date) AS y, count(*) AS days, {rd('exp(sum(ln(1 + net * 0.01))) - 1', 5)} AS ret, {rd('stddev_samp(net) * sqrt(252.0)')} AS vol FROM net WHERE net > -100 GROUP BY year(date) HAVING count(*) >= 40"
 
 
 @query
@@ -437,7 +438,7 @@ SELECT f.side, count(*) AS fills, {rd('sum(notional)', 2)} AS notional, {rd("avg
 
 @query
 def fills_dedupe(d):
-    return f"WITH f AS ({FILLS}) SELECT order_id, leg, symbol, {rd('qty')} AS qty, {rd('price')} AS price FROM (SELECT *, row_number() OVER (PARTITION BY order_id, leg ORDER BY ts, symbol, venue, qty) AS k FROM f) z WHERE k = 1"
+    return f"WITH f AS ({FILLS}) SELECT order_id, leg, symbol, {rd('qty')} AS qty, {rd('price', 9)} AS price FROM (SELECT *, row_number() OVER (PARTITION BY order_id, leg ORDER BY ts, symbol, venue, qty) AS k FROM f) z WHERE k = 1"
 
 
 @query
@@ -492,12 +493,17 @@ u AS (SELECT *, alpha_bps - turnover * 2 * 3.0 AS net_bps, turnover * 3 AS turn_
 SELECT id, {rd('net_bps')} AS net_bps, {rd('net_bps - turn_pen - risk_pen')} AS utility, turnover <= 0.35 AND net_bps >= -2 AS eligible, row_number() OVER (ORDER BY CASE WHEN turnover <= 0.35 AND net_bps >= -2 THEN 0 ELSE 1 END, round(net_bps - turn_pen - risk_pen, 6) DESC, id) AS place FROM u"""
 
 
+def text(f: Callable[[Dialect], str], dialect: str) -> str:
+    """The statement with all decimal literals as doubles."""
+    return re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.])", r"\1e0", f(Dialect(dialect)))
+
+
 def queries() -> dict:
     def one(f):
-        return lambda spark, sf_dir: run_sql(spark, sf_dir, f(Dialect("spark")))
+        return lambda spark, sf_dir: run_sql(spark, sf_dir, text(f, "spark"))
 
     return {n: one(f) for n, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: f(Dialect("duckdb")) for n, f in QUERIES.items()}
+    return {n: text(f, "duckdb") for n, f in QUERIES.items()}
