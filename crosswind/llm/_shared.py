@@ -18,6 +18,19 @@ SLICE = 1000
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+#: Word tables of a Python worker, which serves the tasks of many operators one after another.
+_TABLES: list[dict] = []
+
+
+def only_table(table: dict) -> None:
+    """Called when a task begins: of the worker's word tables, its operator's own is kept."""
+    if not any(t is table for t in _TABLES):
+        _TABLES.append(table)
+    for other in _TABLES:
+        if other is not table:
+            other.clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 

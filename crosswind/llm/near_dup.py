@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosswind.llm._shared import map_rows, stored
+from crosswind.llm._shared import map_rows, only_table, stored
 
 COORDINATES = 96
 MATCHES = 62
@@ -43,7 +43,7 @@ SEED = 977
 #: again; both of fixed size, and neither decides a result.
 COUNTERS = 1 << 22
 FILTER_BITS = 1 << 25
-WORD_ENTRIES = 300_000
+WORD_ENTRIES = 200_000
 #: Random star rounds at most, and the part that a round must take of the pairs left to be repeated.
 STAR_ROUNDS = 4
 #: With so few pairs left for each class all of them are compared; members of a block of a list then.
@@ -53,6 +53,8 @@ BLOCK = 1024
 #: lists of up to FEW members are counted there first.
 SHARED = 4
 FEW = 4
+#: Of its long lists, a pair is told by those of its first coordinates.
+FIRST = 3
 SHRINKS = 0.6
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -111,6 +113,7 @@ def signatures(docs: DataFrame, k: int, coordinates: int = COORDINATES) -> DataF
     """Set size, digest and signature of each row of (doc_id, text)."""
 
     def make():
+        only_table(_WORDS)
         factors = _factors(coordinates)
 
         def work(batch: pa.RecordBatch) -> dict:
@@ -142,7 +145,7 @@ def _rows_of(column: pa.Array, coordinates: int) -> np.ndarray:
 
 
 _COUNTED = T.StructType([T.StructField("cell", T.LongType()), T.StructField("n", T.LongType())])
-_POSTED = T.StructType([T.StructField("token", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("n", T.LongType())])
+_POSTED = T.StructType([T.StructField("token", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("n", T.LongType()), T.StructField("at", T.IntegerType())])
 
 
 def _sketch(classes: DataFrame, coordinates: int) -> np.ndarray:
@@ -165,7 +168,7 @@ def _sketch(classes: DataFrame, coordinates: int) -> np.ndarray:
 
 
 def _postings(spark: SparkSession, classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """(token, cls, n): each class under the first of its pairs by (count, name)."""
+    """(token, cls, n, at): each class under the first of its pairs by (count, name); at: the pair's coordinate."""
     sketch, prefix = spark.sparkContext.broadcast(_sketch(classes, coordinates)), coordinates - matches + SHARED
 
     def make():
@@ -175,7 +178,7 @@ def _postings(spark: SparkSession, classes: DataFrame, coordinates: int, matches
             first = np.argpartition(order, prefix - 1, axis=1)[:, :prefix]
             picked = np.take_along_axis(names, first, axis=1).view(np.int64).ravel()
             rep = lambda c: np.repeat(batch.column(c).to_numpy(), prefix)
-            return {"token": picked, "cls": rep(0), "n": rep(1)}
+            return {"token": picked, "cls": rep(0), "n": rep(1), "at": first.astype(np.int32).ravel()}
 
         return work
 
@@ -219,20 +222,26 @@ def _colliding(pairs: DataFrame, lows: DataFrame, coordinates: int, matches: int
     return map_rows(both.select("a", "b", "x", "y"), _COUNT, make)
 
 
-def _hits_of(cls: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray, low: np.ndarray, cross: bool, percent: int, matches: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one block of a list, or across two, of different components, near sizes and enough collisions."""
+def _hits_of(cls: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray, low: np.ndarray, posted: np.ndarray, at: int, cross: bool, percent: int, matches: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one block of a list, or across two, of different components, near sizes and enough collisions.
+
+    A pair meets in many long lists, and is told by those of its first coordinates: it is left
+    out where ``FIRST`` lower ones, posted by both in long lists, have equal low bytes.  Such a byte
+    is equal by chance in 1 of 256, so for all of them to be no common lists is out of question.
+    """
     left = np.flatnonzero(side == side.min()) if cross else np.arange(len(cls))
     right = np.flatnonzero(side != side.min()) if cross else left
     found_a, found_b = [], []
-    for at in range(0, len(left), 64):
-        i = left[at : at + 64]
+    for start in range(0, len(left), 64):
+        i = left[start : start + 64]
         ok = (root[i][:, None] != root[right]) & (100 * np.minimum(n[i][:, None], n[right]) >= percent * np.maximum(n[i][:, None], n[right]))
         if not cross:
             ok &= cls[i][:, None] < cls[right]
         x, y = np.nonzero(ok)
         for part in range(0, len(x), 100_000):
             px, py = i[x[part : part + 100_000]], right[y[part : part + 100_000]]
-            good = (low[px] == low[py]).sum(axis=1) >= matches
+            same = low[px] == low[py]
+            good = (same.sum(axis=1) >= matches) & ((same[:, :at] & posted[px, :at] & posted[py, :at]).sum(axis=1) < FIRST)
             found_a.append(np.minimum(cls[px[good]], cls[py[good]]))
             found_b.append(np.maximum(cls[px[good]], cls[py[good]]))
     none = np.zeros(0, np.int64)
@@ -248,7 +257,7 @@ def _all_colliding(spark: SparkSession, open_lists: DataFrame, lows: DataFrame,
     place and only what collides is a row.
     """
     sizes = open_lists.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
-    sized = stored(spark, open_lists.join(sizes, "token").select("token", "cls", "n", "root", "m"), "sized")
+    sized = stored(spark, open_lists.join(sizes, "token").select("token", "cls", "n", "root", "m", "at"), "sized")
     short = sized.where(F.col("m") <= FEW)
     x = short.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
     y = short.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
@@ -256,9 +265,14 @@ def _all_colliding(spark: SparkSession, open_lists: DataFrame, lows: DataFrame,
     met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists")).where(F.col("lists") >= SHARED)
     counted = _colliding(met, lows, coordinates, matches).select("a", "b")
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = sized.where(F.col("m") > FEW).select("token", "cls", "n", "root", parts.alias("parts"), F.pmod(F.xxhash64("cls"), parts).cast("int").alias("side"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).join(lows, "cls")
-    dealt = dealt.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "cls", "n", "root", "low")
+    long = sized.where(F.col("m") > FEW)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at") % 32)
+    masks = long.groupBy("cls").agg(*[F.bit_or(F.when(F.floor(F.col("at") / 32) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"mask{i}") for i in range(-(-coordinates // 32))])
+    masked = lows.join(masks, "cls")
+    names = [f"mask{i}" for i in range(-(-coordinates // 32))]
+    dealt = long.select("token", "cls", "n", "root", "at", parts.alias("parts"), F.pmod(F.xxhash64("cls"), parts).cast("int").alias("side"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).join(masked, "cls")
+    dealt = dealt.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "cls", "n", "root", "at", "low", *names)
     dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "cls")
     percent = settings.percent
 
@@ -266,13 +280,14 @@ def _all_colliding(spark: SparkSession, open_lists: DataFrame, lows: DataFrame,
         held: list[pa.RecordBatch] = []
 
         def found(table: pa.Table) -> pa.RecordBatch:
-            token, i, j, side, cls, n, root = (table.column(c).to_numpy() for c in range(7))
-            low = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8).reshape(-1, coordinates)
+            token, i, j, side, cls, n, root, at = (table.column(c).to_numpy() for c in range(8))
+            low = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint8).reshape(-1, coordinates)
+            posted = np.concatenate([(table.column(9 + m).to_numpy()[:, None] >> np.arange(32)) & 1 for m in range(len(names))], axis=1)[:, :coordinates].astype(bool)
             change = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             a, b = [], []
             for s, e in zip(np.concatenate([[0], change]), np.concatenate([change, [len(token)]])):
                 if e - s > 1 and (i[s] == j[s] or len(np.unique(side[s:e])) > 1):
-                    x, y = _hits_of(cls[s:e], n[s:e], root[s:e], side[s:e], low[s:e], i[s] != j[s], percent, matches)
+                    x, y = _hits_of(cls[s:e], n[s:e], root[s:e], side[s:e], low[s:e], posted[s:e], int(at[s]), i[s] != j[s], percent, matches)
                     a.append(x)
                     b.append(y)
             none = np.zeros(0, np.int64)
@@ -383,7 +398,7 @@ def find(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(),
     lists = stored(spark, posts.join(shared, "token"), "shared")
     # a text that others are edits of shares all its pairs with them; an edit has some of its own
     weight = lists.groupBy("cls").agg(F.sum("m").alias("w"))
-    lists = stored(spark, lists.join(weight, "cls").select("token", "cls", "n", "w"), "lists")
+    lists = stored(spark, lists.join(weight, "cls").select("token", "cls", "n", "w", "at"), "lists")
     lows = stored(spark, _lows(classes.join(weight.select("cls"), "cls", "left_semi"), coordinates), "lows")
 
     def linked(pairs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosswind.llm._shared import map_rows, stored, texts
+from crosswind.llm._shared import map_rows, only_table, stored, texts
 
 CAPACITY = 2048
 END_ID = 0
@@ -32,7 +32,7 @@ END_ID = 0
 PER_PARTITION = 60_000
 FAN_IN = 8
 #: Entries of a worker's table from word pieces to ids; it starts anew beyond that.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 500_000
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -98,6 +98,7 @@ def cut(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY
         import public_tokenizers
 
         encode = encoder(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
+        only_table(encode.seen)
         end = struct.pack("<I", END_ID)
 
         def work(batch: pa.RecordBatch) -> dict:
