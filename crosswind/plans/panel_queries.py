@@ -230,7 +230,7 @@ FROM scores s JOIN fwd f ON s.date = f.date AND s.asset = f.asset GROUP BY s.dat
 def ic_summary(d):
     """Mean, spread, ratio and hit rate of each factor's coefficients, lagged past the horizon."""
     return ctes(d, *_ic(d), ("lagged", "SELECT factor, date, lag(ic, 6) OVER (PARTITION BY factor ORDER BY date) AS ic FROM ic")) + f"""SELECT factor, count(ic) AS observations, {rd('avg(ic)')} AS mean_ic,
- {rd('stddev_samp(ic)')} AS ic_vol, {rd('avg(ic) / greatest(stddev_samp(ic), 0.02)')} AS ic_ir, {rd('avg(CASE WHEN ic > 0 THEN 1.0 WHEN ic IS NOT NULL THEN 0.0 END)')} AS hit_rate FROM lagged GROUP BY factor"""
+ {rd('stddev_samp(ic)')} AS ic_vol, {rd('avg(ic) / greatest(stddev_samp(ic), 0.02)')} AS ic_ir, {rd('avg(CASE WHEN round(ic, 9) > 0 THEN 1.0 WHEN ic IS NOT NULL THEN 0.0 END)')} AS hit_rate FROM lagged GROUP BY factor"""
 
 
 @query
@@ -493,6 +493,109 @@ u AS (SELECT *, alpha_bps - turnover * 2 * 3.0 AS net_bps, turnover * 3 AS turn_
 SELECT id, {rd('net_bps')} AS net_bps, {rd('net_bps - turn_pen - risk_pen')} AS utility, turnover <= 0.35 AND net_bps >= -2 AS eligible, row_number() OVER (ORDER BY CASE WHEN turnover <= 0.35 AND net_bps >= -2 THEN 0 ELSE 1 END, round(net_bps - turn_pen - risk_pen, 6) DESC, id) AS place FROM u"""
 
 
+# --- selection, review and further reports
+
+
+@query
+def expected_alpha(d):
+    """Per date the slope through the origin of the next return on the score."""
+    more = (*_ic(d, 1)[:4],)
+    return ctes(d, *more) + f"SELECT date, factor, {rd('sum(score * fwd) / (sum(score * score) + ' + EPS + ')')} AS slope, count(*) AS n FROM met GROUP BY date, factor"
+
+
+@query
+def ic_weights(d):
+    """Weights from mean, ratio, hit rate and coverage of lagged coefficients, with a floor, summing to one."""
+    more = (
+        *_ic(d), ("lagged", "SELECT factor, date, greatest(-0.25, least(0.25, lag(ic, 6) OVER (PARTITION BY factor ORDER BY date))) AS ic FROM ic WHERE ic IS NOT NULL"),
+        ("st", "SELECT factor, avg(ic) AS m, avg(ic) / greatest(stddev_samp(ic), 0.02) AS ir, avg(CASE WHEN round(ic, 9) > 0 THEN 1.0 ELSE 0.0 END) AS hit FROM lagged GROUP BY factor"),
+        ("raw", "SELECT factor, greatest(m, 0.0) * (0.25 + 0.75 * greatest(ir, 0.0) / (1 + greatest(ir, 0.0))) * (0.5 + 0.5 * greatest(0.0, least(1.0, (hit - 0.4) / 0.2))) AS w FROM st"),
+        ("fl", "SELECT factor, greatest(0.012, CASE WHEN sum(w) OVER () > 0 THEN w / sum(w) OVER () ELSE 1.0 / count(*) OVER () END) AS w FROM raw"),
+    )
+    return ctes(d, *more) + f"SELECT factor, {rd('w / sum(w) OVER ()', 5)} AS weight FROM fl"
+
+
+@query
+def recent_metrics(d):
+    more = (("k", "SELECT *, row_number() OVER (ORDER BY date DESC) AS k FROM net"),)
+    return ctes(d, *_book(d), *more) + f"SELECT {rd('stddev_samp(CASE WHEN k <= 63 THEN net END) * sqrt(252.0)')} AS vol_63, {rd('avg(CASE WHEN k <= 252 THEN net END) / stddev_samp(CASE WHEN k <= 252 THEN net END)')} AS ratio_252, {rd('avg(CASE WHEN k <= 63 THEN turnover END) / 2')} AS one_way_turnover_63 FROM k"
+
+
+@query
+def weekday_month(d):
+    return f"SELECT month(o_orderdate) AS mo, {d.weekday('CAST(o_orderdate AS DATE)')} AS w, count(*) AS n, {rd('avg(o_totalprice)', 4)} AS mean_price FROM orders GROUP BY 1, 2"
+
+
+@query
+def return_histogram(d):
+    """Sixty bins between the extremes, the last closed."""
+    more = (("x", f"SELECT ret, min(ret) OVER () AS lo, max(ret) OVER () AS hi FROM r WHERE ret IS NOT NULL"),)
+    return ctes(d, RETS, *more) + "SELECT CAST(least(59, floor((ret - lo) / (hi - lo) * 60)) AS INT) AS bin, count(*) AS n FROM x GROUP BY 1"
+
+
+@query
+def relative_performance(d):
+    more = (MARKET, ("j", "SELECT n.date, net, mkt FROM net n JOIN m ON m.date = n.date"))
+    return ctes(d, *_book(d), *more) + f"SELECT date, {rd('exp(sum(ln(1 + net * 0.01)) OVER (ORDER BY date)) / exp(sum(ln(1 + mkt * 0.01)) OVER (ORDER BY date)) - 1')} AS relative FROM j"
+
+
+@query
+def participation(d):
+    """How often an asset is held, and its largest and mean weight."""
+    return ctes(d, *_book(d)) + f"SELECT asset, {rd('avg(CASE WHEN w > 0 THEN 1.0 ELSE 0.0 END)')} AS held_share, {rd('CAST(max(w) AS DOUBLE)')} AS peak, min(CASE WHEN w > 0 THEN date END) AS first_held FROM w GROUP BY asset"
+
+
+@query
+def market_model(d):
+    """Beta, residual alpha, idiosyncratic volatility and fit of every asset."""
+    more = (MARKET, ("j", "SELECT r.asset, r.ret, m.mkt FROM r JOIN m ON m.date = r.date WHERE r.ret IS NOT NULL"))
+    return ctes(d, RETS, *more) + f"SELECT asset, {rd('covar_samp(ret, mkt) / var_samp(mkt)')} AS beta, {rd('avg(ret) - covar_samp(ret, mkt) / var_samp(mkt) * avg(mkt)')} AS alpha, {rd('corr(ret, mkt) * corr(ret, mkt)')} AS r2, {rd('stddev_samp(ret) * sqrt(1 - corr(ret, mkt) * corr(ret, mkt))')} AS idio_vol FROM j GROUP BY asset"
+
+
+@query
+def factor_exposures(d):
+    """Weighted scores of the latest book."""
+    wide = staged({n: rounded(zs(REGISTRY[n].make())) for n in IC_NAMES}, "panel", d.name)
+    return ctes(d, *_book(d), ("wide", wide), ("lastd", "SELECT max(date) AS date FROM w WHERE w > 0")) + "SELECT " + ", ".join(f"{rd(f'sum(w.w * wide.{n})')} AS {n}" for n in IC_NAMES) + " FROM w JOIN lastd ON w.date = lastd.date JOIN wide ON wide.date = w.date AND wide.asset = w.asset"
+
+
+@query
+def factor_trends(d):
+    """Mean coefficients of short and long windows, a slope over time and a state."""
+    more = (*_ic(d), ("k", "SELECT factor, ic, CAST(row_number() OVER (PARTITION BY factor ORDER BY date DESC) AS DOUBLE) AS back FROM ic WHERE ic IS NOT NULL"), ("s", "SELECT factor, avg(CASE WHEN back <= 21 THEN ic END) AS short, avg(CASE WHEN back <= 126 THEN ic END) AS long, -regr_slope(ic, back) AS slope FROM k GROUP BY factor"))
+    return ctes(d, *more) + f"SELECT factor, {rd('short')} AS short_mean, {rd('long')} AS long_mean, {rd('slope', 8)} AS slope, CASE WHEN short < 0 AND long > 0 THEN 'decaying' WHEN short > long THEN 'improving' ELSE 'stable' END AS state FROM s"
+
+
+@query
+def decision_scorecard(d):
+    """Edge over the best, flags, risk points and the call for each candidate."""
+    return f"""WITH k AS (SELECT s_suppkey AS id, s_acctbal / 100 AS net_bps, (s_suppkey % 50) / 100.0 AS turnover, 0.10 + (s_suppkey % 9) / 50.0 AS vol, (s_suppkey % 11) / 50.0 AS dd FROM supplier),
+x AS (SELECT *, net_bps - (SELECT avg(net_bps) FROM k) AS edge, CASE WHEN turnover > 0.35 THEN 1 ELSE 0 END + CASE WHEN vol > 0.2 THEN 1 ELSE 0 END + CASE WHEN dd > 0.15 THEN 1 ELSE 0 END + CASE WHEN net_bps < -2 THEN 1 ELSE 0 END AS flags FROM k),
+y AS (SELECT *, 100 * (0.35 * turnover + 0.25 * dd + 0.20 * vol) + 4 * flags AS risk FROM x)
+SELECT id, {rd('edge')} AS edge, flags, {rd('risk')} AS risk_points, {rd('edge - 0.05 * risk')} AS conviction, CASE WHEN net_bps < -2 OR turnover > 0.45 THEN 'BLOCK' WHEN edge > 2 AND flags = 0 THEN 'GREENLIGHT' WHEN edge > 0 THEN 'REVIEW' ELSE 'HOLD CURRENT' END AS play FROM y"""
+
+
+@query
+def explain_delta(d):
+    """The focus candidate less each of the eight best others."""
+    return f"""WITH k AS (SELECT s_suppkey AS id, s_acctbal / 100 AS utility, (s_suppkey % 50) / 100.0 AS turnover FROM supplier), f AS (SELECT * FROM k WHERE id = 7),
+o AS (SELECT *, row_number() OVER (ORDER BY utility DESC, id) AS place FROM k WHERE id <> 7)
+SELECT o.id, o.place, {rd('f.utility - o.utility')} AS utility_delta, {rd('f.turnover - o.turnover')} AS turnover_delta FROM o CROSS JOIN f WHERE o.place <= 8"""
+
+
+@query
+def readiness_gates(d):
+    """Gates over the ledger and the worst of them."""
+    g = """SELECT 'unfilled' AS gate, CASE WHEN count(*) > 500 THEN 2 WHEN count(*) > 0 THEN 1 ELSE 0 END AS level FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE l.l_orderkey IS NULL
+UNION ALL SELECT 'status', CASE WHEN avg(CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END) > 0.5 THEN 2 ELSE 0 END FROM orders UNION ALL SELECT 'bad_price', CASE WHEN count(*) > 0 THEN 2 ELSE 0 END FROM lineitem WHERE l_extendedprice <= 0"""
+    return f"WITH g AS ({g}) SELECT gate, CASE level WHEN 2 THEN 'BLOCK' WHEN 1 THEN 'WARN' ELSE 'PASS' END AS state FROM g UNION ALL SELECT 'all', CASE max(level) WHEN 2 THEN 'BLOCK' WHEN 1 THEN 'WARN' ELSE 'PASS' END FROM g"
+
+
+@query
+def position_analytics(d):
+    return f"WITH {HOLD}, p AS (SELECT symbol, qty * price AS value FROM h), g AS (SELECT *, sum(abs(value)) OVER () AS gross, row_number() OVER (ORDER BY abs(value) DESC, symbol) AS k FROM p) SELECT count(*) AS names, {rd('sum(value) / max(gross)')} AS net_exposure, {rd('sum((value / gross) * (value / gross))', 8)} AS hhi, {rd('sum(CASE WHEN k <= 5 THEN abs(value) / gross END)')} AS top5 FROM g"
+
+
 def text(f: Callable[[Dialect], str], dialect: str) -> str:
     """The statement with all decimal literals as doubles."""
     return re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.])", r"\1e0", f(Dialect(dialect)))
