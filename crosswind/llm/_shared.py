@@ -31,17 +31,25 @@ def only_table(table: dict) -> None:
             other.clear()
 
 
+#: Temporary folders by application, where the session names none.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (tests on one
-    machine) is a temporary folder made and entered there.
+    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset, on one machine, is
+    a temporary folder made, once for each application.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="crosswind-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="crosswind-")
+    return _OWN[app]
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str, small: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ tags and link characters and the container that holds it.  Blocks under menus, h
 footers, sidebars, adverts, notices, forms, comment lists and the like, by tag, role, class or
 id, can't be content.  Over the others the text-to-tag ratio of each line is smoothed by a
 Gaussian and cut at a threshold into content clusters; the container that holds most clustered
-text is the content region.  A page's own ``article`` or ``main`` is preferred to that vote when it
+text is the content region, with the title above it.  A page's own ``article`` or ``main`` is preferred to that vote when it
 holds text.  The region's blocks are kept whole, so a short paragraph inside it isn't lost.
 
 Defined results: null or empty html, or none but boilerplate, gives an empty text; unclosed and
@@ -54,12 +54,14 @@ REGIONS = frozenset("article main section div body td".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner banners sponsor sponsored sponsors promo promoted promotion outbrain taboola "
     "nav navbar navigation menu menus submenu breadcrumb breadcrumbs pagination pager toc "
-    "sidebar sidebars sidenav rail widget widgets footer footnav masthead topbar "
+    "sidebar sidebars sidenav rail widget widgets footer footnav masthead topbar topnav "
     "cookie cookies consent gdpr notice notices disclaimer alert popup modal overlay newsletter subscribe subscription signup paywall "
     "comment comments commentlist disqus respond replies discussion reviews "
     "share sharing social related recommended recommendations trending popular teaser teasers login search hidden skip".split()
 )
-#: Of those, the ones that a page's header element may bear without being chrome, inside an article.
+#: First words of a class that says what a container has or lacks, and words of a header that is an article's own.
+STATES = frozenset("no has with without is not".split())
+OWN_HEADERS = frozenset("article post entry content story".split())
 _WORD = re.compile(r"[A-Za-z][a-z]*")
 _SPACE = re.compile(r"\s+")
 
@@ -69,8 +71,11 @@ def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if k in ("class", "id") and v:
             if tag in ("body", "html", "article", "main"):
                 continue
-            if any(w.lower() in MARKS for w in _WORD.findall(v)):
-                return True
+            for name in v.split():
+                words = [w.lower() for w in _WORD.findall(name)]
+                if words and words[0] not in STATES:
+                    if any(w in MARKS for w in words) or "header" in words and len(words) <= 2 and not OWN_HEADERS.intersection(words):
+                        return True
         elif k == "role" and v and v.strip().lower() in ROLES:
             return True
         elif k == "hidden" or k == "aria-hidden" and (v or "").lower() == "true":
@@ -92,6 +97,7 @@ class Events(HTMLParser):
         self.blocks: list[tuple[str, int, int, int, bool]] = []
         self.parts: list[str] = []
         self.tags = self.link_chars = 0
+        self.heads: list[int] = []
 
     def flush(self) -> None:
         if self.parts:
@@ -105,7 +111,10 @@ class Events(HTMLParser):
         """Closes all elements from ``at`` of the stack on."""
         for tag, silent, outside, region in reversed(self.stack[at:]):
             if tag in BLOCKS:
+                before = len(self.blocks)
                 self.flush()
+                if tag == "h1" and len(self.blocks) > before and not self.outside:
+                    self.heads.append(before)
             self.silent -= silent
             self.outside -= outside
             self.links -= tag == "a"
@@ -228,7 +237,10 @@ def main_text(html: str | None) -> str:
             if best is None or weight[best] < 0.8 * weight[pick]:
                 break
             pick = best
-    return "\n".join(b[0] for b in blocks if not b[4] and pick in chains[b[3]])
+    kept = [i for i, b in enumerate(blocks) if not b[4] and pick in chains[b[3]]]
+    if kept and not set(page.heads).intersection(kept):  # a title that stands above the region is the article's
+        kept = [i for i in page.heads if i < kept[0]][-1:] + kept
+    return "\n".join(blocks[i][0] for i in kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -83,6 +83,7 @@ def test_html(spark):
     assert html_text.main_text(PAGE) == "Title & more\nFirst paragraph with some words that are long enough to count.\nShort.\nSecond one here, again with rather many words."
     assert html_text.main_text(None) == "" == html_text.main_text("<nav>x</nav>")
     assert html_text.main_text("<article><h1>A</h1><p>b<br>c</article><p>after") == "A\nb c"
+    assert html_text.main_text("<div class=top-header><h1>Site</h1></div><div><h1>A</h1><div><p>Some words that make up the text of this page.</div></div>") == "A\nSome words that make up the text of this page."
     pages = spark.createDataFrame([(1, "u", None, "q"), (2, None, PAGE, "q"), (2, None, PAGE, "q"), (3, "u", "", "q")], "page_id long, url string, html string, text string")
     got = html_text.extract(pages).toPandas()
     assert sorted(got.n_chars) == [0, 0, len(html_text.main_text(PAGE)), len(html_text.main_text(PAGE))]
