@@ -7,7 +7,7 @@ becomes Hamming distance.  The fingerprint samples that string.  Each slot has i
 order of steps and takes the first step of it that the walk made, so that texts of like length
 sample like places; it keeps a byte of the characters written there.  The part of equal slots
 estimates the likeness.  Bands of slots are keys under which like texts meet; a met pair is
-verified by its whole fingerprints.
+verified by its whole fingerprints, and verified pairs link documents to groups.
 
 Walks of many texts run side by side in NumPy, over the whole texts.
 
@@ -28,7 +28,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crosswind.llm._shared import stored
+from crosswind.llm.near_dup import components
+
 SLOTS = 128
+#: Slots of a band, and the likeness from which texts are near.  42 bands of 3 slots miss a pair of likeness 0.6 with chance 0.00004.
+BAND = 3
+LEAST = 0.6
+#: Members of a block of a band's group; a fingerprint with over one in so many rows is joined without a shuffle.
+BLOCK = 512
+MOST_SHARE = 2000
 #: Characters written in a row that a slot keeps a byte of.
 RUN = 4
 SEED = 20_240_607
@@ -231,18 +240,130 @@ def fingerprint_with_edit(spark: SparkSession, docs: DataFrame, parts: int | Non
     return dealt.select("bucket", "tail", "doc_id", "text").mapInArrow(run, RESULT)
 
 
-def near_pairs(prints: DataFrame, band: int = 8, least: float = 0.6) -> DataFrame:
+def _bands(one: DataFrame, band: int) -> DataFrame:
+    """(token, cls): the bands of each fingerprint, as hashes of place and slots."""
+    many = (F.length("fingerprint") / (2 * band)).cast("int")
+    token = lambda i: F.xxhash64(i, F.substr("fingerprint", i * 2 * band + 1, F.lit(2 * band)))
+    return one.select("cls", F.explode(F.transform(F.sequence(F.lit(0), many - 1), token)).alias("token"))
+
+
+def _verified(pairs: DataFrame, one: DataFrame, least: float) -> DataFrame:
+    """Of the pairs (a, b), those whose whole fingerprints are near, with how near."""
+    x, y = one.select(F.col("cls").alias("a"), F.col("fingerprint").alias("x")), one.select(F.col("cls").alias("b"), F.col("fingerprint").alias("y"))
+    slots, at = F.length("x") / 2, lambda c, i: F.substr(c, i * 2 + 1, F.lit(2))
+    same = F.size(F.filter(F.sequence(F.lit(0), (slots - 1).cast("int")), lambda i: at(F.col("x"), i) == at(F.col("y"), i)))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", ((same / slots - 1 / 256) / (1 - 1 / 256)).alias("near")).where(F.col("near") >= least)
+
+
+_LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def _links_of(cls: np.ndarray, root: np.ndarray, side: np.ndarray, rows: np.ndarray, cross: bool, least: float) -> list[tuple[int, int]]:
+    """Near pairs that join the components met here; pairs joined already aren't compared."""
+    out, root = [], np.unique(root, return_inverse=True)[1]
+    for k in range(len(cls) - 1):
+        rest = k + 1 + np.flatnonzero((root[k + 1 :] != root[k]) & ((side[k + 1 :] != side[k]) | (not cross)))
+        if len(rest):
+            for m in rest[likeness(rows[k][None], rows[rest]) >= least]:
+                if root[m] != root[k]:
+                    out.append((int(cls[k]), int(cls[m])))
+                    root[root == root[m]] = root[k]
+    return out
+
+
+def _left_open(spark: SparkSession, lists: DataFrame, one: DataFrame, least: float) -> DataFrame:
+    """Near pairs between components that meet in a band, by blocks of long groups and the pairs of blocks."""
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    sized = lists.join(lists.groupBy("token").agg(F.count(F.lit(1)).alias("m")), "token").select("token", "cls", "root", parts.alias("parts"), F.pmod(F.xxhash64("cls"), parts).cast("int").alias("side"))
+    dealt = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).join(one.select("cls", F.unhex("fingerprint").alias("row")), "cls")
+    dealt = dealt.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "cls", "root", "row")
+    dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "cls")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(table: pa.Table) -> pa.RecordBatch:
+            token, i, j, side, cls, root = (table.column(c).to_numpy() for c in range(6))
+            rows = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(len(token), -1)
+            change, links = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, []
+            for s, e in zip([0, *change], [*change, len(token)]):
+                links += _links_of(cls[s:e], root[s:e], side[s:e], rows[s:e], i[s] != j[s], least)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(c).to_numpy() for c in range(3)]
+            # the last group may go on in the next batch, and the first may have begun in the one before
+            start = int(np.argmax(np.logical_and.reduce([k == k[-1] for k in keys])))
+            if start:
+                yield found(pa.Table.from_batches([*held, batch.slice(0, start)]))
+                held = []
+            elif held and any(k[0] != held[0].column(c)[0].as_py() for c, k in enumerate(keys)):
+                yield found(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(start))
+        if held:
+            yield found(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, _LINK).distinct()
+
+
+def _linked(spark: SparkSession, one: DataFrame, band: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b, near) of the classes ``one``, and the (node, root) of their components.
+
+    A band's members are first compared with its most shared fingerprint, so that groups of edits
+    of one text become components.  Where a band still holds several components, all pairs
+    between them are compared.
+    """
+    keys = stored(spark, _bands(one, band), "bands")
+    shared = keys.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    lists = stored(spark, keys.join(shared, "token"), "shared")
+    weight = lists.groupBy("cls").agg(F.sum("m").alias("w"))
+    heads = lists.join(weight, "cls").groupBy("token").agg(F.max_by("cls", F.struct("w", "cls")).alias("head"))
+    met = lists.join(heads, "token").where("cls <> head").select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct()
+    links = stored(spark, _verified(met, one, least), "links", small=True)
+    roots = components(spark, links)
+    at = lists.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("token", "cls", F.coalesce("root", "cls").alias("root"))
+    several = at.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+    more = stored(spark, _left_open(spark, stored(spark, at.join(several, "token", "left_semi"), "open"), one, least), "more", small=True)
+    if not more.isEmpty():
+        links = stored(spark, links.unionByName(_verified(more, one, least)), "links", small=True)
+        roots = components(spark, links)
+    return links, roots
+
+
+def _classes(spark: SparkSession, prints: DataFrame) -> DataFrame:
+    """Documents with equal fingerprints stand for each other: the first id and the number of each."""
+    one = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    return stored(spark, one.select(F.xxhash64("fingerprint").alias("cls"), "fingerprint", "doc_id", "copies"), "prints")
+
+
+def near_pairs(prints: DataFrame, band: int = BAND, least: float = LEAST) -> DataFrame:
     """Pairs (a, b, near) of different fingerprints that share a band and are verified as near.
 
-    Documents with equal fingerprints stand for each other: ``prints`` (doc_id, fingerprint) is
-    first made distinct by fingerprint, so copies cost nothing.  Within a band's group only
-    the pairs with its smallest fingerprint are verified, a star and not all pairs.
+    ``prints`` (doc_id, fingerprint) is first made distinct by fingerprint, so copies cost nothing.
+    The pairs link all near fingerprints that share a band: a pair not among them is linked
+    through others.
     """
-    slots = F.length("fingerprint") / 2
-    one = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    keys = one.select("doc_id", "fingerprint", F.explode(F.transform(F.sequence(F.lit(0), (slots / band - 1).cast("int")), lambda i: F.struct(i.alias("band"), F.substr("fingerprint", i * 2 * band + 1, F.lit(2 * band)).alias("part")))).alias("key"))
-    heads = keys.groupBy("key").agg(F.min("fingerprint").alias("head"), F.min_by("doc_id", "fingerprint").alias("head_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = keys.join(heads, "key").where("fingerprint <> head").select(F.least("doc_id", "head_id").alias("a"), F.greatest("doc_id", "head_id").alias("b"), "fingerprint", "head").distinct()
-    pair = lambda c, i: F.substr(c, i * 2 + 1, F.lit(2))
-    same = F.size(F.filter(F.sequence(F.lit(0), (slots - 1).cast("int")), lambda i: pair(F.col("fingerprint"), i) == pair(F.col("head"), i)))
-    return met.select("a", "b", ((same / slots - 1 / 256) / (1 - 1 / 256)).alias("near")).where(F.col("near") >= least).dropDuplicates(["a", "b"])
+    spark = prints.sparkSession
+    one = _classes(spark, prints)
+    links, _ = _linked(spark, one, band, least)
+    named = lambda c: one.select(F.col("cls").alias(c), F.col("doc_id").alias(f"{c}_id"))
+    return links.join(named("a"), "a").join(named("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "near")
+
+
+def with_groups(spark: SparkSession, docs: DataFrame, parts: int | None = None, band: int = BAND, least: float = LEAST) -> DataFrame:
+    """``fingerprint_with_edit`` and near_group, the first id that near fingerprints link a document to."""
+    table = stored(spark, fingerprint_with_edit(spark, docs, parts), "fingerprints")
+    one = _classes(spark, table.select("doc_id", "fingerprint"))
+    _, roots = _linked(spark, one, band, least)
+    rooted = one.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    first = rooted.groupBy("root").agg(F.min("doc_id").alias("near_group"))
+    groups = stored(spark, rooted.join(first, "root").select("fingerprint", "copies", "near_group"), "groups")
+    # fingerprints of many copies are few: their rows aren't dealt by fingerprint
+    many = max(1, table.count() // MOST_SHARE)
+    heavy = groups.where(F.col("copies") > many).select("fingerprint", F.col("near_group").alias("heavy"))
+    both = table.join(F.broadcast(heavy), "fingerprint", "left")
+    names = [*RESULT.fieldNames(), "near_group"]
+    light = both.where("heavy is null").join(groups.select("fingerprint", "near_group"), "fingerprint")
+    return light.select(*names).unionByName(both.where("heavy is not null").withColumn("near_group", F.col("heavy")).select(*names))

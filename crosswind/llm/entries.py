@@ -36,7 +36,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_fingerprint.fingerprint_with_edit(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return edit_fingerprint.with_groups(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op8_rule_list(spark: SparkSession, sf_dir: str) -> DataFrame:
