@@ -29,10 +29,10 @@ def sequential_book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regime_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turbulence and absorption of the cross-section of returns by refit date."""
+    """Turbulence and absorption of the cross-section of returns by date."""
     numbered = ctes(Dialect("spark"), RETS, ("k", "SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM r) z"))
     rows = run_sql(spark, sf_dir, numbered + "SELECT r.date, r.asset, r.ret, CAST(k.pos AS INT) AS pos FROM r JOIN k ON k.date = r.date")
-    return book.regime_by_anchor(rows).select("date", F.round("turbulence", 6).alias("turbulence"), F.round("absorption", 6).alias("absorption"))
+    return book.regime_by_date(rows).select("date", F.round("turbulence", 6).alias("turbulence"), F.round("absorption", 6).alias("absorption"))
 
 
 def latest_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
