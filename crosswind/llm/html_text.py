@@ -4,9 +4,9 @@ One pass over the parser's events gives blocks of text, each with its count of c
 tags and link characters and the container that holds it.  Blocks under menus, headers,
 footers, sidebars, adverts, notices, forms, comment lists and the like, by tag, role, class or
 id, can't be content.  Over the others the text-to-tag ratio of each line is smoothed by a
-Gaussian and cut at a threshold into content clusters; the container that holds most clustered
-text is the content region, with the title above it.  A page's own ``article`` or ``main`` is preferred to that vote when it
-holds text.  The region's blocks are kept whole, so a short paragraph inside it isn't lost.
+Gaussian and cut at a threshold into content clusters; the container that holds the clustered
+text is the content region, with the title above it: the smallest that holds all of it.  A page's own ``article`` and ``main`` elements are
+preferred to that vote when they hold text.  The region's blocks are kept whole, so a short paragraph inside it isn't lost.
 
 Defined results: null or empty html, or none but boilerplate, gives an empty text; unclosed and
 stray tags are tolerated; ties between regions go to the first; repeated rows are repeated; an
@@ -226,18 +226,20 @@ def main_text(html: str | None) -> str:
     if not total:
         return "\n".join(b[0] for b in blocks if not b[4] and any(regions[r][0] in ("article", "main") for r in chains[b[3]]))
     named = [r for r, (tag, _) in enumerate(regions) if tag in ("article", "main") and weight[r] > 0]
-    if named:
-        articles = [r for r in named if regions[r][0] == "article"]
-        pick = max(articles or named, key=lambda r: (weight[r], -r))
-    else:  # down from the page to the smallest container that still holds nearly all clustered text
+    if named:  # all articles; a main that holds clustered text beside its articles is taken whole
+        articles = {r for r in named if regions[r][0] == "article"}
+        outer = [r for r in articles if not articles.intersection(above(r)[1:])]
+        mains = {r for r in named if regions[r][0] == "main"}
+        picks = articles | {m for m in mains if sum(weight[r] for r in outer if m in above(r)) < weight[m]}
+    else:  # down from the page to the smallest container that still holds all clustered text
         pick = 0
         while True:
-            children = [r for r, (_, up) in enumerate(regions) if up == pick and weight[r] > 0]
-            best = max(children, key=lambda r: (weight[r], -r), default=None)
-            if best is None or weight[best] < 0.8 * weight[pick]:
+            best = next((r for r, (_, up) in enumerate(regions) if up == pick and weight[r] == weight[pick]), None)
+            if best is None:
                 break
             pick = best
-    kept = [i for i, b in enumerate(blocks) if not b[4] and pick in chains[b[3]]]
+        picks = {pick}
+    kept = [i for i, b in enumerate(blocks) if not b[4] and picks.intersection(chains[b[3]])]
     if kept and not set(page.heads).intersection(kept):  # a title that stands above the region is the article's
         kept = [i for i in page.heads if i < kept[0]][-1:] + kept
     return "\n".join(blocks[i][0] for i in kept)
