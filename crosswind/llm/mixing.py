@@ -11,8 +11,7 @@ marginal is tempered: shares to the power ``TEMPER``, made to sum to one.
 
 The topic of a document is the nearest of ``TOPICS`` directions to its hashed words: directions
 come from rounds of spherical k-means over a bounded sample of rows, each document is assigned
-from its whole text.  The table of cells is small: values of three dimensions; a value beyond the
-``MOST_VALUES`` heaviest of its dimension is raked with the others of the rest.
+from its whole text.  The cells of all values are raked.
 
 Defined results: null text has no tokens and its topic is -1; null values are values of their
 own; documents without tokens stay, and so do all of the cell with the largest factor; repeated
@@ -46,10 +45,8 @@ MOST_FACTOR = 2.0
 LEAST_TOPIC = 0.02
 RAKE_ROUNDS = 500
 RAKE_WITHIN = 1e-9
-MOST_VALUES = 1000
 WORD_ENTRIES = 200_000
 NONE = "\x00none"
-REST = "\x00rest"
 
 
 class _Slots(dict):
@@ -152,24 +149,27 @@ def goals(names: list, mass: np.ndarray, target: dict | None, temper: float = TE
     return out / out.sum()
 
 
-def rake(mass: np.ndarray, wanted: list[np.ndarray], most: float = MOST_FACTOR, rounds: int = RAKE_ROUNDS, within: float = RAKE_WITHIN) -> tuple[np.ndarray, float]:
-    """Weights of the cells whose marginals meet ``wanted``, and the largest error left.
+def rake_cells(at: list[np.ndarray], share: np.ndarray, wanted: list[np.ndarray], most: float = MOST_FACTOR, rounds: int = RAKE_ROUNDS, within: float = RAKE_WITHIN) -> tuple[np.ndarray, list[float]]:
+    """Weights of the cells whose marginals meet ``wanted``, and the largest error left in each dimension.
 
-    No weight is over ``most`` times the cell's share; what is cut is made up by the other cells in
-    the rounds that follow.  An error is left only where targets can't be met within that.
+    A cell has its values' places in ``at`` and its share.  No weight is over ``most`` times the
+    share; what is cut is made up by the other cells in the rounds that follow.
     """
-    share, axes = mass / mass.sum(), tuple(range(mass.ndim))
-    out = share
-    error = np.inf
+    out, errors = share, [np.inf] * len(wanted)
     for _ in range(rounds):
-        for d, goal in enumerate(wanted):
-            now = out.sum(axis=tuple(a for a in axes if a != d))
-            ratio = np.divide(goal, now, out=np.zeros_like(goal), where=now > 0)
-            out = np.minimum(out * ratio.reshape([-1 if a == d else 1 for a in axes]), most * share)
-        error = max(float(np.abs(out.sum(axis=tuple(a for a in axes if a != d)) - goal).max()) for d, goal in enumerate(wanted))
-        if error < within:
+        for place, goal in zip(at, wanted):
+            now = np.bincount(place, weights=out, minlength=len(goal))
+            out = np.minimum(out * np.divide(goal, now, out=np.zeros_like(goal), where=now > 0)[place], most * share)
+        errors = [float(np.abs(np.bincount(place, weights=out, minlength=len(goal)) - goal).max()) for place, goal in zip(at, wanted)]
+        if max(errors) < within:
             break
-    return out, error
+    return out, errors
+
+
+def rake(mass: np.ndarray, wanted: list[np.ndarray], most: float = MOST_FACTOR, rounds: int = RAKE_ROUNDS, within: float = RAKE_WITHIN) -> tuple[np.ndarray, float]:
+    """``rake_cells`` of a whole array of cells, with the largest error of all dimensions."""
+    out, errors = rake_cells([i.ravel() for i in np.indices(mass.shape)], mass.ravel() / mass.sum(), wanted, most, rounds, within)
+    return out.reshape(mass.shape), max(errors)
 
 
 def probabilities(cells: list[tuple], targets: dict[str, dict] | None = None, rate: float | None = None, temper: float = TEMPER) -> dict[tuple, float]:
@@ -182,44 +182,36 @@ def probabilities(cells: list[tuple], targets: dict[str, dict] | None = None, ra
     if not cells:
         return {}
     names = [sorted({c[d] for c in cells}, key=str) for d in range(3)]
-    at = [{n: i for i, n in enumerate(ns)} for ns in names]
-    mass = np.zeros([len(n) for n in names])
-    for *key, tokens in cells:
-        mass[tuple(at[d][key[d]] for d in range(3))] += tokens
-    wanted = [goals(names[d], mass.sum(axis=tuple(a for a in range(3) if a != d)), (targets or {}).get(DIMENSION_NAMES[d]), temper) for d in range(3)]
-    weights, _ = rake(mass, wanted)
-    factor = np.divide(weights, mass / mass.sum(), out=np.zeros_like(mass), where=mass > 0)
+    place = [{n: i for i, n in enumerate(ns)} for ns in names]
+    at = [np.array([place[d][c[d]] for c in cells]) for d in range(3)]
+    mass = np.array([c[3] for c in cells], float)
+    share = mass / mass.sum()
+    wanted = [goals(names[d], np.bincount(at[d], weights=mass), (targets or {}).get(DIMENSION_NAMES[d]), temper) for d in range(3)]
+    weights, _ = rake_cells(at, share, wanted)
+    factor = weights / share
     chance = factor / factor.max()
     if rate is not None:
-        chance = chance * min(1.0, rate / float((chance * mass).sum() / mass.sum()))
-    return {tuple(c[:3]): float(chance[tuple(at[d][c[d]] for d in range(3))]) for c in cells}
+        chance = chance * min(1.0, rate / float(chance @ share))
+    return {tuple(c[:3]): float(x) for c, x in zip(cells, chance)}
 
 
 @dataclass(frozen=True)
 class Mix:
-    """Fitted topics and the chance of each cell; values that aren't ``own`` are in the rest."""
+    """Fitted topics and the chance of each cell."""
 
     centre: np.ndarray
     chance: dict[tuple, float]
-    own: dict[str, frozenset]
 
     def cell(self, source: str | None, lang: str | None, topic: int) -> tuple:
-        name = lambda d, v: v if v in self.own[d] else REST
-        return name("source", NONE if source is None else source), name("lang", NONE if lang is None else lang), topic
+        return NONE if source is None else source, NONE if lang is None else lang, topic
 
 
 def fit(spark: SparkSession, docs: DataFrame, targets: dict[str, dict] | None = None, rate: float | None = None) -> tuple[Mix, DataFrame]:
     """The mix for ``docs`` and the table of what its documents are (see ``told``)."""
     centre = fit_topics(docs)
     table = stored(spark, told(docs, centre), "told")
-    by, own = table, {}
-    for c in DIMENSION_NAMES[:2]:
-        heavy = table.groupBy(c).agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), c).limit(MOST_VALUES + 1).collect()
-        own[c] = frozenset(r[c] for r in heavy[:MOST_VALUES])
-        if len(heavy) > MOST_VALUES:
-            by = by.withColumn(c, F.when(F.col(c).isin(list(own[c])), F.col(c)).otherwise(REST))
-    rows = by.groupBy(*DIMENSION_NAMES).agg(F.sum("tokens").alias("tokens")).collect()
-    return Mix(centre, probabilities([tuple(r) for r in rows], targets, rate), own), table
+    rows = table.groupBy(*DIMENSION_NAMES).agg(F.sum("tokens").alias("tokens")).collect()
+    return Mix(centre, probabilities([tuple(r) for r in rows], targets, rate)), table
 
 
 def _draw(key: np.ndarray) -> np.ndarray:
