@@ -2,7 +2,7 @@
 
 Documents are cells of source, language and topic.  The table of the cells' tokens is raked: in
 turn for each dimension, every cell's weight is scaled so that the dimension's marginal meets its
-target, until all do.  No weight grows beyond ``MOST_FACTOR`` times its share.  A cell's factor over the largest one is the probability with which its
+target, until all do.  A given target that can't be met, because cells have no tokens, is an error; a tempered one gives a warning.  A cell's factor over the largest one is the probability with which its
 documents stay; a hash of id and text decides, so that a run is repeatable.  Probabilities are calibrated: expected kept tokens of a cell are its raked weight.
 
 Targets are shares by value; values that a target does not name share what is left by their own
@@ -21,6 +21,7 @@ input's columns.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,9 +40,10 @@ FIT_ROWS = 4000
 FIT_ROUNDS = 12
 SEED = 11
 TEMPER = 0.85
-#: A cell's weight over its share at most, so that at least 1 / MOST_FACTOR of all tokens stay; and the
-#: least part of the fitted rows that a topic has.
+#: The bound of ``rake`` for a cell's weight over its share, which ``probabilities`` doesn't use; the error beyond
+#: which a target is missed; and the least part of the fitted rows that a topic has.
 MOST_FACTOR = 2.0
+MISSED = 1e-6
 LEAST_TOPIC = 0.02
 RAKE_ROUNDS = 500
 RAKE_WITHIN = 1e-9
@@ -187,7 +189,14 @@ def probabilities(cells: list[tuple], targets: dict[str, dict] | None = None, ra
     mass = np.array([c[3] for c in cells], float)
     share = mass / mass.sum()
     wanted = [goals(names[d], np.bincount(at[d], weights=mass), (targets or {}).get(DIMENSION_NAMES[d]), temper) for d in range(3)]
-    weights, _ = rake_cells(at, share, wanted)
+    order = sorted(range(3), key=lambda d: DIMENSION_NAMES[d] in (targets or {}))  # given targets are met last
+    weights, errors = rake_cells([at[d] for d in order], share, [wanted[d] for d in order], most=np.inf)
+    for d, error in zip(order, errors):
+        if error > MISSED:
+            said = f"the shares of {DIMENSION_NAMES[d]} miss their targets by up to {error:.3g}"
+            if DIMENSION_NAMES[d] in (targets or {}):
+                raise ValueError(said)
+            warnings.warn(said, stacklevel=2)
     factor = weights / share
     chance = factor / factor.max()
     if rate is not None:

@@ -1,3 +1,6 @@
+import numpy as np
+import pytest
+
 from crosswind.llm import mixing
 
 
@@ -8,3 +11,16 @@ def test_each_of_many_values_has_its_own_share(spark):
     assert len({c[0] for c in mix.chance}) == 1200
     light = [mix.chance[c] for c in mix.chance if c[0] == "site8"]
     assert [mix.chance[c] for c in mix.chance if c[0] == "site7"] != light
+
+
+def test_targets_over_twice_the_share_are_met():
+    cells = [(s, g, 0, n) for s, a in (("a", 900), ("b", 100)) for g, n in (("en", 9 * a), ("es", a))]
+    chance = mixing.probabilities(cells, {"lang": {"es": 0.5}, "source": {"b": 0.4}})
+    kept = {c[:3]: c[3] * chance[c[:3]] for c in cells}
+    assert abs(sum(v for c, v in kept.items() if c[1] == "es") / sum(kept.values()) - 0.5) < 1e-6
+    assert abs(sum(v for c, v in kept.items() if c[0] == "b") / sum(kept.values()) - 0.4) < 1e-6
+
+
+def test_a_given_target_that_is_missed_is_an_error():
+    with pytest.raises(ValueError):
+        mixing.probabilities([("a", "en", 0, 90), ("b", "es", 0, 10)], {"source": {"a": 0.5}, "lang": {"en": 0.9}})
