@@ -10,7 +10,7 @@ tokens, and values without tokens give their share to the others.  Without given
 marginal is tempered: shares to the power ``TEMPER``, made to sum to one.
 
 The topic of a document is the nearest of ``TOPICS`` directions to its hashed words: directions
-come from rounds of spherical k-means over a bounded sample of rows, each document is assigned
+come from rounds of spherical k-means over all rows, started from a sample, each document is assigned
 from its whole text.  The cells of all values are raked.
 
 Defined results: null text has no tokens and its topic is -1; null values are values of their
@@ -35,16 +35,16 @@ from crosswind.llm._shared import SLICE, map_rows, only_table, stored
 
 TOPICS = 8
 DIMENSIONS = 256
-#: Rows that topics are fitted on, and rounds of k-means.
+#: Rows that the starting points of topics come from, rounds of k-means over all rows, and the whole number that stands for one.
 FIT_ROWS = 4000
 FIT_ROUNDS = 12
+UNIT = 1 << 20
 SEED = 11
 TEMPER = 0.85
 #: The bound of ``rake`` for a cell's weight over its share, which ``probabilities`` doesn't use; the error beyond
-#: which a target is missed; and the least part of the fitted rows that a topic has.
+#: which a target is missed.
 MOST_FACTOR = 2.0
 MISSED = 1e-6
-LEAST_TOPIC = 0.02
 RAKE_ROUNDS = 500
 RAKE_WITHIN = 1e-9
 WORD_ENTRIES = 200_000
@@ -79,21 +79,21 @@ _VECTOR = T.StructType([T.StructField("key", T.LongType()), T.StructField("v", T
 
 
 def fit_topics(docs: DataFrame, topics: int = TOPICS, rows: int = FIT_ROWS) -> np.ndarray:
-    """Topic directions from the ``rows`` documents with the smallest hashes of id and text."""
-    few = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    part = min(1.0, 2 * rows / max(1, docs.count()))  # thinned by the hash first, so that little is sorted
-    if part < 1:
-        few = few.where(F.pmod("key", F.lit(1 << 20)) < int(part * (1 << 20)))
+    """Topic directions of all documents; those with the ``rows`` smallest hashes of id and text give the starting points."""
+    all_rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            return {"key": batch.column(0), "v": [direction(t)[0].astype(np.float32).tobytes() for t in batch.column(1).to_pylist()]}
+            return {"key": batch.column(0), "v": [np.rint(direction(t)[0] * UNIT).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]}
 
         return work
 
-    got = map_rows(few, _VECTOR, make).orderBy("key").limit(rows).toPandas().drop_duplicates("key")
-    x = np.array([np.frombuffer(v, np.float32) for v in got["v"]], float).reshape(-1, DIMENSIONS)
-    x = x[(x != 0).any(axis=1)]
+    vectors = stored(docs.sparkSession, map_rows(all_rows, _VECTOR, make).where(F.col("v") != F.lit(bytes(4 * DIMENSIONS))), "vectors")
+    few, part = vectors, min(1.0, 2 * rows / max(1, vectors.count()))  # thinned by the hash first, so that little is sorted
+    if part < 1:
+        few = few.where(F.pmod("key", F.lit(1 << 20)) < int(part * (1 << 20)))
+    got = few.orderBy("key").limit(rows).toPandas().drop_duplicates("key")
+    x = np.array([np.frombuffer(v, np.int32) for v in got["v"]], float).reshape(-1, DIMENSIONS) / UNIT
     rng = np.random.default_rng(SEED)
     if not len(x):
         return np.zeros((0, DIMENSIONS))
@@ -104,17 +104,31 @@ def fit_topics(docs: DataFrame, topics: int = TOPICS, rows: int = FIT_ROWS) -> n
             break
         centre = np.vstack([centre, x[rng.choice(len(x), p=far / far.sum())]])
     for _ in range(FIT_ROUNDS):
-        own = (x @ centre.T).argmax(axis=1)
-        sums = np.array([x[own == k].sum(axis=0) if (own == k).any() else centre[k] for k in range(len(centre))])
-        centre = sums / np.linalg.norm(sums, axis=1, keepdims=True)
-    while len(centre) > 1:  # the rows of a topic too small go to the nearest others
-        size = np.bincount((x @ centre.T).argmax(axis=1), minlength=len(centre)) / len(x)
-        if size.min() >= LEAST_TOPIC:
+        sums = _sums(vectors, centre)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        new = np.where(size > 0, sums / np.where(size > 0, size, 1), centre)
+        if np.array_equal(new, centre):
             break
-        centre = np.delete(centre, int(size.argmin()), axis=0)
+        centre = new
     return centre
 
 
+def _sums(vectors: DataFrame, centre: np.ndarray) -> np.ndarray:
+    """For each direction the sum of all vectors nearest to it; sums of integers, so in any order."""
+
+    def run(batches):
+        sums = np.zeros(centre.shape, np.int64)
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32).reshape(-1, DIMENSIONS)
+            own = (x @ centre.T).argmax(axis=1)
+            for k in np.unique(own):
+                sums[k] += x[own == k].sum(axis=0, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+
+    got = vectors.select("v").mapInArrow(run, "sums binary")
+    return sum((np.frombuffer(r["sums"], np.int64).reshape(centre.shape) for r in got.toLocalIterator()), np.zeros(centre.shape, np.int64))
+
+
 _TOLD = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("source", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("topic", T.IntegerType()), T.StructField("tokens", T.LongType())])
 
 

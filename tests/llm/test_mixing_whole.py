@@ -24,3 +24,16 @@ def test_targets_over_twice_the_share_are_met():
 def test_a_given_target_that_is_missed_is_an_error():
     with pytest.raises(ValueError):
         mixing.probabilities([("a", "en", 0, 90), ("b", "es", 0, 10)], {"source": {"a": 0.5}, "lang": {"en": 0.9}})
+
+
+def test_topics_are_fitted_on_all_documents(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(words[10 * (i % 6) : 10 * (i % 6) + 20], 15))) for i in range(400)]
+    centre = mixing.fit_topics(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), topics=4, rows=20)
+    x = np.array([mixing.direction(t)[0] for _, t in rows])
+    for _ in range(12):
+        own = (x @ centre.T).argmax(axis=1)
+        want = np.array([x[own == k].sum(axis=0) for k in range(len(centre))])
+        want /= np.linalg.norm(want, axis=1, keepdims=True)
+    assert len(centre) == 4 and np.abs(want - centre).max() < 0.02
