@@ -6,7 +6,8 @@ of the listed keys that pass level 2, and so on until a level lets nothing wrong
 is listed if the first level that it fails is an even one.  The universe is every host suffix
 of the whole table, so membership is exact on the table without a join.  The levels are
 literals in one Spark expression.  Their size follows the list, a parameter with a bound that
-is checked, and the false positives of it; never the universe.
+is checked.  Level 1 has the more bits a key the larger the universe is, so that about half as
+many keys as are listed pass it wrongly, at any number of hosts; its bits grow with the fourth root of that number.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and
 is allowed; repeated urls get equal verdicts; an empty table gives an empty result; other
@@ -15,6 +16,7 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,9 +70,8 @@ class Level:
 
 
 def _places(key: Column, level: int, bits: int) -> list[Column]:
-    """Bit places by double hashing; each level has its own seed."""
-    one, two = (F.pmod(F.xxhash64(F.lit(2 * level + i), key), F.lit(bits)) for i in range(2))
-    return [F.pmod(one + F.lit(i) * two, F.lit(bits)) for i in range(HASHES)]
+    """Bit places by hashes of their own, so that no two keys share all places by few collisions; each level has its own seeds."""
+    return [F.pmod(F.xxhash64(F.lit(HASHES * level + i), key), F.lit(bits)) for i in range(HASHES)]
 
 
 def _passes(key: Column, level: int, made: Level) -> Column:
@@ -82,9 +83,15 @@ def _passes(key: Column, level: int, made: Level) -> Column:
     return ok
 
 
-def _level(keys: DataFrame, level: int, n: int) -> Level:
+def _bits_per_key(listed: int, others: int) -> float:
+    """Bits with which about half as many of the other keys as are listed pass, ``BITS_PER_KEY`` at least."""
+    part = min(0.5, listed / (2 * max(1, others)))
+    return max(BITS_PER_KEY, -HASHES / math.log1p(-(part ** (1 / HASHES))))
+
+
+def _level(keys: DataFrame, level: int, n: int, each: float = BITS_PER_KEY) -> Level:
     """A Bloom filter of the keys: set bits gathered by word; as many rows as the filter has words."""
-    bits = max(64, -(-n * BITS_PER_KEY // 64) * 64)
+    bits = max(64, math.ceil(n * each / 64) * 64)
     at = keys.select(F.explode(F.array(*_places(F.col("key"), level, bits))).alias("at")).distinct()
     rows = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).collect()
     words = {r["word"]: r["bits"] for r in rows}
@@ -104,6 +111,7 @@ def build(spark: SparkSession, universe: DataFrame, listed, most_listed: int = M
         raise ValueError(f"{len(listed)} listed keys; levels are literals and hold up to {most_listed}")
     mine = spark.createDataFrame([(k,) for k in listed], "key string")
     others = universe.where(F.col("key").isNotNull() & ~F.col("key").isin(listed)).distinct()
+    each = _bits_per_key(len(listed), others.agg(F.approx_count_distinct("key")).first()[0])
     levels: list[Level] = []
     for i in range(MOST_LEVELS):
         side, n = (mine, len(listed)) if i % 2 == 0 else (others, 0)
@@ -112,9 +120,7 @@ def build(spark: SparkSession, universe: DataFrame, listed, most_listed: int = M
         n = n if i == 0 else side.count()
         if not n:
             return levels
-        if n > most_listed:
-            raise ValueError(f"level {i + 1} would hold {n} keys; lower the error rate of the first")
-        levels.append(_level(side, i, n))
+        levels.append(_level(side, i, n, each if i == 0 else BITS_PER_KEY))
     raise ValueError("the cascade does not end; give it more bits a key")
 
 
