@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -61,7 +62,20 @@ def stored(spark: SparkSession, df: DataFrame, name: str, small: bool = False) -
         df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _STORED[table] = path
+    return table
+
+
+#: Where stored tables are, for ``discard``.
+_STORED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes stored tables that no later step reads; all that was made of them is stored itself."""
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop(table))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -3,23 +3,26 @@
 1. One pass over the texts makes each document's set of shingle hashes, its digest and its
    signature of ``COORDINATES`` MinHash values.  Documents with equal sets are one class.
 2. A class is posted under coordinate-value pairs.  Two classes that collide in ``MATCHES`` pairs
-   share ``SHARED`` of the first ``COORDINATES - MATCHES + SHARED`` of each, in any fixed order of pairs, so
-   only those are posted (prefix), rarest first by a sketch of the pairs' counts; the frequent
-   rest is skipped.  Posting lists of one class are dropped.
-3. Candidates of a list are first its members with its head: a star, not all pairs.  Collisions
-   are counted on the signatures, and pairs above the match threshold are confirmed on the full
-   sets, whose texts are read again for the classes concerned only.
-4. Linked classes contract to components.  Only lists whose members are in several components
-   are left.  While random stars over those still shrink what is left, they go on; then the
-   remaining pairs between components are joined, so that no list is cut or skipped.
-5. Components grow by hooking to the smallest neighbour and pointer jumping, in tables.
+   share one of the first ``COORDINATES - MATCHES + 1`` of each, in any fixed order of pairs, so only
+   those are posted (prefix), rarest first by a sketch of the pairs' counts; the frequent rest is
+   skipped.  Posting lists of one class are dropped.
+3. The member of a list whose lists are longest is its head, and all members of lists with one head
+   are its group.  A group holds its members once, with their signatures and full sets.
+4. Members are compared with their group's head: collisions are counted, and pairs above the match
+   threshold are confirmed on the full sets.  Linked classes contract to components.
+5. Where a group still has several components, its members outside the largest one are compared
+   with all others in blocks, but for pairs linked already.  Only links between components become
+   rows, so their number grows with members, not with pairs.
+6. Components grow by hooking to the smallest neighbour and pointer jumping, in tables.
 
 A pair at exactly the threshold is missed with the chance that a binomial of ``COORDINATES`` and
 the threshold falls short of ``MATCHES`` (5e-5 at 96, 0.8 and 62); a nearer one far less often.
 
 Defined results: null text is the empty text; documents without words are alone; documents of
-fewer words than a shingle have their whole sequence as one; repeated rows and equal sets are
-one class, of which the smallest id is kept; an empty table gives an empty result; other columns
+fewer words than a shingle have their whole sequence as one, texts of any length all of theirs;
+repeated rows and equal sets are one class, of which the smallest id is kept; of different texts
+under one id the one with the smallest set (ties by digest) stands for its links; a row without an id is
+linked with nothing, has no component and is kept; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosswind.llm._shared import map_rows, only_table, stored
+from crosswind.llm._shared import discard, map_rows, only_table, stored
 
 COORDINATES = 96
 MATCHES = 62
@@ -44,18 +47,9 @@ SEED = 977
 COUNTERS = 1 << 22
 FILTER_BITS = 1 << 25
 WORD_ENTRIES = 200_000
-#: Random star rounds at most, and the part that a round must take of the pairs left to be repeated.
-STAR_ROUNDS = 4
-#: With so few pairs left for each class all of them are compared; members of a block of a list then.
-PAIRS_PER_CLASS = 20
+#: Members, and bytes of their sets, in one side of a block of a group.
 BLOCK = 1024
-#: Two classes that collide enough share at least so many posted pairs; those that meet only in
-#: lists of up to FEW members are counted there first.
-SHARED = 4
-FEW = 4
-#: Of its long lists, a pair is told by those of its first coordinates.
-FIRST = 3
-SHRINKS = 0.6
+BLOCK_BYTES = 16 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -92,6 +86,10 @@ def shingle_set(text: str, k: int) -> np.ndarray:
     return np.unique(out)
 
 
+def _digest(hashes: np.ndarray) -> tuple[int, int]:
+    return tuple(int(x) for x in np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), np.int64))
+
+
 def _factors(coordinates: int) -> np.ndarray:
     return np.random.default_rng(SEED).integers(1, 1 << 63, (coordinates, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -120,10 +118,10 @@ def signatures(docs: DataFrame, k: int, coordinates: int = COORDINATES) -> DataF
             out: dict[str, list] = {"n": [], "hi": [], "lo": [], "sig": []}
             for text in batch.column(1).to_pylist():
                 hashes = shingle_set(text, k)
-                digest = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), np.int64)
+                hi, lo = _digest(hashes)
                 out["n"].append(len(hashes))
-                out["hi"].append(int(digest[0]))
-                out["lo"].append(int(digest[1]))
+                out["hi"].append(hi)
+                out["lo"].append(lo)
                 out["sig"].append(signature(hashes, factors).tobytes() if len(hashes) else None)
             return {"doc_id": batch.column(0)} | out
 
@@ -145,7 +143,7 @@ def _rows_of(column: pa.Array, coordinates: int) -> np.ndarray:
 
 
 _COUNTED = T.StructType([T.StructField("cell", T.LongType()), T.StructField("n", T.LongType())])
-_POSTED = T.StructType([T.StructField("token", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("n", T.LongType()), T.StructField("at", T.IntegerType())])
+_POSTED = T.StructType([T.StructField("token", T.LongType()), T.StructField("cls", T.LongType())])
 
 
 def _sketch(classes: DataFrame, coordinates: int) -> np.ndarray:
@@ -168,195 +166,212 @@ def _sketch(classes: DataFrame, coordinates: int) -> np.ndarray:
 
 
 def _postings(spark: SparkSession, classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """(token, cls, n, at): each class under the first of its pairs by (count, name); at: the pair's coordinate."""
-    sketch, prefix = spark.sparkContext.broadcast(_sketch(classes, coordinates)), coordinates - matches + SHARED
+    """(token, cls): each class under the first of its pairs by (count, name)."""
+    sketch, prefix = spark.sparkContext.broadcast(_sketch(classes, coordinates)), coordinates - matches + 1
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            names = _pairs_of(_rows_of(batch.column(2), coordinates))
+            names = _pairs_of(_rows_of(batch.column(1), coordinates))
             order = (sketch.value[(names >> np.uint64(42)).astype(np.int64)] << np.uint64(44)) | (names & np.uint64((1 << 44) - 1))
             first = np.argpartition(order, prefix - 1, axis=1)[:, :prefix]
-            picked = np.take_along_axis(names, first, axis=1).view(np.int64).ravel()
-            rep = lambda c: np.repeat(batch.column(c).to_numpy(), prefix)
-            return {"token": picked, "cls": rep(0), "n": rep(1), "at": first.astype(np.int32).ravel()}
+            return {"token": np.take_along_axis(names, first, axis=1).view(np.int64).ravel(), "cls": np.repeat(batch.column(0).to_numpy(), prefix)}
 
         return work
 
-    return map_rows(classes.select("cls", "n", "sig"), _POSTED, make)
+    return map_rows(classes.select("cls", "sig"), _POSTED, make)
+
 
+def _groups(spark: SparkSession, posts: DataFrame) -> DataFrame:
+    """(head, cls), each once: every member of a list with the list's head, and the head with itself.
+
+    Two classes of one list are both in its head's group.  The many lists of a group of like
+    texts have few heads, so that a group stands for all of them.
+    """
+    shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    lists = stored(spark, posts.join(shared, "token"), "lists")
+    # a text that others are edits of shares all its pairs with them; an edit has some of its own
+    weight = lists.groupBy("cls").agg(F.sum("m").alias("w"))
+    heads = lists.join(weight, "cls").groupBy("token").agg(F.max_by("cls", F.struct("w", "cls")).alias("head"))
+    groups = stored(spark, lists.join(heads, "token").select("head", "cls").distinct(), "groups")
+    discard(spark, lists)
+    return groups
 
-def _near_sizes(percent: int):
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
+_SET = T.StructType([T.StructField("cls", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("hashes", T.BinaryType())])
+_LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
-_BYTES = T.StructType([T.StructField("cls", T.LongType()), T.StructField("low", T.BinaryType())])
-_COUNT = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("hits", T.IntegerType())])
 
+def _sets(spark: SparkSession, docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(cls, hi, lo, hashes): the full sets, with their digests, of the documents ``ids`` (cls).
 
-def _lows(classes: DataFrame, coordinates: int) -> DataFrame:
-    """The lowest byte of each value: true collisions stay collisions."""
+    The texts are read again; a filter of fixed size drops nearly all other ids before their sets
+    are made, and a join drops the rest.
+    """
+    place = F.pmod(F.xxhash64("cls"), F.lit(FILTER_BITS))
+    words = ids.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    sent = spark.sparkContext.broadcast(bits)
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            low = _rows_of(batch.column(1), coordinates).astype(np.uint8)
-            return {"cls": batch.column(0), "low": [r.tobytes() for r in low]}
+            at = batch.column(2).to_numpy()
+            pick = np.flatnonzero((sent.value[at >> 6] >> (at & 63)) & 1)
+            sets = [shingle_set(t, k) for t in batch.column(1).take(pa.array(pick)).to_pylist()]
+            digests = [_digest(x) for x in sets]
+            return {"cls": batch.column(0).to_numpy()[pick], "hi": [d[0] for d in digests], "lo": [d[1] for d in digests], "hashes": [x.tobytes() for x in sets]}
 
         return work
 
-    return map_rows(classes.select("cls", "sig"), _BYTES, make)
+    return map_rows(docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at")), _SET, make)
 
 
-def _colliding(pairs: DataFrame, lows: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """Of the pairs (a, b), those with enough collisions, with their number."""
+def _members(spark: SparkSession, groups: DataFrame, classes: DataFrame, docs: DataFrame, k: int, coordinates: int) -> DataFrame:
+    """(head, cls, n, low, hashes): the groups with each member's low bytes and full set."""
+    ids = groups.select("cls").distinct()
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, coordinates) for i in (2, 3))
-            hits = (x == y).sum(axis=1)
-            good = hits >= matches
-            return {"a": batch.column(0).to_numpy()[good], "b": batch.column(1).to_numpy()[good], "hits": hits[good].astype(np.int32)}
+            low = _rows_of(batch.column(4), coordinates).astype(np.uint8)
+            return {"cls": batch.column(0), "n": batch.column(1), "hi": batch.column(2), "lo": batch.column(3), "low": [r.tobytes() for r in low]}
 
         return work
 
-    both = pairs.select("a", "b").join(lows.select(F.col("cls").alias("a"), F.col("low").alias("x")), "a").join(lows.select(F.col("cls").alias("b"), F.col("low").alias("y")), "b")
-    return map_rows(both.select("a", "b", "x", "y"), _COUNT, make)
+    lows = map_rows(classes.join(ids, "cls", "left_semi").select("cls", "n", "hi", "lo", "sig"), _BYTES, make)
+    full = lows.join(_sets(spark, docs, ids, k), ["cls", "hi", "lo"])
+    full = full.groupBy("cls").agg(F.min_by(F.struct("n", "low", "hashes"), F.struct("n", "hi", "lo")).alias("x")).select("cls", "x.*")
+    return stored(spark, groups.join(full, "cls").select("head", "cls", "n", "low", "hashes"), "members")
 
 
-def _hits_of(cls: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray, low: np.ndarray, posted: np.ndarray, at: int, cross: bool, percent: int, matches: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one block of a list, or across two, of different components, near sizes and enough collisions.
+_BYTES = T.StructType([T.StructField(c, T.LongType()) for c in ("cls", "n", "hi", "lo")] + [T.StructField("low", T.BinaryType())])
 
-    A pair meets in many long lists, and is told by those of its first coordinates: it is left
-    out where ``FIRST`` lower ones, posted by both in long lists, have equal low bytes.  Such a byte
-    is equal by chance in 1 of 256, so for all of them to be no common lists is out of question.
-    """
-    left = np.flatnonzero(side == side.min()) if cross else np.arange(len(cls))
-    right = np.flatnonzero(side != side.min()) if cross else left
-    found_a, found_b = [], []
-    for start in range(0, len(left), 64):
-        i = left[start : start + 64]
-        ok = (root[i][:, None] != root[right]) & (100 * np.minimum(n[i][:, None], n[right]) >= percent * np.maximum(n[i][:, None], n[right]))
-        if not cross:
-            ok &= cls[i][:, None] < cls[right]
-        x, y = np.nonzero(ok)
-        for part in range(0, len(x), 100_000):
-            px, py = i[x[part : part + 100_000]], right[y[part : part + 100_000]]
-            same = low[px] == low[py]
-            good = (same.sum(axis=1) >= matches) & ((same[:, :at] & posted[px, :at] & posted[py, :at]).sum(axis=1) < FIRST)
-            found_a.append(np.minimum(cls[px[good]], cls[py[good]]))
-            found_b.append(np.maximum(cls[px[good]], cls[py[good]]))
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
-
-
-def _all_colliding(spark: SparkSession, open_lists: DataFrame, lows: DataFrame, settings: Settings, coordinates: int, matches: int) -> DataFrame:
-    """Pairs between components in the open lists that collide enough, each once.
-
-    Pairs of short lists are rows, counted by how many lists they share: classes that meet only
-    there must meet in ``SHARED``.  A longer list is dealt in blocks of about ``BLOCK`` members and
-    the pairs of its blocks, so that no task holds a whole long list; its pairs are compared in
-    place and only what collides is a row.
+
+def _near(n: int, others: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * common >= percent * (n + others - common)
+
+
+class _Side:
+    """Members on one side of a comparison."""
+
+    def __init__(self, table: pa.Table, coordinates: int):
+        self.cls, self.n, self.root = (table.column(c).to_numpy().copy() for c in ("cls", "n", "root"))
+        self.low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(-1, coordinates)
+        self.flat = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)
+        self.starts = np.concatenate([[0], np.cumsum(self.n)]).astype(np.int64)
+
+
+def links_between(left: _Side, right: _Side, percent: int, matches: int) -> list[tuple[int, int]]:
+    """Links between two sides that join components, in the order found.
+
+    Pairs joined already, of too unlike sizes or of too few collisions aren't compared; what is
+    left is confirmed on the full sets.
     """
-    sizes = open_lists.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
-    sized = stored(spark, open_lists.join(sizes, "token").select("token", "cls", "n", "root", "m", "at"), "sized")
-    short = sized.where(F.col("m") <= FEW)
-    x = short.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = short.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    met = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _near_sizes(settings.percent))
-    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists")).where(F.col("lists") >= SHARED)
-    counted = _colliding(met, lows, coordinates, matches).select("a", "b")
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    long = sized.where(F.col("m") > FEW)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at") % 32)
-    masks = long.groupBy("cls").agg(*[F.bit_or(F.when(F.floor(F.col("at") / 32) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"mask{i}") for i in range(-(-coordinates // 32))])
-    masked = lows.join(masks, "cls")
-    names = [f"mask{i}" for i in range(-(-coordinates // 32))]
-    dealt = long.select("token", "cls", "n", "root", "at", parts.alias("parts"), F.pmod(F.xxhash64("cls"), parts).cast("int").alias("side"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).join(masked, "cls")
-    dealt = dealt.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "cls", "n", "root", "at", "low", *names)
-    dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "cls")
-    percent = settings.percent
+    links, ids, mark = [], None, None
+    for y in range(len(left.cls)):
+        n = int(left.n[y])
+        met = np.flatnonzero((right.root != left.root[y]) & (right.cls != left.cls[y]) & (100 * np.minimum(n, right.n) >= percent * np.maximum(n, right.n)))
+        met = met[(right.low[met] == left.low[y]).sum(axis=1) >= matches]
+        if not len(met):
+            continue
+        if ids is None:  # places of all hashes among those of both sides
+            names, ids = np.unique(np.concatenate([right.flat, left.flat]), return_inverse=True)
+            mark = np.zeros(len(names), np.int32)
+        own = ids[len(right.flat) + left.starts[y] : len(right.flat) + left.starts[y + 1]]
+        mark[own] = 1
+        if 4 * len(met) > len(right.cls):
+            common = np.add.reduceat(mark[ids[: len(right.flat)]], right.starts[:-1])[met]
+        else:
+            common = np.array([mark[ids[right.starts[x] : right.starts[x + 1]]].sum() for x in met])
+        mark[own] = 0
+        for x in met[_near(n, right.n[met], common, percent)]:
+            if right.root[x] != left.root[y]:
+                links.append((int(left.cls[y]), int(right.cls[x])))
+                old = right.root[x]
+                right.root[right.root == old] = left.root[y]
+                left.root[left.root == old] = left.root[y]
+    return links
+
+
+def _by_group(dealt: DataFrame, keys: int, found) -> DataFrame:
+    """``found`` of each run of rows equal in the first ``keys`` columns, by which ``dealt`` is sorted in its partitions."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
-        def found(table: pa.Table) -> pa.RecordBatch:
-            token, i, j, side, cls, n, root, at = (table.column(c).to_numpy() for c in range(8))
-            low = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint8).reshape(-1, coordinates)
-            posted = np.concatenate([(table.column(9 + m).to_numpy()[:, None] >> np.arange(32)) & 1 for m in range(len(names))], axis=1)[:, :coordinates].astype(bool)
-            change = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            a, b = [], []
-            for s, e in zip(np.concatenate([[0], change]), np.concatenate([change, [len(token)]])):
-                if e - s > 1 and (i[s] == j[s] or len(np.unique(side[s:e])) > 1):
-                    x, y = _hits_of(cls[s:e], n[s:e], root[s:e], side[s:e], low[s:e], posted[s:e], int(at[s]), i[s] != j[s], percent, matches)
-                    a.append(x)
-                    b.append(y)
-            none = np.zeros(0, np.int64)
-            ab = np.unique(np.stack([np.concatenate([none, *a]), np.concatenate([none, *b])]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
+        def out(table: pa.Table) -> pa.RecordBatch:
+            at = [table.column(c).to_numpy() for c in range(keys)]
+            change = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in at])) + 1
+            ab = [p for s, e in zip([0, *change], [*change, table.num_rows]) for p in found(table.slice(s, e - s))]
+            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in ab], pa.int64()), pa.array([max(p) for p in ab], pa.int64())], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            # the last group may go on in the next batch
-            keys = [batch.column(c).to_numpy() for c in range(3)]
-            same = (keys[0] == keys[0][-1]) & (keys[1] == keys[1][-1]) & (keys[2] == keys[2][-1])
-            start = int(np.argmax(same))
-            if start:
-                yield found(pa.Table.from_batches([*held, batch.slice(0, start)]))
-                held = [batch.slice(start)]
-            else:
-                held.append(batch)
+            # the last group may go on in the next batch, and the first may have begun in the one before
+            at = [batch.column(c).to_numpy() for c in range(keys)]
+            start = int(np.argmax(np.logical_and.reduce([k == k[-1] for k in at])))
+            if held and (start or any(k[0] != held[0].column(c)[0].as_py() for c, k in enumerate(at))):
+                yield out(pa.Table.from_batches([*held, batch.slice(0, start)]))
+                held = []
+            elif start:
+                yield out(pa.Table.from_batches([batch.slice(0, start)]))
+            held.append(batch.slice(start))
         if held:
-            yield found(pa.Table.from_batches(held))
+            yield out(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, _LINK).unionByName(counted).distinct()
+    return dealt.mapInArrow(run, _LINK)
 
 
-_SET = T.StructType([T.StructField("cls", T.LongType()), T.StructField("hashes", T.BinaryType())])
-_LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+def _parts(rows, size) -> F.Column:
+    return F.ceil(F.greatest(rows / F.lit(BLOCK), size / F.lit(BLOCK_BYTES))).cast("int")
 
 
-def _confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
-    """Of the pairs (a, b) of ids, those whose full sets are near enough.
+def _stars(members: DataFrame, settings: Settings, coordinates: int, matches: int) -> DataFrame:
+    """Links of each group's members with its head; a large group is dealt to several tasks, each with the head."""
+    sizes = members.groupBy("head").agg(_parts(F.count(F.lit(1)), F.sum("n") * 8).alias("parts"))
+    sized = members.join(sizes, "head")
+    every, one = F.sequence(F.lit(0), F.col("parts") - 1), F.array(F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    dealt = sized.withColumn("i", F.explode(F.when(F.col("cls") == F.col("head"), every).otherwise(one)))
+    dealt = dealt.select("head", "i", "cls", "n", F.col("cls").alias("root"), "low", "hashes").repartition("head", "i").sortWithinPartitions("head", "i", F.col("cls") != F.col("head"), "cls")
+    percent = settings.percent
 
-    The texts are read again; a filter of fixed size drops nearly all ids that are in no pair
-    before their sets are made, and the join drops the rest.
-    """
-    place = F.pmod(F.xxhash64("cls"), F.lit(FILTER_BITS))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    words = ids.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits")).toPandas()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    sent, k = spark.sparkContext.broadcast(bits), settings.words
+    def found(table: pa.Table) -> list:
+        if table.num_rows < 2:
+            return []
+        left, right = _Side(table.slice(0, 1), coordinates), _Side(table.slice(1), coordinates)
+        return links_between(left, right, percent, matches) if table.column("head")[0].as_py() == left.cls[0] else []
 
-    def make():
-        def work(batch: pa.RecordBatch) -> dict:
-            at = batch.column(2).to_numpy()
-            pick = np.flatnonzero((sent.value[at >> 6] >> (at & 63)) & 1)
-            texts = batch.column(1).take(pa.array(pick)).to_pylist()
-            return {"cls": batch.column(0).to_numpy()[pick], "hashes": [shingle_set(t, k).tobytes() for t in texts]}
+    return _by_group(dealt, 2, found)
 
-        return work
 
-    sets = map_rows(docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at")), _SET, make)
-    sets = stored(spark, sets, "sets")
+def _across(spark: SparkSession, members: DataFrame, roots: DataFrame, settings: Settings, coordinates: int, matches: int) -> DataFrame:
+    """Links between components inside groups.
 
-    def check():
-        def work(batch: pa.RecordBatch) -> dict:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(100 * common >= settings.percent * (len(x) + len(y) - common))
-            keep = np.flatnonzero(good)
-            return {"a": batch.column(0).to_numpy()[keep], "b": batch.column(1).to_numpy()[keep]}
+    Of two members of different components at least one is outside the group's largest one; those
+    are the left side.  Blocks of the left side meet blocks of the whole group, so that no task
+    holds more than two blocks.
+    """
+    at = members.select("head", "cls", "n").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    at = stored(spark, at, "rooted", small=True)
+    by = at.groupBy("head", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    by = by.groupBy("head").agg(F.max(F.struct("m", "root", "s")).alias("most"), F.sum("m").alias("m"), F.sum("s").alias("s")).where(F.col("m") > F.col("most.m"))
+    by = by.select("head", F.col("most.root").alias("most"), _parts(F.col("m"), F.col("s") * 8).alias("right"), _parts(F.col("m") - F.col("most.m"), (F.col("s") - F.col("most.s")) * 8).alias("left"))
+    open_ = at.join(by, "head").select("head", "cls", "root", "most", "right", "left")
+    side = lambda parts, seed: F.pmod(F.xxhash64(F.lit(seed), "cls"), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    lefts = open_.where(F.col("root") != F.col("most")).select("head", side("left", 1).alias("i"), every("right").alias("j"), F.lit(0).alias("side"), "cls", "root")
+    rights = open_.select("head", every("left").alias("i"), side("right", 2).alias("j"), F.lit(1).alias("side"), "cls", "root")
+    dealt = lefts.unionByName(rights).join(members, ["head", "cls"]).select("head", "i", "j", "side", "cls", "n", "root", "low", "hashes")
+    dealt = dealt.repartition("head", "i", "j").sortWithinPartitions("head", "i", "j", "side", "cls")
+    percent = settings.percent
 
-        return work
+    def found(table: pa.Table) -> list:
+        many = int((table.column("side").to_numpy() == 0).sum())
+        if not many or many == table.num_rows:
+            return []
+        return links_between(_Side(table.slice(0, many), coordinates), _Side(table.slice(many), coordinates), percent, matches)
 
-    both = pairs.select("a", "b").join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("y")), "b")
-    return map_rows(both.select("a", "b", "x", "y"), _LINK, check).distinct()
+    return _by_group(dealt, 3, found)
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -391,66 +406,33 @@ def find(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(),
     """doc_id, n_shingles, component_id, kept of every document; see the module."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sets = stored(spark, signatures(docs, settings.words, coordinates), "signatures")
-    classes = stored(spark, sets.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("cls"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-
+    classes = sets.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("cls"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = stored(spark, classes, "classes")
     posts = stored(spark, _postings(spark, classes, coordinates, matches), "postings")
-    shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("token", "m")
-    lists = stored(spark, posts.join(shared, "token"), "shared")
-    # a text that others are edits of shares all its pairs with them; an edit has some of its own
-    weight = lists.groupBy("cls").agg(F.sum("m").alias("w"))
-    lists = stored(spark, lists.join(weight, "cls").select("token", "cls", "n", "w", "at"), "lists")
-    lows = stored(spark, _lows(classes.join(weight.select("cls"), "cls", "left_semi"), coordinates), "lows")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        return stored(spark, _confirmed(spark, docs, stored(spark, pairs, "candidates", small=True), settings), "confirmed", small=True)
-
-    def star(pairs: DataFrame) -> DataFrame:
-        near = pairs.where("a <> b").where(_near_sizes(settings.percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return _colliding(near, lows, coordinates, matches)
-
-    # of the first stars it is enough to confirm each member's best pair
-    heads = lists.groupBy("token").agg(F.max(F.struct("w", "cls", "n")).alias("head"))
-    first = star(lists.join(heads, "token").select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("head.cls").alias("b"), F.col("head.n").alias("nb")))
-    both = first.select("a", "b", "hits").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b"), "hits"))
-    best = both.groupBy("b").agg(F.max(F.struct("hits", "a")).alias("best")).select(F.least("best.a", "b").alias("a"), F.greatest("best.a", "b").alias("b")).distinct()
-    links = linked(best)
+    groups = _groups(spark, posts)
+    discard(spark, posts)
+    members = _members(spark, groups, classes, docs, settings.words, coordinates)
+    discard(spark, groups)
+    links = stored(spark, _stars(members, settings, coordinates, matches), "stars", small=True)
     roots = components(spark, links)
-    before, many = None, classes.count()
-    for round_no in range(1, STAR_ROUNDS + 1):
-        open_lists, pairs_left = _open_lists(spark, lists, roots)
-        if not pairs_left:
-            break
-        last = round_no == STAR_ROUNDS or pairs_left <= PAIRS_PER_CLASS * many or before is not None and pairs_left > SHRINKS * before
-        if last:
-            pairs = _all_colliding(spark, open_lists, lows, settings, coordinates, matches)
-        else:  # each member with the member of another component that leads its list
-            lead = F.struct("w", "cls", "n") if round_no == 1 else F.struct(F.xxhash64(F.lit(round_no), "cls").alias("w"), "cls", "n")
-            two = open_lists.groupBy("token", "root").agg(F.max(lead).alias("one")).groupBy("token").agg(F.min(F.struct("one", "root")).alias("p"), F.max(F.struct("one", "root")).alias("q"))
-            other = F.when(F.col("q.root") != F.col("root"), F.col("q.one")).otherwise(F.col("p.one"))
-            pairs = star(open_lists.join(two, "token").select(F.col("cls").alias("a"), F.col("n").alias("na"), other.alias("o")).select("a", "na", F.col("o.cls").alias("b"), F.col("o.n").alias("nb"))).select("a", "b")
-        more = linked(pairs)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = components(spark, links)
-        if last:
-            break
-        before = pairs_left
-    ids = sets.join(classes.select("hi", "lo", "cls"), ["hi", "lo"], "left").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("root", "cls")).otherwise(F.col("doc_id"))
-    return ids.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
-
-
-def _open_lists(spark: SparkSession, lists: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
-    """Members of lists with several components, with their root, and the number of pairs between those."""
-    at = lists.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    several = at.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-    open_lists = stored(spark, at.join(several, "token", "left_semi"), "open")
-    by = open_lists.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
-    left = by.agg(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2)).first()[0]
-    return open_lists, int(left or 0)
+    more = stored(spark, _across(spark, members, roots, settings, coordinates, matches), "across", small=True)
+    discard(spark, members)
+    if not more.isEmpty():
+        roots = components(spark, links.unionByName(more))
+    rooted = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("hi", "lo", F.coalesce("root", "cls").alias("root"))
+    ids = sets.select("doc_id", "n", "hi", "lo").join(rooted, ["hi", "lo"], "left")
+    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(F.col("doc_id"))
+    return ids.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The kept document of each group, once, with the input's columns."""
-    gone = find(spark, docs, settings).where("not kept").select("doc_id")
-    return docs.join(stored(spark, gone, "gone"), "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
+    """The kept document of each group, with the input's columns.
+
+    Of several rows with one id the one with the smallest hash of its text (ties by the text) stays; rows without
+    an id all stay.
+    """
+    gone = stored(spark, find(spark, docs, settings).where("not kept").select("doc_id"), "gone")
+    named = docs.where(F.col("doc_id").isNotNull())
+    left = named.join(gone, named["doc_id"] == gone["doc_id"], "left_anti")
+    one = left.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.xxhash64("text"), "text")).alias("row"))
+    return one.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))

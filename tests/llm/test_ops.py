@@ -125,10 +125,9 @@ def brute_components(texts: dict, k: int, percent: int) -> dict:
     return {i: find(i) for i in texts}
 
 
-@pytest.mark.parametrize("limit", [200, 0])
-def test_near_duplicates(spark, docs, none, limit, monkeypatch):
-    monkeypatch.setattr(near_dup, "PAIRS_PER_CLASS", limit)
-    monkeypatch.setattr(near_dup, "BLOCK", 4)
+@pytest.mark.parametrize("block", [4, 1024])
+def test_near_duplicates(spark, docs, none, block, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     texts = dict(enumerate(TEXTS))
     rng = random.Random(3)
     for i in range(100, 160):  # copies of a text with edits, near each other through the text or in chains
