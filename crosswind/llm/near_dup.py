@@ -1,7 +1,8 @@
 """Near-duplicate detection: an inverted join over MinHash signature coordinates.
 
 1. One pass over the texts makes each document's set of shingle hashes, its digest and its
-   signature of ``COORDINATES`` MinHash values.  Documents with equal sets are one class.
+   signature: a coordinate is the hash of ``WIDTH`` MinHash values, so that texts that only share
+   common words collide in next to none.  Documents with equal sets are one class.
 2. A class is posted under coordinate-value pairs.  Two classes that collide in ``MATCHES`` pairs
    share one of the first ``COORDINATES - MATCHES + 1`` of each, in any fixed order of pairs, so only
    those are posted (prefix), rarest first by a sketch of the pairs' counts; the frequent rest is
@@ -15,8 +16,8 @@
    rows, so their number grows with members, not with pairs.
 6. Components grow by hooking to the smallest neighbour and pointer jumping, in tables.
 
-A pair at exactly the threshold is missed with the chance that a binomial of ``COORDINATES`` and
-the threshold falls short of ``MATCHES`` (5e-5 at 96, 0.8 and 62); a nearer one far less often.
+A pair at exactly the threshold of 0.8 collides in a coordinate with chance 0.41, and in less than ``MATCHES`` of
+32 with chance 1.2e-5; a nearer one far less often.
 
 Defined results: null text is the empty text; documents without words are alone; documents of
 fewer words than a shingle have their whole sequence as one, texts of any length all of theirs;
@@ -39,8 +40,10 @@ from pyspark.sql import types as T
 
 from crosswind.llm._shared import discard, map_rows, only_table, stored
 
-COORDINATES = 96
-MATCHES = 62
+#: Coordinates of a signature, MinHash values in each, and collisions from which a pair is a candidate.
+COORDINATES = 32
+WIDTH = 4
+MATCHES = 3
 SEED = 977
 #: Counters of the sketch that orders coordinate-value pairs, and bits of the filter for reading texts
 #: again; both of fixed size, and neither decides a result.
@@ -91,15 +94,19 @@ def _digest(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def _factors(coordinates: int) -> np.ndarray:
-    return np.random.default_rng(SEED).integers(1, 1 << 63, (coordinates, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.random.default_rng(SEED).integers(1, 1 << 63, (coordinates * WIDTH, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def signature(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """The smallest of the products with each factor modulo 2^64, its upper half."""
+    """For each coordinate 32 bits of its MinHash values: the smallest products with a factor each, modulo 2^64."""
     least = np.full(len(factors), ~np.uint64(0))
     for at in range(0, len(hashes), 4096):
         np.minimum(least, (factors * hashes[at : at + 4096]).min(axis=1), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
+    out = np.zeros(len(factors) // WIDTH, np.uint64)
+    for value in (least >> np.uint64(32)).reshape(-1, WIDTH).T:
+        out = (out ^ value) * _MIX
+        out ^= out >> np.uint64(29)
+    return (out >> np.uint64(32)).astype(np.uint32)
 
 
 _SETS = T.StructType([
@@ -227,12 +234,12 @@ def _sets(spark: SparkSession, docs: DataFrame, ids: DataFrame, k: int) -> DataF
 
 
 def _members(spark: SparkSession, groups: DataFrame, classes: DataFrame, docs: DataFrame, k: int, coordinates: int) -> DataFrame:
-    """(head, cls, n, low, hashes): the groups with each member's low bytes and full set."""
+    """(head, cls, n, low, hashes): the groups with each member's full set and the low halves of its coordinates: true collisions stay collisions."""
     ids = groups.select("cls").distinct()
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            low = _rows_of(batch.column(4), coordinates).astype(np.uint8)
+            low = _rows_of(batch.column(4), coordinates).astype(np.uint16)
             return {"cls": batch.column(0), "n": batch.column(1), "hi": batch.column(2), "lo": batch.column(3), "low": [r.tobytes() for r in low]}
 
         return work
@@ -255,7 +262,7 @@ class _Side:
 
     def __init__(self, table: pa.Table, coordinates: int):
         self.cls, self.n, self.root = (table.column(c).to_numpy().copy() for c in ("cls", "n", "root"))
-        self.low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(-1, coordinates)
+        self.low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint16).reshape(-1, coordinates)
         self.flat = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)
         self.starts = np.concatenate([[0], np.cumsum(self.n)]).astype(np.int64)
 
@@ -402,6 +409,15 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     return map_ if map_ is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
 
 
+def _extended(spark: SparkSession, roots: DataFrame, more: DataFrame) -> DataFrame:
+    """The components ``roots`` (node, root) with the links ``more`` (a, b) between them."""
+    ends = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    every = stored(spark, ends.join(roots, "node", "full").select("node", F.coalesce("root", "node").alias("root")), "roots", small=True)
+    end = lambda c: every.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    above = components(spark, more.join(end("a"), "a").join(end("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    return every.join(above.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+
+
 def find(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; see the module."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -418,7 +434,7 @@ def find(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(),
     more = stored(spark, _across(spark, members, roots, settings, coordinates, matches), "across", small=True)
     discard(spark, members)
     if not more.isEmpty():
-        roots = components(spark, links.unionByName(more))
+        roots = _extended(spark, roots, more)
     rooted = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("hi", "lo", F.coalesce("root", "cls").alias("root"))
     ids = sets.select("doc_id", "n", "hi", "lo").join(rooted, ["hi", "lo"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(F.col("doc_id"))
