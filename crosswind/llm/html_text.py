@@ -4,12 +4,14 @@ One pass over the parser's events gives blocks of text, each with its count of c
 tags and link characters and the container that holds it.  Blocks under menus, headers,
 footers, sidebars, adverts, notices, forms, comment lists and the like, by tag, role, class or
 id, can't be content.  Over the others the text-to-tag ratio of each line is smoothed by a
-Gaussian and cut at a threshold into content clusters; the container that holds the clustered
-text is the content region, with the title above it: the smallest that holds all of it.  A page's own ``article`` and ``main`` elements are
-preferred to that vote when they hold text.  The region's blocks are kept whole, so a short paragraph inside it isn't lost.
+Gaussian and cut at a threshold into content clusters.  As a feature of that ratio, lines outside
+a page's own ``article`` and ``main`` elements count no text where those elements hold any.  The
+content region is the smallest container that holds all clustered text, an ``article`` at the least,
+with the title above it.  The region's blocks are kept whole, so a short paragraph inside it isn't lost.
 
 Defined results: null or empty html, or none but boilerplate, gives an empty text; unclosed and
-stray tags are tolerated; ties between regions go to the first; repeated rows are repeated; an
+stray tags are tolerated, an unclosed comment reaches to the page's end; pages of any length or depth are read
+whole in linear time; ties between regions go to the first; repeated rows are repeated; an
 empty table gives an empty result; other columns of the input are ignored.
 """
 
@@ -38,7 +40,7 @@ THRESHOLD = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Text inside these is never shown or is no running text.
-SILENT = frozenset("script style noscript template head title iframe object svg canvas select option textarea button datalist math audio video map".split())
+SILENT = frozenset("script style noscript template head title iframe object svg canvas select option textarea datalist audio video map".split())
 #: Boilerplate by tag, and by ARIA role.
 OUTSIDE = frozenset("nav header footer aside form menu dialog fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar alert toolbar".split())
@@ -50,15 +52,23 @@ BLOCKS = frozenset(
 CLOSES_P = BLOCKS - {"body", "html"}
 ITEMS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table")}
 REGIONS = frozenset("article main section div body td".split())
-#: Words of class and id that mark boilerplate; whole words, as split at anything but letters.
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner banners sponsor sponsored sponsors promo promoted promotion outbrain taboola "
-    "nav navbar navigation menu menus submenu breadcrumb breadcrumbs pagination pager toc "
-    "sidebar sidebars sidenav rail widget widgets footer footnav masthead topbar topnav "
-    "cookie cookies consent gdpr notice notices disclaimer alert popup modal overlay newsletter subscribe subscription signup paywall "
-    "comment comments commentlist disqus respond replies discussion reviews "
+#: Words of class and id, as split at anything but letters, that mark boilerplate wherever they stand,
+#: and others that mark it only in a name of no words but these and those of mere layout.
+STRONG = frozenset(
+    "ads advert adverts advertisement advertising adsense adbox adslot sponsored sponsors promoted outbrain taboola "
+    "navbar breadcrumb breadcrumbs pagination sidebar sidebars sidenav footer footnav masthead topbar topnav "
+    "cookie cookies gdpr newsletter paywall comments commentlist disqus".split()
+)
+MARKS = STRONG | frozenset(
+    "ad adv banner banners sponsor promo promotion nav navigation menu menus submenu pager toc rail widget widgets "
+    "consent notice notices disclaimer alert popup modal overlay subscribe subscription signup comment respond replies discussion reviews "
     "share sharing social related recommended recommendations trending popular teaser teasers login search hidden skip".split()
 )
+LAYOUT = frozenset(
+    "a the and of area article articles bar block body bottom box btn button card cards col column container content desktop div element entry first form full global group "
+    "head heading holder home icons id inner item items large last left link links list main mobile module more most news outer page pane panel post posts primary reader row secondary section "
+    "site slot small sticky stories story sub tab title to top unit us user view wrap wrapper your".split()
+)
 #: First words of a class that says what a container has or lacks, and words of a header that is an article's own.
 STATES = frozenset("no has with without is not".split())
 OWN_HEADERS = frozenset("article post entry content story".split())
@@ -74,7 +84,7 @@ def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             for name in v.split():
                 words = [w.lower() for w in _WORD.findall(name)]
                 if words and words[0] not in STATES:
-                    if any(w in MARKS for w in words) or "header" in words and len(words) <= 2 and not OWN_HEADERS.intersection(words):
+                    if not STRONG.isdisjoint(words) or not MARKS.isdisjoint(words) and all(w in MARKS or w in LAYOUT for w in words) or "header" in words and len(words) <= 2 and not OWN_HEADERS.intersection(words):
                         return True
         elif k == "role" and v and v.strip().lower() in ROLES:
             return True
@@ -99,6 +109,11 @@ class Events(HTMLParser):
         self.tags = self.link_chars = 0
         self.heads: list[int] = []
 
+    def close(self) -> None:
+        if self.rawdata.startswith("<!--"):  # what is left unread is a comment without an end
+            self.rawdata = ""
+        super().close()
+
     def flush(self) -> None:
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
@@ -205,41 +220,32 @@ def main_text(html: str | None) -> str:
     page.close()
     page.drop(0)
     page.flush()
-    blocks, regions = page.blocks, page.regions
-    inside = clusters(blocks)
-
-    def above(region: int) -> list[int]:
-        chain = []
-        while region >= 0:
-            chain.append(region)
-            region = regions[region][1]
-        return chain
-
-    chains = {r: above(r) for r in {b[3] for b in blocks}}
-    weight = np.zeros(len(regions))
-    own = np.zeros(len(regions))
-    for (text, _, links, region, out), good in zip(blocks, inside):
-        if not out and good:
-            own[region] += len(text) - links
-            weight[chains[region]] += len(text) - links
-    total = weight[0]
-    if not total:
-        return "\n".join(b[0] for b in blocks if not b[4] and any(regions[r][0] in ("article", "main") for r in chains[b[3]]))
-    named = [r for r, (tag, _) in enumerate(regions) if tag in ("article", "main") and weight[r] > 0]
-    if named:  # all articles; a main that holds clustered text beside its articles is taken whole
-        articles = {r for r in named if regions[r][0] == "article"}
-        outer = [r for r in articles if not articles.intersection(above(r)[1:])]
-        mains = {r for r in named if regions[r][0] == "main"}
-        picks = articles | {m for m in mains if sum(weight[r] for r in outer if m in above(r)) < weight[m]}
-    else:  # down from the page to the smallest container that still holds all clustered text
-        pick = 0
-        while True:
-            best = next((r for r, (_, up) in enumerate(regions) if up == pick and weight[r] == weight[pick]), None)
-            if best is None:
-                break
-            pick = best
-        picks = {pick}
-    kept = [i for i, b in enumerate(blocks) if not b[4] and picks.intersection(chains[b[3]])]
+    regions = page.regions  # a region's container stands before it
+    named = [tag in ("article", "main") for tag, _ in regions]
+    for r in range(1, len(regions)):
+        named[r] = named[r] or named[regions[r][1]]
+    own = any(named[b[3]] and not b[4] for b in page.blocks)
+    blocks = [(*b[:4], b[4] or own and not named[b[3]]) for b in page.blocks]
+    weight = [0] * len(regions)
+    for (text, _, links, region, _), good in zip(blocks, clusters(blocks)):
+        if good:
+            weight[region] += len(text) - links
+    below: list[list[int]] = [[] for _ in regions]
+    for r in range(len(regions) - 1, 0, -1):
+        weight[regions[r][1]] += weight[r]
+        below[regions[r][1]].append(r)
+    if not weight[0]:
+        return "\n".join(b[0] for b in blocks if not b[4]) if own else ""
+    pick = 0  # down from the page to the smallest container that still holds all clustered text
+    while regions[pick][0] != "article":
+        holds = [r for r in below[pick] if weight[r] == weight[0]]
+        if not holds:
+            break
+        pick = holds[-1]
+    inside = [False] * len(regions)
+    for r in range(len(regions)):
+        inside[r] = r == pick or r > 0 and inside[regions[r][1]]
+    kept = [i for i, b in enumerate(blocks) if not b[4] and inside[b[3]]]
     if kept and not set(page.heads).intersection(kept):  # a title that stands above the region is the article's
         kept = [i for i in page.heads if i < kept[0]][-1:] + kept
     return "\n".join(blocks[i][0] for i in kept)
