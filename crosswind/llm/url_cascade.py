@@ -5,13 +5,15 @@ Bloom filter of the listed keys, level 2 of the universe's other keys that pass
 of the listed keys that pass level 2, and so on until a level lets nothing wrong through.  A key
 is listed if the first level that it fails is an even one.  The universe is every host suffix
 of the whole table, so membership is exact on the table without a join.  The levels are
-literals in one Spark expression.  Their size follows the list, a parameter with a bound that
-is checked.  Level 1 has the more bits a key the larger the universe is, so that about half as
-many keys as are listed pass it wrongly, at any number of hosts; its bits grow with the fourth root of that number.
+literals in one Spark expression.  Their size follows the list, a parameter or a table of keys.
+Level 1 has the more bits a key the larger the universe is, so that about half as many keys as are
+listed pass it wrongly, at any number of hosts; its bits grow with the fourth root of that number.
+When a level has few keys left it names them, which ends the cascade.  A list whose level 1 would
+take over ``MOST_BITS`` is no literal: then the distinct hosts' suffixes are joined with it, with equal results.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and
-is allowed; repeated urls get equal verdicts; an empty table gives an empty result; other
-columns of the input are ignored.
+is allowed; of rules of equal length the last by name wins; repeated urls and listed keys count once, null keys
+not at all; urls of any length are read whole; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ from pyspark.sql import functions as F
 #: Fixed values of the contract: verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: The listed sites: a host is listed with all its subdomains.
-SITES = tuple(f"{name}.example.{top}" for name in ("spam-farm", "casino-win", "free-bets", "adult-x") for top in ("com", "net", "org"))
-#: Most keys that may be listed as literals, bits for each key, and hashes of a level.
-MOST_LISTED = 20_000
+SITES = tuple(f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
+#: Bits for each key and hashes of a level; with so few keys left a level is the list of them.
 BITS_PER_KEY = 12
 HASHES = 4
-MOST_LEVELS = 24
+FEW = 16
+#: Bits that a level may have as literals, 32 KB: some 20,000 keys.  Beyond that a list is joined with the distinct hosts.
+MOST_BITS = 1 << 18
 
 
 def host_of(url: Column) -> Column:
@@ -65,8 +68,11 @@ def suffixes(host: Column) -> Column:
 
 @dataclass(frozen=True)
 class Level:
-    bits: int
-    words: tuple[int, ...]
+    """A Bloom filter as words of bits, or the few keys themselves."""
+
+    bits: int = 0
+    words: tuple[int, ...] = ()
+    keys: tuple[str, ...] = ()
 
 
 def _places(key: Column, level: int, bits: int) -> list[Column]:
@@ -75,6 +81,8 @@ def _places(key: Column, level: int, bits: int) -> list[Column]:
 
 
 def _passes(key: Column, level: int, made: Level) -> Column:
+    if made.keys:
+        return key.isin(list(made.keys))
     words = F.array(*[F.lit(w) for w in made.words])
     ok = F.lit(True)
     for place in _places(key, level, made.bits):
@@ -98,30 +106,34 @@ def _level(keys: DataFrame, level: int, n: int, each: float = BITS_PER_KEY) -> L
     return Level(bits, tuple(words.get(i, 0) for i in range(bits // 64)))
 
 
-def build(spark: SparkSession, universe: DataFrame, listed, most_listed: int = MOST_LISTED) -> list[Level]:
-    """The levels for ``listed`` keys over ``universe`` (column ``key``, repeats allowed).
+def build(universe: DataFrame, listed: DataFrame, most_bits: int = MOST_BITS) -> list[Level] | None:
+    """The levels for the keys of ``listed`` over ``universe`` (both: column ``key``, repeats allowed); None if they are too large.
 
     Each level reads the universe again rather than keeping it; levels shrink by the filters'
     error rate, so a handful suffice.
     """
-    listed = sorted(set(listed))
-    if not listed:
+    mine = listed.where(F.col("key").isNotNull()).distinct()
+    n = mine.count()
+    if not n:
         return []
-    if len(listed) > most_listed:
-        raise ValueError(f"{len(listed)} listed keys; levels are literals and hold up to {most_listed}")
-    mine = spark.createDataFrame([(k,) for k in listed], "key string")
-    others = universe.where(F.col("key").isNotNull() & ~F.col("key").isin(listed)).distinct()
-    each = _bits_per_key(len(listed), others.agg(F.approx_count_distinct("key")).first()[0])
+    others = universe.where(F.col("key").isNotNull()).distinct().join(mine, "key", "left_anti")
+    each = _bits_per_key(n, others.agg(F.approx_count_distinct("key")).first()[0])
+    if n * each > most_bits:
+        return None
     levels: list[Level] = []
-    for i in range(MOST_LEVELS):
-        side, n = (mine, len(listed)) if i % 2 == 0 else (others, 0)
+    while n:
+        side = mine if len(levels) % 2 == 0 else others
         for j, made in enumerate(levels):  # only what has come through all levels so far
             side = side.where(_passes(F.col("key"), j, made))
-        n = n if i == 0 else side.count()
-        if not n:
-            return levels
-        levels.append(_level(side, i, n, each if i == 0 else BITS_PER_KEY))
-    raise ValueError("the cascade does not end; give it more bits a key")
+        if levels:
+            n, each = side.count(), BITS_PER_KEY
+        if n > most_bits / BITS_PER_KEY:  # more keys than expected come through
+            return None
+        if n > FEW:
+            levels.append(_level(side, len(levels), n, each))
+        elif n:
+            return [*levels, Level(keys=tuple(sorted(r["key"] for r in side.collect())))]
+    return levels
 
 
 def contains(key: Column, levels: list[Level]) -> Column:
@@ -132,14 +144,21 @@ def contains(key: Column, levels: list[Level]) -> Column:
     return out
 
 
-def judge(spark: SparkSession, pages: DataFrame, rules=RULES, sites=SITES) -> DataFrame:
-    """page_id, host, path, rule, verdict of every row."""
+def judge(spark: SparkSession, pages: DataFrame, rules=RULES, sites=SITES, most_bits: int = MOST_BITS) -> DataFrame:
+    """page_id, host, path, rule, verdict of every row.  ``sites``: listed keys, or a table with the column ``key``."""
     url = F.col("url")
     at = pages.select("page_id", F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"))
-    levels = build(spark, at.select("host").distinct().select(F.explode(suffixes(F.col("host"))).alias("key")), sites)
+    listed = sites if isinstance(sites, DataFrame) else spark.createDataFrame([(k,) for k in sites], "key string")
+    hosts = at.select("host").distinct()
+    levels = build(hosts.select(F.explode(suffixes(F.col("host"))).alias("key")), listed, most_bits)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    listed = F.exists(suffixes(F.col("host")), lambda k: contains(k, levels))
-    return at.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(listed, "block").otherwise("allow")).alias("verdict"))
+    if levels is None:  # a list too large for literals: hosts, each once, are joined with it
+        keys = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("key"))
+        bad = keys.join(listed, "key", "left_semi").select("host", F.lit(True).alias("listed")).distinct()
+        at, blocked = at.join(bad, "host", "left"), F.coalesce(F.col("listed"), F.lit(False))
+    else:
+        blocked = F.exists(suffixes(F.col("host")), lambda k: contains(k, levels))
+    return at.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(blocked, "block").otherwise("allow")).alias("verdict"))
 
 
 def judge_sql(rules=RULES, sites=SITES) -> str:
