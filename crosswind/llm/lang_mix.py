@@ -3,16 +3,16 @@
 A model holds each learned language's probabilities of hashed byte trigrams of lower-cased
 letters and blanks.  A document's trigrams are taken as drawn from a mixture of the languages:
 expectation-maximisation estimates its proportions over the whole text, and languages join the
-set one by one as long as the penalised likelihood grows.  A single language is the answer; of
-several it is the one that the training rows' own labels bear out more often: the largest part,
-or the one that the text opens with, found by the likeliest point of change.
+set one by one as long as the penalised likelihood grows.  The answer is the language with the
+largest part.
 
 Inputs of a prediction are the text's alone; ids, sources and labels are not.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, and all are
 where nothing could be learned; ties go to the first language by name; a text of letters that
 no language has goes by the languages' shares; rows with a null language teach nothing;
-repeated rows are judged each; an empty table gives an empty result; other columns are ignored.
+repeated rows are judged each, texts of any length whole; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from crosswind.llm._shared import crc_mod, map_rows
 CELLS = 1 << 16
 #: About so many labelled rows, taken by a hash of the id, teach the model.
 TRAIN_ROWS = 20_000
+#: Languages that are learned at most, those of the most labelled rows: bounds the model that is broadcast.
+MOST_LANGUAGES = 256
 ROUNDS = 30
 #: Trigrams overlap, so that one character bears on three; what a language must gain, in units of log n.
 DEPENDENT = 3.0
@@ -57,7 +59,6 @@ class Model:
     languages: tuple[str, ...]
     logs: np.ndarray  # CELLS x languages
     shares: np.ndarray
-    opening: bool = False
 
     def mixture(self, grams: np.ndarray) -> tuple[list[int], np.ndarray]:
         """The selected languages, largest part first, and their parts."""
@@ -97,32 +98,16 @@ class Model:
         order = np.argsort(-parts, kind="stable")
         return [chosen[i] for i in order], parts[order]
 
-    def opens_with(self, grams: np.ndarray, among: list[int]) -> int:
-        """The first language of the likeliest split of the text into one and then another of a set."""
-        total = np.cumsum(self.logs[grams][:, among], axis=0)
-        best, first = -np.inf, among[0]
-        for i, a in enumerate(among):
-            for j in range(len(among)):
-                if i != j:
-                    value = float((total[2:, i] - total[2:, j]).max(initial=-np.inf) + total[-1, j])
-                    if value > best:
-                        best, first = value, a
-        return first
-
-    def judge(self, text: str) -> tuple[str, float, str, str]:
-        """Answer, score, the language with the largest part, the opening one."""
+    def judge(self, text: str) -> tuple[str, float]:
+        """The language with the largest part, and that part; for a single language how sure it is beside the next."""
         grams = cells(text) if self.languages else np.zeros(0, np.int64)
         if not len(grams):
-            return "und", 0.0, "und", "und"
+            return "und", 0.0
         chosen, parts = self.mixture(grams)
-        main = chosen[0]
-        if len(chosen) == 1:
-            name, lead = self.languages[main], np.sort(grams_total(self, grams))
-            sure = 1.0 / (1.0 + np.exp(np.clip(lead[-2] - lead[-1], -50, 0))) if len(lead) > 1 else 1.0
-            return name, float(sure), name, name
-        opening = self.opens_with(grams, chosen)
-        pick = opening if self.opening else main
-        return self.languages[pick], float(parts[chosen.index(pick)]), self.languages[main], self.languages[opening]
+        if len(chosen) > 1:
+            return self.languages[chosen[0]], float(parts[0])
+        lead = np.sort(grams_total(self, grams))
+        return self.languages[chosen[0]], float(1.0 / (1.0 + np.exp(np.clip(lead[-2] - lead[-1], -50, 0)))) if len(lead) > 1 else 1.0
 
 
 def grams_total(model: Model, grams: np.ndarray) -> np.ndarray:
@@ -131,7 +116,6 @@ def grams_total(model: Model, grams: np.ndarray) -> np.ndarray:
 
 _COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("cell", T.IntegerType()), T.StructField("n", T.LongType())])
 _JUDGED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-_TRIED = T.StructType([T.StructField("main", T.LongType()), T.StructField("opening", T.LongType())])
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -158,6 +142,8 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
         return work
 
+    most = sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    sample = sample.where(F.col("lang").isin([r["lang"] for r in most]))
     # as many rows as there are languages and cells at most
     got = map_rows(sample, _COUNTS, make).groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(set(got["lang"])))
@@ -167,20 +153,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     counts[got["cell"].to_numpy(), got["lang"].map({n: i for i, n in enumerate(languages)}).to_numpy()] = got["n"].to_numpy()
     shares = counts[CELLS] / counts[CELLS].sum()
     grams = counts[:CELLS] + SMOOTH
-    model = Model(languages, np.log(grams / grams.sum(axis=0)).astype(np.float32), shares)
-
-    def tried():
-        def work(batch: pa.RecordBatch) -> dict:
-            main = opening = 0
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                _, _, a, b = model.judge(text)
-                main, opening = main + (a == lang and b != lang), opening + (b == lang and a != lang)
-            return {"main": [main], "opening": [opening]}
-
-        return work
-
-    sums = map_rows(sample, _TRIED, tried).agg(F.sum("main"), F.sum("opening")).first()
-    return Model(languages, model.logs, shares, (sums[1] or 0) > (sums[0] or 0))
+    return Model(languages, np.log(grams / grams.sum(axis=0)).astype(np.float32), shares)
 
 
 def identify(spark: SparkSession, docs: DataFrame, folds: int = 4, held: int = 2, rows: int = TRAIN_ROWS) -> DataFrame:
