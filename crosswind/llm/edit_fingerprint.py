@@ -6,15 +6,15 @@ meet again soon after each edit, so their written strings differ in few places:
 becomes Hamming distance.  The fingerprint samples that string.  Each slot has its own random
 order of steps and takes the first step of it that the walk made, so that texts of like length
 sample like places; it keeps a byte of the characters written there.  The part of equal slots
-estimates the likeness.  Bands of slots are keys under which like texts meet; a met pair is
+estimates the likeness.  Bands of sampled slots are keys under which like texts meet; a met pair is
 verified by its whole fingerprints, and verified pairs link documents to groups.
 
 Walks of many texts run side by side in NumPy, over the whole texts.
 
 Defined results: null text is the empty text, whose fingerprint is fixed; equal texts have equal
 fingerprints; the next document is by ascending id (ties by text), after the last the first, and
-of a table of one row the row itself; an empty table gives an empty result; other columns are
-ignored.
+of a table of one row the row itself; texts of any length are walked to their end; a null id comes first; repeated
+rows follow each other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ from crosswind.llm._shared import stored
 from crosswind.llm.near_dup import components
 
 SLOTS = 128
-#: Slots of a band, and the likeness from which texts are near.  42 bands of 3 slots miss a pair of likeness 0.6 with chance 0.00004.
+#: Bands, slots sampled for each, and the likeness from which texts are near.  42 bands of 3 slots miss a pair of likeness 0.6 with chance 0.00004.
+BANDS = 42
 BAND = 3
 LEAST = 0.6
 #: Members of a block of a band's group; a fingerprint with over one in so many rows is joined without a shuffle.
@@ -103,8 +104,10 @@ class Walker:
 
     def _walk(self, codes: list[np.ndarray]) -> np.ndarray:
         lanes, sizes = len(codes), np.array([len(c) for c in codes], np.int64)
-        most = 2 * int(sizes[0]) if lanes else 0  # at a chance of a half for each step on, about where the text ends
-        if most == 0:
+        # at a chance of a half for each step on, about twice as many steps as characters; late steps all go on, so that every walk ends
+        late = 3 * int(sizes[0]) + 64 if lanes else 0
+        most = late + int(sizes[0]) if lanes else 0
+        if not lanes or not sizes[0]:
             return np.zeros((lanes, self.slots), np.uint8)
         self._know(most)
         starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
@@ -120,14 +123,19 @@ class Walker:
             need[wanted + r] = True
         kept_at = np.cumsum(need) - 1
         kept = np.zeros((int(need.sum()), lanes), np.uint32)
-        pos, bits = starts.copy(), self.bits
-        still = int(sizes.min()) > 0
+        pos, bits, steps = starts.copy(), self.bits, sizes.copy()
+        sure = int(sizes.min())  # no lane ends before it has made as many steps as it has characters
         for j in range(most + RUN):
             if need[j]:
                 kept[kept_at[j]] = flat[pos]
-            pos += bits[j & (PERIOD - 1)][low[pos]]
-            if j >= int(sizes[-1]) or not still:  # before that no lane can have ended
-                np.minimum(pos, ends, out=pos)
+            if j < sure:
+                pos += bits[j & (PERIOD - 1)][low[pos]]
+                continue
+            live = pos < ends
+            if not j & 31 and not live.any():
+                break  # what is written beyond the end is 0
+            steps += live & (j >= sizes)
+            pos += (bits[j & (PERIOD - 1)][low[pos]] | (j >= late)) & live
         # bytes of the written characters at each wanted step
         value = np.zeros((len(wanted), lanes), np.uint64)
         for r in range(RUN):
@@ -137,7 +145,7 @@ class Walker:
         out = np.zeros((lanes, self.slots), np.uint8)
         own = np.arange(lanes)
         for s, mine in enumerate(self.records):
-            last = np.searchsorted(mine, 2 * sizes, side="left") - 1  # the last record among a lane's own steps
+            last = np.searchsorted(mine, steps, side="left") - 1  # the last record among a lane's own steps
             ok = last >= 0
             row = np.searchsorted(wanted, mine[np.maximum(last, 0)])
             out[ok, s] = value[np.minimum(row, len(wanted) - 1), own][ok]
@@ -178,13 +186,8 @@ def with_next(docs: DataFrame, parts: int) -> tuple[DataFrame, int]:
         return docs.select(F.lit(0).alias("bucket"), F.lit(0).alias("tail"), "doc_id", "text"), 1
     before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
     rows = docs.select("doc_id", "text", bucket.alias("bucket"))
-    lead = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if len(before) <= 64 else None
-    if lead is not None:
-        to = F.try_element_at(lead, F.col("doc_id").cast("long"))
-        wanted = rows.where(F.col("doc_id").isin(list(before))).select("doc_id", "text", to.alias("bucket"))
-    else:
-        small = docs.sparkSession.createDataFrame(list(before.items()), "doc_id long, bucket int")
-        wanted = rows.drop("bucket").join(F.broadcast(small), "doc_id")
+    small = docs.sparkSession.createDataFrame(list(before.items()), "doc_id long, bucket int")  # a row for each range
+    wanted = rows.drop("bucket").join(F.broadcast(small), "doc_id")
     tails = wanted.select("bucket", F.lit(1).alias("tail"), "doc_id", "text")
     return rows.select("bucket", F.lit(0).alias("tail"), "doc_id", "text").unionByName(tails), len(firsts)
 
@@ -240,11 +243,16 @@ def fingerprint_with_edit(spark: SparkSession, docs: DataFrame, parts: int | Non
     return dealt.select("bucket", "tail", "doc_id", "text").mapInArrow(run, RESULT)
 
 
-def _bands(one: DataFrame, band: int) -> DataFrame:
-    """(token, cls): the bands of each fingerprint, as hashes of place and slots."""
-    many = (F.length("fingerprint") / (2 * band)).cast("int")
-    token = lambda i: F.xxhash64(i, F.substr("fingerprint", i * 2 * band + 1, F.lit(2 * band)))
-    return one.select("cls", F.explode(F.transform(F.sequence(F.lit(0), many - 1), token)).alias("token"))
+def _sampled(slots: int, band: int, bands: int = BANDS) -> list[list[int]]:
+    """The slots of each band: a seeded sample, none twice in a band."""
+    rng = np.random.default_rng([SEED, slots, band])
+    return [sorted(int(i) for i in rng.choice(slots, min(band, slots), replace=False)) for _ in range(bands)]
+
+
+def _bands(one: DataFrame, band: int, slots: int = SLOTS) -> DataFrame:
+    """(token, cls): the sampled slots of each fingerprint, as hashes of the band's number and the slots."""
+    token = lambda b, at: F.xxhash64(F.lit(b), *[F.substr("fingerprint", F.lit(2 * i + 1), F.lit(2)) for i in at])
+    return one.select("cls", F.explode(F.array(*[token(b, at) for b, at in enumerate(_sampled(slots, band))])).alias("token"))
 
 
 def _verified(pairs: DataFrame, one: DataFrame, least: float) -> DataFrame:
