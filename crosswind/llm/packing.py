@@ -3,16 +3,20 @@
 Documents become token ids, ids longer than a sequence are cut, and the pieces are packed by
 best-fit decreasing inside hash partitions.  Dual-feasible functions give each partition a
 lower bound on its bins: a partition that meets its bound is certified.  What an uncertified
-partition has in bins with room, and the emptiest bin of each certified one, is exchanged over
-fewer partitions and packed again, until one partition is left or nothing has room.
-
-Defined results: null text is the empty text; a text without tokens is the single end id; ties
-in length go by document id and piece; repeated ids are packed as separate rows; an empty table
-gives an empty result; other columns of the input are ignored.
+partition has in bins with room, and the emptiest bin of each certified one, is exchanged over as
+many partitions as its pieces fill and packed again.  Rounds end when one partition has been
+packed or a round has spared too few bins, so that no task ever holds more than about
+``per_partition`` pieces.
+
+Defined results: null text is the empty text; a text without tokens is the single end id; special
+tokens inside a text are what the plain tokenizer call makes of them; a text of any length is cut
+whole; ties in length go by document id, piece and row; repeated ids are packed as separate rows; a null id is packed like
+any other; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
 import zlib
@@ -28,15 +32,16 @@ from crosswind.llm._shared import map_rows, only_table, stored, texts
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces in a partition of the first round, and how many partitions meet in one in later rounds.
+#: Pieces in a partition, and the part of the bins exchanged that a round must spare for another to follow.
 PER_PARTITION = 60_000
-FAN_IN = 8
+LEAST_GAIN = 0.002
+MOST_ROUNDS = 12
 #: Entries of a worker's table from word pieces to ids; it starts anew beyond that.
 CACHE_ENTRIES = 500_000
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
-    T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()),
+    T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("row", T.LongType()),
 ])
 PLACED = T.StructType([
     *PIECES.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("moves", T.BooleanType()),
@@ -56,7 +61,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts with one of the vocabulary's special tokens are encoded whole: the tokenizer cuts those out first.
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         self.seen: dict[str, bytes] = {}
 
     def raw(self, text: str) -> bytes:
@@ -64,7 +70,7 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
-        if _PLAIN.search(text):
+        if _PLAIN.search(text) or self.special.search(text):
             return self.raw(text)
         seen, parts = self.seen, _PARTS.findall(text.lower())
         try:
@@ -92,14 +98,19 @@ def encoder(path: str) -> Encoder:
 
 
 def cut(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of every document: ``PIECES``. ``vocabulary`` is a path that executors have too."""
+    """The pieces of every document: ``PIECES``. ``vocabulary`` is a path that executors have too.
+
+    ``row`` numbers the pieces; a task that runs again numbers them as before.
+    """
 
     def make():
         import public_tokenizers
+        from pyspark import TaskContext
 
         encode = encoder(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
         only_table(encode.seen)
         end = struct.pack("<I", END_ID)
+        rows = itertools.count(TaskContext.get().partitionId() << 33)
 
         def work(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {f.name: [] for f in PIECES}
@@ -113,6 +124,7 @@ def cut(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY
                     out["start"].append(start)
                     out["length"].append(len(part) // 4)
                     out["ids_crc32"].append(zlib.crc32(part))
+                    out["row"].append(next(rows))
             return out
 
         return work
@@ -181,16 +193,16 @@ def place(pieces: DataFrame, parts: int, round_no: int, last: bool, capacity: in
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        table = pa.Table.from_batches(got)
-        col = {n: table.column(n).to_numpy() for n in names}
-        order = np.lexsort((col["ids_crc32"], col["piece"], col["doc_id"], -col["length"]))
-        col = {n: v[order] for n, v in col.items()}
-        bins, offsets, n = best_fit_decreasing(col["length"], capacity)
-        filled = np.bincount(bins, weights=col["length"], minlength=n)
+        table = pa.Table.from_batches(got).combine_chunks()
+        col = lambda n: table.column(n).fill_null(-1).to_numpy()
+        table = table.take(pa.array(np.lexsort((col("row"), col("piece"), col("doc_id"), -col("length")))))
+        lengths = table.column("length").to_numpy()
+        bins, offsets, n = best_fit_decreasing(lengths, capacity)
+        filled = np.bincount(bins, weights=lengths, minlength=n)
         roomy = filled < capacity
         if last:
             leaves = np.zeros(n, bool)
-        elif n == lower_bound(col["length"], capacity):  # certified: at most the emptiest bin can go
+        elif n == lower_bound(lengths, capacity):  # certified: at most the emptiest bin can go
             leaves = np.zeros(n, bool)
             leaves[int(np.argmin(filled))] = True
             leaves &= roomy
@@ -198,27 +210,30 @@ def place(pieces: DataFrame, parts: int, round_no: int, last: bool, capacity: in
             leaves = roomy
         base = (round_no << 56) | (TaskContext.get().partitionId() << 32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(col[n]) for n in names] + [pa.array(bins + base), pa.array(offsets), pa.array(leaves[bins])], schema=to_arrow_schema(PLACED)
+            [table.column(n).combine_chunks() for n in names] + [pa.array(bins + base), pa.array(offsets), pa.array(leaves[bins])], schema=to_arrow_schema(PLACED)
         )
 
-    dealt = pieces.select(*names).repartition(parts, F.xxhash64(F.lit(round_no), "doc_id", "piece"))
+    dealt = pieces.select(*names).repartition(parts, F.xxhash64(F.lit(round_no), "row"))
     return dealt.mapInArrow(run, PLACED)
 
 
 def pack(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, per_partition: int = PER_PARTITION) -> DataFrame:
     """Every piece with its sequence and its place there. See the module for the method."""
     waiting = stored(spark, cut(docs, vocabulary, capacity), "pieces")
-    parts, done, round_no = max(1, -(-waiting.count() // per_partition)), [], 0
+    parts, done, round_no, before = max(1, -(-waiting.count() // per_partition)), [], 0, None
     while True:
-        last = parts == 1
+        last = parts == 1 or round_no == MOST_ROUNDS
         placed = stored(spark, place(waiting, parts, round_no, last, capacity), "placed")
-        done.append(placed.where(~F.col("moves")))
-        if last:
+        bins = placed.groupBy("moves").agg(F.count(F.lit(1)).alias("pieces"), F.count(F.when(F.col("offset") == 0, 1)).alias("bins")).collect()
+        moving = {r["moves"]: r for r in bins}.get(True)
+        spared = None if before is None else before - sum(r["bins"] for r in bins)
+        if last or moving is None or spared is not None and spared < LEAST_GAIN * before:
+            done.append(placed)
             break
-        waiting = placed.where("moves")
-        left = waiting.count()
-        parts, round_no = min(max(1, -(-left // per_partition)), -(-parts // FAN_IN)), round_no + 1
+        done.append(placed.where(~F.col("moves")))
+        waiting, before = placed.where("moves"), moving["bins"]
+        parts, round_no = max(1, -(-moving["pieces"] // per_partition)), round_no + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select(*[f.name for f in PIECES], "sequence_id", "offset")
+    return out.select(*[f.name for f in PIECES if f.name != "row"], "sequence_id", "offset")

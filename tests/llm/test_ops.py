@@ -53,7 +53,6 @@ def test_packing(spark, docs, none):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    plain.encode_special_tokens = True
     for i, text in enumerate(TEXTS):
         ids = [*plain.encode(text or "", add_special_tokens=False).ids, 0]
         mine = got[got.doc_id == i].drop_duplicates(["piece"]).sort_values("piece")
@@ -63,6 +62,26 @@ def test_packing(spark, docs, none):
     assert packing.pack(spark, none).count() == 0
 
 
+def test_packing_of_special_tokens_and_null_ids(spark):
+    got = packing.pack(spark, spark.createDataFrame([(None, "hello <|endoftext|> world"), (None, None), (3, "<|startoftext|>")], "doc_id long, text string")).toPandas()
+    want = [[3306, 49407, 1002, 0], [0], [49406, 0]]
+    assert sorted(zip(got.length, got.ids_crc32)) == sorted((len(w), zlib.crc32(struct.pack(f"<{len(w)}I", *w))) for w in want)
+
+
+def test_packing_never_gathers_what_certifies_nothing(spark, monkeypatch):
+    """Pieces of three lengths that leave every bin with room: rounds end, and no task holds all pieces."""
+    lengths = [600, 450, 300] * 700
+    pieces = spark.createDataFrame([(i, 0, 0, n, i, i) for i, n in enumerate(lengths)], packing.PIECES)
+    monkeypatch.setattr(packing, "cut", lambda *_: pieces)
+    held = []
+    real = packing.place
+    monkeypatch.setattr(packing, "place", lambda p, parts, *a: held.append((p.count(), parts)) or real(p, parts, *a))
+    got = packing.pack(spark, pieces, per_partition=100).toPandas()
+    assert all(n <= 110 * parts for n, parts in held) and len(held) <= packing.MOST_ROUNDS + 1
+    assert len(got) == len(lengths) and got.groupby("sequence_id").length.sum().max() <= packing.CAPACITY
+    assert got.sequence_id.nunique() <= 1.1 * packing.lower_bound(np.array(lengths))
+
+
 def test_best_fit_and_bounds():
     rng = np.random.default_rng(0)
     for _ in range(50):
@@ -247,6 +266,23 @@ def test_languages(spark, docs, none):
     assert set(lang_mix.identify(spark, docs.withColumn("lang", docs.lang.substr(9, 1)).replace("", None)).toPandas().lang_pred) == {"und"}
 
 
+def test_languages_by_expectation_maximisation():
+    """Proportions of a two-language text, and answers on held-out sentences."""
+    rng = np.random.default_rng(4)
+    words = {"xx": ["aba", "bab", "abba", "baba"], "yy": ["ono", "non", "onno", "nono"], "zz": ["kili", "liki", "ilik", "kiki"]}
+    say = lambda lang, n: " ".join(rng.choice(words[lang], n))
+    names, counts = tuple(words), []
+    for lang in names:
+        counts.append(np.bincount(lang_mix.cells(say(lang, 400)), minlength=lang_mix.CELLS) + lang_mix.SMOOTH)
+    logs = np.log(np.array(counts) / np.array(counts).sum(axis=1, keepdims=True)).T.astype(np.float32)
+    model = lang_mix.Model(names, logs, np.full(3, 1 / 3))
+    for lang in names:
+        assert model.judge(say(lang, 20))[0] == lang and model.judge(say(lang, 20))[1] > 0.9
+    chosen, parts = model.mixture(lang_mix.cells(say("xx", 60) + " " + say("zz", 140)))
+    assert [names[c] for c in chosen] == ["zz", "xx"] and abs(parts[0] - 0.7) < 0.08
+    assert model.judge(say("xx", 60) + " " + say("zz", 140))[0] == "zz"
+
+
 def test_urls(spark):
     urls = [None, "", "nothing", "http://net/", "http://net", "https://A.Example.NET/en/x?q", "http://x.example.com/de/1", "http://b.org/fr/#a", "http://casino-win.example.org/en", "HTTP://www.casino-win.example.org?x", "http://notcasino-win.example.org/", "x://h:80/p//://q"]
     pages = spark.createDataFrame([(i, u, "a") for i, u in enumerate(urls)] * 2, "page_id long, url string, host string")
@@ -260,7 +296,7 @@ def test_urls(spark):
 def test_cascade_is_exact(spark):
     keys, listed = [f"k{i}" for i in range(3000)], [f"k{i}" for i in range(0, 3000, 37)]
     table = spark.createDataFrame([(k,) for k in keys], "key string")
-    levels = url_cascade.build(spark, table, listed)
+    levels = url_cascade.build(table, spark.createDataFrame([(k,) for k in listed], "key string"))
     got = {r["key"] for r in table.where(url_cascade.contains(table.key, levels)).collect()}
     assert got == set(listed)
 
