@@ -7,9 +7,11 @@ document, template and offset diagonal; neighbouring diagonals, as words put in
 merge; a merged span is verified if its matched grams cover enough of the template's words.
 Base phrases are counted on the words themselves in the pass that makes the grams.
 
+The score is the largest covered part of a template over all spans, and at least ``BASE_SCORE`` with a base phrase.
+
 Defined results: null text has no words; without a base phrase the positions are null; label
-strings are empty without labels; repeated rows are scanned and returned each; an empty table
-gives an empty result; other columns of the input are ignored.
+strings are empty without labels; a text of any length is scanned whole; of spans of one template the best counts;
+repeated rows are scanned and returned each; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -25,24 +27,95 @@ from crosswind.llm._shared import map_rows
 
 #: Fixed values of the contract.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Own labels and the statements that bear them; up to 60 words each.
+#: Own labels and the statements that bear them, short references and whole notices, as words in lower case.
 TEMPLATES = (
+    ("afl-3.0", "licensed under the academic free license version 3 0"),
+    ("agpl-3.0", "licensed under the gnu affero general public license version 3"),
+    ("agpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("apache-2.0", "licensed under the apache license version 2 0"),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+    ),
+    ("artistic-2.0", "this is free software you can redistribute it and or modify it under the terms of the artistic license 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    (
+        "bsd-2-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    ),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    (
+        "bsl-1.0",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software "
+        "to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software",
+    ),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
+    ("cc-by-nc-4.0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nc-nd", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-sa", "licensed under the creative commons attribution share alike license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gpl-2.0", "this work is licensed under the gnu general public license version 2"),
+    (
+        "gpl-2.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 2 of the license or at your option any later version",
+    ),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
+    (
+        "gpl-3.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 3 of the license or at your option any later version "
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose "
+        "see the gnu general public license for more details",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    ),
     ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise "
+        "arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1"),
+    ("public-domain", "this work has been released into the public domain by its author"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software "
+        "either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+    ),
 )
 GRAM = 3
 #: Diagonals this close, with matches this close, are one span; part of the words to be covered.
 NEIGHBOURS = 2
 COVERED = 0.8
+#: What a base phrase alone scores; beyond that the score is the best span's covered part.
+BASE_SCORE = 0.5
 WORD_ENTRIES = 300_000
 
 _KEEP = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c > 0x7F else 0x20 for c in range(256))
@@ -135,7 +208,7 @@ def scan(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, base=BASE, g
         map_rows(rows, PASS, make).select("row", "doc_id", *own, F.posexplode("grams").alias("pos", "gram")).join(F.broadcast(places), "gram")
         .select("row", "doc_id", *[F.when(F.col("template") < 0, F.col(c)).alias(c) for c in own], "template", (F.col("pos") - 1).alias("pos"), "place")
         .groupBy("row", "doc_id", "template", (F.col("pos") - F.col("place")).alias("diagonal"))
-        .agg(*[F.max(c).alias(c) for c in own], F.min("pos").alias("from"), F.max("pos").alias("to"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place"))).alias("mask"))
+        .agg(*[F.max(c).alias(c) for c in own], F.min("pos").alias("from"), F.max("pos").alias("to"), F.collect_set("place").alias("places"))
     )
     one = Window.partitionBy("row", "template").orderBy("diagonal")
     length = F.element_at(F.array(*[F.lit(len(w.split())) for _, w in templates]), F.when(F.col("template") < 0, 1).otherwise(F.col("template") + 1))
@@ -143,12 +216,10 @@ def scan(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, base=BASE, g
     spans = (
         votes.withColumn("span", F.sum(F.when(apart, 1).otherwise(0)).over(one))
         .groupBy("row", "doc_id", "template", "span")
-        .agg(*[F.max(c).alias(c) for c in own], F.bit_or("mask").alias("mask"))
+        .agg(*[F.max(c).alias(c) for c in own], F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     )
-    covered = F.col("mask")
-    for i in range(1, gram):
-        covered = covered.bitwiseOR(F.shiftleft("mask", i))
-    part = F.when(F.col("template") >= 0, F.bit_count(covered) / length).otherwise(F.lit(0.0))
+    words = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (gram - 1)))))  # of the template
+    part = F.when(F.col("template") >= 0, F.size(words) / length).otherwise(F.lit(0.0))
     names = tuple(sorted({n for n, _ in templates}))
     number = F.element_at(F.array(*[F.lit(names.index(n)) for n, _ in templates]), F.when(F.col("template") < 0, 1).otherwise(F.col("template") + 1))
     bit = F.when((F.col("template") >= 0) & (part >= COVERED), F.call_function("shiftleft", F.lit(1).cast("long"), number)).otherwise(F.lit(0).cast("long"))
@@ -156,5 +227,5 @@ def scan(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, base=BASE, g
     base_labels, labels = _labels(F.col("base"), tuple(n for _, n in base)), _labels(F.col("own"), names)
     return out.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort(base_labels), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(base_labels, labels)), ",").alias("labels"), F.when(F.col("n_base") > 0, 1.0).otherwise(F.least("part", F.lit(1.0))).alias("score"),
+        F.array_join(F.array_sort(F.array_union(base_labels, labels)), ",").alias("labels"), F.greatest(F.least("part", F.lit(1.0)), F.when(F.col("n_base") > 0, BASE_SCORE).otherwise(0.0)).alias("score"),
     )
