@@ -15,8 +15,8 @@ from its whole text.  The cells of all values are raked.
 
 Defined results: null text has no tokens and its topic is -1; null values are values of their
 own; documents without tokens stay, and so do all of the cell with the largest factor; repeated
-rows are decided alike; an empty table gives an empty result; the result has the
-input's columns.
+rows are decided alike; texts of any length count whole; ties between topics go to the first; an empty table gives
+an empty result; the result has the input's columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,9 +41,7 @@ FIT_ROUNDS = 12
 UNIT = 1 << 20
 SEED = 11
 TEMPER = 0.85
-#: The bound of ``rake`` for a cell's weight over its share, which ``probabilities`` doesn't use; the error beyond
-#: which a target is missed.
-MOST_FACTOR = 2.0
+#: The error beyond which a target is missed.
 MISSED = 1e-6
 RAKE_ROUNDS = 500
 RAKE_WITHIN = 1e-9
@@ -165,26 +163,25 @@ def goals(names: list, mass: np.ndarray, target: dict | None, temper: float = TE
     return out / out.sum()
 
 
-def rake_cells(at: list[np.ndarray], share: np.ndarray, wanted: list[np.ndarray], most: float = MOST_FACTOR, rounds: int = RAKE_ROUNDS, within: float = RAKE_WITHIN) -> tuple[np.ndarray, list[float]]:
+def rake_cells(at: list[np.ndarray], share: np.ndarray, wanted: list[np.ndarray], rounds: int = RAKE_ROUNDS, within: float = RAKE_WITHIN) -> tuple[np.ndarray, list[float]]:
     """Weights of the cells whose marginals meet ``wanted``, and the largest error left in each dimension.
 
-    A cell has its values' places in ``at`` and its share.  No weight is over ``most`` times the
-    share; what is cut is made up by the other cells in the rounds that follow.
+    A cell has its values' places in ``at`` and its share.
     """
     out, errors = share, [np.inf] * len(wanted)
     for _ in range(rounds):
         for place, goal in zip(at, wanted):
             now = np.bincount(place, weights=out, minlength=len(goal))
-            out = np.minimum(out * np.divide(goal, now, out=np.zeros_like(goal), where=now > 0)[place], most * share)
+            out = out * np.divide(goal, now, out=np.zeros_like(goal), where=now > 0)[place]
         errors = [float(np.abs(np.bincount(place, weights=out, minlength=len(goal)) - goal).max()) for place, goal in zip(at, wanted)]
         if max(errors) < within:
             break
     return out, errors
 
 
-def rake(mass: np.ndarray, wanted: list[np.ndarray], most: float = MOST_FACTOR, rounds: int = RAKE_ROUNDS, within: float = RAKE_WITHIN) -> tuple[np.ndarray, float]:
+def rake(mass: np.ndarray, wanted: list[np.ndarray], rounds: int = RAKE_ROUNDS, within: float = RAKE_WITHIN) -> tuple[np.ndarray, float]:
     """``rake_cells`` of a whole array of cells, with the largest error of all dimensions."""
-    out, errors = rake_cells([i.ravel() for i in np.indices(mass.shape)], mass.ravel() / mass.sum(), wanted, most, rounds, within)
+    out, errors = rake_cells([i.ravel() for i in np.indices(mass.shape)], mass.ravel() / mass.sum(), wanted, rounds, within)
     return out.reshape(mass.shape), max(errors)
 
 
@@ -204,7 +201,7 @@ def probabilities(cells: list[tuple], targets: dict[str, dict] | None = None, ra
     share = mass / mass.sum()
     wanted = [goals(names[d], np.bincount(at[d], weights=mass), (targets or {}).get(DIMENSION_NAMES[d]), temper) for d in range(3)]
     order = sorted(range(3), key=lambda d: DIMENSION_NAMES[d] in (targets or {}))  # given targets are met last
-    weights, errors = rake_cells([at[d] for d in order], share, [wanted[d] for d in order], most=np.inf)
+    weights, errors = rake_cells([at[d] for d in order], share, [wanted[d] for d in order])
     for d, error in zip(order, errors):
         if error > MISSED:
             said = f"the shares of {DIMENSION_NAMES[d]} miss their targets by up to {error:.3g}"
@@ -225,13 +222,14 @@ class Mix:
     centre: np.ndarray
     chance: dict[tuple, float]
 
-    def cell(self, source: str | None, lang: str | None, topic: int) -> tuple:
-        return NONE if source is None else source, NONE if lang is None else lang, topic
+    def of(self, source: str | None, lang: str | None, topic: int) -> float:
+        """A cell that no document had when the mix was fitted, as after other rounding of a topic elsewhere, stays."""
+        return self.chance.get((NONE if source is None else source, NONE if lang is None else lang, topic), 1.0)
 
 
-def fit(spark: SparkSession, docs: DataFrame, targets: dict[str, dict] | None = None, rate: float | None = None) -> tuple[Mix, DataFrame]:
+def fit(spark: SparkSession, docs: DataFrame, targets: dict[str, dict] | None = None, rate: float | None = None, start_rows: int = FIT_ROWS) -> tuple[Mix, DataFrame]:
     """The mix for ``docs`` and the table of what its documents are (see ``told``)."""
-    centre = fit_topics(docs)
+    centre = fit_topics(docs, rows=start_rows)
     table = stored(spark, told(docs, centre), "told")
     rows = table.groupBy(*DIMENSION_NAMES).agg(F.sum("tokens").alias("tokens")).collect()
     return Mix(centre, probabilities([tuple(r) for r in rows], targets, rate)), table
@@ -245,15 +243,15 @@ def _draw(key: np.ndarray) -> np.ndarray:
 _DECIDED = T.StructType([*_TOLD.fields[:1], *_TOLD.fields[2:], T.StructField("probability", T.DoubleType()), T.StructField("kept", T.BooleanType())])
 
 
-def decide(spark: SparkSession, docs: DataFrame, targets: dict[str, dict] | None = None, rate: float | None = None) -> DataFrame:
+def decide(spark: SparkSession, docs: DataFrame, targets: dict[str, dict] | None = None, rate: float | None = None, start_rows: int = FIT_ROWS) -> DataFrame:
     """One row a document: doc_id, source, lang, topic, tokens, probability and kept."""
-    mix, table = fit(spark, docs, targets, rate)
+    mix, table = fit(spark, docs, targets, rate, start_rows)
     given = lambda c: F.when(F.col(c) != NONE, F.col(c)).alias(c)
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
             source, lang, topic, tokens = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
-            chance = [mix.chance[mix.cell(s, g, t)] if n else 1.0 for s, g, t, n in zip(source, lang, topic, tokens)]
+            chance = [mix.of(s, g, t) if n else 1.0 for s, g, t, n in zip(source, lang, topic, tokens)]
             kept = _draw(batch.column(1).to_numpy()) < np.array(chance)
             return {"doc_id": batch.column(0), "source": source, "lang": lang, "topic": topic, "tokens": tokens, "probability": chance, "kept": kept}
 
@@ -262,15 +260,16 @@ def decide(spark: SparkSession, docs: DataFrame, targets: dict[str, dict] | None
     return map_rows(table.select("doc_id", "key", given("source"), given("lang"), "topic", "tokens"), _DECIDED, make)
 
 
-def sample(spark: SparkSession, docs: DataFrame, targets: dict[str, dict] | None = None, rate: float | None = None) -> DataFrame:
+def sample(spark: SparkSession, docs: DataFrame, targets: dict[str, dict] | None = None, rate: float | None = None, start_rows: int = FIT_ROWS) -> DataFrame:
     """The documents that stay, with the input's columns.
 
     A second pass over the texts decides as ``decide`` does; so no text is shuffled.
     """
-    mix, _ = fit(spark, docs, targets, rate)
+    mix, _ = fit(spark, docs, targets, rate, start_rows)
     names = docs.columns
     at = {c: i for i, c in enumerate(names)}
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    fresh = "_" * (1 + max(map(len, names))) + "key"  # no column's name
+    keyed = docs.withColumn(fresh, F.xxhash64("doc_id", "text"))
 
     def run(batches):
         only_table(_SLOTS)
@@ -279,7 +278,7 @@ def sample(spark: SparkSession, docs: DataFrame, targets: dict[str, dict] | None
                 batch, keep = whole.slice(start, SLICE), []
                 for text, source, lang, u in zip(batch.column(at["text"]).to_pylist(), batch.column(at["source"]).to_pylist(), batch.column(at["lang"]).to_pylist(), _draw(batch.column(len(at)).to_numpy())):
                     v, n = direction(text or "")
-                    keep.append(not n or u < mix.chance[mix.cell(source, lang, topic_of(mix.centre, v, n))])
+                    keep.append(not n or u < mix.of(source, lang, topic_of(mix.centre, v, n)))
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(pa.array(keep))
 
     return keyed.mapInArrow(run, docs.schema)
