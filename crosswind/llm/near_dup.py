@@ -233,8 +233,8 @@ def _sets(spark: SparkSession, docs: DataFrame, ids: DataFrame, k: int) -> DataF
     return map_rows(docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at")), _SET, make)
 
 
-def _members(spark: SparkSession, groups: DataFrame, classes: DataFrame, docs: DataFrame, k: int, coordinates: int) -> DataFrame:
-    """(head, cls, n, low, hashes): the groups with each member's full set and the low halves of its coordinates: true collisions stay collisions."""
+def _full(spark: SparkSession, groups: DataFrame, classes: DataFrame, docs: DataFrame, k: int, coordinates: int) -> DataFrame:
+    """(cls, n, low, hashes) of all members, each once: the full set and the low halves of the coordinates, in which true collisions stay collisions."""
     ids = groups.select("cls").distinct()
 
     def make():
@@ -247,7 +247,7 @@ def _members(spark: SparkSession, groups: DataFrame, classes: DataFrame, docs: D
     lows = map_rows(classes.join(ids, "cls", "left_semi").select("cls", "n", "hi", "lo", "sig"), _BYTES, make)
     full = lows.join(_sets(spark, docs, ids, k), ["cls", "hi", "lo"])
     full = full.groupBy("cls").agg(F.min_by(F.struct("n", "low", "hashes"), F.struct("n", "hi", "lo")).alias("x")).select("cls", "x.*")
-    return stored(spark, groups.join(full, "cls").select("head", "cls", "n", "low", "hashes"), "members")
+    return stored(spark, full, "sets")
 
 
 _BYTES = T.StructType([T.StructField(c, T.LongType()) for c in ("cls", "n", "hi", "lo")] + [T.StructField("low", T.BinaryType())])
@@ -333,13 +333,13 @@ def _parts(rows, size) -> F.Column:
     return F.ceil(F.greatest(rows / F.lit(BLOCK), size / F.lit(BLOCK_BYTES))).cast("int")
 
 
-def _stars(members: DataFrame, settings: Settings, coordinates: int, matches: int) -> DataFrame:
-    """Links of each group's members with its head; a large group is dealt to several tasks, each with the head."""
-    sizes = members.groupBy("head").agg(_parts(F.count(F.lit(1)), F.sum("n") * 8).alias("parts"))
-    sized = members.join(sizes, "head")
+def _stars(members: DataFrame, full: DataFrame, settings: Settings, coordinates: int, matches: int) -> DataFrame:
+    """Links of each group's members (head, cls, n) with its head; a large group is dealt to several tasks, each with the head."""
+    sizes = members.groupBy("head").agg(_parts(F.count(F.lit(1)), F.sum("n") * 8).alias("parts"), F.count(F.lit(1)).alias("m")).where("m > 1")
     every, one = F.sequence(F.lit(0), F.col("parts") - 1), F.array(F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    dealt = sized.withColumn("i", F.explode(F.when(F.col("cls") == F.col("head"), every).otherwise(one)))
-    dealt = dealt.select("head", "i", "cls", "n", F.col("cls").alias("root"), "low", "hashes").repartition("head", "i").sortWithinPartitions("head", "i", F.col("cls") != F.col("head"), "cls")
+    dealt = members.select("head", "cls").join(sizes, "head").select("head", "cls", F.explode(F.when(F.col("cls") == F.col("head"), every).otherwise(one)).alias("i"))
+    dealt = dealt.join(full, "cls").select("head", "i", "cls", "n", F.col("cls").alias("root"), "low", "hashes")
+    dealt = dealt.repartition("head", "i").sortWithinPartitions("head", "i", F.col("cls") != F.col("head"), "cls")
     percent = settings.percent
 
     def found(table: pa.Table) -> list:
@@ -351,14 +351,14 @@ def _stars(members: DataFrame, settings: Settings, coordinates: int, matches: in
     return _by_group(dealt, 2, found)
 
 
-def _across(spark: SparkSession, members: DataFrame, roots: DataFrame, settings: Settings, coordinates: int, matches: int) -> DataFrame:
+def _across(spark: SparkSession, members: DataFrame, full: DataFrame, roots: DataFrame, settings: Settings, coordinates: int, matches: int) -> DataFrame:
     """Links between components inside groups.
 
     Of two members of different components at least one is outside the group's largest one; those
     are the left side.  Blocks of the left side meet blocks of the whole group, so that no task
     holds more than two blocks.
     """
-    at = members.select("head", "cls", "n").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    at = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     at = stored(spark, at, "rooted", small=True)
     by = at.groupBy("head", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
     by = by.groupBy("head").agg(F.max(F.struct("m", "root", "s")).alias("most"), F.sum("m").alias("m"), F.sum("s").alias("s")).where(F.col("m") > F.col("most.m"))
@@ -368,7 +368,7 @@ def _across(spark: SparkSession, members: DataFrame, roots: DataFrame, settings:
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
     lefts = open_.where(F.col("root") != F.col("most")).select("head", side("left", 1).alias("i"), every("right").alias("j"), F.lit(0).alias("side"), "cls", "root")
     rights = open_.select("head", every("left").alias("i"), side("right", 2).alias("j"), F.lit(1).alias("side"), "cls", "root")
-    dealt = lefts.unionByName(rights).join(members, ["head", "cls"]).select("head", "i", "j", "side", "cls", "n", "root", "low", "hashes")
+    dealt = lefts.unionByName(rights).join(full, "cls").select("head", "i", "j", "side", "cls", "n", "root", "low", "hashes")
     dealt = dealt.repartition("head", "i", "j").sortWithinPartitions("head", "i", "j", "side", "cls")
     percent = settings.percent
 
@@ -427,12 +427,13 @@ def find(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(),
     posts = stored(spark, _postings(spark, classes, coordinates, matches), "postings")
     groups = _groups(spark, posts)
     discard(spark, posts)
-    members = _members(spark, groups, classes, docs, settings.words, coordinates)
+    full = _full(spark, groups, classes, docs, settings.words, coordinates)
+    members = stored(spark, groups.join(full.select("cls", "n"), "cls"), "members")
     discard(spark, groups)
-    links = stored(spark, _stars(members, settings, coordinates, matches), "stars", small=True)
+    links = stored(spark, _stars(members, full, settings, coordinates, matches), "stars")
     roots = components(spark, links)
-    more = stored(spark, _across(spark, members, roots, settings, coordinates, matches), "across", small=True)
-    discard(spark, members)
+    more = stored(spark, _across(spark, members, full, roots, settings, coordinates, matches), "across")
+    discard(spark, members, full)
     if not more.isEmpty():
         roots = _extended(spark, roots, more)
     rooted = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("hi", "lo", F.coalesce("root", "cls").alias("root"))
