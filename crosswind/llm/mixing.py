@@ -2,7 +2,9 @@
 
 Documents are cells of source, language and topic.  The table of the cells' tokens is raked: in
 turn for each dimension, every cell's weight is scaled so that the dimension's marginal meets its
-target, until all do.  A given target that can't be met, because cells have no tokens, is an error; a tempered one gives a warning.  A cell's factor over the largest one is the probability with which its
+target, until all do.  Weights are bounded so that half of the tokens stay, but for given targets that need more; a
+given target that can't be met, because cells have no tokens, is an error, and a tempered one that isn't met gives a
+warning that says by how much.  A cell's factor over the largest one is the probability with which its
 documents stay; a hash of id and text decides, so that a run is repeatable.  Probabilities are calibrated: expected kept tokens of a cell are its raked weight.
 
 Targets are shares by value; values that a target does not name share what is left by their own
@@ -31,18 +33,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosswind.llm._shared import SLICE, map_rows, only_table, stored
+from crosswind.llm._shared import SLICE, discard, map_rows, only_table, stored
 
 TOPICS = 8
 DIMENSIONS = 256
 #: Rows that the starting points of topics come from, rounds of k-means over all rows, and the whole number that stands for one.
 FIT_ROWS = 4000
 FIT_ROUNDS = 12
-UNIT = 1 << 20
+UNIT = (1 << 15) - 1
 SEED = 11
 TEMPER = 0.85
-#: The error beyond which a target is missed.
+#: The error beyond which a target is missed, and the part of the tokens that tempered shares leave at least.
 MISSED = 1e-6
+LEAST_KEPT = 0.5
 RAKE_ROUNDS = 500
 RAKE_WITHIN = 1e-9
 WORD_ENTRIES = 200_000
@@ -69,29 +72,46 @@ def direction(text: str) -> tuple[np.ndarray, int]:
     return (v / size if size else v), len(words)
 
 
+def whole(v: np.ndarray) -> np.ndarray:
+    """A direction in whole numbers, so that sums don't depend on their order."""
+    return np.rint(v * UNIT).astype(np.int16)
+
+
 def topic_of(centre: np.ndarray, v: np.ndarray, n: int) -> int:
+    """The nearest of the topics to a direction in whole numbers; -1 without words."""
     return int((centre @ v).argmax()) if n and len(centre) else -1
 
 
-_VECTOR = T.StructType([T.StructField("key", T.LongType()), T.StructField("v", T.BinaryType())])
+_VECTOR = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("source", T.StringType()), T.StructField("lang", T.StringType()),
+    T.StructField("tokens", T.LongType()), T.StructField("v", T.BinaryType()),
+])
 
 
-def fit_topics(docs: DataFrame, topics: int = TOPICS, rows: int = FIT_ROWS) -> np.ndarray:
-    """Topic directions of all documents; those with the ``rows`` smallest hashes of id and text give the starting points."""
-    all_rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+def vectors_of(docs: DataFrame) -> DataFrame:
+    """doc_id, the hash of id and text, source, lang, tokens (words) and direction of every document."""
 
     def make():
+        only_table(_SLOTS)
+
         def work(batch: pa.RecordBatch) -> dict:
-            return {"key": batch.column(0), "v": [np.rint(direction(t)[0] * UNIT).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]}
+            got = [direction(t) for t in batch.column(4).to_pylist()]
+            return {"doc_id": batch.column(0), "key": batch.column(1), "source": batch.column(2), "lang": batch.column(3), "tokens": [n for _, n in got], "v": [whole(v).tobytes() for v, _ in got]}
 
         return work
 
-    vectors = stored(docs.sparkSession, map_rows(all_rows, _VECTOR, make).where(F.col("v") != F.lit(bytes(4 * DIMENSIONS))), "vectors")
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c)
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), named("source"), named("lang"), F.coalesce("text", F.lit("")).alias("text")), _VECTOR, make)
+
+
+def fit_topics(table: DataFrame, topics: int = TOPICS, rows: int = FIT_ROWS) -> np.ndarray:
+    """Topic directions of all rows of ``vectors_of``; those with the ``rows`` smallest hashes give the starting points."""
+    vectors = table.where("tokens > 0").select("key", "v")
     few, part = vectors, min(1.0, 2 * rows / max(1, vectors.count()))  # thinned by the hash first, so that little is sorted
     if part < 1:
         few = few.where(F.pmod("key", F.lit(1 << 20)) < int(part * (1 << 20)))
     got = few.orderBy("key").limit(rows).toPandas().drop_duplicates("key")
-    x = np.array([np.frombuffer(v, np.int32) for v in got["v"]], float).reshape(-1, DIMENSIONS) / UNIT
+    x = np.array([np.frombuffer(v, np.int16) for v in got["v"]], float).reshape(-1, DIMENSIONS) / UNIT
     rng = np.random.default_rng(SEED)
     if not len(x):
         return np.zeros((0, DIMENSIONS))
@@ -117,7 +137,7 @@ def _sums(vectors: DataFrame, centre: np.ndarray) -> np.ndarray:
     def run(batches):
         sums = np.zeros(centre.shape, np.int64)
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32).reshape(-1, DIMENSIONS)
+            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int16).reshape(-1, DIMENSIONS)
             own = (x @ centre.T).argmax(axis=1)
             for k in np.unique(own):
                 sums[k] += x[own == k].sum(axis=0, dtype=np.int64)
@@ -130,24 +150,17 @@ def _sums(vectors: DataFrame, centre: np.ndarray) -> np.ndarray:
 _TOLD = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("source", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("topic", T.IntegerType()), T.StructField("tokens", T.LongType())])
 
 
-def told(docs: DataFrame, centre: np.ndarray) -> DataFrame:
-    """doc_id, the hash of id and text, source, lang, topic and tokens (words) of every document."""
+def told(table: DataFrame, centre: np.ndarray) -> DataFrame:
+    """Rows of ``vectors_of`` with their topic in place of the direction."""
 
     def make():
-        only_table(_SLOTS)
-
         def work(batch: pa.RecordBatch) -> dict:
-            topic, tokens = [], []
-            for text in batch.column(4).to_pylist():
-                v, n = direction(text)
-                topic.append(topic_of(centre, v, n))
-                tokens.append(n)
-            return {"doc_id": batch.column(0), "key": batch.column(1), "source": batch.column(2), "lang": batch.column(3), "topic": topic, "tokens": tokens}
+            topic = [topic_of(centre, np.frombuffer(v, np.int16), n) for v, n in zip(batch.column(5).to_pylist(), batch.column(4).to_pylist())]
+            return {"doc_id": batch.column(0), "key": batch.column(1), "source": batch.column(2), "lang": batch.column(3), "topic": topic, "tokens": batch.column(4)}
 
         return work
 
-    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c)
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), named("source"), named("lang"), F.coalesce("text", F.lit("")).alias("text")), _TOLD, make)
+    return map_rows(table.select(*_VECTOR.fieldNames()), _TOLD, make)
 
 
 def goals(names: list, mass: np.ndarray, target: dict | None, temper: float = TEMPER) -> np.ndarray:
@@ -163,16 +176,16 @@ def goals(names: list, mass: np.ndarray, target: dict | None, temper: float = TE
     return out / out.sum()
 
 
-def rake_cells(at: list[np.ndarray], share: np.ndarray, wanted: list[np.ndarray], rounds: int = RAKE_ROUNDS, within: float = RAKE_WITHIN) -> tuple[np.ndarray, list[float]]:
+def rake_cells(at: list[np.ndarray], share: np.ndarray, wanted: list[np.ndarray], rounds: int = RAKE_ROUNDS, within: float = RAKE_WITHIN, most: float = np.inf) -> tuple[np.ndarray, list[float]]:
     """Weights of the cells whose marginals meet ``wanted``, and the largest error left in each dimension.
 
-    A cell has its values' places in ``at`` and its share.
+    A cell has its values' places in ``at`` and its share; no weight is over ``most`` times that.
     """
     out, errors = share, [np.inf] * len(wanted)
     for _ in range(rounds):
         for place, goal in zip(at, wanted):
             now = np.bincount(place, weights=out, minlength=len(goal))
-            out = out * np.divide(goal, now, out=np.zeros_like(goal), where=now > 0)[place]
+            out = np.minimum(out * np.divide(goal, now, out=np.zeros_like(goal), where=now > 0)[place], most * share)
         errors = [float(np.abs(np.bincount(place, weights=out, minlength=len(goal)) - goal).max()) for place, goal in zip(at, wanted)]
         if max(errors) < within:
             break
@@ -189,7 +202,8 @@ def probabilities(cells: list[tuple], targets: dict[str, dict] | None = None, ra
     """The chance to stay of each cell of (source, lang, topic, tokens): its factor over the largest.
 
     The rate of kept tokens is the highest at which all chances are calibrated, unless a lower
-    one is given.
+    one is given.  Weights are first bounded so that ``LEAST_KEPT`` of the tokens stay; given targets
+    that can't be met so are met without the bound, at a lower rate.
     """
     cells = [c for c in cells if c[3] > 0]
     if not cells:
@@ -200,12 +214,16 @@ def probabilities(cells: list[tuple], targets: dict[str, dict] | None = None, ra
     mass = np.array([c[3] for c in cells], float)
     share = mass / mass.sum()
     wanted = [goals(names[d], np.bincount(at[d], weights=mass), (targets or {}).get(DIMENSION_NAMES[d]), temper) for d in range(3)]
-    order = sorted(range(3), key=lambda d: DIMENSION_NAMES[d] in (targets or {}))  # given targets are met last
-    weights, errors = rake_cells([at[d] for d in order], share, [wanted[d] for d in order])
+    given = {d for d in range(3) if DIMENSION_NAMES[d] in (targets or {})}
+    order = sorted(range(3), key=lambda d: d in given)  # given targets are met last
+    raked = lambda most: rake_cells([at[d] for d in order], share, [wanted[d] for d in order], most=most)
+    weights, errors = raked(1 / LEAST_KEPT)
+    if any(e > MISSED for d, e in zip(order, errors) if d in given):
+        weights, errors = raked(np.inf)
     for d, error in zip(order, errors):
         if error > MISSED:
             said = f"the shares of {DIMENSION_NAMES[d]} miss their targets by up to {error:.3g}"
-            if DIMENSION_NAMES[d] in (targets or {}):
+            if d in given:
                 raise ValueError(said)
             warnings.warn(said, stacklevel=2)
     factor = weights / share
@@ -229,8 +247,10 @@ class Mix:
 
 def fit(spark: SparkSession, docs: DataFrame, targets: dict[str, dict] | None = None, rate: float | None = None, start_rows: int = FIT_ROWS) -> tuple[Mix, DataFrame]:
     """The mix for ``docs`` and the table of what its documents are (see ``told``)."""
-    centre = fit_topics(docs, rows=start_rows)
-    table = stored(spark, told(docs, centre), "told")
+    vectors = stored(spark, vectors_of(docs), "vectors")
+    centre = fit_topics(vectors, rows=start_rows)
+    table = stored(spark, told(vectors, centre), "told")
+    discard(spark, vectors)
     rows = table.groupBy(*DIMENSION_NAMES).agg(F.sum("tokens").alias("tokens")).collect()
     return Mix(centre, probabilities([tuple(r) for r in rows], targets, rate)), table
 
@@ -273,12 +293,12 @@ def sample(spark: SparkSession, docs: DataFrame, targets: dict[str, dict] | None
 
     def run(batches):
         only_table(_SLOTS)
-        for whole in batches:
-            for start in range(0, whole.num_rows, SLICE):
-                batch, keep = whole.slice(start, SLICE), []
+        for rows in batches:
+            for start in range(0, rows.num_rows, SLICE):
+                batch, keep = rows.slice(start, SLICE), []
                 for text, source, lang, u in zip(batch.column(at["text"]).to_pylist(), batch.column(at["source"]).to_pylist(), batch.column(at["lang"]).to_pylist(), _draw(batch.column(len(at)).to_numpy())):
                     v, n = direction(text or "")
-                    keep.append(not n or u < mix.of(source, lang, topic_of(mix.centre, v, n)))
+                    keep.append(not n or u < mix.of(source, lang, topic_of(mix.centre, whole(v), n)))
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(pa.array(keep))
 
     return keyed.mapInArrow(run, docs.schema)

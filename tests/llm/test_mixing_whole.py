@@ -30,10 +30,22 @@ def test_topics_are_fitted_on_all_documents(spark):
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(rng.choice(words[10 * (i % 6) : 10 * (i % 6) + 20], 15))) for i in range(400)]
-    centre = mixing.fit_topics(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), topics=4, rows=20)
+    table = spark.createDataFrame([(*r, None, None) for r in rows], "doc_id long, text string, source string, lang string")
+    centre = mixing.fit_topics(mixing.vectors_of(table.repartition(3)), topics=4, rows=20)
     x = np.array([mixing.direction(t)[0] for _, t in rows])
     for _ in range(12):
         own = (x @ centre.T).argmax(axis=1)
         want = np.array([x[own == k].sum(axis=0) for k in range(len(centre))])
         want /= np.linalg.norm(want, axis=1, keepdims=True)
     assert len(centre) == 4 and np.abs(want - centre).max() < 0.02
+
+
+def test_tempered_shares_keep_half_of_the_tokens():
+    """Rare cells of skewed data don't take the rate down; what they miss is said."""
+    rng = np.random.default_rng(6)
+    cells = [(f"s{i}", g, t, int(10 ** rng.uniform(0, 6))) for i in range(40) for g in ("en", "de", None) for t in range(4) if rng.random() < 0.5]
+    cells.append(("hot", "en", 0, 50_000_000))
+    with pytest.warns(UserWarning):
+        chance = mixing.probabilities(cells)
+    total = sum(c[3] for c in cells)
+    assert sum(c[3] * chance[c[:3]] for c in cells) >= 0.49 * total and max(chance.values()) == 1.0
