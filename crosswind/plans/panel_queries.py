@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from crosswind.functions.expr import E, rounded, staged
 from crosswind.operators.factors import REGISTRY
 from crosswind.operators.kernel import zs
+from crosswind.sources.calendar import calendar_ctes
 from crosswind.sources.panels import given, run_sql
 
 EPS = f"CAST({E!r} AS DOUBLE)"
@@ -59,6 +60,20 @@ def rd(x: str, places: int = 6) -> str:
     return f"(round({x}, {places}) + {R})"
 
 
+def product(x: str) -> str:
+    """The aggregate product of 1 + x, defined for any x: signs and zeros are counted apart from the logarithms; null without rows."""
+    one = f"(1 + {x})"
+    return f"CASE WHEN max(CASE WHEN {one} = 0 THEN 1 ELSE 0 END) = 1 THEN 0.0 ELSE (1 - 2 * (sum(CASE WHEN {one} < 0 THEN 1 ELSE 0 END) % 2)) * exp(sum(CASE WHEN {one} <> 0 THEN ln(abs({one})) END)) END"
+
+
+def growth(x: str, order: str = "ORDER BY date") -> str:
+    """The running product of 1 + x, as ``product``; null counts as 0."""
+    over, one = f"OVER ({order})", f"(1 + coalesce({x}, 0))"
+    negative = f"(1 - 2 * (sum(CASE WHEN {one} < 0 THEN 1 ELSE 0 END) {over} % 2))"
+    logs = f"coalesce(sum(CASE WHEN {one} <> 0 THEN ln(abs({one})) END) {over}, 0)"
+    return f"CASE WHEN max(CASE WHEN {one} = 0 THEN 1 ELSE 0 END) {over} = 1 THEN 0.0 ELSE {negative} * exp({logs}) END"
+
+
 def ctes(d: Dialect, *more: tuple[str, str]) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in (*given(d.name), *more)) + "\n"
 
@@ -96,16 +111,21 @@ def bars_densify(d):
 
 @query
 def dq_validate(d):
+    """Counts by rule from one pass over the panel, and a status that is 1 where any rule counts."""
+    flag = lambda c: f"sum(CASE WHEN {c} THEN 1 ELSE 0 END)"
     more = (
         ("x", f"SELECT *, c / lag(c, 1) {P} - 1 AS ret, lead(c, 1) {P} / c - 1 AS nxt FROM panel"),
-        ("dates", f"SELECT date, lag(date, 1) OVER (ORDER BY date) AS prev FROM (SELECT DISTINCT date FROM panel) z"),
+        ("byd", f"SELECT date, count(*) AS n, {flag('c IS NULL')} AS missing, {flag('c <= 0 OR h < l')} AS bad, {flag('abs(ret) > 0.4 AND ret * nxt < -0.04')} AS spikes FROM x GROUP BY date"),
+        ("k", "SELECT *, lag(date, 1) OVER (ORDER BY date) AS prev FROM byd"),
+        ("t", f"SELECT count(*) AS days, {flag(d.days('date', 'prev') + ' > 5')} AS gaps, sum(missing) / CAST(sum(n) AS DOUBLE) AS missing, {d.by('max', 'missing / CAST(n AS DOUBLE)', 'date')} AS last, sum(bad) AS bad, sum(spikes) AS spikes FROM k"),
+        ("u", "SELECT CASE WHEN days < 300 THEN 1 ELSE 0 END AS short_history, gaps AS calendar_gap, CASE WHEN missing > 0.35 THEN 1 ELSE 0 END AS missing_close, CASE WHEN last > 0.25 THEN 1 ELSE 0 END AS missing_last, bad AS bad_price, spikes AS spike FROM t"),
     )
-    return ctes(d, *more) + f"""SELECT 'short_history' AS rule, CASE WHEN count(*) < 300 THEN 1 ELSE 0 END AS n FROM dates
-UNION ALL SELECT 'calendar_gap', count(*) FROM dates WHERE {d.days('date', 'prev')} > 7
-UNION ALL SELECT 'missing_close', CASE WHEN avg(CASE WHEN c IS NULL THEN 1.0 ELSE 0.0 END) > 0.35 THEN 1 ELSE 0 END FROM x
-UNION ALL SELECT 'missing_last', CASE WHEN avg(CASE WHEN c IS NULL THEN 1.0 ELSE 0.0 END) > 0.25 THEN 1 ELSE 0 END FROM x WHERE date = (SELECT max(date) FROM panel)
-UNION ALL SELECT 'bad_price', count(*) FROM x WHERE c <= 0 OR h < l
-UNION ALL SELECT 'spike', count(*) FROM x WHERE abs(ret) > 0.4 AND ret * nxt < -0.04"""
+    rules = ("short_history", "calendar_gap", "missing_close", "missing_last", "bad_price", "spike")
+    every = [(r, r) for r in rules] + [("degraded", "CASE WHEN " + " + ".join(rules) + " > 0 THEN 1 ELSE 0 END")]
+    if d.spark:
+        parts = ", ".join(f"'{n}', CAST({x} AS BIGINT)" for n, x in every)
+        return ctes(d, *more) + f"SELECT stack({len(every)}, {parts}) AS (rule, n) FROM u"
+    return ctes(d, *more) + " UNION ALL ".join(f"SELECT '{n}' AS rule, CAST({x} AS BIGINT) AS n FROM u" for n, x in every)
 
 
 @query
@@ -176,14 +196,8 @@ def membership_asof(d):
 
 @query
 def calendar_days(d):
-    """Weekdays without the fixed and floating market holidays of these years."""
-    return f"""WITH days AS (SELECT d, {d.weekday('d')} AS w, month(d) AS mo, day(d) AS da, year(d) AS y FROM {d.series('1995-01-01', '2001-12-31')} z),
-h AS (SELECT *, CASE WHEN (mo = 7 AND ((da = 4 AND w < 5) OR (da = 3 AND w = 4) OR (da = 5 AND w = 0)))
- OR (mo = 12 AND ((da = 25 AND w < 5) OR (da = 24 AND w = 4) OR (da = 26 AND w = 0)))
- OR (mo = 1 AND ((da = 1 AND w < 5) OR (da = 2 AND w = 0)))
- OR (mo = 1 AND w = 0 AND da BETWEEN 15 AND 21 AND y >= 1998) OR (mo = 2 AND w = 0 AND da BETWEEN 15 AND 21)
- OR (mo = 5 AND w = 0 AND da >= 25) OR (mo = 9 AND w = 0 AND da <= 7) OR (mo = 11 AND w = 3 AND da BETWEEN 22 AND 28) THEN 1 ELSE 0 END AS holiday FROM days)
-SELECT d, w, CASE WHEN w < 5 AND holiday = 0 THEN 1 ELSE 0 END AS trading FROM h"""
+    """Weekdays without market holidays; see ``sources.calendar``."""
+    return f"WITH {calendar_ctes(d, '1995-01-01', '2001-12-31')} SELECT d, w, trading FROM cal"
 
 
 # --- cross-section, information coefficients and weights
@@ -260,23 +274,34 @@ def quintile_spread(d):
     return ctes(d, *more) + f"SELECT date, factor, {rd('avg(CASE WHEN q > 0.8 THEN fwd END) - avg(CASE WHEN q < 0.2 THEN fwd END)')} AS spread FROM p GROUP BY date, factor"
 
 
-@query
-def nw_tstat(d):
-    """t statistics of mean coefficients with Bartlett-weighted autocovariances of five lags."""
-    more = (
+def _tstats(d: Dialect) -> tuple[tuple[str, str], ...]:
+    """``ts`` (factor, n, mean_ic, t): t statistics of mean coefficients with Bartlett-weighted autocovariances of five lags."""
+    var = "g0 + " + " + ".join(f"2 * {1 - k / 6!r} * coalesce(g{k}, 0)" for k in range(1, 6))
+    return (
         *_ic(d), ("x", "SELECT factor, date, ic - avg(ic) OVER (PARTITION BY factor) AS e, avg(ic) OVER (PARTITION BY factor) AS mean_ic FROM ic WHERE ic IS NOT NULL"),
         ("y", "SELECT factor, mean_ic, e" + "".join(f", lag(e, {k}) OVER (PARTITION BY factor ORDER BY date) AS e{k}" for k in range(1, 6)) + " FROM x"),
         ("z", "SELECT factor, max(mean_ic) AS mean_ic, count(*) AS n, sum(e * e) AS g0" + "".join(f", sum(e * e{k}) AS g{k}" for k in range(1, 6)) + " FROM y GROUP BY factor"),
+        ("ts", f"SELECT factor, n, mean_ic, mean_ic / (sqrt(greatest(({var}) / n / n, {EPS}))) AS t FROM z"),
     )
-    var = "g0 + " + " + ".join(f"2 * {1 - k / 6!r} * coalesce(g{k}, 0)" for k in range(1, 6))
-    return ctes(d, *more) + f"SELECT factor, n, {rd('mean_ic')} AS mean_ic, {rd(f'mean_ic / (sqrt(greatest(({var}) / n / n, {EPS})))', 4)} AS t FROM z"
+
+
+@query
+def nw_tstat(d):
+    return ctes(d, *_tstats(d)) + f"SELECT factor, n, {rd('mean_ic')} AS mean_ic, {rd('t', 4)} AS t FROM ts"
+
+
+def tail(t: str) -> str:
+    """Two-sided normal tail of t, by the rational approximation with error under 1e-7."""
+    k = f"(1 / (1 + 0.2316419 * abs({t})))"
+    poly = f"{k} * (0.319381530 + {k} * (-0.356563782 + {k} * (1.781477937 + {k} * (-1.821255978 + {k} * 1.330274429))))"
+    return f"(2 * 0.3989422804014327 * exp(-0.5 * {t} * {t}) * {poly})"
 
 
 @query
 def bh_qvalues(d):
-    """Step-up false discovery rates of the values of a list of p by factor."""
-    more = (("p", "SELECT * FROM (VALUES ('a', 0.001), ('b', 0.02), ('c', 0.03), ('d', 0.2), ('e', 0.04), ('f', 0.9)) AS t(factor, p)"), ("k", "SELECT factor, p, p * count(*) OVER () / row_number() OVER (ORDER BY p, factor) AS raw FROM p"))
-    return "WITH " + ", ".join(f"{n} AS ({q})" for n, q in more) + f" SELECT factor, {rd('CAST(p AS DOUBLE)')} AS p, {rd('CAST(least(1, min(raw) OVER (ORDER BY p DESC, factor DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS DOUBLE)')} AS q FROM k"
+    """p values of the factors' t statistics and their step-up false discovery rates."""
+    more = (*_tstats(d), ("p", f"SELECT factor, {tail('t')} AS p FROM ts"), ("k", "SELECT factor, p, p * count(*) OVER () / row_number() OVER (ORDER BY p, factor) AS raw FROM p"))
+    return ctes(d, *more) + f"SELECT factor, {rd('p', 5)} AS p, {rd('least(1.0, min(raw) OVER (ORDER BY p DESC, factor DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))', 5)} AS q FROM k"
 
 
 # --- construction, risk and performance
@@ -296,8 +321,8 @@ def cold_start(d):
 
 
 DRAW = (
-    ("g", "SELECT date, mkt, exp(sum(ln(1 + mkt * 0.1)) OVER (ORDER BY date)) AS nav FROM m"),
-    ("dd", "SELECT date, mkt * 0.1 AS ret, nav, (max(nav) OVER (ORDER BY date) - nav) / (max(nav) OVER (ORDER BY date) + 1e-12) AS dd FROM g"),
+    ("g", f"SELECT date, mkt, {growth('mkt')} AS nav FROM m"),
+    ("dd", "SELECT date, mkt AS ret, nav, (max(nav) OVER (ORDER BY date) - nav) / (max(nav) OVER (ORDER BY date) + 1e-12) AS dd FROM g"),
 )
 
 
@@ -309,7 +334,7 @@ def market_drawdown(d):
 @query
 def kill_latch(d):
     """On over the trip level, off under the rearm level, else as before."""
-    more = (("e", "SELECT date, dd, CASE WHEN dd > 0.02 THEN 1 WHEN dd < 0.005 THEN 0 END AS e FROM dd"), ("g2", "SELECT *, count(e) OVER (ORDER BY date) AS k FROM e"))
+    more = (("e", "SELECT date, dd, CASE WHEN dd > 0.15 THEN 1 WHEN dd < 0.10 THEN 0 END AS e FROM dd"), ("g2", "SELECT *, count(e) OVER (ORDER BY date) AS k FROM e"))
     return ctes(d, RETS, MARKET, *DRAW, *more) + "SELECT date, coalesce(max(e) OVER (PARTITION BY k), 0) AS latched FROM g2"
 
 
@@ -331,7 +356,7 @@ def backtest_pnl(d):
 
 @query
 def perf_summary(d):
-    more = (("g", "SELECT date, net, exp(sum(ln(1 + net)) OVER (ORDER BY date)) AS nav FROM net WHERE net > -1"), ("q", "SELECT *, nav / max(nav) OVER (ORDER BY date) - 1 AS dd FROM g"))
+    more = (("g", f"SELECT date, net, {growth('net')} AS nav FROM net"), ("q", "SELECT *, nav / max(nav) OVER (ORDER BY date) - 1 AS dd FROM g"))
     return ctes(d, *_book(d), *more) + f"""SELECT count(*) AS days, {rd('avg(net) * 252')} AS mean_annual, {rd('stddev_samp(net) * sqrt(252.0)')} AS vol_annual, {rd(f'avg(net) / (stddev_samp(net) + {EPS}) * sqrt(252.0)')} AS sharpe,
  {rd('avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END)')} AS win_rate, {rd('-min(dd)')} AS max_drawdown, {rd(d.skew('net'), 4)} AS skew, {rd(d.kurt('net'), 4)} AS kurt, {rd(d.pctl('net', 0.05))} AS p05, {rd(d.pctl('net', 0.95))} AS p95 FROM q"""
 
@@ -344,13 +369,14 @@ def benchmark_metrics(d):
 
 @query
 def yearly_table(d):
-    return ctes(d, *_book(d)) + f"SELECT year(date) AS y, count(*) AS days, {rd('exp(sum(ln(1 + net * 0.01))) - 1', 5)} AS ret, {rd('stddev_samp(net) * sqrt(252.0)')} AS vol FROM net WHERE net > -100 GROUP BY year(date) HAVING count(*) >= 40"
+    return ctes(d, *_book(d)) + f"SELECT year(date) AS y, count(*) AS days, {rd(product('net') + ' - 1', 5)} AS ret, {rd('stddev_samp(net) * sqrt(252.0)')} AS vol FROM net GROUP BY year(date) HAVING count(*) >= 40"
 
 
 @query
 def monthly_pivot(d):
-    cells = ", ".join(f"{rd(f'sum(CASE WHEN month(date) = {k} THEN net END)')} AS m{k:02d}" for k in range(1, 13))
-    return ctes(d, *_book(d)) + f"SELECT year(date) AS y, {cells} FROM net GROUP BY year(date)"
+    """Compounded returns of each year's months."""
+    cells = ", ".join(f"{rd(f'max(CASE WHEN mo = {k} THEN ret END)')} AS m{k:02d}" for k in range(1, 13))
+    return ctes(d, *_book(d), ("mr", f"SELECT year(date) AS y, month(date) AS mo, {product('net')} - 1 AS ret FROM net GROUP BY 1, 2")) + f"SELECT y, {cells} FROM mr GROUP BY y"
 
 
 @query
@@ -390,7 +416,7 @@ def rolling_corr(d):
 
 @query
 def hhi_effective_n(d):
-    return ctes(d, ("w", "SELECT date, asset, v / sum(v) OVER (PARTITION BY date) AS w FROM bars")) + f"SELECT date, {rd('sum(w * w)')} AS hhi, {rd('1 / sum(w * w)')} AS effective_n, {rd('max(w)')} AS top1 FROM w GROUP BY date"
+    return ctes(d, ("w", "SELECT date, asset, v / sum(v) OVER (PARTITION BY date) AS w FROM bars"), ("k", "SELECT *, row_number() OVER (PARTITION BY date ORDER BY w DESC, asset) AS k FROM w")) + f"SELECT date, {rd('sum(w * w)')} AS hhi, {rd('1 / sum(w * w)')} AS effective_n, {rd('max(w)')} AS top1, {rd('sum(CASE WHEN k <= 5 THEN w END)')} AS top5, {rd('sum(CASE WHEN k <= 10 THEN w END)')} AS top10 FROM k GROUP BY date"
 
 
 @query
@@ -529,14 +555,14 @@ def weekday_month(d):
 @query
 def return_histogram(d):
     """Sixty bins between the extremes, the last closed."""
-    more = (("x", f"SELECT ret, min(ret) OVER () AS lo, max(ret) OVER () AS hi FROM r WHERE ret IS NOT NULL"),)
+    more = (("e", "SELECT min(ret) AS lo, max(ret) AS hi FROM r"), ("x", "SELECT ret, lo, hi FROM r CROSS JOIN e WHERE ret IS NOT NULL"))
     return ctes(d, RETS, *more) + "SELECT CAST(least(59, floor((ret - lo) / (hi - lo) * 60)) AS INT) AS bin, count(*) AS n FROM x GROUP BY 1"
 
 
 @query
 def relative_performance(d):
     more = (MARKET, ("j", "SELECT n.date, net, mkt FROM net n JOIN m ON m.date = n.date"))
-    return ctes(d, *_book(d), *more) + f"SELECT date, {rd('exp(sum(ln(1 + net * 0.01)) OVER (ORDER BY date)) / exp(sum(ln(1 + mkt * 0.01)) OVER (ORDER BY date)) - 1')} AS relative FROM j"
+    return ctes(d, *_book(d), *more) + f"SELECT date, {rd(f"({growth('net')}) / nullif({growth('mkt')}, 0) - 1", 4)} AS relative FROM j"
 
 
 @query
@@ -579,8 +605,8 @@ SELECT id, {rd('edge')} AS edge, flags, {rd('risk')} AS risk_points, {rd('edge -
 def explain_delta(d):
     """The focus candidate less each of the eight best others."""
     return f"""WITH k AS (SELECT s_suppkey AS id, s_acctbal / 100 AS utility, (s_suppkey % 50) / 100.0 AS turnover FROM supplier), f AS (SELECT * FROM k WHERE id = 7),
-o AS (SELECT *, row_number() OVER (ORDER BY utility DESC, id) AS place FROM k WHERE id <> 7)
-SELECT o.id, o.place, {rd('f.utility - o.utility')} AS utility_delta, {rd('f.turnover - o.turnover')} AS turnover_delta FROM o CROSS JOIN f WHERE o.place <= 8"""
+b AS (SELECT * FROM k WHERE id <> 7 ORDER BY utility DESC, id LIMIT 8), o AS (SELECT *, row_number() OVER (ORDER BY utility DESC, id) AS place FROM b)
+SELECT o.id, o.place, {rd('f.utility - o.utility')} AS utility_delta, {rd('f.turnover - o.turnover')} AS turnover_delta FROM o CROSS JOIN f"""
 
 
 @query
@@ -593,7 +619,9 @@ UNION ALL SELECT 'status', CASE WHEN avg(CASE WHEN o_orderstatus = 'P' THEN 1.0
 
 @query
 def position_analytics(d):
-    return f"WITH {HOLD}, p AS (SELECT symbol, qty * price AS value FROM h), g AS (SELECT *, sum(abs(value)) OVER () AS gross, row_number() OVER (ORDER BY abs(value) DESC, symbol) AS k FROM p) SELECT count(*) AS names, {rd('sum(value) / max(gross)')} AS net_exposure, {rd('sum((value / gross) * (value / gross))', 8)} AS hhi, {rd('sum(CASE WHEN k <= 5 THEN abs(value) / gross END)')} AS top5 FROM g"
+    largest = "SELECT sum(abs(value)) AS top FROM (SELECT value FROM p ORDER BY abs(value) DESC, symbol LIMIT 5) z"
+    return f"""WITH {HOLD}, p AS (SELECT symbol, qty * price AS value FROM h), g AS (SELECT count(*) AS names, sum(abs(value)) AS gross, sum(value) AS net, sum(value * value) AS squares FROM p), t AS ({largest})
+SELECT names, {rd('net / gross')} AS net_exposure, {rd('squares / (gross * gross)', 8)} AS hhi, {rd('top / gross')} AS top5 FROM g CROSS JOIN t"""
 
 
 def text(f: Callable[[Dialect], str], dialect: str) -> str:

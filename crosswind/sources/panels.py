@@ -30,13 +30,13 @@ def given(dialect: str, asset: str = "s.s_nationkey", freq: str = "week") -> tup
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
-def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """SQL over the Parquet tables of a folder, without names that stay in the session."""
+def run_sql(spark: SparkSession, sf_dir: str, sql: str, **more: DataFrame) -> DataFrame:
+    """SQL over the Parquet tables of a folder, and frames by name, without names that stay in the session."""
     import re
 
     used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
-    frames = {f"_{t}": spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
+    frames = {f"_{t}": spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used} | {f"_{n}": f for n, f in more.items()}
     held = sql.replace("{", "{{").replace("}", "}}")
-    for t in used:
+    for t in [*used, *more]:
         held = re.sub(rf"(\b(?:FROM|JOIN)\s+){t}\b", rf"\1{{_{t}}}", held, flags=re.I)
     return spark.sql(held, **frames)
