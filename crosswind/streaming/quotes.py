@@ -46,3 +46,54 @@ def finished(notes: DataFrame, wanted: list[str], terminal=("Filled", "Cancelled
     """The last status of each wanted order, and if it is final."""
     own = notes.where(F.col("order_id").isin(wanted)).groupBy("order_id").agg(F.max_by("status", "ts").alias("status"))
     return own.select("order_id", "status", F.col("status").isin(list(terminal)).alias("done"))
+
+
+def notification(raw: DataFrame, column: str = "message") -> DataFrame:
+    """Account messages as (kind, type, data, timestamp): records without a type and data are control records."""
+    m = F.from_json(column, "type string, data string, timestamp long, action string, status string")
+    plain = m["type"].isNotNull() & m["data"].isNotNull()
+    kind = F.when(plain, "event").otherwise("control")
+    return raw.select(kind.alias("kind"), F.when(plain, m["type"]).otherwise(m["action"]).alias("type"), F.when(plain, m["data"]).otherwise(F.col(column)).alias("data"), F.timestamp_millis(m["timestamp"]).alias("timestamp"))
+
+
+def position_pnl(marks: DataFrame, positions: DataFrame) -> DataFrame:
+    """Value, unrealised gain and change on the day of each position (symbol, qty, cost, prev_close) at marks (symbol, mark); stream or table."""
+    return marks.join(F.broadcast(positions), "symbol").select(
+        "symbol", (F.col("qty") * F.col("mark")).alias("value"), (F.col("qty") * (F.col("mark") - F.col("cost"))).alias("unrealised"),
+        F.when(F.col("prev_close") > 0, F.col("mark") / F.col("prev_close") - 1).alias("day_change"),
+    )
+
+
+#: Statuses after which an order does not change.
+TERMINAL = ("Filled", "Cancelled", "Rejected", "Expired", "Removed", "Partially Removed")
+
+
+def watched(notes: DataFrame, timeout: str = "5 minutes") -> DataFrame:
+    """(order_id, status, outcome) once for each order of notes (order_id, status, ts): done at a terminal status, timeout if none comes in time.
+
+    State is one row an order; it leaves with the outcome, so it doesn't grow with finished orders.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    wait = int(pd.Timedelta(timeout).total_seconds() * 1000)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield pd.DataFrame({"order_id": [key[0]], "status": [last], "outcome": ["timeout"]})
+            return
+        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
+        final = rows[rows["status"].isin(TERMINAL)]
+        if len(final):
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"order_id": [key[0]], "status": [final["status"].iloc[0]], "outcome": ["done"]})
+        else:
+            state.update((rows["status"].iloc[-1],))
+            state.setTimeoutDuration(wait)
+
+    return notes.select("order_id", "status", "ts").groupBy("order_id").applyInPandasWithState(step, f"order_id {dict(notes.dtypes)['order_id']}, status string, outcome string", "status string", "append", GroupStateTimeout.ProcessingTimeTimeout)
