@@ -12,7 +12,7 @@ verified by its whole fingerprints, and verified pairs link documents to groups.
 Walks of many texts run side by side in NumPy, over the whole texts.
 
 Defined results: null text is the empty text, whose fingerprint is fixed; equal texts have equal
-fingerprints; the next document is by ascending id (ties by text), after the last the first, and
+fingerprints; the next document is by ascending id (ties by packed text), after the last the first, and
 of a table of one row the row itself; texts of any length are walked to their end; a null id comes first; repeated
 rows follow each other; an empty table gives an empty result; other columns are ignored.
 """
@@ -23,13 +23,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosswind.llm._shared import stored
-from crosswind.llm.near_dup import components
+from crosswind.llm._shared import discard, map_rows, stored
+from crosswind.llm.near_dup import by_group, components, extended, groups_of
 
 SLOTS = 128
 #: Bands, slots sampled for each, and the likeness from which texts are near.  42 bands of 3 slots miss a pair of likeness 0.6 with chance 0.00004.
@@ -51,13 +52,16 @@ CELLS = 24_000_000
 
 RESULT = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),
-    T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()),
+    T.StructField("fingerprint", T.BinaryType()), T.StructField("edited_fingerprint", T.BinaryType()),
     T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType()),
 ])
 
 
 def _bits() -> np.ndarray:
-    return np.random.default_rng(SEED).integers(0, 2, (PERIOD, ALPHABET), dtype=np.uint8)
+    """Column 0 is the cell after a text, where a walk stays."""
+    out = np.random.default_rng(SEED).integers(0, 2, (PERIOD, ALPHABET), dtype=np.uint8)
+    out[:, 0] = 0
+    return out
 
 
 def _records(slots: int, most: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -114,8 +118,8 @@ class Walker:
         flat = np.zeros(int(sizes.sum()) + lanes, np.uint32)
         for s, c in zip(starts, codes):
             flat[s : s + len(c)] = c
-        low = (flat % ALPHABET).astype(np.uint8)
-        ends = starts + sizes  # the cell after a text holds 0 and isn't left
+        low = (flat % (ALPHABET - 1) + 1).astype(np.uint8)
+        ends = starts + sizes
         low[ends] = 0
         wanted = self.wanted[: np.searchsorted(self.wanted, most)]
         need = np.zeros(most + RUN, bool)
@@ -123,32 +127,30 @@ class Walker:
             need[wanted + r] = True
         kept_at = np.cumsum(need) - 1
         kept = np.zeros((int(need.sum()), lanes), np.uint32)
-        pos, bits, steps = starts.copy(), self.bits, sizes.copy()
-        sure = int(sizes.min())  # no lane ends before it has made as many steps as it has characters
+        inside = np.zeros((len(kept), lanes), bool)
+        pos, bits = starts.copy(), self.bits
         for j in range(most + RUN):
+            here = low[pos]
             if need[j]:
                 kept[kept_at[j]] = flat[pos]
-            if j < sure:
-                pos += bits[j & (PERIOD - 1)][low[pos]]
-                continue
-            live = pos < ends
-            if not j & 31 and not live.any():
+                inside[kept_at[j]] = here > 0
+            if not j & 63 and not here.any():
                 break  # what is written beyond the end is 0
-            steps += live & (j >= sizes)
-            pos += (bits[j & (PERIOD - 1)][low[pos]] | (j >= late)) & live
+            pos += bits[j & (PERIOD - 1)][here] if j < late else here > 0
         # bytes of the written characters at each wanted step
         value = np.zeros((len(wanted), lanes), np.uint64)
         for r in range(RUN):
             value = (value ^ kept[kept_at[wanted + r]]) * np.uint64(0x100000001B3) + np.uint64(0x9E3779B97F4A7C15)
             value ^= value >> np.uint64(29)
         value = (value * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(56)).astype(np.uint8)
+        made = inside[kept_at[wanted]].sum(axis=0)  # wanted steps that a lane made before its end
         out = np.zeros((lanes, self.slots), np.uint8)
         own = np.arange(lanes)
         for s, mine in enumerate(self.records):
-            last = np.searchsorted(mine, steps, side="left") - 1  # the last record among a lane's own steps
+            rows = np.searchsorted(wanted, mine[mine < most])
+            last = np.searchsorted(rows, made, side="left") - 1  # the last record among a lane's own steps
             ok = last >= 0
-            row = np.searchsorted(wanted, mine[np.maximum(last, 0)])
-            out[ok, s] = value[np.minimum(row, len(wanted) - 1), own][ok]
+            out[ok, s] = value[rows[np.maximum(last, 0)], own][ok]
         return out
 
 
@@ -192,15 +194,46 @@ def with_next(docs: DataFrame, parts: int) -> tuple[DataFrame, int]:
     return rows.select("bucket", F.lit(0).alias("tail"), "doc_id", "text").unionByName(tails), len(firsts)
 
 
+def _named(raw: DataFrame) -> DataFrame:
+    """Fingerprints as text."""
+    return raw.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
 def fingerprint_with_edit(spark: SparkSession, docs: DataFrame, parts: int | None = None, slots: int = SLOTS) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and how near they are; see the module."""
+    return _named(_raw(spark, docs, parts, slots))
+
+
+_PACKED = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("tail", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("packed", T.BinaryType())])
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """The texts compressed, as all of them are shuffled."""
+
+    def make():
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+
+        def work(batch: pa.RecordBatch) -> dict:
+            texts = batch.column(3).to_pylist()
+            return {"bucket": batch.column(0), "tail": batch.column(1), "doc_id": batch.column(2), "packed": [squeeze(t.encode("utf-8", "surrogatepass")) for t in texts]}
+
+        return work
+
+    return map_rows(rows.select(F.col("bucket").cast("int"), F.col("tail").cast("int"), "doc_id", "text"), _PACKED, make)
+
+
+def _raw(spark: SparkSession, docs: DataFrame, parts: int | None, slots: int = SLOTS) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows, buckets = with_next(docs, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        into, walker = to_arrow_schema(RESULT), Walker(slots)
+        import zstandard
+
+        into, walker, unpack = to_arrow_schema(RESULT), Walker(slots), zstandard.ZstdDecompressor().decompress
 
         def out(group: list[tuple[int, str]]) -> pa.RecordBatch:
             """All rows but the last, which is only the next of the one before it."""
@@ -214,21 +247,22 @@ def fingerprint_with_edit(spark: SparkSession, docs: DataFrame, parts: int | Non
                     after[i] = mine[i]
             return pa.RecordBatch.from_arrays([
                 pa.array([d for d, _ in group[:-1]], pa.int64()), pa.array([len(t) for t in own], pa.int64()),
-                pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]), pa.array([r.tobytes().hex() for r in mine]),
-                pa.array([r.tobytes().hex() for r in after]), pa.array(likeness(mine, after)), pa.array(likeness(mine, follow)),
+                pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]), pa.array([r.tobytes() for r in mine]),
+                pa.array([r.tobytes() for r in after]), pa.array(likeness(mine, after)), pa.array(likeness(mine, follow)),
             ], schema=into)
 
         held: list[tuple[int, str]] = []
         last_bucket, size = None, 0
         tail: tuple[int, str] | None = None
         for batch in batches:
-            for bucket, is_tail, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, is_tail, doc_id, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                text = unpack(packed).decode("utf-8", "surrogatepass")
                 if bucket != last_bucket:
                     if len(held) > 1:
                         yield out(held)
                     held, size, last_bucket, tail = [], 0, bucket, None
                 if is_tail and tail is not None:
-                    continue  # of several rows with the first id, the first by text
+                    continue  # of several rows with the first id, the first by its packed text
                 if is_tail:
                     tail = (doc_id, text)
                 held.append((doc_id, text))
@@ -239,8 +273,8 @@ def fingerprint_with_edit(spark: SparkSession, docs: DataFrame, parts: int | Non
         if len(held) > 1:
             yield out(held)
 
-    dealt = rows.repartition(max(1, min(buckets, parts)), "bucket").sortWithinPartitions("bucket", "tail", "doc_id", "text")
-    return dealt.select("bucket", "tail", "doc_id", "text").mapInArrow(run, RESULT)
+    dealt = _packed(rows).repartition(max(1, min(buckets, parts)), "bucket").sortWithinPartitions("bucket", "tail", "doc_id", "packed")
+    return dealt.select("bucket", "tail", "doc_id", "packed").mapInArrow(run, RESULT)
 
 
 def _sampled(slots: int, band: int, bands: int = BANDS) -> list[list[int]]:
@@ -249,101 +283,119 @@ def _sampled(slots: int, band: int, bands: int = BANDS) -> list[list[int]]:
     return [sorted(int(i) for i in rng.choice(slots, min(band, slots), replace=False)) for _ in range(bands)]
 
 
-def _bands(one: DataFrame, band: int, slots: int = SLOTS) -> DataFrame:
-    """(token, cls): the sampled slots of each fingerprint, as hashes of the band's number and the slots."""
-    token = lambda b, at: F.xxhash64(F.lit(b), *[F.substr("fingerprint", F.lit(2 * i + 1), F.lit(2)) for i in at])
-    return one.select("cls", F.explode(F.array(*[token(b, at) for b, at in enumerate(_sampled(slots, band))])).alias("token"))
-
-
-def _verified(pairs: DataFrame, one: DataFrame, least: float) -> DataFrame:
-    """Of the pairs (a, b), those whose whole fingerprints are near, with how near."""
-    x, y = one.select(F.col("cls").alias("a"), F.col("fingerprint").alias("x")), one.select(F.col("cls").alias("b"), F.col("fingerprint").alias("y"))
-    slots, at = F.length("x") / 2, lambda c, i: F.substr(c, i * 2 + 1, F.lit(2))
-    same = F.size(F.filter(F.sequence(F.lit(0), (slots - 1).cast("int")), lambda i: at(F.col("x"), i) == at(F.col("y"), i)))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", ((same / slots - 1 / 256) / (1 - 1 / 256)).alias("near")).where(F.col("near") >= least)
-
-
-_LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+_POSTED = T.StructType([T.StructField("token", T.LongType()), T.StructField("cls", T.LongType())])
 
 
-def _links_of(cls: np.ndarray, root: np.ndarray, side: np.ndarray, rows: np.ndarray, cross: bool, least: float) -> list[tuple[int, int]]:
-    """Near pairs that join the components met here; pairs joined already aren't compared."""
-    out, root = [], np.unique(root, return_inverse=True)[1]
-    for k in range(len(cls) - 1):
-        rest = k + 1 + np.flatnonzero((root[k + 1 :] != root[k]) & ((side[k + 1 :] != side[k]) | (not cross)))
-        if len(rest):
-            for m in rest[likeness(rows[k][None], rows[rest]) >= least]:
-                if root[m] != root[k]:
-                    out.append((int(cls[k]), int(cls[m])))
-                    root[root == root[m]] = root[k]
-    return out
-
+def _bands(one: DataFrame, band: int, slots: int = SLOTS) -> DataFrame:
+    """(token, cls) of tokens that several classes have: the sampled slots of each fingerprint, hashed with the band's number.
 
-def _left_open(spark: SparkSession, lists: DataFrame, one: DataFrame, least: float) -> DataFrame:
-    """Near pairs between components that meet in a band, by blocks of long groups and the pairs of blocks."""
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    sized = lists.join(lists.groupBy("token").agg(F.count(F.lit(1)).alias("m")), "token").select("token", "cls", "root", parts.alias("parts"), F.pmod(F.xxhash64("cls"), parts).cast("int").alias("side"))
-    dealt = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).join(one.select("cls", F.unhex("fingerprint").alias("row")), "cls")
-    dealt = dealt.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "cls", "root", "row")
-    dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "cls")
+    Rows are shuffled once and read in order; a token's row is told when another one follows, so no
+    list is held.
+    """
+    token = lambda b, at: F.xxhash64(F.lit(b), *[F.substr("row", F.lit(i + 1), F.lit(1)) for i in at])
+    every = one.select(F.explode(F.array(*[token(b, at) for b, at in enumerate(_sampled(slots, band))])).alias("token"), "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(table: pa.Table) -> pa.RecordBatch:
-            token, i, j, side, cls, root = (table.column(c).to_numpy() for c in range(6))
-            rows = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(len(token), -1)
-            change, links = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, []
-            for s, e in zip([0, *change], [*change, len(token)]):
-                links += _links_of(cls[s:e], root[s:e], side[s:e], rows[s:e], i[s] != j[s], least)
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
-
-        held: list[pa.RecordBatch] = []
+        last: tuple[int, int, bool] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = [batch.column(c).to_numpy() for c in range(3)]
-            # the last group may go on in the next batch, and the first may have begun in the one before
-            start = int(np.argmax(np.logical_and.reduce([k == k[-1] for k in keys])))
-            if start:
-                yield found(pa.Table.from_batches([*held, batch.slice(0, start)]))
-                held = []
-            elif held and any(k[0] != held[0].column(c)[0].as_py() for c, k in enumerate(keys)):
-                yield found(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(start))
-        if held:
-            yield found(pa.Table.from_batches(held))
-
-    return dealt.mapInArrow(run, _LINK).distinct()
+            tokens, cls = (batch.column(c).to_numpy() for c in range(2))
+            if last is not None:
+                tokens, cls = np.concatenate([[last[0]], tokens]), np.concatenate([[last[1]], cls])
+            same = tokens[1:] == tokens[:-1]
+            shared = np.zeros(len(tokens), bool)
+            shared[1:] |= same
+            shared[:-1] |= same
+            told = shared.copy()
+            told[-1] = False  # it may be told with the next batch
+            if last is not None and last[2]:
+                told[0] = True
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[told]), pa.array(cls[told])], names=["token", "cls"])
+            last = (tokens[-1], cls[-1], bool(shared[-1]))
+        if last is not None and last[2]:
+            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], names=["token", "cls"])
+
+    return every.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(run, _POSTED)
+
+
+class _Side:
+    """Members on one side of a comparison."""
+
+    def __init__(self, table: pa.Table):
+        self.cls, self.root = (table.column(c).to_numpy().copy() for c in ("cls", "root"))
+        self.rows = np.frombuffer(b"".join(table.column("row").to_pylist()), np.uint8).reshape(len(self.cls), -1)
+
+
+def _links_between(left: _Side, right: _Side, least: float) -> list[tuple[int, int]]:
+    """Verified pairs of two sides that join components, in the order found; pairs joined already aren't compared."""
+    links = []
+    for y in range(len(left.cls)):
+        met = np.flatnonzero((right.root != left.root[y]) & (right.cls != left.cls[y]))
+        for x in met[likeness(left.rows[y][None], right.rows[met]) >= least] if len(met) else ():
+            if right.root[x] != left.root[y]:
+                links.append((int(left.cls[y]), int(right.cls[x])))
+                old = right.root[x]
+                right.root[right.root == old] = left.root[y]
+                left.root[left.root == old] = left.root[y]
+    return links
+
+
+def _parts(n) -> Column:
+    return F.ceil(n / F.lit(BLOCK)).cast("int")
+
+
+def _stars(members: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """Links of each group's members with its head; a large group is dealt to several tasks, each with the head."""
+    sizes = members.groupBy("head").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("parts", _parts(F.col("m")))
+    every, one = F.sequence(F.lit(0), F.col("parts") - 1), F.array(F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    dealt = members.join(sizes, "head").select("head", "cls", F.explode(F.when(F.col("cls") == F.col("head"), every).otherwise(one)).alias("i")).join(rows, "cls")
+    dealt = dealt.select("head", "i", "cls", F.col("cls").alias("root"), "row").repartition("head", "i").sortWithinPartitions("head", "i", F.col("cls") != F.col("head"), "cls")
+    return by_group(dealt, 2, lambda t: _links_between(_Side(t.slice(0, 1)), _Side(t.slice(1)), least) if t.num_rows > 1 else [])
+
+
+def _across(members: DataFrame, rows: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Links between components inside groups: members outside a group's largest component against all, by blocks of both sides."""
+    at = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    by = at.groupBy("head", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("head").agg(F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("m")).where(F.col("m") > F.col("most.m"))
+    by = by.select("head", F.col("most.root").alias("most"), _parts(F.col("m")).alias("right"), _parts(F.col("m") - F.col("most.m")).alias("left"))
+    open_ = at.join(by, "head")
+    side = lambda parts, seed: F.pmod(F.xxhash64(F.lit(seed), "cls"), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    lefts = open_.where(F.col("root") != F.col("most")).select("head", side("left", 1).alias("i"), every("right").alias("j"), F.lit(0).alias("side"), "cls", "root")
+    rights = open_.select("head", every("left").alias("i"), side("right", 2).alias("j"), F.lit(1).alias("side"), "cls", "root")
+    dealt = lefts.unionByName(rights).join(rows, "cls").select("head", "i", "j", "side", "cls", "root", "row").repartition("head", "i", "j").sortWithinPartitions("head", "i", "j", "side", "cls")
+
+    def found(table: pa.Table) -> list:
+        many = int((table.column("side").to_numpy() == 0).sum())
+        return _links_between(_Side(table.slice(0, many)), _Side(table.slice(many)), least) if 0 < many < table.num_rows else []
+
+    return by_group(dealt, 3, found)
 
 
 def _linked(spark: SparkSession, one: DataFrame, band: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b, near) of the classes ``one``, and the (node, root) of their components.
+    """Verified links (a, b) of the classes ``one``, and the (node, root) of their components.
 
-    A band's members are first compared with its most shared fingerprint, so that groups of edits
-    of one text become components.  Where a band still holds several components, all pairs
-    between them are compared.
+    Bands are grouped by their most shared fingerprint, the head; members are verified against it,
+    so that edits of one text become a component, and where a group still holds several components
+    the members outside the largest are verified against all others.
     """
     keys = stored(spark, _bands(one, band), "bands")
-    shared = keys.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    lists = stored(spark, keys.join(shared, "token"), "shared")
-    weight = lists.groupBy("cls").agg(F.sum("m").alias("w"))
-    heads = lists.join(weight, "cls").groupBy("token").agg(F.max_by("cls", F.struct("w", "cls")).alias("head"))
-    met = lists.join(heads, "token").where("cls <> head").select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct()
-    links = stored(spark, _verified(met, one, least), "links", small=True)
+    members = groups_of(spark, keys)
+    discard(spark, keys)
+    rows = stored(spark, one.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "row"), "rows")
+    links = stored(spark, _stars(members, rows, least), "links")
     roots = components(spark, links)
-    at = lists.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("token", "cls", F.coalesce("root", "cls").alias("root"))
-    several = at.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-    more = stored(spark, _left_open(spark, stored(spark, at.join(several, "token", "left_semi"), "open"), one, least), "more", small=True)
+    more = stored(spark, _across(members, rows, roots, least), "more")
     if not more.isEmpty():
-        links = stored(spark, links.unionByName(_verified(more, one, least)), "links", small=True)
-        roots = components(spark, links)
+        links, roots = links.unionByName(more), extended(spark, roots, more)
     return links, roots
 
 
 def _classes(spark: SparkSession, prints: DataFrame) -> DataFrame:
-    """Documents with equal fingerprints stand for each other: the first id and the number of each."""
-    one = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    return stored(spark, one.select(F.xxhash64("fingerprint").alias("cls"), "fingerprint", "doc_id", "copies"), "prints")
+    """Documents (doc_id, row) with equal fingerprints stand for each other: the first id and the number of each."""
+    one = prints.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    return stored(spark, one.select(F.xxhash64("row").alias("cls"), "row", "doc_id", "copies"), "prints")
 
 
 def near_pairs(prints: DataFrame, band: int = BAND, least: float = LEAST) -> DataFrame:
@@ -354,24 +406,32 @@ def near_pairs(prints: DataFrame, band: int = BAND, least: float = LEAST) -> Dat
     through others.
     """
     spark = prints.sparkSession
-    one = _classes(spark, prints)
+    one = _classes(spark, prints.select("doc_id", F.unhex("fingerprint").alias("row")))
     links, _ = _linked(spark, one, band, least)
-    named = lambda c: one.select(F.col("cls").alias(c), F.col("doc_id").alias(f"{c}_id"))
-    return links.join(named("a"), "a").join(named("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "near")
+    named = lambda c: one.select(F.col("cls").alias(c), F.col("doc_id").alias(f"{c}_id"), F.col("row").alias(f"{c}_row"))
+
+    @F.pandas_udf("double")
+    def near(x: pd.Series, y: pd.Series) -> pd.Series:
+        rows = [np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1) for c in (x, y)]
+        return pd.Series(likeness(*rows))
+
+    both = links.join(named("a"), "a").join(named("b"), "b")
+    return both.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), near("a_row", "b_row").alias("near"))
 
 
 def with_groups(spark: SparkSession, docs: DataFrame, parts: int | None = None, band: int = BAND, least: float = LEAST) -> DataFrame:
     """``fingerprint_with_edit`` and near_group, the first id that near fingerprints link a document to."""
-    table = stored(spark, fingerprint_with_edit(spark, docs, parts), "fingerprints")
-    one = _classes(spark, table.select("doc_id", "fingerprint"))
+    table = stored(spark, _raw(spark, docs, parts).withColumn("cls", F.xxhash64("fingerprint")), "fingerprints")
+    one = _classes(spark, table.select("doc_id", F.col("fingerprint").alias("row")))
     _, roots = _linked(spark, one, band, least)
-    rooted = one.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rooted = one.select("cls", "doc_id", "copies").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     first = rooted.groupBy("root").agg(F.min("doc_id").alias("near_group"))
-    groups = stored(spark, rooted.join(first, "root").select("fingerprint", "copies", "near_group"), "groups")
+    groups = stored(spark, rooted.join(first, "root").select("cls", "copies", "near_group"), "groups")
+    discard(spark, one)
     # fingerprints of many copies are few: their rows aren't dealt by fingerprint
     many = max(1, table.count() // MOST_SHARE)
-    heavy = groups.where(F.col("copies") > many).select("fingerprint", F.col("near_group").alias("heavy"))
-    both = table.join(F.broadcast(heavy), "fingerprint", "left")
+    heavy = groups.where(F.col("copies") > many).select("cls", F.col("near_group").alias("heavy"))
+    both = table.join(F.broadcast(heavy), "cls", "left")
     names = [*RESULT.fieldNames(), "near_group"]
-    light = both.where("heavy is null").join(groups.select("fingerprint", "near_group"), "fingerprint")
-    return light.select(*names).unionByName(both.where("heavy is not null").withColumn("near_group", F.col("heavy")).select(*names))
+    light = both.where("heavy is null").join(groups.select("cls", "near_group"), "cls")
+    return _named(light.select(*names).unionByName(both.where("heavy is not null").withColumn("near_group", F.col("heavy")).select(*names)))

@@ -188,7 +188,7 @@ def _postings(spark: SparkSession, classes: DataFrame, coordinates: int, matches
     return map_rows(classes.select("cls", "sig"), _POSTED, make)
 
 
-def _groups(spark: SparkSession, posts: DataFrame) -> DataFrame:
+def groups_of(spark: SparkSession, posts: DataFrame) -> DataFrame:
     """(head, cls), each once: every member of a list with the list's head, and the head with itself.
 
     Two classes of one list are both in its head's group.  The many lists of a group of like
@@ -299,7 +299,7 @@ def links_between(left: _Side, right: _Side, percent: int, matches: int) -> list
     return links
 
 
-def _by_group(dealt: DataFrame, keys: int, found) -> DataFrame:
+def by_group(dealt: DataFrame, keys: int, found) -> DataFrame:
     """``found`` of each run of rows equal in the first ``keys`` columns, by which ``dealt`` is sorted in its partitions."""
 
     def run(batches):
@@ -348,7 +348,7 @@ def _stars(members: DataFrame, full: DataFrame, settings: Settings, coordinates:
         left, right = _Side(table.slice(0, 1), coordinates), _Side(table.slice(1), coordinates)
         return links_between(left, right, percent, matches) if table.column("head")[0].as_py() == left.cls[0] else []
 
-    return _by_group(dealt, 2, found)
+    return by_group(dealt, 2, found)
 
 
 def _across(spark: SparkSession, members: DataFrame, full: DataFrame, roots: DataFrame, settings: Settings, coordinates: int, matches: int) -> DataFrame:
@@ -378,7 +378,7 @@ def _across(spark: SparkSession, members: DataFrame, full: DataFrame, roots: Dat
             return []
         return links_between(_Side(table.slice(0, many), coordinates), _Side(table.slice(many), coordinates), percent, matches)
 
-    return _by_group(dealt, 3, found)
+    return by_group(dealt, 3, found)
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -409,7 +409,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     return map_ if map_ is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
 
 
-def _extended(spark: SparkSession, roots: DataFrame, more: DataFrame) -> DataFrame:
+def extended(spark: SparkSession, roots: DataFrame, more: DataFrame) -> DataFrame:
     """The components ``roots`` (node, root) with the links ``more`` (a, b) between them."""
     ends = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     every = stored(spark, ends.join(roots, "node", "full").select("node", F.coalesce("root", "node").alias("root")), "roots", small=True)
@@ -425,7 +425,7 @@ def find(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(),
     classes = sets.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("cls"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = stored(spark, classes, "classes")
     posts = stored(spark, _postings(spark, classes, coordinates, matches), "postings")
-    groups = _groups(spark, posts)
+    groups = groups_of(spark, posts)
     discard(spark, posts)
     full = _full(spark, groups, classes, docs, settings.words, coordinates)
     members = stored(spark, groups.join(full.select("cls", "n"), "cls"), "members")
@@ -435,7 +435,7 @@ def find(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(),
     more = stored(spark, _across(spark, members, full, roots, settings, coordinates, matches), "across")
     discard(spark, members, full)
     if not more.isEmpty():
-        roots = _extended(spark, roots, more)
+        roots = extended(spark, roots, more)
     rooted = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("hi", "lo", F.coalesce("root", "cls").alias("root"))
     ids = sets.select("doc_id", "n", "hi", "lo").join(rooted, ["hi", "lo"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(F.col("doc_id"))
