@@ -60,7 +60,7 @@ def test_languages_on_the_held_out_fold(spark, documents):
 
 
 def test_rule_verdicts(spark):
-    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    docs, labels = spark.read.parquet(f"{MORE}/documents.parquet"), spark.read.parquet(f"{MORE}/labels.parquet")
     rules = rule_lists.learned(spark, docs, labels)
     stats = rule_lists.statistics(docs, "doc_id").select("doc_id", *rule_lists.BASE, *[v.alias(k) for k, v in rule_lists.shares().items()]).toPandas().set_index("doc_id")
     x = stats[list(rule_lists.shares())].to_numpy(float)
@@ -96,12 +96,10 @@ def test_fingerprint_bands_meet_near_texts(spark):
     for at in edit_fingerprint._sampled(edit_fingerprint.SLOTS, edit_fingerprint.BAND):
         met |= (a[:, at] == b[:, at]).all(axis=1)
     assert near.sum() > 100 and met[near].mean() >= 0.9
-    # the end of a text counts: a change of its last part changes fingerprints about as much as one of its first
+    # the end of a text counts: a change of its last fifth changes about a fifth of the slots
     long = [t for t in texts if len(t) > 400]
-    tail, head = walker.fingerprints([t[: -len(t) // 5] + "#" * (len(t) // 5) for t in long]), walker.fingerprints(["#" * (len(t) // 5) + t[len(t) // 5 :] for t in long])
-    plain = walker.fingerprints(long)
-    lost = [1 - edit_fingerprint.likeness(plain, x).mean() for x in (tail, head)]
-    assert 0.1 < lost[0] and lost[0] > 0.4 * lost[1]
+    changed = walker.fingerprints([t[: -(len(t) // 5)] + "#" * (len(t) // 5) for t in long])
+    assert 0.15 < 1 - edit_fingerprint.likeness(walker.fingerprints(long), changed).mean() < 0.3
 
 
 def test_license_base_columns(spark, documents):
