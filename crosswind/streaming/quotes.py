@@ -29,11 +29,14 @@ def latest(quotes: DataFrame) -> DataFrame:
     return newest.select("symbol", "ts", "q.bid", "q.ask", "q.last", mark(F.col("q.bid"), F.col("q.ask"), F.col("q.last")).alias("mark"))
 
 
-def candles(trades: DataFrame, late: str = "1 day", width: str = "1 day") -> DataFrame:
-    """Open, high, low, close and volume by symbol and window; rows later than the watermark are dropped."""
+def candles(trades: DataFrame, late: str = "1 day", width: str = "1 day", order: str = "ts") -> DataFrame:
+    """Open, high, low, close and volume by symbol and window; rows later than the watermark are dropped.
+
+    ``order``: the column that says which trades are first and last, where times can be equal.
+    """
     t = trades.withWatermark("ts", late)
     return t.groupBy("symbol", F.window("ts", width).alias("w")).agg(
-        F.min_by("price", "ts").alias("o"), F.max("price").alias("h"), F.min("price").alias("l"), F.max_by("price", "ts").alias("c"), F.sum("size").alias("v")
+        F.min_by("price", order).alias("o"), F.max("price").alias("h"), F.min("price").alias("l"), F.max_by("price", order).alias("c"), F.sum("size").alias("v")
     ).select("symbol", F.col("w.start").alias("start"), "o", "h", "l", "c", "v")
 
 
