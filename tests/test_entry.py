@@ -4,10 +4,11 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from crosswind.plans import factor_queries, panel_queries
+from crosswind.plans import board_queries, book_queries, catalog, factor_queries, ledger_queries, meta_queries, panel_queries, risk_queries, stateful_queries, universe_queries
 
 ROOT = Path(__file__).resolve().parent.parent
 DATA = "/root/testdata/sf0.001"
@@ -23,15 +24,18 @@ def duck():
 
 
 def rows_of(frame):
-    plain = lambda v: None if v is None or isinstance(v, float) and math.isnan(v) else round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)[:10]
+    plain = lambda v: None if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v) else round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)[:10]
     columns = sorted(frame.columns)
     return sorted([tuple(plain(v) for v in r) for r in frame[columns].astype(object).itertuples(index=False)], key=str)
 
 
-QUERIES = panel_queries.queries() | factor_queries.queries()
+QUERIES = entry.queries()
+#: Of the heavy modules some stand for all, as they share their plans.
+WHOLE = [n for m in (panel_queries, risk_queries, universe_queries, ledger_queries, stateful_queries, catalog, book_queries) for n in m.oracle_sql()]
+SOME = ["ic_state", "sleeve_weights", "candidate_board", "board_hash"]
 
 
-@pytest.mark.parametrize("name", [*panel_queries.queries(), *[f"f_{n}" for n in SOME_FACTORS if f"f_{n}" in QUERIES]])
+@pytest.mark.parametrize("name", [*WHOLE, *SOME, *[f"f_{n}" for n in SOME_FACTORS if f"f_{n}" in QUERIES]])
 def test_query_equals_sql(spark, duck, name):
     got, want = QUERIES[name](spark, DATA).toPandas(), duck.execute(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
@@ -42,6 +46,12 @@ def test_query_equals_sql(spark, duck, name):
             assert u == v or isinstance(u, float) and isinstance(v, float) and abs(u - v) <= 2e-5 * max(1, abs(u)), (x, y)
 
 
+def test_names_are_registered_once():
+    every = [n for m in entry.PLANS for n in m.queries()]
+    assert len(every) == len(set(every)) and set(SOME) <= {*meta_queries.queries(), *board_queries.queries()}
+    assert set(entry.oracle_sql()) <= set(QUERIES) and {f"f_{n}" for n in factor_queries.REGISTRY} <= set(QUERIES)
+
+
 def test_registry_is_whole():
     assert len([n for n in entry.queries() if n.startswith("f_")]) == 105
 
