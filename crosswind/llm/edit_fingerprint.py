@@ -181,15 +181,16 @@ def with_next(docs: DataFrame, parts: int) -> tuple[DataFrame, int]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
     bounds = sorted({int(c) for c in cuts})
-    bucket = _bucket(F.col("doc_id"), bounds) if bounds else F.lit(0)
-    ids = docs.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.min("doc_id").alias("first")).collect()
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))  # rows without an id come first
+    bucket = _bucket(key, bounds) if bounds else F.lit(0)
+    ids = docs.select(key.alias("key"), bucket.alias("bucket")).groupBy("bucket").agg(F.min("key").alias("first")).collect()
     firsts = sorted((r["bucket"], r["first"]) for r in ids)  # one for each range: as many as there are bounds
     if not firsts:
         return docs.select(F.lit(0).alias("bucket"), F.lit(0).alias("tail"), "doc_id", "text"), 1
     before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
     rows = docs.select("doc_id", "text", bucket.alias("bucket"))
-    small = docs.sparkSession.createDataFrame(list(before.items()), "doc_id long, bucket int")  # a row for each range
-    wanted = rows.drop("bucket").join(F.broadcast(small), "doc_id")
+    small = docs.sparkSession.createDataFrame(list(before.items()), "key long, bucket int")  # a row for each range
+    wanted = rows.drop("bucket").withColumn("key", key).join(F.broadcast(small), "key")
     tails = wanted.select("bucket", F.lit(1).alias("tail"), "doc_id", "text")
     return rows.select("bucket", F.lit(0).alias("tail"), "doc_id", "text").unionByName(tails), len(firsts)
 

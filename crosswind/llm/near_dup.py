@@ -230,7 +230,7 @@ def _sets(spark: SparkSession, docs: DataFrame, ids: DataFrame, k: int) -> DataF
 
         return work
 
-    return map_rows(docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at")), _SET, make)
+    return map_rows(docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at")), _SET, make)
 
 
 def _full(spark: SparkSession, groups: DataFrame, classes: DataFrame, docs: DataFrame, k: int, coordinates: int) -> DataFrame:

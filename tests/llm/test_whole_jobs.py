@@ -41,3 +41,32 @@ def test_fingerprint_query_groups_near_texts(spark):
     got = edit_fingerprint.with_groups(spark, spark.createDataFrame(rows, "doc_id long, text string"), parts=2).toPandas().set_index("doc_id").near_group
     assert got.to_dict() == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5}
     assert edit_fingerprint.with_groups(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """Rows without an id stay; an id with two texts is one document; a repeated row is one."""
+    from crosswind.llm import near_dup
+
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(60))
+    rows = [(None, a, "x"), (None, a, "y"), (1, a, "z"), (1, b, "z"), (2, a, "z"), (2, a, "z"), (3, a + " more", "z"), (4, "", "z"), (5, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    got = near_dup.find(spark, docs, near_dup.Settings(2, 80)).collect()
+    assert len(got) == 9 and sum(r["doc_id"] is None and r["kept"] and r["component_id"] is None for r in got) == 2
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    left = near_dup.deduplicated(spark, docs, near_dup.Settings(2, 80)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in left if r["doc_id"] is not None) == [(False, 1), (False, 4), (False, 5)] and sum(r["doc_id"] is None for r in left) == 2
+
+
+def test_rows_without_an_id_or_anything_else(spark):
+    from crosswind.llm import html_text, lang_mix, license_scan, mixing, packing, quality_qda, rule_lists, url_cascade
+
+    rows = [(None, None, None, None), (None, "some words of a text", "en", "a"), (1, "other words of a text here", "en", "a"), (None, "some words of a text", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(None, 1, None), (1, None, 0)], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([(None, None, None), (None, "http://net/x", "<p>words of a page</p>")], "page_id long, url string, html string")
+    for made in (
+        packing.pack(spark, docs), license_scan.scan(spark, docs), quality_qda.classify(spark, docs, labels), mixing.decide(spark, docs), mixing.sample(spark, docs),
+        edit_fingerprint.with_groups(spark, docs, parts=2), rule_lists.apply(spark, docs, labels), lang_mix.identify(spark, docs),
+    ):
+        assert made.count() == 4
+    assert html_text.extract(pages).count() == 2 == url_cascade.judge(spark, pages).count()
