@@ -33,9 +33,10 @@ from crosswind.llm._shared import discard, map_rows, stored
 from crosswind.llm.near_dup import by_group, components, extended, groups_of
 
 SLOTS = 128
-#: Bands, slots sampled for each, and the likeness from which texts are near.  42 bands of 3 slots miss a pair of likeness 0.6 with chance 0.00004.
-BANDS = 42
-BAND = 3
+#: Bands, slots sampled for each, and the likeness from which texts are near.  73 bands of 4 slots miss a pair of likeness 0.6 with chance 0.00004,
+#: and unlike texts meet in 1 of 25 million bands by chance.
+BANDS = 73
+BAND = 4
 LEAST = 0.6
 #: Members of a block of a band's group; a fingerprint with over one in so many rows is joined without a shuffle.
 BLOCK = 512
