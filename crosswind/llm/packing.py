@@ -3,10 +3,9 @@
 Documents become token ids, ids longer than a sequence are cut, and the pieces are packed by
 best-fit decreasing inside hash partitions.  Dual-feasible functions give each partition a
 lower bound on its bins: a partition that meets its bound is certified.  What an uncertified
-partition has in bins with room, and the emptiest bin of each certified one, is exchanged over as
-many partitions as its pieces fill and packed again.  Rounds end when one partition has been
-packed or a round has spared too few bins, so that no task ever holds more than about
-``per_partition`` pieces.
+partition has in bins with room, and the emptiest bin of each certified one, is exchanged over
+fewer partitions and packed again.  Rounds end when one partition has been packed or a round has
+spared too few bins, and no task ever holds more than about ``FAN_IN`` times ``per_partition`` pieces.
 
 Defined results: null text is the empty text; a text without tokens is the single end id; special
 tokens inside a text are what the plain tokenizer call makes of them; a text of any length is cut
@@ -32,8 +31,10 @@ from crosswind.llm._shared import map_rows, only_table, stored, texts
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces in a partition, and the part of the bins exchanged that a round must spare for another to follow.
+#: Pieces in a partition of the first round, how many times as many one of a later round may hold and how many meet in one,
+#: and the part of the bins exchanged that a round must spare for another to follow.
 PER_PARTITION = 60_000
+FAN_IN = 8
 LEAST_GAIN = 0.002
 MOST_ROUNDS = 12
 #: Entries of a worker's table from word pieces to ids; it starts anew beyond that.
@@ -232,7 +233,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, ca
             break
         done.append(placed.where(~F.col("moves")))
         waiting, before = placed.where("moves"), moving["bins"]
-        parts, round_no = max(1, -(-moving["pieces"] // per_partition)), round_no + 1
+        parts, round_no = max(-(-moving["pieces"] // (FAN_IN * per_partition)), -(-parts // FAN_IN)), round_no + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

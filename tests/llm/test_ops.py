@@ -77,7 +77,7 @@ def test_packing_never_gathers_what_certifies_nothing(spark, monkeypatch):
     real = packing.place
     monkeypatch.setattr(packing, "place", lambda p, parts, *a: held.append((p.count(), parts)) or real(p, parts, *a))
     got = packing.pack(spark, pieces, per_partition=100).toPandas()
-    assert all(n <= 110 * parts for n, parts in held) and len(held) <= packing.MOST_ROUNDS + 1
+    assert all(n <= packing.FAN_IN * 100 * parts for n, parts in held) and held[-1][1] > 1 and len(held) <= packing.MOST_ROUNDS + 1
     assert len(got) == len(lengths) and got.groupby("sequence_id").length.sum().max() <= packing.CAPACITY
     assert got.sequence_id.nunique() <= 1.1 * packing.lower_bound(np.array(lengths))
 
