@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crosswind.llm import edit_fingerprint, html_text, lang_mix, license_scan, mixing, near_dup, packing, quality_qda, rule_lists, url_cascade
+from crosswind.llm import chat_format, edit_fingerprint, html_text, lang_mix, license_scan, mixing, near_dup, packing, quality_qda, rule_lists, token_align, turn_trie, url_cascade
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.trie(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = chat_format.with_tricky(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat_format.read_back(chat_format.format_conversations(convs))
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 #: Exact links by all shared shingles, and components by reach: for small tables.
 NEAR_DUP_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -65,8 +78,12 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_html_text, op3_license_scan, op4_near_dup, op5_quality_qda, op6_mixing, op7_edit_fingerprint, op8_rule_list, op9_lang_mix, op10_url_filter)}
+    every = (
+        op1_packing, op2_html_text, op3_license_scan, op4_near_dup, op5_quality_qda, op6_mixing, op7_edit_fingerprint, op8_rule_list, op9_lang_mix, op10_url_filter,
+        op11_turn_trie, op12_chat_format, op13_token_align,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_dup": NEAR_DUP_SQL, "op10_url_filter": url_cascade.judge_sql()}
+    return {"op4_near_dup": NEAR_DUP_SQL, "op10_url_filter": url_cascade.judge_sql(), "op11_turn_trie": turn_trie.TRIE_SQL, "op12_chat_format": chat_format.DIGEST_SQL}
