@@ -12,6 +12,7 @@ extremes of a NULL are NULL.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 E = 1e-12
@@ -159,9 +160,9 @@ def xrank(x: X) -> X:
     return X("rank", (held(x),))
 
 
-STAGED = ("held", "roll", "roll2", "lag", "xs", "rank", "total", "ema")
-#: Spans after which the weight of a row is below the last digit of a double.
-EMA_SPANS = 20
+STAGED = ("held", "roll", "roll2", "lag", "xs", "rank", "total", "ema", "row", "within", "before")
+#: An exponential mean's weights are kept relative to a block's first row, down to the exponential of this; one gap shrinks old weight to no less than the other.
+DEEPEST, GAP = -300.0, -69.0
 
 
 class Writer:
@@ -232,6 +233,12 @@ class Writer:
             agg, w, mp = x.extra
             over = f"OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
             return f"CASE WHEN count({a[0]} + {a[1]}) {over} >= {max(mp, 2)} THEN {agg}({a[0]}, {a[1]}) {over} END"
+        if k == "row":
+            return "row_number() OVER (PARTITION BY asset ORDER BY date)"
+        if k == "within":
+            return f"sum({a[0]}) OVER (PARTITION BY asset, {a[1]} ORDER BY date)"
+        if k == "before":
+            return f"(max(named_struct('d', date, 'v', {a[0]})) OVER (PARTITION BY asset ORDER BY {a[1]} RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)).v"
         if k == "isnull":
             return f"({a[0]} IS NULL)"
         if k == "ema":
@@ -247,19 +254,18 @@ class Writer:
         raise ValueError(k)
 
     def ema(self, v: str, span: int, mp: int) -> str:
-        """y = x at first, then the mean of y and x by weights old and alpha; old shrinks by 1 - alpha a row and is 1 again after a value."""
+        """The recurrence itself, over all rows so far: y = x at first, then the mean of y and x by weights old and alpha; old shrinks by 1 - alpha a row and is 1 again after a value.
+
+        Lists of all rows suit an oracle on small tables; Spark's text has ``scan`` in place of it.
+        """
         alpha, keep = 2.0 / (span + 1), 1 - 2.0 / (span + 1)
-        over = f"OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN {EMA_SPANS * span} PRECEDING AND CURRENT ROW)"
-        count = f"count({v}) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        over = "OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
         old = f"(p.w * CAST({keep!r} AS DOUBLE))"
         mean = f"CASE WHEN p.a IS NULL THEN s.a WHEN s.a IS NULL THEN p.a ELSE ({old} * p.a + CAST({alpha!r} AS DOUBLE) * s.a) / ({old} + CAST({alpha!r} AS DOUBLE)) END"
         weight = f"CASE WHEN p.a IS NULL OR s.a IS NOT NULL THEN CAST(1 AS DOUBLE) ELSE {old} END"
-        if self.spark:
-            value = f"aggregate(collect_list(named_struct('a', {v})) {over}, named_struct('a', CAST(NULL AS DOUBLE), 'w', CAST(1 AS DOUBLE)), (p, s) -> named_struct('a', {mean}, 'w', {weight}), p -> p.a)"
-        else:
-            start = "struct_pack(a := CAST(NULL AS DOUBLE), w := CAST(1 AS DOUBLE))"
-            value = f"struct_extract(list_reduce(list_prepend({start}, list(struct_pack(a := {v}, w := CAST(1 AS DOUBLE))) {over}), lambda p, s: struct_pack(a := {mean}, w := {weight})), 'a')"
-        return f"CASE WHEN {count} >= {mp} THEN {value} END"
+        start = "struct_pack(a := CAST(NULL AS DOUBLE), w := CAST(1 AS DOUBLE))"
+        value = f"struct_extract(list_reduce(list_prepend({start}, list(struct_pack(a := {v}, w := CAST(1 AS DOUBLE))) {over}), lambda p, s: struct_pack(a := {mean}, w := {weight})), 'a')"
+        return f"CASE WHEN count({v}) {over} >= {mp} THEN {value} END"
 
     def agg(self, agg: str, v: str, over: str, q: float | None) -> str:
         if agg == "quantile":
@@ -277,9 +283,41 @@ class Writer:
         return f"{agg}({v}) {over}"
 
 
+def scan(x: X, span: int, mp: int) -> X:
+    """The exponential mean of ``X("ema")`` as running sums, without a list.
+
+    A row maps the mean before it to kept * mean + (1 - kept) * value, where kept falls with the rows since the last value; a
+    missing value keeps all.  Composed from an asset's first row on, the logarithms of kept add up, so that the mean is a running
+    sum of values over their weight times the weight now.  Sums begin anew in each block of ``DEEPEST``, to stay in range; of what lies
+    before a block only the block before it bears weight.
+    """
+    alpha, shrink = 2.0 / (span + 1), math.log1p(-2.0 / (span + 1))
+    known, row = X("op", (x, x), ("=",)), X("row")
+    gap = held(row - lag(total("max", if_(known, row)))) * shrink
+    kept = held(if_(known, coalesce(fn("greatest", gap - ln(fn("exp", gap) + alpha), GAP), 0.0), 0.0))
+    log = total("sum", kept, 0)
+    block = held(fn("floor", log / DEEPEST))
+    first = X("op", (total("count", x, 0), lift(1.0)), ("=",))
+    term = if_(known, x * if_(first, 1.0, lift(1.0) - fn("exp", kept)) * fn("exp", block * DEEPEST - log), 0.0)
+    own = held(X("within", (held(term), block)) * fn("exp", log - block * DEEPEST))
+    older = X("before", (own, block)) * fn("exp", log - X("before", (log, block)))
+    return if_(total("count", x, 0) >= float(mp), own + coalesce(older, 0.0))
+
+
+def scanned(x: X, seen: dict[X, X]) -> X:
+    """The tree with every exponential mean as a scan."""
+    if x not in seen:
+        args = tuple(scanned(a, seen) for a in x.args)
+        seen[x] = scan(args[0], *x.extra) if x.kind == "ema" else x if args == x.args else X(x.kind, args, x.extra)
+    return seen[x]
+
+
 def staged(outputs: dict[str, X], source: str, dialect: str, keys: str = "date, asset", given: tuple[tuple[str, str], ...] = ()) -> str:
     """SQL for the outputs over relation ``source``; ``given`` are further CTEs before it."""
     w = Writer(dialect)
+    if w.spark:
+        seen: dict[X, X] = {}
+        outputs = {name: scanned(x, seen) for name, x in outputs.items()}
     nodes: dict[X, None] = {}
     for x in outputs.values():
         w.gather(x, nodes)

@@ -10,7 +10,7 @@ from crosswind.functions.expr import rounded, staged
 from crosswind.operators.factors import REGISTRY
 from crosswind.operators.kernel import zs
 from crosswind.plans.panel_queries import EPS, RETS, ctes, growth, rd, text
-from crosswind.plans.risk_queries import ewm
+from crosswind.plans.risk_queries import ewm_ctes
 from crosswind.sources.panels import run_sql
 
 STRATEGIES = ("inv_vol", "mom_accel", "resid_mom", "srev", "ou_zscore", "vol_breakout")
@@ -42,13 +42,14 @@ def alpha_ctes(d) -> tuple[tuple[str, str], ...]:
 
     A date's slope goes through the origin; the last date has no next return.
     """
-    own, decay = "PARTITION BY strategy ORDER BY date", 1 - 0.5 ** (1 / POLICY["halflife"])
-    h = POLICY["history"]
+    decay, h = 1 - 0.5 ** (1 / POLICY["halflife"]), POLICY["history"]
     return (
         ("sl", f"SELECT strategy, date, sum(score * nxt) / (sum(score * score) + {EPS}) AS slope FROM bk WHERE score IS NOT NULL AND nxt IS NOT NULL GROUP BY strategy, date"),
-        ("sm", f"SELECT strategy, date, {ewm(d, 'slope', decay, own)} AS slope, row_number() OVER (PARTITION BY strategy ORDER BY date DESC) AS k, count(*) OVER (PARTITION BY strategy) AS n FROM sl WHERE slope IS NOT NULL"),
+        *ewm_ctes(d, "sl", "sle", decay, {"mean": "slope"}, "strategy"),
+        ("sm", f"SELECT strategy, date, mean AS slope, row_number() OVER (PARTITION BY strategy ORDER BY date DESC) AS k, count(*) OVER (PARTITION BY strategy) AS n FROM sle WHERE slope IS NOT NULL"),
         ("ac", f"SELECT strategy, date, net - mkt AS active, row_number() OVER (PARTITION BY strategy ORDER BY date DESC) AS k FROM bp"),
-        ("am", f"SELECT strategy, date, {ewm(d, 'active', decay, own)} AS active, row_number() OVER (PARTITION BY strategy ORDER BY date DESC) AS k, count(*) OVER (PARTITION BY strategy) AS n FROM ac WHERE k > 1"),
+        ("ab", "SELECT * FROM ac WHERE k > 1"), *ewm_ctes(d, "ab", "abe", decay, {"mean": "active"}, "strategy"),
+        ("am", f"SELECT strategy, date, mean AS active, row_number() OVER (PARTITION BY strategy ORDER BY date DESC) AS k, count(*) OVER (PARTITION BY strategy) AS n FROM abe"),
         ("ls", f"SELECT strategy, asset, {d.by('max', 'score', 'CASE WHEN score IS NOT NULL THEN date END')} AS score, {d.by('max', 'w', 'date')} AS w FROM bk GROUP BY strategy, asset"),
         ("cs", "SELECT strategy, sum(w * coalesce(score, 0)) AS tilt FROM ls GROUP BY strategy"),
         ("al", f"""SELECT c.strategy, s.n AS observations, least(1.0, s.n / {2.0 * h}) AS confidence,

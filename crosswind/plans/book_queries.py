@@ -58,22 +58,6 @@ def markov_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "state int, nxt int, chance double, forecast double, stationary double, dwell double, entropy double")
 
 
-def ml_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Walk-forward ridge scores on four factors; targets are ranks of returns of 21 dates."""
-    names = ["srev", "inv_vol", "mom_accel", "ofi_med"]
-
-    def sql(d):
-        cols = ", ".join(f"max(CASE WHEN s.factor = '{n}' THEN s.score END) AS {n}" for n in names)
-        more = (
-            ("wd", f"SELECT s.date, s.asset, {cols} FROM scores s GROUP BY s.date, s.asset"), ("no", "SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM panel) z"),
-            ("f21", "SELECT date, asset, fwd FROM fwd WHERE h = 21 AND fwd IS NOT NULL"),
-            ("tg", "SELECT date, asset, (rank() OVER (PARTITION BY date ORDER BY fwd) + (count(*) OVER (PARTITION BY date, fwd) - 1) / 2.0) / count(*) OVER (PARTITION BY date) - 0.5 AS target FROM f21"),
-        )
-        return ctes(d, *base(d), *long_scores(d, names), *more) + f"SELECT CAST(no.pos AS BIGINT) AS pos, wd.asset, tg.target, {', '.join('wd.' + n for n in names)} FROM wd JOIN no ON no.date = wd.date LEFT JOIN tg ON tg.date = wd.date AND tg.asset = wd.asset"
-
-    return construct.ridge_path(run_sql(spark, sf_dir, text(sql, "spark")), names, window=126, least=200)
-
-
 def sensitivity_scan(d):
     """The book's Sharpe ratio and drawdown at perturbed knobs: a knob is a group key, so all runs are one plan."""
     grid = [("BASE", 8, 3.0, 1), ("seats", 5, 3.0, 1), ("seats", 12, 3.0, 1), ("cost", 8, 1.0, 1), ("cost", 8, 6.0, 1), ("delay", 8, 3.0, 2), ("delay", 8, 3.0, 3)]
@@ -97,7 +81,7 @@ def queries() -> dict:
     def one(f):
         return lambda spark, sf_dir: run_sql(spark, sf_dir, text(f, "spark"))
 
-    return {n: one(f) for n, f in SQL.items()} | {f.__name__: f for f in (unit_book, blend_history, blend_book, markov_regime, ml_score)}
+    return {n: one(f) for n, f in SQL.items()} | {f.__name__: f for f in (unit_book, blend_history, blend_book, markov_regime)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,6 +8,7 @@ from crosswind.functions.expr import rounded, staged
 from crosswind.operators.factors import REGISTRY
 from crosswind.operators.kernel import zs
 from crosswind.sources.panels import given, run_sql
+from crosswind.sources.shared import keyed, signature
 
 
 def factor_sql(names: list[str], dialect: str) -> str:
@@ -26,6 +27,13 @@ def compute(spark: SparkSession, panel: DataFrame, names: list[str] | None = Non
     return spark.sql(sql, panel=panel)
 
 
+def scores(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
+    """(date, asset, factors): z scores, computed once for each set of factors, their definitions and the tables' files."""
+    sql = staged({n: zs(REGISTRY[n].make()) for n in names}, "panel", "spark", given=given("spark"))
+    tables = [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "supplier")]
+    return keyed(spark, lambda: run_sql(spark, sf_dir, sql), f"factors-{signature(spark, tables, sql)}")
+
+
 def queries() -> dict:
     def one(name: str):
         return lambda spark, sf_dir: run_sql(spark, sf_dir, factor_sql([name], "spark"))

@@ -10,7 +10,7 @@ from crosswind.functions.expr import staged
 from crosswind.operators.factors import REGISTRY
 from crosswind.operators.kernel import zs
 from crosswind.plans.panel_queries import EPS, MARKET, P, RETS, _adv, ctes, rd, text
-from crosswind.plans.risk_queries import clip, drawdown_ctes, ewm, roll
+from crosswind.plans.risk_queries import clip, drawdown_ctes, ewm_ctes, roll
 from crosswind.sources.panels import run_sql
 
 #: Sleeves: horizons, sensitivity to stress, and the factors that stand for each in the registered queries.
@@ -82,10 +82,11 @@ def learned(d, p: str, scores: str, spec: str, lam: float, strength: float, floo
         (f"{p}_raw", f"SELECT grp, h, factor, date, CASE WHEN count(*) >= {LEAST} THEN {correlated('a', 'b')} END AS ic, count(*) AS n FROM {p}_rk GROUP BY grp, h, factor, date"),
         (f"{p}_all", f"SELECT s.grp, s.h, s.factor, s.proven, m.date, round({clip('r.ic', '-0.25', '0.25')}, 9) AS ic, CASE WHEN m.n > 0 THEN coalesce(r.n, 0) / CAST(m.n AS DOUBLE) END AS cov FROM {spec} s CROSS JOIN many m LEFT JOIN {p}_raw r ON r.grp = s.grp AND r.h = s.h AND r.factor = s.factor AND r.date = m.date"),
         (f"{p}_lag", f"SELECT grp, h, factor, proven, date, {lagged('ic')} AS ic, {lagged('cov')} AS cov FROM {p}_all"),
-        (f"{p}_st", f"""SELECT grp, h, factor, proven, date, {seen} AS seen, CASE WHEN {seen} >= {HISTORY} THEN {ewm(d, 'ic', q, key)} END AS mean,
- CASE WHEN {seen} >= {HISTORY} THEN sqrt(greatest(0.0, {ewm(d, 'ic * ic', q, key)} - pow({ewm(d, 'ic', q, key)}, 2)) / (1 - {squares})) END AS vol,
+        *ewm_ctes(d, f"{p}_lag", f"{p}_e", q, {"ic1": "ic", "ic2": "ic * ic", "cov1": "cov"}, "grp, h, factor"),
+        (f"{p}_st", f"""SELECT grp, h, factor, proven, date, {seen} AS seen, CASE WHEN {seen} >= {HISTORY} THEN ic1 END AS mean,
+ CASE WHEN {seen} >= {HISTORY} THEN sqrt(greatest(0.0, ic2 - pow(ic1, 2)) / (1 - {squares})) END AS vol,
  {roll('avg', 'CASE WHEN ic > 0 THEN 1.0 WHEN ic IS NOT NULL THEN 0.0 END', HIT, max(5, HISTORY // 2), key)} AS hit, count(ic) OVER ({key} ROWS BETWEEN {HIT - 1} PRECEDING AND CURRENT ROW) AS observations,
- CASE WHEN count(cov) OVER ({key}) >= {HISTORY} THEN {ewm(d, 'cov', q, key)} END AS cov FROM {p}_lag"""),
+ CASE WHEN count(cov) OVER ({key}) >= {HISTORY} THEN cov1 END AS cov FROM {p}_e"""),
         (f"{p}_pr", f"SELECT a.grp, a.h, a.factor, b.factor AS other, x.date, CASE WHEN count(*) >= {LEAST} THEN abs({correlated('x.score', 'y.score')}) END AS k FROM {spec} a JOIN {spec} b ON a.grp = b.grp AND a.h = b.h AND a.factor <> b.factor JOIN {scores} x ON x.factor = a.factor JOIN {scores} y ON y.factor = b.factor AND y.date = x.date AND y.asset = x.asset WHERE x.score IS NOT NULL AND y.score IS NOT NULL GROUP BY a.grp, a.h, a.factor, b.factor, x.date"),
         (f"{p}_pe", f"SELECT grp, h, factor, date, 1 - {strength} * (1 - greatest({least_floor}, least(1.0, 1 - coalesce(avg(k), 0)))) AS penalty FROM {p}_pr GROUP BY grp, h, factor, date"),
         (f"{p}_rc", f"SELECT *, {roll('avg', 'mean', 21, 7, key)} AS recent FROM {p}_st"),

@@ -229,8 +229,8 @@ def _ic(d: Dialect, horizon: int = 5, least: int = 15) -> tuple[tuple[str, str],
     )
 
 
-@query
 def rank_ic(d):
+    """SQL alone; Spark's form is in ``cross_queries``."""
     return ctes(d, *_ic(d)) + f"SELECT date, factor, {rd('ic')} AS ic, n FROM ic"
 
 
@@ -247,8 +247,8 @@ def ic_summary(d):
  {rd('stddev_samp(ic)')} AS ic_vol, {rd('avg(ic) / greatest(stddev_samp(ic), 0.02)')} AS ic_ir, {rd('avg(CASE WHEN round(ic, 9) > 0 THEN 1.0 WHEN ic IS NOT NULL THEN 0.0 END)')} AS hit_rate FROM lagged GROUP BY factor"""
 
 
-@query
 def factor_corr_penalty(d):
+    """SQL alone; Spark's form is in ``cross_queries``."""
     more = (
         *_ic(d)[:2], ("pairs", f"SELECT a.date, a.factor AS f, CASE WHEN count(*) >= 15 THEN abs(corr(a.score, b.score)) END AS k FROM scores a JOIN scores b ON a.date = b.date AND a.asset = b.asset AND a.factor <> b.factor WHERE a.score IS NOT NULL AND b.score IS NOT NULL GROUP BY a.date, a.factor, b.factor"),
     )

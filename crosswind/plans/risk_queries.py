@@ -6,8 +6,11 @@ columns; the registered queries run it on the derived panel.
 
 from __future__ import annotations
 
+import math
+
+from crosswind.operators import regime
 from crosswind.plans.panel_queries import EPS, MARKET, P, RETS, Dialect, _book, ctes, growth, rd, text
-from crosswind.sources.panels import run_sql
+from crosswind.sources.panels import given_daily, run_sql
 
 D = "ORDER BY date"
 
@@ -25,15 +28,38 @@ def roll(agg: str, x: str, n: int, least: int, order: str = D) -> str:
     return f"CASE WHEN count({x}) {rows(n, order)} >= {least} THEN {agg}({x}) {rows(n, order)} END"
 
 
-def ewm(d: Dialect, x: str, alpha: float, order: str = D) -> str:
-    """Exponential mean without adjustment that ignores gaps, over as many rows as bear weight."""
-    import math
+def ewm(x: str, alpha: float, order: str = D) -> str:
+    """DuckDB's exponential mean without adjustment that ignores gaps: the recurrence over the list of known values."""
+    return f"list_reduce(list({x}) FILTER (WHERE ({x}) IS NOT NULL) OVER ({order} ROWS UNBOUNDED PRECEDING), lambda a, y: a * {1 - alpha!r} + y * {alpha!r})"
 
-    reach = math.ceil(40 / -math.log1p(-alpha)) + 1
-    step = f"a * {1 - alpha!r} + y * {alpha!r}"
-    if d.spark:
-        return f"aggregate(collect_list({x}) {rows(reach, order)}, CAST(NULL AS DOUBLE), (a, y) -> CASE WHEN a IS NULL THEN y ELSE {step} END)"
-    return f"list_reduce(list({x}) FILTER (WHERE ({x}) IS NOT NULL) {rows(reach, order)}, lambda a, y: {step})"
+
+#: Logarithm of the least weight that a running sum keeps relative to its block's first value.
+DEEPEST = 300.0
+
+
+def ewm_ctes(d: Dialect, source: str, name: str, alpha: float, outs: dict[str, str], key: str = "") -> tuple[tuple[str, str], ...]:
+    """``name``: ``source`` and the exponential means of expressions by key along dates, unadjusted and ignoring gaps.
+
+    Spark adds values over their weight and multiplies by the weight now.  Sums begin anew after as many values as weights stay in
+    range for, and carry the block before on, so that no list is held; what lies further back has no weight.
+    """
+    by = f"PARTITION BY {key} " if key else ""
+    if not d.spark:
+        order = f"{by}{D}"
+        return ((name, f"SELECT *, {', '.join(f'{ewm(x, alpha, order)} AS {o}' for o, x in outs.items())} FROM {source}"),)
+    keep = 1 - alpha
+    block = max(1, int(DEEPEST / -math.log(keep)))
+    each = lambda text: ", ".join(text.format(o=o, x=x) for o, x in outs.items())
+    weight = f"pow({keep!r}, pmod({{o}}_n - 1, {block}))"
+    own = f"sum({{o}}_x * CASE WHEN {{o}}_n > 1 THEN {alpha!r} ELSE 1.0 END / {weight}) OVER (PARTITION BY {key + ', ' if key else ''}{{o}}_b {D}) * {weight}"
+    older = f"(max(named_struct('d', date, 'v', {{o}}_s)) OVER ({by}ORDER BY {{o}}_b RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)).v"
+    kept = ", ".join(f"{o}_{c}" for o in outs for c in "xnbs")
+    return (
+        (f"{name}_n", f"SELECT *, {each('({x}) AS {o}_x, count({x}) OVER (' + by + D + ') AS {o}_n')} FROM {source}"),
+        (f"{name}_b", f"SELECT *, {each(f'CAST(floor(({{o}}_n - 1) / {block}) AS INT) AS {{o}}_b')} FROM {name}_n"),
+        (f"{name}_s", f"SELECT *, {each(own + ' AS {o}_s')} FROM {name}_b"),
+        (name, f"SELECT * EXCEPT ({kept}), {each(f'CASE WHEN {{o}}_n > 0 THEN coalesce({{o}}_s, 0.0) + coalesce({older}, 0.0) * {weight} * {keep!r} END AS {{o}}')} FROM {name}_s"),
+    )
 
 
 def listed(d: Dialect, x: str, n: int, order: str = D) -> str:
@@ -104,8 +130,8 @@ def budget_ctes(d: Dialect, target: float = 0.18, stressed: float = 0.12, lev: t
     lo, hi = lev
     return (
         ("bw", f"SELECT date, asset, w, ret, lag(w, 1) {P} AS prior FROM w"),
-        ("port", "SELECT date, sum(coalesce(prior * ret, 0)) AS port FROM bw GROUP BY date"),
-        ("pvol", f"SELECT p.date, p.port, mdd.dd, least(1.0, mdd.dd / (0.10 + {EPS})) AS stress, sqrt({ewm(d, 'p.port * p.port', 1 - lam, 'ORDER BY p.date')} * 252) AS realized_vol, {roll('stddev_samp', 'p.port', overlay_win, 10, 'ORDER BY p.date')} * sqrt(252.0) AS trailing_vol FROM port p JOIN mdd ON mdd.date = p.date"),
+        ("port", "SELECT date, sum(coalesce(prior * ret, 0)) AS port FROM bw GROUP BY date"), *ewm_ctes(d, "port", "porte", 1 - lam, {"port2": "port * port"}),
+        ("pvol", f"SELECT p.date, p.port, mdd.dd, least(1.0, mdd.dd / (0.10 + {EPS})) AS stress, sqrt(p.port2 * 252) AS realized_vol, {roll('stddev_samp', 'p.port', overlay_win, 10, 'ORDER BY p.date')} * sqrt(252.0) AS trailing_vol FROM porte p JOIN mdd ON mdd.date = p.date"),
         ("lever", f"SELECT *, greatest({lo}, least({hi}, ({target} + ({stressed} - {target}) * stress) / (realized_vol + {EPS}))) AS leverage, greatest({floor}, least(1.0, 1 - {stretch} * dd)) AS throttle FROM pvol"),
         ("over1", f"SELECT *, greatest({lo}, least({hi}, leverage * throttle)) AS b1, coalesce({clip(f'throttle * ({clip(f'{target} / (least(trailing_vol, {most_vol}) + {EPS})', str(overlay[0]), str(overlay[1]))})', str(overlay[0]), str(overlay[1]))}, 1.0) AS overlay FROM lever"),
         ("over2", f"SELECT *, greatest({lo}, least({hi}, b1 * overlay)) AS b2 FROM over1"),
@@ -130,7 +156,7 @@ def breadth_smoothed(d):
 
 
 def ewma_vol(d):
-    return ctes(d, RETS, MARKET) + f"SELECT date, {rd(f'sqrt({ewm(d, "mkt * mkt", 0.05)} * 252)')} AS vol FROM m"
+    return ctes(d, RETS, MARKET, *ewm_ctes(d, "m", "me", 0.05, {"v": "mkt * mkt"})) + f"SELECT date, {rd('sqrt(v * 252)')} AS vol FROM me"
 
 
 def rolling_ranks(d):
@@ -171,7 +197,7 @@ def regime_signals(spark, fitted, returns, cfg: dict | None = None):
  b.breadth, coalesce({clip('(0.45 - b.breadth) / 0.20', '0.0', '1.0')}, 0.0) AS breadth_signal, p.dd AS market_drawdown, p.vol AS market_realized_vol, p.vol_z AS market_vol_z, p.panic_signal
  FROM g JOIN breadth b ON b.date = g.date JOIN panic p ON p.date = g.date"""),
         ("k", f"SELECT *, {w_turb!r} * coalesce(turb_signal, 0.0) + {c['w_abs']} * absorption_signal + {c['w_breadth']} * breadth_signal + {c['w_panic']} * panic_signal AS raw FROM s"),
-        ("q", f"SELECT *, {ewm(d, 'raw', 1 / 3)} AS regime_risk FROM k"),
+        *ewm_ctes(d, "k", "q", 1 / 3, {"regime_risk": "raw"}),
         ("t", f"""SELECT *, greatest({c['floor']}, least(1.0, 1 - (1 - {c['floor']}) * regime_risk)) AS throttle,
  coalesce({clip('(breadth - 0.65) / 0.35', '0.0', '1.0')} * {clip('(0.50 - turb_pct) / 0.50', '0.0', '1.0')} * (1 - panic_signal), 0.0) AS risk_on_signal FROM q"""),
         ("u", f"SELECT *, 1 + {max(0.0, c['cap'] - 1)!r} * risk_on_signal AS boost, CASE WHEN turbulence IS NOT NULL THEN 1.0 ELSE 0.0 END AS regime_ready FROM t"),
@@ -183,20 +209,30 @@ SELECT date, turbulence, turb_pct, turb_signal, absorption, absorption_delta, ab
     return spark.sql(text(lambda _: body, "spark"), returns=returns, fitted=fitted)
 
 
-def regime_frame(spark, sf_dir):
-    """The regime frame of the derived panel, with models over 126 dates as it has 357."""
-    from crosswind.operators import book
+def daily_returns(spark, sf_dir):
+    """(date, asset, ret, pos) of the regions by day, long enough for the models' windows; pos is the date's number."""
+    parts = (*given_daily("spark"), RETS, ("k", "SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM r) z"))
+    return run_sql(spark, sf_dir, "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in parts) + "\nSELECT r.date, r.asset, r.ret, CAST(k.pos AS INT) AS pos FROM r JOIN k ON k.date = r.date")
+
 
-    numbered = ctes(Dialect("spark"), RETS, ("k", "SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM r) z"))
-    returns = run_sql(spark, sf_dir, numbered + "SELECT r.date, r.asset, r.ret, CAST(k.pos AS INT) AS pos FROM r JOIN k ON k.date = r.date")
-    return regime_signals(spark, book.regime_by_date(returns, window=126), returns.select("date", "asset", "ret"))
+def regime_fits(spark, sf_dir):
+    """Turbulence and absorption of the regions' returns by date."""
+    from pyspark.sql import functions as F
+
+    return regime.regime_by_date(daily_returns(spark, sf_dir)).select("date", F.round("turbulence", 6).alias("turbulence"), F.round("absorption", 6).alias("absorption"))
+
+
+def regime_frame(spark, sf_dir):
+    """The regime frame of the regions by day."""
+    returns = daily_returns(spark, sf_dir)
+    return regime_signals(spark, regime.regime_by_date(returns), returns.select("date", "asset", "ret"))
 
 
 def queries() -> dict:
     def one(f):
         return lambda spark, sf_dir: run_sql(spark, sf_dir, text(f, "spark"))
 
-    return {n: one(f) for n, f in SQL.items()} | {"regime_frame": regime_frame}
+    return {n: one(f) for n, f in SQL.items()} | {"regime_fits": regime_fits, "regime_frame": regime_frame}
 
 
 def oracle_sql() -> dict[str, str]:

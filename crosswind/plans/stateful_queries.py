@@ -28,13 +28,6 @@ def sequential_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.sequential_book(scores[0].unionByName(scores[1])).withColumn("weight", F.round("weight", 8))
 
 
-def regime_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turbulence and absorption of the cross-section of returns by date."""
-    numbered = ctes(Dialect("spark"), RETS, ("k", "SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM r) z"))
-    rows = run_sql(spark, sf_dir, numbered + "SELECT r.date, r.asset, r.ret, CAST(k.pos AS INT) AS pos FROM r JOIN k ON k.date = r.date")
-    return book.regime_by_date(rows).select("date", F.round("turbulence", 6).alias("turbulence"), F.round("absorption", 6).alias("absorption"))
-
-
 def latest_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming quote state over the whole event table at once."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value is not null")
@@ -50,7 +43,7 @@ def candles_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (ewm_mean, sequential_book, regime_fits, latest_quotes, candles_by_day)}
+    return {f.__name__: f for f in (ewm_mean, sequential_book, latest_quotes, candles_by_day)}
 
 
 def _ewm_sql(alpha: float = 0.06, least: int = 21) -> str:

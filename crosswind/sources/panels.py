@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 _KEY = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity"
 
 
-def bars_sql(dialect: str, asset: str = "s.s_nationkey", freq: str = "week") -> str:
-    """Bars of unit prices of line items by asset and period: date, asset, o, h, l, c, v."""
+def bars_sql(dialect: str, asset: str = "s.s_nationkey", freq: str = "week", via: str = "") -> str:
+    """Bars of unit prices of line items by asset and period: date, asset, o, h, l, c, v; ``via`` joins what ``asset`` needs."""
     spark = dialect == "spark"
     key = f"struct({_KEY})" if spark else f"row({_KEY})"
     first, last = ("min_by", "max_by") if spark else ("arg_min", "arg_max")
     px = "l_extendedprice / l_quantity"
     return f"""SELECT CAST(date_trunc('{freq}', l_shipdate) AS DATE) AS date, CAST({asset} AS BIGINT) AS asset, {first}({px}, {key}) AS o, max({px}) AS h, min({px}) AS l,
- {last}({px}, {key}) AS c, sum(l_quantity) AS v FROM lineitem JOIN supplier s ON l_suppkey = s.s_suppkey WHERE l_quantity > 0 GROUP BY 1, 2"""
+ {last}({px}, {key}) AS c, sum(l_quantity) AS v FROM lineitem JOIN supplier s ON l_suppkey = s.s_suppkey {via} WHERE l_quantity > 0 GROUP BY 1, 2"""
 
 
 def dense_sql(bars: str = "bars") -> str:
@@ -23,8 +23,13 @@ def dense_sql(bars: str = "bars") -> str:
     return f"SELECT d.date, a.asset, b.o, b.h, b.l, b.c, b.v FROM (SELECT DISTINCT date FROM {bars}) d CROSS JOIN (SELECT DISTINCT asset FROM {bars}) a LEFT JOIN {bars} b ON b.date = d.date AND b.asset = a.asset"
 
 
-def given(dialect: str, asset: str = "s.s_nationkey", freq: str = "week") -> tuple[tuple[str, str], ...]:
-    return (("bars", bars_sql(dialect, asset, freq)), ("panel", dense_sql()))
+def given(dialect: str, asset: str = "s.s_nationkey", freq: str = "week", via: str = "") -> tuple[tuple[str, str], ...]:
+    return (("bars", bars_sql(dialect, asset, freq, via)), ("panel", dense_sql()))
+
+
+def given_daily(dialect: str) -> tuple[tuple[str, str], ...]:
+    """Regions by day: few assets, but a long history."""
+    return given(dialect, "n.n_regionkey", "day", "JOIN nation n ON n.n_nationkey = s.s_nationkey")
 
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
