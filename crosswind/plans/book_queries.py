@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from crosswind.operators import construct
+from crosswind.operators import construct, pnl
+from crosswind.plans.blend_ctes import share_ctes
 from crosswind.plans.board_queries import STRATEGIES, books
 from crosswind.plans.meta_queries import base, long_scores
-from crosswind.plans.panel_queries import EPS, P, QUERIES, ctes, growth, rd, text
+from crosswind.plans.panel_queries import EPS, P, QUERIES, RETS, Dialect, ctes, growth, rd, text
 from crosswind.sources.panels import run_sql
 
 #: Blends of the registered strategies, one of each method.
@@ -34,18 +36,34 @@ def unit_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     return construct.unit_weights(unit_rows(spark, sf_dir), construct.Book(seats=16, least_seats=10, most_seats=20, mode="blend"))
 
 
-def _pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_sql(spark, sf_dir, text(lambda d: ctes(d, *books(d)) + "SELECT strategy AS strategy_id, date, net FROM bp", "spark"))
+def blend_history(d):
+    """Shares of the blends' parts by date."""
+    return ctes(d, *books(d), ("bpnl", "SELECT strategy AS strategy_id, date, net FROM bp"), *share_ctes(d, "bpnl", BLENDS)) + f"SELECT blend, date, strategy_id, {rd('share', 7)} AS share FROM shares"
 
 
-def blend_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return construct.blend_history(_pnl(spark, sf_dir), list(BLENDS))
+def blend_book(d):
+    """The netted book of each blend."""
+    parts = (*books(d), ("bpnl", "SELECT strategy AS strategy_id, date, net FROM bp"), *share_ctes(d, "bpnl", BLENDS))
+    return ctes(d, *parts) + f"SELECT s.blend, s.date, b.asset, {rd('sum(b.w * s.share)', 7)} AS weight FROM shares s JOIN bk b ON b.strategy = s.strategy_id AND b.date = s.date WHERE b.w > 0 GROUP BY s.blend, s.date, b.asset"
 
 
-def blend_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The netted book of each blend."""
-    weights = run_sql(spark, sf_dir, text(lambda d: ctes(d, *books(d)) + "SELECT strategy AS strategy_id, date, asset, w AS weight FROM bk WHERE w > 0", "spark"))
-    return construct.blended(weights, blend_history(spark, sf_dir))
+def blend_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each blend's own P&L: costs of the netted book, not of its parts."""
+    weights = run_sql(spark, sf_dir, text(blend_book, "spark"))
+    returns = run_sql(spark, sf_dir, text(lambda d: ctes(d, RETS) + "SELECT date, asset, ret FROM r", "spark"))
+    got = pnl.backtest(weights, returns, "blend")
+    return got.select("blend", "date", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in got.columns[2:]])
+
+
+def blend_pnl_sql() -> str:
+    more = (
+        ("bb", "SELECT * FROM (" + blend_book(Dialect("duckdb")).replace("WITH ", "WITH ", 1) + ") z"),
+        ("g", "SELECT n.blend, r.date, r.asset, r.ret, coalesce(b.weight, 0) AS w FROM r CROSS JOIN (SELECT DISTINCT blend FROM bb) n LEFT JOIN bb b ON b.blend = n.blend AND b.date = r.date AND b.asset = r.asset"),
+        ("h", "SELECT *, lag(w) OVER (PARTITION BY blend, asset ORDER BY date) AS was FROM g"),
+        ("k", "SELECT blend, date, coalesce(sum(was * ret), 0) AS gross_ret, coalesce(sum(abs(w - was)), 0) AS turnover, coalesce(sum(abs(was)), 0) AS gross_exposure FROM h GROUP BY blend, date"),
+        ("c", "SELECT *, turnover * 3 / 10000 AS tc, greatest(0, 1 - gross_exposure) * 0.04 / 252 AS cash_yield FROM k"),
+    )
+    return ctes(Dialect("duckdb"), RETS, *more) + "SELECT blend, date, round(gross_ret, 6) + 0.0 AS gross_ret, round(tc, 6) + 0.0 AS tc, round(cash_yield, 6) + 0.0 AS cash_yield, round(gross_ret - tc + cash_yield, 6) + 0.0 AS net_ret, round(turnover, 6) + 0.0 AS turnover, round(gross_exposure, 6) + 0.0 AS gross_exposure FROM c"
 
 
 def markov_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,15 +92,15 @@ def sensitivity_scan(d):
     ) + f"SELECT knob, seats, {rd('tc')} AS tc, wait, {rd('sharpe', 4)} AS sharpe, {rd('dd', 4)} AS max_dd, {rd('sharpe - base', 3)} AS d_sharpe, verdict FROM sh CROSS JOIN bs CROSS JOIN vd"
 
 
-SQL = {f.__name__: f for f in (sensitivity_scan,)}
+SQL = {f.__name__: f for f in (sensitivity_scan, blend_history, blend_book)}
 
 
 def queries() -> dict:
     def one(f):
         return lambda spark, sf_dir: run_sql(spark, sf_dir, text(f, "spark"))
 
-    return {n: one(f) for n, f in SQL.items()} | {f.__name__: f for f in (unit_book, blend_history, blend_book, markov_regime)}
+    return {n: one(f) for n, f in SQL.items()} | {f.__name__: f for f in (unit_book, blend_pnl, markov_regime)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: text(f, "duckdb") for n, f in SQL.items()}
+    return {n: text(f, "duckdb") for n, f in SQL.items()} | {"blend_pnl": blend_pnl_sql()}

@@ -47,6 +47,8 @@ def ewm_ctes(d: Dialect, source: str, name: str, alpha: float, outs: dict[str, s
     if not d.spark:
         order = f"{by}{D}"
         return ((name, f"SELECT *, {', '.join(f'{ewm(x, alpha, order)} AS {o}' for o, x in outs.items())} FROM {source}"),)
+    if alpha >= 1:
+        return ((name, f"SELECT *, {', '.join(f'last({x}, true) OVER ({by}{D}) AS {o}' for o, x in outs.items())} FROM {source}"),)
     keep = 1 - alpha
     block = max(1, int(DEEPEST / -math.log(keep)))
     each = lambda text: ", ".join(text.format(o=o, x=x) for o, x in outs.items())

@@ -93,14 +93,6 @@ def test_artifacts(spark, tmp_path):
     assert "- A: 60.00%" in text and "- C: -50.00%" in text and "- budget: 0.9000" in text and "gross 100.00%" in text
 
 
-def test_paper_broker():
-    b = store.PaperBroker(100)
-    assert b.submit("A", "buy", 5, 10)["status"] == "filled" and b.cash == 50
-    assert [b.submit(*x)["error"] for x in (("A", "sell", 6, 10), ("A", "buy", 6, 10), ("A", "buy", 0, 10), ("A", "buy", 1, None))] == ["more than held", "not enough cash", "no size", "no price"]
-    got = store.PaperBroker.load(b.save()).execute([{"symbol": "A", "side": "sell", "quantity": 5, "price": 12}, {"symbol": "B", "side": "sell", "quantity": 1, "price": 1}, {"symbol": "A", "side": "buy", "quantity": 1, "price": 1}])
-    assert [g["status"] for g in got] == ["filled", "rejected", "skipped_after_failure"]
-
-
 def test_ledger(spark, tmp_path):
     book = ledger.Ledger(spark, f"file://{tmp_path}/ledger")
     run = book.record_run(kind="rebalance", strategy="s", status="ok")
