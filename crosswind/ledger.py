@@ -1,15 +1,21 @@
 """The run ledger as append-only Parquet tables; what is current is merged when it is read.
 
 A write never changes a file: a status update, an equity value or a repeated fill is one more row,
-and the readers take the worst or last one by key.  So concurrent and repeated writers are safe, and
-a lost executor's task can run again.
+and the readers take the worst or last one by key, so that repeated writers are safe and a lost executor's task can run
+again.  What only one writer may have, an id or a plan, is a file that only one can create.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from crosswind.operators.asof import asof
+
 #: The tables' schemas, statuses that mean failure, and how bad a run's status is.
 SCHEMAS = {
     "runs": "id long, ts timestamp, kind string, strategy string, config_hash string, data_last_date string, data_status string, status string, metrics string, output_dir string, forced boolean",
@@ -92,9 +98,49 @@ def slippage_level(bps: Column, warning: float = 25.0, critical: float = 75.0, s
     return level if sandbox is None else F.when(sandbox, "ok").otherwise(level)
 
 
+def put_if_absent(spark: SparkSession, path: str, body: str) -> bool:
+    """Creates a file with this content unless one is there; of several writers at once exactly one is told True.
+
+    On a mounted file system the whole file gets its name in one step that fails if the name is taken; elsewhere the store's own
+    exclusive creation does.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() == "file":
+        target = at.toUri().getPath()
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        draft = f"{os.path.dirname(target)}/.{os.path.basename(target)}.{uuid.uuid4().hex}"
+        with open(draft, "x", encoding="utf-8") as f:
+            f.write(body)
+        try:
+            os.link(draft, target)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(draft)
+    try:
+        stream = fs.create(at, False)
+    except Py4JJavaError as e:
+        if fs.exists(at):
+            return False
+        raise e
+    stream.write(bytearray(body.encode()))
+    stream.close()
+    return True
+
+
+def content(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    return "\n".join(r["value"] for r in spark.read.text(path).collect())
+
+
 class Ledger:
     """The tables of one folder."""
 
+    #: Ids of rows that one call numbers: a claimed number times this, and on from there.
+    BLOCK = 1 << 32
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
@@ -119,11 +165,22 @@ class Ledger:
         out = rows.select(*[(F.col(c) if c in held else F.lit(None)).cast(t).alias(c) for c, t in schema])
         out.withColumn("ts", F.coalesce("ts", F.current_timestamp())).write.mode("append").parquet(f"{self.folder}/{name}")
 
-    def next_id(self, name: str) -> int:
-        return int(self.table(name).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]) + 1
+    def claimed(self, name: str) -> int:
+        """The next number of a table, which no other writer gets."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/_ids/{name}")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        taken = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        number = max((int(n) for n in taken if n.isdigit()), default=0) + 1
+        while not put_if_absent(self.spark, f"{self.folder}/_ids/{name}/{number}", ""):
+            number += 1
+        return number
+
+    def numbered(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows with ids of their own, whatever task makes them."""
+        return rows.withColumn("id", F.monotonically_increasing_id() + self.claimed(name) * self.BLOCK)
 
     def record_run(self, **run) -> int:
-        run["id"] = self.next_id("runs")
+        run["id"] = self.claimed("runs")
         self.append("runs", [run])
         return run["id"]
 
@@ -137,11 +194,9 @@ class Ledger:
 
         Unless it is a dry run, a rebalance run gets the status that its legs show if that is not ok.
         """
-        start = self.next_id("orders")
-        ids = F.row_number().over(Window.orderBy("symbol", "side")) + (start - 1)  # the legs of one run: as many as positions
         status = F.lit("planned") if dry_run else F.coalesce("status", F.lit("submitted"))
         legs = planned.join(results.select("symbol", F.col("order_id").alias("broker_order_id"), "status"), "symbol", "left")
-        self.append("orders", legs.withColumns({"id": ids, "run_id": F.lit(run_id), "broker": F.lit(broker), "dry_run": F.lit(dry_run), "status": status}))
+        self.append("orders", self.numbered("orders", legs).withColumns({"run_id": F.lit(run_id), "broker": F.lit(broker), "dry_run": F.lit(dry_run), "status": status}))
         if not dry_run:
             shown = inferred_status(results.withColumn("run_id", F.lit(run_id))).first()
             if shown and shown["status"] != "ok" and self.runs().where((F.col("id") == run_id) & (F.col("kind") == "rebalance")).count():
@@ -150,10 +205,23 @@ class Ledger:
     def record_fills(self, run_id: int, broker: str, fills: DataFrame) -> None:
         """Fills whose transaction is new; those without a transaction are always recorded."""
         known = self.table("fills").select("transaction_id").where("transaction_id is not null").distinct()
-        start = self.next_id("fills")
-        new = fills.join(known, "transaction_id", "left_anti")
-        numbered = new.withColumn("id", F.monotonically_increasing_id() + start)
-        self.append("fills", numbered.withColumns({"run_id": F.lit(run_id), "broker": F.lit(broker)}))
+        new = self.numbered("fills", fills.join(known, "transaction_id", "left_anti"))
+        self.append("fills", new.withColumns({"run_id": F.lit(run_id), "broker": F.lit(broker)}))
+
+    def backfill(self, run_id: int, broker: str, fills: DataFrame, quotes: DataFrame, stretch: int, tolerance: int | None = None) -> int:
+        """Fills (ts, symbol, side, qty, fill_price, transaction_id) past what is recorded, with the price (symbol, ts, price) in force; how many.
+
+        The broker's newest recorded fill is the mark: older ones aren't read again, those of its very time are told apart by transaction.
+        Slippage is in basis points, positive where a buy paid or a sale got worse.  ``stretch`` and ``tolerance`` are microseconds.
+        """
+        mark = self.table("fills").where(F.col("broker") == broker).agg(F.max("ts")).first()[0]
+        late = fills if mark is None else fills.where(F.col("ts") >= F.lit(mark))
+        priced = asof(late, quotes, "symbol", "ts", ["price"], stretch, tolerance)
+        sign = F.when(F.lower("side") == "sell", -1.0).otherwise(1.0)
+        bps = F.when(F.col("price") > 0, sign * (F.col("fill_price") / F.col("price") - 1) * 1e4)
+        before = self.table("fills").count()
+        self.record_fills(run_id, broker, priced.withColumns({"reference_price": F.col("price"), "slippage_bps": bps}).drop("price", "matched_ts"))
+        return self.table("fills").count() - before
 
     def record_equity(self, d: str, **values) -> None:
         import datetime
@@ -161,13 +229,15 @@ class Ledger:
         self.append("equity", [{"d": datetime.date.fromisoformat(d), **values}])
 
     def record_event(self, level: str, source: str, message: str) -> None:
-        self.append("events", [{"id": self.next_id("events"), "level": level, "source": source, "message": message}])
+        self.append("events", [{"id": self.claimed("events"), "level": level, "source": source, "message": message}])
 
     def reserve(self, plan_hash: str, owner: str) -> bool:
-        """True for the first owner of a plan: the earliest row wins, whoever reads."""
-        self.append("reservations", [{"plan_hash": plan_hash, "owner": owner}])
-        mine = self.table("reservations").where(F.col("plan_hash") == plan_hash)
-        return mine.agg(F.min_by("owner", F.struct("ts", "owner"))).first()[0] == owner
+        """True for the one owner of a plan, however often and whoever else asks."""
+        path = f"{self.folder}/_reservations/{plan_hash}"
+        if put_if_absent(self.spark, path, owner):
+            self.append("reservations", [{"plan_hash": plan_hash, "owner": owner}])
+            return True
+        return content(self.spark, path) == owner
 
     def runs(self) -> DataFrame:
         return merged_runs(self.table("runs"))

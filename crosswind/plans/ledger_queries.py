@@ -7,8 +7,10 @@ ship dates for times, discounts against tax for slippage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from crosswind import ledger
+from crosswind.operators.asof import asof
 from crosswind.plans.panel_queries import rd, text
 from crosswind.sources.panels import run_sql
 
@@ -60,11 +62,12 @@ def slippage_levels(d):
 
 
 def reconcile_drift(d):
-    """Symbols whose held value is off its target by over a hundredth of the book."""
+    """Held shares of the book against targets, and which are off by over a hundredth."""
+    share = lambda x: f"SELECT symbol, q / total AS w FROM {x} CROSS JOIN (SELECT sum(q) AS total FROM {x}) z"
     return f"""WITH t AS (SELECT l_suppkey AS symbol, sum(l_quantity) AS q FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), h AS (SELECT l_suppkey AS symbol, sum(l_quantity) AS q FROM lineitem WHERE l_linestatus <> 'F' AND l_returnflag <> 'R' GROUP BY 1),
- w AS (SELECT symbol, q / sum(q) OVER () AS w FROM t), v AS (SELECT symbol, q / sum(q) OVER () AS w FROM h),
+ w AS ({share('t')}), v AS ({share('h')}),
  j AS (SELECT coalesce(w.symbol, v.symbol) AS symbol, coalesce(w.w, 0) AS target, coalesce(v.w, 0) AS held FROM w FULL JOIN v ON v.symbol = w.symbol)
-SELECT symbol, {rd('target')} AS target, {rd('held')} AS held, {rd('held - target')} AS drift FROM j WHERE round(abs(held - target), 9) > 0.001"""
+SELECT symbol, {rd('target')} AS target, {rd('held')} AS held, {rd('held - target')} AS drift, round(abs(held - target), 9) > 0.01 AS breach FROM j"""
 
 
 def rebalance_gates(d):
@@ -94,7 +97,24 @@ def position_pnl_ticks(d):
     key = "struct(ts, event_id)" if d.spark else "row(ts, event_id)"
     return f"""WITH m AS (SELECT user_id AS symbol, {hour} AS hour, {d.by('max', 'value', key)} AS mark FROM events WHERE value > 0 GROUP BY 1, 2),
  q AS (SELECT symbol, hour, mark, first_value(mark) OVER (PARTITION BY symbol ORDER BY hour) AS cost, lag(mark) OVER (PARTITION BY symbol ORDER BY hour) AS before FROM m)
-SELECT symbol, CAST(hour AS TIMESTAMP) AS hour, {rd('mark * (1 + symbol % 5)')} AS value, {rd('(mark - cost) * (1 + symbol % 5)')} AS unrealised, {rd('CASE WHEN before > 0 THEN mark / before - 1 END')} AS change FROM q WHERE symbol % 10 < 5"""
+SELECT symbol, CAST(hour AS TIMESTAMP) AS hour, {rd('mark * (1 + symbol % 5)')} AS value, {rd('(mark - cost) * (1 + symbol % 5)')} AS unrealised, {rd('CASE WHEN before > 0 THEN mark / before - 1 END')} AS change FROM q"""
+
+
+#: How long a quote stays in force, and the stretch of time that quotes are dealt by, in microseconds.
+IN_FORCE, STRETCH = 6 * 3_600_000_000, 24 * 3_600_000_000
+
+
+def fill_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases as fills, each with the user's last view up to it as the price in force, and how far off it was."""
+    events = run_sql(spark, sf_dir, "SELECT event_id, ts, user_id, event_type, value FROM events")
+    quotes = events.where("event_type = 'view' AND value > 0").select("user_id", "ts", F.col("value").alias("price"), F.col("event_id").alias("quote_id"))
+    got = asof(events.where("event_type = 'purchase'").select("event_id", "ts", "user_id", "value"), quotes, "user_id", "ts", ["price", "quote_id"], STRETCH, IN_FORCE, tie="quote_id")
+    return got.select("event_id", "user_id", "quote_id", F.round("price", 6).alias("price"), (F.round((F.col("value") / F.col("price") - 1) * 1e4, 4) + F.lit(0.0)).alias("slippage_bps"))
+
+
+ORACLE["fill_reference"] = f"""WITH q AS (SELECT user_id, ts, max(event_id) AS quote_id FROM events WHERE event_type = 'view' AND value > 0 GROUP BY user_id, ts),
+ v AS (SELECT q.*, e.value AS price FROM q JOIN events e ON e.event_id = q.quote_id), j AS (SELECT f.event_id, f.user_id, f.value, v.quote_id, v.price, date_diff('microsecond', v.ts, f.ts) AS age FROM (SELECT * FROM events WHERE event_type = 'purchase') f ASOF LEFT JOIN v ON v.user_id = f.user_id AND v.ts <= f.ts)
+SELECT event_id, user_id, CASE WHEN age <= {IN_FORCE} THEN quote_id END AS quote_id, CASE WHEN age <= {IN_FORCE} THEN round(price, 6) END AS price, CASE WHEN age <= {IN_FORCE} THEN round((value / price - 1) * 10000, 4) + 0.0 END AS slippage_bps FROM j"""
 
 
 SQL = {f.__name__: f for f in (slippage_levels, reconcile_drift, rebalance_gates, notifications, order_states, position_pnl_ticks)}
@@ -104,7 +124,7 @@ def queries() -> dict:
     def one(f):
         return lambda spark, sf_dir: run_sql(spark, sf_dir, text(f, "spark"))
 
-    return {n: one(f) for n, f in SQL.items()} | {f.__name__: f for f in (run_statuses, ledger_runs, ledger_equity)}
+    return {n: one(f) for n, f in SQL.items()} | {f.__name__: f for f in (run_statuses, ledger_runs, ledger_equity, fill_reference)}
 
 
 def oracle_sql() -> dict[str, str]:

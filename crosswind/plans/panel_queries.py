@@ -343,8 +343,9 @@ def _book(d: Dialect) -> tuple[tuple[str, str], ...]:
     return (
         RETS, ("sc", inner), ("seat", "SELECT date, asset, row_number() OVER (PARTITION BY date ORDER BY score DESC, asset) AS seat FROM sc WHERE score IS NOT NULL"),
         ("w", "SELECT r.date, r.asset, r.ret, CASE WHEN s.seat <= 10 THEN 0.1 ELSE 0 END AS w FROM r LEFT JOIN seat s ON s.date = r.date AND s.asset = r.asset"),
-        ("lw", f"SELECT date, asset, ret, w, coalesce(lag(w, 1) {P}, 0) AS held FROM w"),
-        ("pnl", "SELECT date, sum(held * coalesce(ret, 0)) AS gross, sum(abs(w - held)) AS turnover, sum(w) AS exposure FROM lw GROUP BY date"),
+        ("lw", f"SELECT date, asset, ret, w, lag(w, 1) {P} AS held FROM w"),
+        # the book of the date before earns, its money left over bears interest, and the first date trades nothing
+        ("pnl", "SELECT date, coalesce(sum(held * ret), 0) AS gross, coalesce(sum(abs(w - held)), 0) AS turnover, coalesce(sum(abs(held)), 0) AS exposure FROM lw GROUP BY date"),
         ("net", "SELECT date, gross, turnover, exposure, turnover * 3.0 / 10000 AS tc, greatest(0.0, 1 - exposure) * 0.04 / 252 AS cash, gross - turnover * 3.0 / 10000 + greatest(0.0, 1 - exposure) * 0.04 / 252 AS net FROM pnl"),
     )
 
@@ -485,7 +486,7 @@ def equity_drift(d):
     return f"WITH e AS ({e}), k AS (SELECT * FROM e WHERE paper IS NOT NULL), x AS (SELECT d, nav, paper, lag(nav, 1) OVER (ORDER BY d) AS n0, lag(paper, 1) OVER (ORDER BY d) AS p0 FROM k) SELECT d, {rd('(paper / p0 - nav / n0) * 10000', 2)} AS drift_bps FROM x"
 
 
-TARGETS = "t AS (SELECT p_partkey AS symbol, (p_partkey % 7) * 1000.0 AS target FROM part WHERE p_partkey % 3 <> 1)"
+TARGETS = "t AS (SELECT p_partkey AS symbol, (p_partkey % 7) * 1000.0 AS target FROM part)"
 HOLD = f"h AS (SELECT symbol, sum(CASE WHEN side = 'buy' THEN qty ELSE -qty END) AS qty, avg(price) AS price, sum(notional) / 20 AS adv FROM ({FILLS}) f GROUP BY symbol)"
 
 

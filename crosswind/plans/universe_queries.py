@@ -1,7 +1,7 @@
 """Universe, calendar and coercion queries over the derived tables.
 
 Orders stand in for index changes: a customer's number modulo 60 is a symbol, the order's date the
-effective date and its priority the action; every third symbol is in the seed.
+effective date and its priority the action; symbols whose customers have a high mean balance are in the seed.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from crosswind.sources.panels import run_sql
 
 AS_OF = "1999-06-30"
 EVENTS = """SELECT CAST(o_orderdate AS DATE) AS effective_date, concat('S', CAST(o_custkey % 60 AS STRING)) AS symbol,
- CASE WHEN min(o_orderpriority) < '3' THEN 'add' ELSE 'remove' END AS action FROM orders WHERE o_orderkey % 11 = 0 GROUP BY 1, 2"""
-SEED = "SELECT DISTINCT concat('S', CAST(c_custkey % 60 AS STRING)) AS symbol FROM customer WHERE c_custkey % 60 % 3 = 0"
+ CASE WHEN min(o_orderpriority) < '3' THEN 'add' ELSE 'remove' END AS action FROM orders GROUP BY 1, 2"""
+SEED = "SELECT concat('S', CAST(c_custkey % 60 AS STRING)) AS symbol FROM customer GROUP BY 1 HAVING avg(c_acctbal) > 4500"
 DATES = "SELECT DISTINCT CAST(date_trunc('week', o_orderdate) AS DATE) AS date FROM orders"
 
 
