@@ -9,11 +9,11 @@ return earns nothing; dates without any weight are there, with all money idle; g
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def backtest(weights: DataFrame, returns: DataFrame, by: str, bps: float = 3.0, cash: float = 0.04) -> DataFrame:
+def backtest(weights: DataFrame, returns: DataFrame, by: str, bps: float | Column = 3.0, cash: float = 0.04) -> DataFrame:
     """(by, date, gross_ret, tc, cash_yield, net_ret, turnover, gross_exposure) of weights (by, date, asset, weight) and returns (date, asset, ret)."""
     zero = F.lit(0.0)
     dates = returns.select("date").distinct().withColumn("next", F.lead("date").over(Window.orderBy("date")))  # one row a date
@@ -26,5 +26,5 @@ def backtest(weights: DataFrame, returns: DataFrame, by: str, bps: float = 3.0,
     every = weights.select(by).distinct().crossJoin(dates.select("date")).crossJoin(first)  # the result's own rows
     out = every.join(earned, [by, "date"], "left").join(traded, [by, "date"], "left")
     out = out.withColumns({"gross_ret": F.coalesce("gross_ret", zero), "gross_exposure": F.coalesce("gross_exposure", zero), "turnover": F.when(F.col("date") == F.col("first"), 0.0).otherwise(F.coalesce("turnover", zero))})
-    out = out.withColumns({"tc": F.col("turnover") * bps / 1e4, "cash_yield": F.greatest(zero, 1 - F.col("gross_exposure")) * cash / 252})
+    out = out.withColumns({"tc": F.col("turnover") * (bps if isinstance(bps, Column) else F.lit(bps)) / 1e4, "cash_yield": F.greatest(zero, 1 - F.col("gross_exposure")) * cash / 252})
     return out.select(by, "date", "gross_ret", "tc", "cash_yield", (F.col("gross_ret") - F.col("tc") + F.col("cash_yield")).alias("net_ret"), "turnover", "gross_exposure")

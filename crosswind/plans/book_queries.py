@@ -12,6 +12,7 @@ from crosswind.plans.board_queries import STRATEGIES, books
 from crosswind.plans.meta_queries import base, long_scores
 from crosswind.plans.panel_queries import EPS, P, QUERIES, RETS, Dialect, ctes, growth, rd, text
 from crosswind.sources.panels import run_sql
+from crosswind.sources.shared import stored
 
 #: Blends of the registered strategies, one of each method.
 BLENDS = (
@@ -36,28 +37,47 @@ def unit_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     return construct.unit_weights(unit_rows(spark, sf_dir), construct.Book(seats=16, least_seats=10, most_seats=20, mode="blend"))
 
 
-def blend_history(d):
+def _books(d) -> str:
+    return ctes(d, *books(d)) + "SELECT strategy AS strategy_id, date, asset, w AS weight, net FROM (SELECT b.strategy, b.date, b.asset, b.w, p.net FROM bk b JOIN bp p ON p.strategy = b.strategy AND p.date = b.date) z"
+
+
+def _shares(d, source: str) -> str:
+    """Shares from the relation ``source`` (strategy_id, date, asset, weight, net)."""
+    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in (("bpnl", f"SELECT strategy_id, date, max(net) AS net FROM {source} GROUP BY strategy_id, date"), *share_ctes(d, "bpnl", BLENDS))) + "\n"
+
+
+def blend_history(d, source: str):
     """Shares of the blends' parts by date."""
-    return ctes(d, *books(d), ("bpnl", "SELECT strategy AS strategy_id, date, net FROM bp"), *share_ctes(d, "bpnl", BLENDS)) + f"SELECT blend, date, strategy_id, {rd('share', 7)} AS share FROM shares"
+    return _shares(d, source) + f"SELECT blend, date, strategy_id, {rd('share', 7)} AS share FROM shares"
 
 
-def blend_book(d):
+def blend_book(d, source: str):
     """The netted book of each blend."""
-    parts = (*books(d), ("bpnl", "SELECT strategy AS strategy_id, date, net FROM bp"), *share_ctes(d, "bpnl", BLENDS))
-    return ctes(d, *parts) + f"SELECT s.blend, s.date, b.asset, {rd('sum(b.w * s.share)', 7)} AS weight FROM shares s JOIN bk b ON b.strategy = s.strategy_id AND b.date = s.date WHERE b.w > 0 GROUP BY s.blend, s.date, b.asset"
+    return _shares(d, source) + f"SELECT s.blend, s.date, b.asset, {rd('sum(b.weight * s.share)', 7)} AS weight FROM shares s JOIN {source} b ON b.strategy_id = s.strategy_id AND b.date = s.date WHERE b.weight > 0 GROUP BY s.blend, s.date, b.asset"
+
+
+def _of_books(spark: SparkSession, sf_dir: str, f) -> DataFrame:
+    """A statement over the stored books of the strategies: two statements, as one would be too deep to resolve."""
+    given = stored(spark, run_sql(spark, sf_dir, text(_books, "spark")), "books")
+    return run_sql(spark, sf_dir, text(lambda d: f(d, "made"), "spark"), made=given)
 
 
 def blend_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each blend's own P&L: costs of the netted book, not of its parts."""
-    weights = run_sql(spark, sf_dir, text(blend_book, "spark"))
+    weights = _of_books(spark, sf_dir, blend_book)
     returns = run_sql(spark, sf_dir, text(lambda d: ctes(d, RETS) + "SELECT date, asset, ret FROM r", "spark"))
     got = pnl.backtest(weights, returns, "blend")
     return got.select("blend", "date", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in got.columns[2:]])
 
 
+def of_books_sql(f) -> str:
+    d = Dialect("duckdb")
+    return f"WITH made AS ({_books(d)}) SELECT * FROM ({f(d, 'made')}) y"
+
+
 def blend_pnl_sql() -> str:
     more = (
-        ("bb", "SELECT * FROM (" + blend_book(Dialect("duckdb")).replace("WITH ", "WITH ", 1) + ") z"),
+        ("bb", "SELECT * FROM (" + of_books_sql(blend_book) + ") z"),
         ("g", "SELECT n.blend, r.date, r.asset, r.ret, coalesce(b.weight, 0) AS w FROM r CROSS JOIN (SELECT DISTINCT blend FROM bb) n LEFT JOIN bb b ON b.blend = n.blend AND b.date = r.date AND b.asset = r.asset"),
         ("h", "SELECT *, lag(w) OVER (PARTITION BY blend, asset ORDER BY date) AS was FROM g"),
         ("k", "SELECT blend, date, coalesce(sum(was * ret), 0) AS gross_ret, coalesce(sum(abs(w - was)), 0) AS turnover, coalesce(sum(abs(was)), 0) AS gross_exposure FROM h GROUP BY blend, date"),
@@ -92,15 +112,19 @@ def sensitivity_scan(d):
     ) + f"SELECT knob, seats, {rd('tc')} AS tc, wait, {rd('sharpe', 4)} AS sharpe, {rd('dd', 4)} AS max_dd, {rd('sharpe - base', 3)} AS d_sharpe, verdict FROM sh CROSS JOIN bs CROSS JOIN vd"
 
 
-SQL = {f.__name__: f for f in (sensitivity_scan, blend_history, blend_book)}
+SQL = {f.__name__: f for f in (sensitivity_scan,)}
+OF_BOOKS = {f.__name__: f for f in (blend_history, blend_book)}
 
 
 def queries() -> dict:
     def one(f):
         return lambda spark, sf_dir: run_sql(spark, sf_dir, text(f, "spark"))
 
-    return {n: one(f) for n, f in SQL.items()} | {f.__name__: f for f in (unit_book, blend_pnl, markov_regime)}
+    def two(f):
+        return lambda spark, sf_dir: _of_books(spark, sf_dir, f)
+
+    return {n: one(f) for n, f in SQL.items()} | {n: two(f) for n, f in OF_BOOKS.items()} | {f.__name__: f for f in (unit_book, blend_pnl, markov_regime)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: text(f, "duckdb") for n, f in SQL.items()} | {"blend_pnl": blend_pnl_sql()}
+    return {n: text(f, "duckdb") for n, f in SQL.items()} | {n: of_books_sql(f) for n, f in OF_BOOKS.items()} | {"blend_pnl": blend_pnl_sql()}
