@@ -97,6 +97,22 @@ def map_rows(df: DataFrame, schema: T.StructType, make: Callable[[], Callable[[p
     return df.mapInArrow(run, schema)
 
 
+def by_position(docs: DataFrame, needed: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on ``docs`` with names that can't clash; its result has the input's columns, and gets their names back.
+
+    A needed column is the one of its very name, or else the first that differs in case only; all others are named by their place, whatever dots,
+    quotes or capitals their names have.
+    """
+    names = docs.columns
+    own: dict[int, str] = {}
+    for name in needed:
+        found = [i for i, n in enumerate(names) if n == name] or [i for i, n in enumerate(names) if n.lower() == name]
+        if not found:
+            raise ValueError(f"no column {name}")
+        own[found[0]] = name
+    return work(docs.toDF(*[own.get(i, f"_column{i}") for i in range(len(names))])).toDF(*names)
+
+
 def crc_mod(doc_id: F.Column, by: int) -> F.Column:
     """crc32 of the id as text, modulo ``by``: the folds of the held-out rows."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(by)

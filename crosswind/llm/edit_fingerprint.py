@@ -109,9 +109,9 @@ class Walker:
 
     def _walk(self, codes: list[np.ndarray]) -> np.ndarray:
         lanes, sizes = len(codes), np.array([len(c) for c in codes], np.int64)
-        # at a chance of a half for each step on, about twice as many steps as characters; late steps all go on, so that every walk ends
-        late = 3 * int(sizes[0]) + 64 if lanes else 0
-        most = late + int(sizes[0]) if lanes else 0
+        # at a chance of a half for each step on, about twice as many steps as characters; steps late for a text's length all go on, so that every walk ends
+        late = 3 * sizes + 64
+        most = int((late + sizes).max()) if lanes else 0
         if not lanes or not sizes[0]:
             return np.zeros((lanes, self.slots), np.uint8)
         self._know(most)
@@ -129,7 +129,7 @@ class Walker:
         kept_at = np.cumsum(need) - 1
         kept = np.zeros((int(need.sum()), lanes), np.uint32)
         inside = np.zeros((len(kept), lanes), bool)
-        pos, bits = starts.copy(), self.bits
+        pos, bits, soon, last = starts.copy(), self.bits, int(late.min()), int(late.max())
         for j in range(most + RUN):
             here = low[pos]
             if need[j]:
@@ -137,7 +137,10 @@ class Walker:
                 inside[kept_at[j]] = here > 0
             if not j & 63 and not here.any():
                 break  # what is written beyond the end is 0
-            pos += bits[j & (PERIOD - 1)][here] if j < late else here > 0
+            if j < soon:
+                pos += bits[j & (PERIOD - 1)][here]
+            else:
+                pos += np.where(j < late, bits[j & (PERIOD - 1)][here], here > 0) if j < last else here > 0
         # bytes of the written characters at each wanted step
         value = np.zeros((len(wanted), lanes), np.uint64)
         for r in range(RUN):

@@ -31,8 +31,8 @@ from crosswind.llm._shared import crc_mod, map_rows
 CELLS = 1 << 16
 #: About so many labelled rows, taken by a hash of the id, teach the model.
 TRAIN_ROWS = 20_000
-#: Languages that are learned at most, those of the most labelled rows: bounds the model that is broadcast.
-MOST_LANGUAGES = 256
+#: Languages up to which the model is a dense table; of more, only the cells that a language has are kept, with equal values.
+DENSE = 256
 ROUNDS = 30
 #: Trigrams overlap, so that one character bears on three; what a language must gain, in units of log n.
 DEPENDENT = 3.0
@@ -54,10 +54,26 @@ def cells(text: str) -> np.ndarray:
     return ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
 
 
+class Sparse:
+    """Rows of a table of CELLS x languages, of which only the cells that a language has are kept beside its value for all others."""
+
+    def __init__(self, cell: np.ndarray, lang: np.ndarray, value: np.ndarray, rest: np.ndarray):
+        order = np.argsort(cell, kind="stable")
+        self.first = np.searchsorted(cell[order], np.arange(CELLS + 1))
+        self.lang, self.value, self.rest = lang[order].astype("i4"), value[order].astype("f4"), rest.astype("f4")
+
+    def __getitem__(self, cells: np.ndarray) -> np.ndarray:
+        out = np.tile(self.rest, (len(cells), 1))
+        n = self.first[cells + 1] - self.first[cells]
+        at = np.repeat(self.first[cells] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out[np.repeat(np.arange(len(cells)), n), self.lang[at]] = self.value[at]
+        return out
+
+
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    logs: np.ndarray  # CELLS x languages
+    logs: np.ndarray | Sparse  # CELLS x languages
     shares: np.ndarray
 
     def mixture(self, grams: np.ndarray) -> tuple[list[int], np.ndarray]:
@@ -142,18 +158,26 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
         return work
 
-    most = sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    sample = sample.where(F.col("lang").isin([r["lang"] for r in most]))
-    # as many rows as there are languages and cells at most
+    # at most a row for each language and cell of the sample
     got = map_rows(sample, _COUNTS, make).groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(set(got["lang"])))
     if not languages:
         return Model((), np.zeros((CELLS, 0)), np.zeros(0))
-    counts = np.zeros((CELLS + 1, len(languages)))
-    counts[got["cell"].to_numpy(), got["lang"].map({n: i for i, n in enumerate(languages)}).to_numpy()] = got["n"].to_numpy()
-    shares = counts[CELLS] / counts[CELLS].sum()
-    grams = counts[:CELLS] + SMOOTH
-    return Model(languages, np.log(grams / grams.sum(axis=0)).astype(np.float32), shares)
+    cell, lang, n = got["cell"].to_numpy(), got["lang"].map({name: i for i, name in enumerate(languages)}).to_numpy(), got["n"].to_numpy(float)
+    told = cell == CELLS  # documents, not trigrams
+    docs_of = np.bincount(lang[told], n[told], len(languages))
+    return Model(languages, logs_of(cell[~told], lang[~told], n[~told], len(languages)), docs_of / docs_of.sum())
+
+
+def logs_of(cell: np.ndarray, lang: np.ndarray, n: np.ndarray, languages: int, dense: int = DENSE) -> np.ndarray | Sparse:
+    """Logarithms of smoothed shares of cells by language."""
+    total = np.bincount(lang, n, languages) + SMOOTH * CELLS
+    value, rest = np.log((n + SMOOTH) / total[lang]), np.log(SMOOTH / total)
+    if languages > dense:
+        return Sparse(cell, lang, value, rest)
+    out = np.tile(rest.astype(np.float32), (CELLS, 1))
+    out[cell, lang] = value
+    return out
 
 
 def identify(spark: SparkSession, docs: DataFrame, folds: int = 4, held: int = 2, rows: int = TRAIN_ROWS) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosswind.llm._shared import SLICE, discard, map_rows, only_table, stored
+from crosswind.llm._shared import by_position, discard, map_rows, only_table, SLICE, stored
 
 TOPICS = 8
 DIMENSIONS = 256
@@ -233,12 +233,26 @@ def probabilities(cells: list[tuple], targets: dict[str, dict] | None = None, ra
     return {tuple(c[:3]): float(x) for c, x in zip(cells, chance)}
 
 
+def misses(cells: list[tuple], chance: dict[tuple, float], targets: dict[str, dict] | None = None, temper: float = TEMPER) -> list[dict]:
+    """For each dimension by how much the expected share of each value is over its target."""
+    cells, out = [c for c in cells if c[3] > 0], []
+    kept = np.array([c[3] * chance[tuple(c[:3])] for c in cells], float)
+    for d, name in enumerate(DIMENSION_NAMES):
+        values = sorted({c[d] for c in cells}, key=str)
+        at = np.array([values.index(c[d]) for c in cells], int)
+        wanted = goals(values, np.bincount(at, weights=[c[3] for c in cells]), (targets or {}).get(name), temper) if values else []
+        reached = np.bincount(at, weights=kept, minlength=len(values)) / kept.sum() if values else []
+        out.append({v: float(r - w) for v, r, w in zip(values, reached, wanted)})
+    return out
+
+
 @dataclass(frozen=True)
 class Mix:
-    """Fitted topics and the chance of each cell."""
+    """Fitted topics, the chance of each cell, and by how much each value's share misses its target."""
 
     centre: np.ndarray
     chance: dict[tuple, float]
+    missed: list[dict]
 
     def of(self, source: str | None, lang: str | None, topic: int) -> float:
         """A cell that no document had when the mix was fitted, as after other rounding of a topic elsewhere, stays."""
@@ -252,7 +266,9 @@ def fit(spark: SparkSession, docs: DataFrame, targets: dict[str, dict] | None =
     table = stored(spark, told(vectors, centre), "told")
     discard(spark, vectors)
     rows = table.groupBy(*DIMENSION_NAMES).agg(F.sum("tokens").alias("tokens")).collect()
-    return Mix(centre, probabilities([tuple(r) for r in rows], targets, rate)), table
+    cells = [tuple(r) for r in rows]
+    chance = probabilities(cells, targets, rate)
+    return Mix(centre, chance, misses(cells, chance, targets)), table
 
 
 def _draw(key: np.ndarray) -> np.ndarray:
@@ -260,11 +276,14 @@ def _draw(key: np.ndarray) -> np.ndarray:
     return ((key & ((1 << 30) - 1)) + 0.5) / (1 << 30)
 
 
-_DECIDED = T.StructType([*_TOLD.fields[:1], *_TOLD.fields[2:], T.StructField("probability", T.DoubleType()), T.StructField("kept", T.BooleanType())])
+_DECIDED = T.StructType([*_TOLD.fields[:1], *_TOLD.fields[2:], T.StructField("probability", T.DoubleType()), T.StructField("kept", T.BooleanType()), *[T.StructField(f"{n}_miss", T.DoubleType()) for n in DIMENSION_NAMES]])
 
 
 def decide(spark: SparkSession, docs: DataFrame, targets: dict[str, dict] | None = None, rate: float | None = None, start_rows: int = FIT_ROWS) -> DataFrame:
-    """One row a document: doc_id, source, lang, topic, tokens, probability and kept."""
+    """One row a document: doc_id, source, lang, topic, tokens, probability and kept, and for its source, lang and topic by how much their expected share is over its target.
+
+    Tempered shares are missed by what the bound on weights leaves; given ones are met, or an error.
+    """
     mix, table = fit(spark, docs, targets, rate, start_rows)
     given = lambda c: F.when(F.col(c) != NONE, F.col(c)).alias(c)
 
@@ -273,7 +292,9 @@ def decide(spark: SparkSession, docs: DataFrame, targets: dict[str, dict] | None
             source, lang, topic, tokens = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
             chance = [mix.of(s, g, t) if n else 1.0 for s, g, t, n in zip(source, lang, topic, tokens)]
             kept = _draw(batch.column(1).to_numpy()) < np.array(chance)
-            return {"doc_id": batch.column(0), "source": source, "lang": lang, "topic": topic, "tokens": tokens, "probability": chance, "kept": kept}
+            return {"doc_id": batch.column(0), "source": source, "lang": lang, "topic": topic, "tokens": tokens, "probability": chance, "kept": kept} | {
+                f"{n}_miss": [found.get(NONE if v is None else v) for v in values] for n, found, values in zip(DIMENSION_NAMES, mix.missed, (source, lang, topic))
+            }
 
         return work
 
@@ -285,6 +306,10 @@ def sample(spark: SparkSession, docs: DataFrame, targets: dict[str, dict] | None
 
     A second pass over the texts decides as ``decide`` does; so no text is shuffled.
     """
+    return by_position(docs, ("doc_id", "text", "source", "lang"), lambda named: _sample(spark, named, targets, rate, start_rows))
+
+
+def _sample(spark: SparkSession, docs: DataFrame, targets: dict[str, dict] | None, rate: float | None, start_rows: int) -> DataFrame:
     mix, _ = fit(spark, docs, targets, rate, start_rows)
     names = docs.columns
     at = {c: i for i, c in enumerate(names)}

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosswind.llm._shared import discard, map_rows, only_table, stored
+from crosswind.llm._shared import by_position, discard, map_rows, only_table, stored
 
 #: Coordinates of a signature, MinHash values in each, and collisions from which a pair is a candidate.
 COORDINATES = 32
@@ -448,8 +448,12 @@ def deduplicated(spark: SparkSession, docs: DataFrame, settings: Settings = Sett
     Of several rows with one id the one with the smallest hash of its text (ties by the text) stays; rows without
     an id all stay.
     """
+    return by_position(docs, ("doc_id", "text"), lambda named: _deduplicated(spark, named, settings))
+
+
+def _deduplicated(spark: SparkSession, docs: DataFrame, settings: Settings) -> DataFrame:
     gone = stored(spark, find(spark, docs, settings).where("not kept").select("doc_id"), "gone")
     named = docs.where(F.col("doc_id").isNotNull())
     left = named.join(gone, named["doc_id"] == gone["doc_id"], "left_anti")
-    one = left.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.xxhash64("text"), "text")).alias("row"))
+    one = left.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), "text")).alias("row"))
     return one.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))

@@ -5,7 +5,7 @@ best-fit decreasing inside hash partitions.  Dual-feasible functions give each p
 lower bound on its bins: a partition that meets its bound is certified.  What an uncertified
 partition has in bins with room, and the emptiest bin of each certified one, is exchanged over
 fewer partitions and packed again.  Rounds end when one partition has been packed or a round has
-spared too few bins, and no task ever holds more than about ``FAN_IN`` times ``per_partition`` pieces.
+spared no bin, and no task ever holds more than about ``FAN_IN`` times ``per_partition`` pieces.
 
 Defined results: null text is the empty text; a text without tokens is the single end id; special
 tokens inside a text are what the plain tokenizer call makes of them; a text of any length is cut
@@ -31,12 +31,11 @@ from crosswind.llm._shared import map_rows, only_table, stored, texts
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces in a partition of the first round, how many times as many one of a later round may hold and how many meet in one,
-#: and the part of the bins exchanged that a round must spare for another to follow.
+#: Pieces in a partition of the first round, how many times as many one of a later round may hold and how many meet in one.
 PER_PARTITION = 60_000
 FAN_IN = 8
-LEAST_GAIN = 0.002
-MOST_ROUNDS = 12
+#: Rounds that a sequence's number has room for; as each round spares a bin or is the last, and meets in fewer partitions, far fewer happen.
+MOST_ROUNDS = 120
 #: Entries of a worker's table from word pieces to ids; it starts anew beyond that.
 CACHE_ENTRIES = 500_000
 
@@ -228,7 +227,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, ca
         bins = placed.groupBy("moves").agg(F.count(F.lit(1)).alias("pieces"), F.count(F.when(F.col("offset") == 0, 1)).alias("bins")).collect()
         moving = {r["moves"]: r for r in bins}.get(True)
         spared = None if before is None else before - sum(r["bins"] for r in bins)
-        if last or moving is None or spared is not None and spared < LEAST_GAIN * before:
+        if last or moving is None or spared is not None and spared <= 0:
             done.append(placed)
             break
         done.append(placed.where(~F.col("moves")))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosswind.llm._shared import SLICE, crc_mod, map_rows, stored
+from crosswind.llm._shared import by_position, crc_mod, map_rows, SLICE, stored
 
 THRESHOLD = 0.3
 #: Weights of the pooled covariance and of the scaled identity in each class covariance.
@@ -156,6 +156,10 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int
 
 def filtered(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are predicted as good, with their columns; a second pass over the texts, and no shuffle of them."""
+    return by_position(docs, ("doc_id", "text"), lambda named: _filtered(spark, named, labels, folds, threshold))
+
+
+def _filtered(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int, threshold: float) -> DataFrame:
     model = fit(stored(spark, features(docs), "quality"), labels, crc_mod(F.col("doc_id"), folds) != 0)
     at, schema = docs.columns.index("text"), docs.schema
 

@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crosswind.llm._shared import by_position
+
 TRAIN_ROWS = 20_000
 #: Conditions of a rule, rules of a list, thresholds tried for a statistic, and the precision and
 #: covered rows that a rule needs on the part that it is pruned on.
@@ -208,5 +210,9 @@ def filtered(spark: SparkSession, docs: DataFrame, rules: list[Rule]) -> DataFra
     The row number keeps the optimizer from moving the filter below the projections, where it
     would compute the arrays anew for each use.
     """
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))
-    return judged(whole, rules, "_row").withColumn("_at", F.monotonically_increasing_id()).where("kept and _at >= 0").select("_row.*")
+
+    def work(named: DataFrame) -> DataFrame:
+        whole = named.select(F.struct(*named.columns).alias("_row"), F.col("text"))
+        return judged(whole, rules, "_row").withColumn("_at", F.monotonically_increasing_id()).where("kept and _at >= 0").select("_row.*")
+
+    return by_position(docs, ("text",), work)

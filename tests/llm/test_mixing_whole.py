@@ -49,3 +49,22 @@ def test_tempered_shares_keep_half_of_the_tokens():
         chance = mixing.probabilities(cells)
     total = sum(c[3] for c in cells)
     assert sum(c[3] * chance[c[:3]] for c in cells) >= 0.49 * total and max(chance.values()) == 1.0
+
+
+def test_misses_are_told(spark):
+    """Each document has by how much its values' expected shares are over their targets: sums by hand, and none where targets are given."""
+    rows = [(i, f"text {i % 7} of words", ("a", "b", None)[i % 3], ("en", "es")[i % 5 == 0]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = mixing.decide(spark, docs).toPandas()
+    weight = got.tokens * got.probability
+    for c in ("source", "lang", "topic"):
+        values = got[c].astype(object).where(got[c].notna(), None)
+        share = got.tokens.groupby(values, dropna=False).sum() / got.tokens.sum()
+        goal = share**mixing.TEMPER / (share**mixing.TEMPER).sum()
+        reached = weight.groupby(values, dropna=False).sum() / weight.sum()
+        want = {k: reached[k] - goal[k] for k in reached.index if k is not None and k == k}
+        for k, miss in zip(values, got[f"{c}_miss"]):
+            if k is not None:
+                assert abs(miss - want[k]) < 1e-9
+    met = mixing.decide(spark, docs, {"lang": {"en": 0.5, "es": 0.5}}).toPandas()
+    assert met.lang_miss.abs().max() < 1e-6
