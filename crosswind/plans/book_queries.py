@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosswind.operators import construct, pnl
+from crosswind.operators import construct, pnl, walkforward
 from crosswind.plans.blend_ctes import share_ctes
 from crosswind.plans.board_queries import STRATEGIES, books
 from crosswind.plans.meta_queries import base, long_scores
@@ -86,6 +86,53 @@ def blend_pnl_sql() -> str:
     return ctes(Dialect("duckdb"), RETS, *more) + "SELECT blend, date, round(gross_ret, 6) + 0.0 AS gross_ret, round(tc, 6) + 0.0 AS tc, round(cash_yield, 6) + 0.0 AS cash_yield, round(gross_ret - tc + cash_yield, 6) + 0.0 AS net_ret, round(turnover, 6) + 0.0 AS turnover, round(gross_exposure, 6) + 0.0 AS gross_exposure FROM c"
 
 
+#: Costs in basis points that the walk-forward report is run at.
+KNOBS = {"BASE": 3.0, "cheap": 1.0, "dear": 6.0}
+
+
+def _walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = run_sql(spark, sf_dir, text(lambda d: ctes(d, *books(d)) + "SELECT strategy, date, sum(coalesce(prior * ret, 0)) AS gross, coalesce(sum(abs(w - prior)), 0) AS turnover FROM bk GROUP BY strategy, date", "spark"))
+    return walkforward.folds(rows, KNOBS)
+
+
+def walkforward_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each strategy's years at three costs: what it had shown before them, and what it did."""
+    got = _walk(spark, sf_dir)
+    places = {"train_sharpe": 4, "test_net": 6, "test_sharpe": 4, "test_max_dd": 6}
+    return got.select("knob", "fold", "strategy", "train_days", "test_days", *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in places.items()], "picked")
+
+
+def walkforward_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What picking by the years before would have given, and if it hangs on the costs."""
+    got = walkforward.verdicts(_walk(spark, sf_dir), "BASE")
+    places = {"profitable": 4, "worst_net": 6, "least_sharpe": 4, "median_sharpe": 4}
+    return got.select("knob", "folds", *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in places.items()], "verdict")
+
+
+def _walk_sql() -> str:
+    """Folds by joining every date to every year that it is trained for, and compounding by products."""
+    d = Dialect("duckdb")
+    knobs = ", ".join(f"('{k}', {v})" for k, v in KNOBS.items())
+    more = (
+        ("g", "SELECT strategy, date, sum(coalesce(prior * ret, 0)) AS gross, coalesce(sum(abs(w - prior)), 0) AS turnover FROM bk GROUP BY strategy, date"),
+        ("n", f"SELECT g.strategy, g.date, k.knob, year(g.date) AS y, g.gross - g.turnover * k.bps / 10000 AS net FROM g CROSS JOIN (VALUES {knobs}) k(knob, bps)"),
+        ("o", "SELECT date, row_number() OVER (ORDER BY date) AS pos FROM (SELECT DISTINCT date FROM g) z"), ("f", "SELECT year(date) AS fold, min(pos) AS first FROM o GROUP BY 1 HAVING count(*) >= 40"),
+        ("tr", "SELECT n.strategy, n.knob, f.fold, count(*) AS train_days, avg(n.net) / (stddev_samp(n.net) + 1e-12) * sqrt(252) AS train_sharpe FROM n JOIN o ON o.date = n.date JOIN f ON o.pos < f.first - 21 GROUP BY 1, 2, 3 HAVING count(*) >= 40"),
+        ("v", "SELECT n.*, product(1 + net) OVER (PARTITION BY strategy, knob, y ORDER BY date) AS nav FROM n WHERE y IN (SELECT fold FROM f)"),
+        ("te", "SELECT strategy, knob, y AS fold, count(*) AS test_days, arg_max(nav, date) - 1 AS test_net, avg(net) / (stddev_samp(net) + 1e-12) * sqrt(252) AS test_sharpe, max(1 - nav / greatest(1, peak)) AS test_max_dd FROM (SELECT *, max(nav) OVER (PARTITION BY strategy, knob, y ORDER BY date) AS peak FROM v) z GROUP BY 1, 2, 3"),
+        ("wf", "SELECT te.*, tr.train_days, tr.train_sharpe, tr.train_sharpe IS NOT NULL AND row_number() OVER (PARTITION BY te.knob, te.fold ORDER BY round(tr.train_sharpe, 9) DESC NULLS LAST, te.strategy) = 1 AS picked FROM te LEFT JOIN tr ON tr.strategy = te.strategy AND tr.knob = te.knob AND tr.fold = te.fold"),
+    )
+    return ctes(d, *books(d), *more)
+
+
+WALK_SQL = {
+    "walkforward_report": lambda: _walk_sql() + "SELECT knob, fold, strategy, train_days, test_days, round(train_sharpe, 4) + 0.0 AS train_sharpe, round(test_net, 6) + 0.0 AS test_net, round(test_sharpe, 4) + 0.0 AS test_sharpe, round(test_max_dd, 6) + 0.0 AS test_max_dd, picked FROM wf",
+    "walkforward_verdict": lambda: _walk_sql() + """, p AS (SELECT knob, count(*) AS folds, avg(CASE WHEN test_net > 0 THEN 1.0 ELSE 0.0 END) AS profitable, min(test_net) AS worst_net, min(test_sharpe) AS least_sharpe, median(test_sharpe) AS median_sharpe FROM wf WHERE picked GROUP BY knob),
+ b AS (SELECT max(CASE WHEN knob = 'BASE' THEN median_sharpe END) AS base, min(CASE WHEN knob <> 'BASE' THEN median_sharpe END) AS lo, max(CASE WHEN knob <> 'BASE' THEN median_sharpe END) AS hi FROM p)
+SELECT knob, folds, round(profitable, 4) + 0.0 AS profitable, round(worst_net, 6) + 0.0 AS worst_net, round(least_sharpe, 4) + 0.0 AS least_sharpe, round(median_sharpe, 4) + 0.0 AS median_sharpe, CASE WHEN (base > 0 AND lo < 0.25 * base) OR hi - lo > greatest(1, abs(base)) THEN 'FRAGILE' ELSE 'ROBUST' END AS verdict FROM p CROSS JOIN b""",
+}
+
+
 def markov_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transition matrix of the five return states, its stationary shares, dwell times, entropy and five-step forecast."""
     counts = np.zeros((5, 5))
@@ -123,8 +170,8 @@ def queries() -> dict:
     def two(f):
         return lambda spark, sf_dir: _of_books(spark, sf_dir, f)
 
-    return {n: one(f) for n, f in SQL.items()} | {n: two(f) for n, f in OF_BOOKS.items()} | {f.__name__: f for f in (unit_book, blend_pnl, markov_regime)}
+    return {n: one(f) for n, f in SQL.items()} | {n: two(f) for n, f in OF_BOOKS.items()} | {f.__name__: f for f in (unit_book, blend_pnl, walkforward_report, walkforward_verdict, markov_regime)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: text(f, "duckdb") for n, f in SQL.items()} | {n: of_books_sql(f) for n, f in OF_BOOKS.items()} | {"blend_pnl": blend_pnl_sql()}
+    return {n: text(f, "duckdb") for n, f in SQL.items()} | {n: of_books_sql(f) for n, f in OF_BOOKS.items()} | {"blend_pnl": blend_pnl_sql()} | {n: f() for n, f in WALK_SQL.items()}
