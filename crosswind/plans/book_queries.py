@@ -86,6 +86,28 @@ def blend_pnl_sql() -> str:
     return ctes(Dialect("duckdb"), RETS, *more) + "SELECT blend, date, round(gross_ret, 6) + 0.0 AS gross_ret, round(tc, 6) + 0.0 AS tc, round(cash_yield, 6) + 0.0 AS cash_yield, round(gross_ret - tc + cash_yield, 6) + 0.0 AS net_ret, round(turnover, 6) + 0.0 AS turnover, round(gross_exposure, 6) + 0.0 AS gross_exposure FROM c"
 
 
+def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the six strategies earned, at what risk, and how they went with the market."""
+    rows = run_sql(spark, sf_dir, text(lambda d: ctes(d, *books(d)) + "SELECT strategy, date, net, mkt AS bench FROM bp", "spark"))
+    got = pnl.performance(rows, "strategy")
+    return got.select("strategy", "days", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in got.columns[3:]])
+
+
+def _performance_sql() -> str:
+    """By products and sorted values."""
+    d = Dialect("duckdb")
+    year = lambda x: f"CASE WHEN min(1 + {x}) <= 0 THEN -1 ELSE pow(product(1 + {x}), 252.0 / count({x})) - 1 END"
+    up, down = ("avg(net) FILTER (WHERE mkt > 0) / (avg(mkt) FILTER (WHERE mkt > 0) + 1e-12)", "avg(net) FILTER (WHERE mkt < 0) / (avg(mkt) FILTER (WHERE mkt < 0) - 1e-12)")
+    columns = {
+        "ann_return": year("net"), "ann_vol": "stddev_samp(net) * sqrt(252)", "sharpe": "avg(net) / (stddev_samp(net) + 1e-12) * sqrt(252)", "sortino": "avg(net) / (stddev_samp(net) FILTER (WHERE net < 0) + 1e-12) * sqrt(252)", "max_dd": "min(dd)",
+        "calmar": f"({year('net')}) / (abs(min(dd)) + 1e-12)", "win_rate": "avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END)", "worst_day": "min(net)", "best_day": "max(net)", "skew": "skewness(net)", "kurtosis": "kurtosis(net)",
+        "tail_ratio": "abs(quantile_cont(net, 0.95)) / (abs(quantile_cont(net, 0.05)) + 1e-12)", "active_return": year("(net - mkt)"), "active_vol": "stddev_samp(net - mkt) * sqrt(252)", "info_ratio": "avg(net - mkt) / (stddev_samp(net - mkt) + 1e-12) * sqrt(252)",
+        "bench_return": year("mkt"), "beta": "regr_slope(net, mkt)", "alpha": "regr_intercept(net, mkt) * 252", "correlation": "corr(net, mkt)", "up_capture": up, "down_capture": down, "capture_spread": f"{up} - {down}",
+    }
+    more = (("kn", "SELECT *, product(1 + net) OVER (PARTITION BY strategy ORDER BY date) AS nav FROM bp WHERE net IS NOT NULL"), ("kd", "SELECT *, nav / max(nav) OVER (PARTITION BY strategy ORDER BY date) - 1 AS dd FROM kn"))
+    return ctes(d, *books(d), *more) + "SELECT strategy, count(*) AS days, " + ", ".join(f"round({x}, 4) + 0.0 AS {c}" for c, x in columns.items()) + " FROM kd GROUP BY strategy"
+
+
 #: Costs in basis points that the walk-forward report is run at.
 KNOBS = {"BASE": 3.0, "cheap": 1.0, "dear": 6.0}
 
@@ -170,8 +192,8 @@ def queries() -> dict:
     def two(f):
         return lambda spark, sf_dir: _of_books(spark, sf_dir, f)
 
-    return {n: one(f) for n, f in SQL.items()} | {n: two(f) for n, f in OF_BOOKS.items()} | {f.__name__: f for f in (unit_book, blend_pnl, walkforward_report, walkforward_verdict, markov_regime)}
+    return {n: one(f) for n, f in SQL.items()} | {n: two(f) for n, f in OF_BOOKS.items()} | {f.__name__: f for f in (unit_book, blend_pnl, performance, walkforward_report, walkforward_verdict, markov_regime)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: text(f, "duckdb") for n, f in SQL.items()} | {n: of_books_sql(f) for n, f in OF_BOOKS.items()} | {"blend_pnl": blend_pnl_sql()} | {n: f() for n, f in WALK_SQL.items()}
+    return {n: text(f, "duckdb") for n, f in SQL.items()} | {n: of_books_sql(f) for n, f in OF_BOOKS.items()} | {"blend_pnl": blend_pnl_sql(), "performance": _performance_sql()} | {n: f() for n, f in WALK_SQL.items()}

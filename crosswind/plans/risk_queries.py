@@ -127,8 +127,11 @@ def latch_ctes(source: str, trip: float, rearm: float, name: str = "latched") ->
     )
 
 
-def budget_ctes(d: Dialect, target: float = 0.18, stressed: float = 0.12, lev: tuple = (0.40, 1.5), lam: float = 0.95, stretch: float = 0.70, floor: float = 0.45, overlay_win: int = 63, most_vol: float = 0.22, overlay: tuple = (0.5, 1.25), worst: float = 0.10, kill_mult: float = 1.5) -> tuple[tuple[str, str], ...]:
-    """``budget`` (date, ...) of the unit book ``w`` (date, asset, ret, w) under the market's drawdown ``mdd``; last the kill latch."""
+def budget_ctes(d: Dialect, target: float = 0.18, stressed: float = 0.12, lev: tuple = (0.40, 1.5), lam: float = 0.95, stretch: float = 0.70, floor: float = 0.45, overlay_win: int = 63, most_vol: float = 0.22, overlay: tuple = (0.5, 1.25), worst: float = 0.10, kill_mult: float = 1.5, multiplier: str = "") -> tuple[tuple[str, str], ...]:
+    """``budget`` (date, ...) of the unit book ``w`` (date, asset, ret, w) under the market's drawdown ``mdd``; last the kill latch.
+
+    A relation ``multiplier`` (date, multiplier) of the regime scales the budget after its overlay, inside the same bounds.
+    """
     lo, hi = lev
     return (
         ("bw", f"SELECT date, asset, w, ret, lag(w, 1) {P} AS prior FROM w"),
@@ -136,7 +139,7 @@ def budget_ctes(d: Dialect, target: float = 0.18, stressed: float = 0.12, lev: t
         ("pvol", f"SELECT p.date, p.port, mdd.dd, least(1.0, mdd.dd / (0.10 + {EPS})) AS stress, sqrt(p.port2 * 252) AS realized_vol, {roll('stddev_samp', 'p.port', overlay_win, 10, 'ORDER BY p.date')} * sqrt(252.0) AS trailing_vol FROM porte p JOIN mdd ON mdd.date = p.date"),
         ("lever", f"SELECT *, greatest({lo}, least({hi}, ({target} + ({stressed} - {target}) * stress) / (realized_vol + {EPS}))) AS leverage, greatest({floor}, least(1.0, 1 - {stretch} * dd)) AS throttle FROM pvol"),
         ("over1", f"SELECT *, greatest({lo}, least({hi}, leverage * throttle)) AS b1, coalesce({clip(f'throttle * ({clip(f'{target} / (least(trailing_vol, {most_vol}) + {EPS})', str(overlay[0]), str(overlay[1]))})', str(overlay[0]), str(overlay[1]))}, 1.0) AS overlay FROM lever"),
-        ("over2", f"SELECT *, greatest({lo}, least({hi}, b1 * overlay)) AS b2 FROM over1"),
+        ("over2", f"SELECT o.*, greatest({lo}, least({hi}, b1 * overlay)) AS b2 FROM over1 o" if not multiplier else f"SELECT o.*, x.multiplier, greatest({lo}, least({hi}, greatest({lo}, least({hi}, b1 * overlay)) * coalesce(x.multiplier, 1.0))) AS b2 FROM over1 o LEFT JOIN {multiplier} x ON x.date = o.date"),
         ("scaled", f"SELECT date, port * coalesce(lag(b2, 1) OVER ({D}), {lo}) AS scaled FROM over2"),
         *drawdown_ctes("scaled", "scaled", "own"),
         *latch_ctes("own", kill_mult * worst, worst),

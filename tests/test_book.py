@@ -298,3 +298,31 @@ def test_streams(spark, tmp_path):
     run = quotes.latest(stream).writeStream.outputMode("complete").format("memory").queryName("latest_quotes").trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert {(r["symbol"], r["mark"]) for r in spark.table("latest_quotes").collect()} == {("A", 2.5), ("B", 7.0)} == {(r["symbol"], r["mark"]) for r in quotes.latest(rows).collect()}
+
+
+def test_performance_equals_pandas(spark):
+    """All measures of two books, one with gaps, and one with too short a history."""
+    rng = np.random.default_rng(3)
+    dates = pd.bdate_range("2022-01-03", periods=120)
+    bench = pd.Series(rng.normal(0.0004, 0.01, 120), index=dates)
+    books = {"a": 0.6 * bench + rng.normal(0.0003, 0.006, 120), "b": pd.Series(rng.normal(-0.001, 0.02, 120), index=dates), "short": bench[:15]}
+    books["b"].iloc[[4, 9]] = np.nan
+    bench.iloc[30] = np.nan
+    plain = lambda v: None if np.isnan(v) else float(v)
+    rows = spark.createDataFrame([(k, d.date(), plain(v), plain(bench[d])) for k, x in books.items() for d, v in x.items()], "book string, date date, net double, bench double")
+    got = pnl.performance(rows.repartition(5), "book").toPandas().set_index("book")
+    assert got.error["short"] == "insufficient history" and got.days["short"] == 15 and np.isnan(got.sharpe["short"]) and got.error[["a", "b"]].isna().all()
+    for k in "ab":
+        r = books[k].dropna()
+        m = pd.concat([r, bench], axis=1, join="inner").dropna()
+        p, b = m.iloc[:, 0], m.iloc[:, 1]
+        year = lambda x: (1 + x).prod() ** (252 / len(x)) - 1
+        dd = ((1 + r).cumprod() / (1 + r).cumprod().cummax() - 1).min()
+        beta = p.cov(b) / b.var()
+        want = {
+            "days": len(r), "ann_return": year(r), "ann_vol": r.std() * 252**0.5, "sharpe": r.mean() / r.std() * 252**0.5, "sortino": r.mean() / r[r < 0].std() * 252**0.5, "max_dd": dd, "calmar": year(r) / abs(dd), "win_rate": (r > 0).mean(), "worst_day": r.min(), "best_day": r.max(),
+            "skew": r.skew(), "kurtosis": r.kurt(), "tail_ratio": abs(r.quantile(0.95)) / abs(r.quantile(0.05)), "active_return": year(p - b), "active_vol": (p - b).std() * 252**0.5, "info_ratio": (p - b).mean() / (p - b).std() * 252**0.5, "bench_return": year(b), "beta": beta,
+            "alpha": (p - beta * b).mean() * 252, "correlation": p.corr(b), "up_capture": p[b > 0].mean() / b[b > 0].mean(), "down_capture": p[b < 0].mean() / b[b < 0].mean(),
+        }
+        for name, value in want.items():
+            assert abs(got.loc[k, name] - value) < 1e-6 * max(1, abs(value)), (k, name)

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from crosswind.plans import board_queries, book_queries, catalog, factor_queries, ledger_queries, meta_queries, panel_queries, risk_queries, stateful_queries, universe_queries
+from crosswind.plans import board_queries, book_queries, catalog, cross_queries, ensemble_queries, factor_queries, ledger_queries, meta_queries, panel_queries, risk_queries, stateful_queries, universe_queries
 
 ROOT = Path(__file__).resolve().parent.parent
 DATA = "/root/testdata/sf0.001"
@@ -31,7 +31,7 @@ def rows_of(frame):
 
 QUERIES = entry.queries()
 #: Of the heavy modules some stand for all, as they share their plans.
-WHOLE = [n for m in (panel_queries, risk_queries, universe_queries, ledger_queries, stateful_queries, catalog, book_queries) for n in m.oracle_sql()]
+WHOLE = [n for m in (panel_queries, risk_queries, universe_queries, ledger_queries, stateful_queries, catalog, book_queries, cross_queries, ensemble_queries) for n in m.oracle_sql()]
 SOME = ["ic_state", "sleeve_weights", "candidate_board", "board_hash"]
 
 
@@ -60,6 +60,18 @@ def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_all_factors_serve_all_queries(spark):
+    """Strategies, sleeves and the learned score on one table of factors: shapes, bounds and that books hold what scores are there."""
+    books = QUERIES["strategy_books"](spark, DATA).toPandas()
+    names = set(QUERIES["strategy_scores"](spark, DATA).select("strategy_id").distinct().toPandas().strategy_id)
+    assert len(names) == 23 and set(books.strategy_id) <= names and books.weight.between(0, 0.15 + 1e-9).all()
+    weights = QUERIES["sleeve_weights_all"](spark, DATA).toPandas()
+    assert (weights.groupby("date").weight.sum() - 1).abs().max() < 1e-3 and set(weights.sleeve) == set(ensemble_queries.SLEEVES)
+    history = QUERIES["selection_history"](spark, DATA).toPandas()
+    assert set(history.policy) == {"default", "patient"} and history.groupby("policy").date.nunique().nunique() == 1
+    assert QUERIES["ensemble_all"](spark, DATA).count() == QUERIES["cold_start_whole"](spark, DATA).count()
+
+
 def test_rest_imports_without_the_corpus_operators(tmp_path):
     code = (
         "import sys\n"
