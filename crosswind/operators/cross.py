@@ -97,3 +97,35 @@ def rank_coefficients(wide: DataFrame, names: list[str], targets: list[str], lea
 
     kind = dict(wide.dtypes)["date"]
     return _doubles(wide, [*names, *targets]).groupBy("date").applyInArrow(one, f"date {kind}, factor string, target string, ic double, n long")
+
+
+def pooled(wide: DataFrame, names: list[str], least: int = 2) -> DataFrame:
+    """(a, b, n, corr) of every pair of columns over all rows that know both, whatever their date.
+
+    A task adds up its rows' products as it reads them; what is shuffled are sums of pairs, a set for each task.  Values are z scores or
+    of that size, so that sums of squares lose nothing.
+    """
+    from collections.abc import Iterator
+
+    columns = ("n", "a_sum", "b_sum", "a_square", "b_square", "product")
+    upper = np.triu_indices(len(names), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            x = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names], 1)
+            known = np.isfinite(x)
+            v, m = np.where(known, x, 0.0), known.astype(float)
+            sums, squares = v.T @ m, (v * v).T @ m
+            now = np.stack([m.T @ m, sums, sums.T, squares, squares.T, v.T @ v])
+            total = now if total is None else total + now
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(upper[0], pa.int32()), pa.array(upper[1], pa.int32()), *[pa.array(t[upper]) for t in total]], names=["i", "j", *columns])
+
+    sums = wide.select(*[F.col(n).cast("double").alias(n) for n in names]).mapInArrow(run, "i int, j int, " + ", ".join(f"{c} double" for c in columns))
+    added = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in columns])
+    spread = lambda s: F.col(f"{s}_square") - F.col(f"{s}_sum") * F.col(f"{s}_sum") / F.col("n")
+    own = lambda s: F.when(spread(s) > 1e-10 * F.col(f"{s}_square"), spread(s))
+    corr = F.when(F.col("n") >= least, (F.col("product") - F.col("a_sum") * F.col("b_sum") / F.col("n")) / F.sqrt(own("a") * own("b")))
+    said = F.array(*[F.lit(n) for n in names])
+    return added.select(F.get(said, F.col("i")).alias("a"), F.get(said, F.col("j")).alias("b"), F.col("n").cast("long").alias("n"), corr.alias("corr"))

@@ -35,11 +35,15 @@ class PanelStore(PanelSource):
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def write(self, bars: DataFrame, source: str = "") -> None:
-        """Replaces the years that ``bars`` has; the others stay."""
+    def write(self, bars: DataFrame, source: str = "", files: int = 8) -> None:
+        """Replaces the years that ``bars`` has; the others stay.  A year is written by several tasks, by asset.
+
+        The description is of the whole store afterwards.
+        """
         kept = bars.select("date", "asset", *FIELDS).withColumn("year", F.year("date"))
-        kept.repartition("year").sortWithinPartitions("asset", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(f"{self.folder}/bars")
-        facts = kept.agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count_distinct("asset").alias("assets"), F.count(F.lit(1)).alias("rows"))
+        dealt = kept.repartition("year", F.pmod(F.xxhash64("asset"), F.lit(files))).sortWithinPartitions("year", "asset", "date")
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(f"{self.folder}/bars")
+        facts = self.bars().agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count_distinct("asset").alias("assets"), F.count(F.lit(1)).alias("rows"))
         facts.select("*", F.lit(source).alias("source")).coalesce(1).write.mode("overwrite").json(f"{self.folder}/meta")
 
     def meta(self) -> dict:

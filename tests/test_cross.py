@@ -46,6 +46,17 @@ def test_redundancy_and_coefficients(spark):
                 assert abs(mine.ic - both.rank().corr().iloc[0, 1]) < 1e-12
 
 
+def test_pooled_pairs(spark):
+    frame = wide(3, days=9)
+    names = ["a", "b", "c", "d"]
+    got = cross.pooled(spark.createDataFrame(frame).repartition(6), names).toPandas().set_index(["a", "b"])
+    assert len(got) == 6
+    for (a, b), row in got.iterrows():
+        both = frame[[a, b]].dropna()
+        assert row.n == len(both) and abs(row["corr"] - both.corr().iloc[0, 1]) < 1e-7
+    assert cross.pooled(spark.createDataFrame(frame).where("1 = 0"), names).count() == 0
+
+
 def test_ranks_share_ties():
     x = np.array([3.0, 1.0, 3.0, 2.0, 3.0])
     assert cross.ranks(x).tolist() == pd.Series(x).rank().tolist() and cross.ranks(np.empty(0)).tolist() == []
