@@ -534,8 +534,8 @@ def expected_alpha(d):
 def ic_weights(d):
     """Weights from mean, ratio, hit rate and coverage of lagged coefficients, with a floor, summing to one."""
     more = (
-        *_ic(d), ("lagged", "SELECT factor, date, greatest(-0.25, least(0.25, lag(ic, 6) OVER (PARTITION BY factor ORDER BY date))) AS ic FROM ic WHERE ic IS NOT NULL"),
-        ("st", "SELECT factor, avg(ic) AS m, avg(ic) / greatest(stddev_samp(ic), 0.02) AS ir, avg(CASE WHEN round(ic, 9) > 0 THEN 1.0 ELSE 0.0 END) AS hit FROM lagged GROUP BY factor"),
+        *_ic(d), ("lagged", "SELECT factor, date, CASE WHEN lag(ic, 6) OVER (PARTITION BY factor ORDER BY date) IS NOT NULL THEN greatest(-0.25, least(0.25, lag(ic, 6) OVER (PARTITION BY factor ORDER BY date))) END AS ic FROM ic WHERE ic IS NOT NULL"),
+        ("st", "SELECT factor, avg(ic) AS m, avg(ic) / greatest(stddev_samp(ic), 0.02) AS ir, avg(CASE WHEN round(ic, 9) > 0 THEN 1.0 WHEN ic IS NOT NULL THEN 0.0 END) AS hit FROM lagged GROUP BY factor"),
         ("raw", "SELECT factor, greatest(m, 0.0) * (0.25 + 0.75 * greatest(ir, 0.0) / (1 + greatest(ir, 0.0))) * (0.5 + 0.5 * greatest(0.0, least(1.0, (hit - 0.4) / 0.2))) AS w FROM st"),
         ("fl", "SELECT factor, greatest(0.012, CASE WHEN sum(w) OVER () > 0 THEN w / sum(w) OVER () ELSE 1.0 / count(*) OVER () END) AS w FROM raw"),
     )

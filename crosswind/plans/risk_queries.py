@@ -138,7 +138,7 @@ def budget_ctes(d: Dialect, target: float = 0.18, stressed: float = 0.12, lev: t
         ("port", "SELECT date, sum(coalesce(prior * ret, 0)) AS port FROM bw GROUP BY date"), *ewm_ctes(d, "port", "porte", 1 - lam, {"port2": "port * port"}),
         ("pvol", f"SELECT p.date, p.port, mdd.dd, least(1.0, mdd.dd / (0.10 + {EPS})) AS stress, sqrt(p.port2 * 252) AS realized_vol, {roll('stddev_samp', 'p.port', overlay_win, 10, 'ORDER BY p.date')} * sqrt(252.0) AS trailing_vol FROM porte p JOIN mdd ON mdd.date = p.date"),
         ("lever", f"SELECT *, greatest({lo}, least({hi}, ({target} + ({stressed} - {target}) * stress) / (realized_vol + {EPS}))) AS leverage, greatest({floor}, least(1.0, 1 - {stretch} * dd)) AS throttle FROM pvol"),
-        ("over1", f"SELECT *, greatest({lo}, least({hi}, leverage * throttle)) AS b1, coalesce({clip(f'throttle * ({clip(f'{target} / (least(trailing_vol, {most_vol}) + {EPS})', str(overlay[0]), str(overlay[1]))})', str(overlay[0]), str(overlay[1]))}, 1.0) AS overlay FROM lever"),
+        ("over1", f"SELECT *, greatest({lo}, least({hi}, leverage * throttle)) AS b1, coalesce({clip(f'throttle * ({clip(f'{target} / (CASE WHEN trailing_vol IS NOT NULL THEN least(trailing_vol, {most_vol}) END + {EPS})', str(overlay[0]), str(overlay[1]))})', str(overlay[0]), str(overlay[1]))}, 1.0) AS overlay FROM lever"),
         ("over2", f"SELECT o.*, greatest({lo}, least({hi}, b1 * overlay)) AS b2 FROM over1 o" if not multiplier else f"SELECT o.*, x.multiplier, greatest({lo}, least({hi}, greatest({lo}, least({hi}, b1 * overlay)) * coalesce(x.multiplier, 1.0))) AS b2 FROM over1 o LEFT JOIN {multiplier} x ON x.date = o.date"),
         ("scaled", f"SELECT date, port * coalesce(lag(b2, 1) OVER ({D}), {lo}) AS scaled FROM over2"),
         *drawdown_ctes("scaled", "scaled", "own"),

@@ -74,3 +74,41 @@ def test_signals_of_a_crash(spark):
     assert f.panic_signal[335:352].max() > 0.3 and f.panic_signal[200:330].max() < 0.05
     raw = 0.3 * f.turb_signal.fillna(0) + 0.3 * f.absorption_signal + 0.2 * f.breadth_signal + 0.2 * f.panic_signal
     assert np.allclose(f.regime_risk, raw.ewm(span=5, adjust=False).mean(), atol=1e-9)
+
+
+@pytest.mark.parametrize("regime", [False, True])
+def test_budget_of_a_book(spark, regime):
+    """Volatility target, throttle, overlay, the regime's multiplier and the latch, by pandas; through a crash that stops the book."""
+    from crosswind.plans.panel_queries import MARKET, Dialect
+
+    rng = np.random.default_rng(12)
+    days, assets = 300, 6
+    ret = rng.normal(0.0005, 0.01, (days, assets)) + rng.normal(0, 0.005, (days, 1))
+    ret[180:200] -= 0.02
+    dates = pd.bdate_range("2022-01-03", periods=days)
+    w = rng.dirichlet(np.ones(assets), days)
+    frame = lambda x: pd.DataFrame(x, index=dates)
+    r, unit = frame(ret), frame(w)
+    mult = pd.Series(rng.uniform(0.6, 1.05, days), index=dates)
+    table = spark.createDataFrame([(d.date(), a, float(r.loc[d, a]), float(unit.loc[d, a])) for d in dates for a in range(assets)], "date date, asset int, ret double, w double")
+    extra = spark.createDataFrame([(d.date(), float(mult[d])) for d in dates if d != dates[50]], "date date, multiplier double")
+    d = Dialect("spark")
+    parts = (("w", "SELECT * FROM {t}"), ("r", "SELECT date, asset, ret FROM {t}"), ("x", "SELECT * FROM {x}"), MARKET, *risk_queries.drawdown_ctes("m", "mkt", "mdd"), *risk_queries.budget_ctes(d, multiplier="x" if regime else ""))
+    mine = spark.sql("WITH " + ",\n".join(f"{n} AS ({q})" for n, q in parts) + "\nSELECT date, budget, kill FROM budget", t=table, x=extra).toPandas().sort_values("date")
+    port = (unit.shift(1) * r).sum(axis=1)
+    down = lambda x: (1 - (1 + x).cumprod() / (1 + x).cumprod().rolling(126, min_periods=1).max()).clip(0, 1)
+    dd = down(r.mean(axis=1))
+    target = 0.18 + (0.12 - 0.18) * (dd / 0.10).clip(0, 1)
+    lever = (target / np.sqrt((port**2).ewm(alpha=0.05, adjust=False).mean() * 252)).clip(0.4, 1.5)
+    throttle = (1 - 0.7 * dd).clip(0.45, 1.0)
+    over = ((0.18 / (port.rolling(63, min_periods=10).std() * 252**0.5).clip(upper=0.22)).clip(0.5, 1.25) * throttle).clip(0.5, 1.25).fillna(1.0)
+    budget = ((lever * throttle).clip(0.4, 1.5) * over).clip(0.4, 1.5)
+    if regime:
+        mult[dates[50]] = 1.0
+        budget = (budget * mult).clip(0.4, 1.5)
+    own, on, kill = down(port * budget.shift(1).fillna(0.4)), False, []
+    for v in own:
+        on = v > 0.15 or on and not v < 0.10
+        kill.append(on)
+    want = budget.where(~np.array(kill), 0.0)
+    assert mine.kill.tolist() == [int(k) for k in kill] and any(kill) and np.abs(mine.budget.to_numpy() - want.to_numpy()).max() < 1e-9

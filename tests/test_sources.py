@@ -69,6 +69,18 @@ def test_panel_store(spark, tmp_path):
     assert again.count() == 1800 and store.parity(bars, again).first()["over_tolerance"] == 0
 
 
+def test_store_describes_all_of_itself(spark, tmp_path):
+    """A later write of one year leaves the others there, and in the description."""
+    bars = store.Synthetic(spark, assets=5, days=600, seed=3, start="2020-06-01").bars()
+    kept = store.PanelStore(spark, f"file://{tmp_path}/p")
+    kept.write(bars, "all")
+    before = kept.meta()
+    kept.write(bars.where("year(date) = 2021 and asset <> 'SYN002'"), "again")
+    after = kept.meta()
+    gone = bars.where("year(date) = 2021 and asset = 'SYN002'").count()
+    assert (after["first"], after["last"], after["assets"], after["rows"], after["source"]) == (before["first"], before["last"], 5, before["rows"] - gone, "again")
+
+
 def test_refresh(spark):
     rows = lambda days, k: [(dt.date(2024, 1, d), a, 10.0 * (k if a == "B" else 1)) for d in days for a in ("A", "B")]
     table = lambda r: spark.createDataFrame(r, "date date, asset string, close double")
