@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,12 +158,18 @@ SELECT knob, folds, round(profitable, 4) + 0.0 AS profitable, round(worst_net, 6
 
 def markov_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transition matrix of the five return states, its stationary shares, dwell times, entropy and five-step forecast."""
-    counts = np.zeros((5, 5))
-    for r in run_sql(spark, sf_dir, text(QUERIES["markov_counts"], "spark")).collect():  # 25 rows
-        counts[r["state"], r["nxt"]] = r["n"]
-    m = construct.markov(counts)
-    rows = [(i, j, *(float(m[k][i, j]) for k in ("matrix", "forecast")), *(float(m[k][i]) if np.isfinite(m[k][i]) else None for k in ("stationary", "dwell", "entropy"))) for i in range(5) for j in range(5)]
-    return spark.createDataFrame(rows, "state int, nxt int, chance double, forecast double, stationary double, dwell double, entropy double")
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros((5, 5))
+        counts[frame["state"], frame["nxt"]] = frame["n"]
+        m = construct.markov(counts)
+        at = [(i, j) for i in range(5) for j in range(5)]
+        wide = {k: [m[v][i, j] for i, j in at] for k, v in (("chance", "matrix"), ("forecast", "forecast"))}
+        return pd.DataFrame({"state": [i for i, _ in at], "nxt": [j for _, j in at]} | wide | {k: [m[k][i] for i, _ in at] for k in ("stationary", "dwell", "entropy")})
+
+    counted = run_sql(spark, sf_dir, text(QUERIES["markov_counts"], "spark"))  # at most 25 rows
+    got = counted.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(one, "state int, nxt int, chance double, forecast double, stationary double, dwell double, entropy double")
+    return got.withColumn("dwell", F.when(~F.isnan("dwell"), F.col("dwell")))
 
 
 def sensitivity_scan(d):

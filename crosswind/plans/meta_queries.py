@@ -66,7 +66,8 @@ def learned(d, p: str, scores: str, spec: str, lam: float, strength: float, floo
 
     A date's coefficient is the correlation of average ranks over eligible assets; it counts only
     after its horizon has passed.  Weights: positive means times reliability, less correlation among
-    the group's factors, boosted by recent means, no proven factor under its floor.
+    the group's factors, boosted by recent means, no proven factor under its floor.  An active factor with too few recent
+    coefficients for a hit rate gets an equal share.
     """
     key, own = "PARTITION BY grp, h, factor ORDER BY date", "PARTITION BY grp, h, date"
     rk = lambda x: f"rank() OVER (PARTITION BY grp, h, factor, date ORDER BY {x}) + (count(*) OVER (PARTITION BY grp, h, factor, date, {x}) - 1) / 2.0"
@@ -93,9 +94,9 @@ def learned(d, p: str, scores: str, spec: str, lam: float, strength: float, floo
         (f"{p}_j", f"SELECT r.grp, r.h, r.factor, r.proven, r.date, r.mean, r.vol, r.hit, r.observations, r.cov, r.recent, coalesce(pe.penalty, 1.0) AS penalty FROM {p}_rc r LEFT JOIN {p}_pe pe ON pe.grp = r.grp AND pe.h = r.h AND pe.factor = r.factor AND pe.date = r.date"),
         (f"{p}_bo", f"SELECT *, coalesce((recent - min(recent) OVER ({own})) / (max(recent) OVER ({own}) - min(recent) OVER ({own}) + {EPS}), 0.5) AS boost, coalesce(mean IS NOT NULL AND cov >= {COVERAGE}, false) AS active FROM {p}_j"),
         (f"{p}_ir", f"SELECT *, CASE WHEN mean IS NOT NULL THEN greatest(0.0, least(3.0, mean / greatest(vol, 0.02))) END AS ir FROM {p}_bo"),
-        (f"{p}_u", f"""SELECT *, CASE WHEN active THEN coalesce(greatest(0.0, mean) * (0.25 + 0.75 * ir / (1 + ir)) * (0.5 + 0.5 * {clip('(hit - 0.40) / 0.20', '0.0', '1.0')}) * sqrt(least(1.0, cov)) * penalty * (1 + 0.10 * boost), 0.0) ELSE 0.0 END AS u FROM {p}_ir"""),
+        (f"{p}_u", f"""SELECT *, CASE WHEN active THEN greatest(0.0, mean) * (0.25 + 0.75 * ir / (1 + ir)) * (0.5 + 0.5 * {clip('(hit - 0.40) / 0.20', '0.0', '1.0')}) * sqrt(least(1.0, cov)) * penalty * (1 + 0.10 * boost) ELSE 0.0 END AS u FROM {p}_ir"""),
         (f"{p}_n", f"SELECT *, sum(u) OVER ({own}) AS total, sum(CASE WHEN active THEN 1 ELSE 0 END) OVER ({own}) AS actives, count(*) OVER ({own}) AS every FROM {p}_u"),
-        (f"{p}_v", f"SELECT *, greatest(CASE WHEN total > 0 THEN u / total WHEN actives > 0 THEN CASE WHEN active THEN 1.0 / actives ELSE 0.0 END ELSE 1.0 / every END, CASE WHEN active AND proven = 1 THEN {floor} ELSE 0.0 END) AS v FROM {p}_n"),
+        (f"{p}_v", f"SELECT *, greatest(CASE WHEN total > 0 AND u IS NOT NULL THEN u / total WHEN actives > 0 THEN CASE WHEN active THEN 1.0 / actives ELSE 0.0 END ELSE 1.0 / every END, CASE WHEN active AND proven = 1 THEN {floor} ELSE 0.0 END) AS v FROM {p}_n"),
         (f"{p}_w", f"SELECT grp, h, factor, date, mean, vol, ir, hit, observations, cov, active, CASE WHEN sum(v) OVER ({own}) > 0 THEN v / sum(v) OVER ({own}) ELSE 1.0 / every END AS weight FROM {p}_v"),
     )
 
