@@ -30,11 +30,11 @@ from crosswind.llm import _tokens
 from crosswind.llm._shared import stored, texts
 
 #: Documents of a block, and their pairs after which a block ends sooner.
-BLOCK_DOCS, BLOCK_PAIRS = 8192, 4_000_000
+BLOCK_DOCS, BLOCK_PAIRS = 4096, 2_000_000
 #: Characters that are aligned at once, unless a single text has more.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 #: Links made at once; groups that would make more than ``WIDE`` are reduced to distinct ids with counts first.
-CHUNK_LINKS, WIDE = 4_000_000, 4096
+CHUNK_LINKS, WIDE = 1_000_000, 4096
 
 _FIELDS = [T.StructField(n, T.LongType()) for n in ("n_a", "n_b", "n_groups", "n_links")]
 #: Rows of documents, and in the last two columns one row for each block: its pairs, and how many of its documents hold them.
