@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosswind.plans.panel_queries import Dialect, rd, text
-from crosswind.sources import universe
+from crosswind.sources import store, universe
 from crosswind.sources.calendar import calendar_ctes
-from crosswind.sources.panels import run_sql
+from crosswind.sources.panels import bars_sql, run_sql
 
 AS_OF = "1999-06-30"
 EVENTS = """SELECT CAST(o_orderdate AS DATE) AS effective_date, concat('S', CAST(o_custkey % 60 AS STRING)) AS symbol,
@@ -45,6 +45,22 @@ def min_days_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return universe.listed_long(universe.membership(dates, seed, events, F.lit(AS_OF).cast("date")), 150)
 
 
+def _bars(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(run_sql(spark, sf_dir, f"SELECT date, asset, c AS close FROM ({bars_sql('spark').replace('WHERE l_quantity > 0', 'WHERE l_quantity > 0' + more)}) z") for more in (" AND l_linestatus = 'F'", ""))
+
+
+def restated_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations whose closes changed as later lines came."""
+    old, fresh = _bars(spark, sf_dir)
+    return store.restated(old, fresh).select("asset", (F.round("worst", 6) + F.lit(0.0)).alias("worst"))
+
+
+def nation_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the closes of done lines and of all lines are apart."""
+    old, fresh = _bars(spark, sf_dir)
+    return store.parity(old, fresh).select("only_a", "only_b", "common", (F.round("median_worst", 6) + F.lit(0.0)).alias("median_worst"), "over_tolerance")
+
+
 def _sql(*ctes: tuple[str, str]) -> str:
     every = (("seed", SEED), ("ev", EVENTS), ("dates", DATES), *ctes)
     return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in every).replace("AS STRING", "AS VARCHAR") + "\n"
@@ -57,7 +73,10 @@ MEMBERS = (
     ("sy", "SELECT symbol FROM seed UNION SELECT symbol FROM moved"),
     ("mem", "SELECT d.date, s.symbol, coalesce((SELECT arg_max(m.action, m.date) = 'add' FROM moved m WHERE m.symbol = s.symbol AND m.date <= d.date), s.symbol IN (SELECT symbol FROM seed)) AS member FROM dates d CROSS JOIN sy s"),
 )
+TWO = "WITH a AS (SELECT date, asset, c AS close FROM (" + bars_sql("duckdb").replace("WHERE l_quantity > 0", "WHERE l_quantity > 0 AND l_linestatus = 'F'") + ") x), b AS (SELECT date, asset, c AS close FROM (" + bars_sql("duckdb") + ") x), j AS (SELECT asset, max(abs(a.close - b.close) / (abs(a.close) + 1e-9)) AS worst, count(*) AS n FROM a JOIN b USING (date, asset) GROUP BY asset) "
 ORACLE = {
+    "restated_nations": TWO + "SELECT asset, round(worst, 6) + 0.0 AS worst FROM j WHERE n >= 2 AND worst > 0.002",
+    "nation_parity": TWO + """SELECT (SELECT count(*) FROM (SELECT asset FROM a EXCEPT SELECT asset FROM b) z) AS only_a, (SELECT count(*) FROM (SELECT asset FROM b EXCEPT SELECT asset FROM a) z) AS only_b, count(*) AS common, round(median(worst), 6) + 0.0 AS median_worst, CAST(sum(CASE WHEN worst > 0.005 THEN 1 ELSE 0 END) AS BIGINT) AS over_tolerance FROM j""",
     "index_change_audit": _sql(("b", f"SELECT *, lag(CASE WHEN {DUE} THEN action END) OVER (PARTITION BY symbol ORDER BY effective_date, action) AS last FROM ev"),
                                ("p", "SELECT *, CASE WHEN last IS NOT NULL THEN last = 'add' ELSE symbol IN (SELECT symbol FROM seed) END AS before FROM b"))
     + f"SELECT effective_date, symbol, action, CASE WHEN NOT ({DUE}) THEN 'pending' WHEN action = 'add' THEN CASE WHEN before THEN 'noop_present' ELSE 'applied' END WHEN before THEN 'applied' ELSE 'noop_absent' END AS status FROM p",
@@ -109,7 +128,7 @@ def queries() -> dict:
     def one(f):
         return lambda spark, sf_dir: run_sql(spark, sf_dir, text(f, "spark"))
 
-    return {n: one(f) for n, f in SQL.items()} | {f.__name__: f for f in (index_change_audit, universe_as_of, membership_matrix, min_days_listed)}
+    return {n: one(f) for n, f in SQL.items()} | {f.__name__: f for f in (index_change_audit, universe_as_of, membership_matrix, min_days_listed, restated_nations, nation_parity)}
 
 
 def oracle_sql() -> dict[str, str]:
