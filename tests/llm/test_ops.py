@@ -350,4 +350,4 @@ def test_cascade_is_exact(spark):
 
 
 def test_all_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in entries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in entries.queries()) == list(range(1, 14))
