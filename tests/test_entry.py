@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from crosswind.plans import board_queries, book_queries, catalog, cross_queries, ensemble_queries, factor_queries, ledger_queries, meta_queries, panel_queries, risk_queries, stateful_queries, universe_queries
+from crosswind.plans import board_queries, book_queries, catalog, cross_queries, ensemble_queries, factor_queries, ledger_queries, meta_queries, panel_queries, risk_queries, stateful_queries, trace_queries, universe_queries
 
 ROOT = Path(__file__).resolve().parent.parent
 DATA = "/root/testdata/sf0.001"
@@ -31,7 +31,7 @@ def rows_of(frame):
 
 QUERIES = entry.queries()
 #: Of the heavy modules some stand for all, as they share their plans.
-WHOLE = [n for m in (panel_queries, risk_queries, universe_queries, ledger_queries, stateful_queries, catalog, book_queries, cross_queries, ensemble_queries) for n in m.oracle_sql()]
+WHOLE = [n for m in (panel_queries, risk_queries, universe_queries, ledger_queries, stateful_queries, catalog, book_queries, cross_queries, ensemble_queries, trace_queries) for n in m.oracle_sql()]
 SOME = ["ic_state", "sleeve_weights", "candidate_board", "board_hash"]
 
 
