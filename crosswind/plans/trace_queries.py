@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crosswind.operators import trace
 from crosswind.operators.strategies import STRATEGIES
 from crosswind.plans import board_queries, strategy_queries
-from crosswind.plans.panel_queries import ctes, growth, text
+from crosswind.plans.panel_queries import Dialect, ctes, growth, text
 from crosswind.sources.panels import run_sql
 from crosswind.sources.shared import keyed, signature
 
@@ -17,22 +17,35 @@ SET, CLEAR, RECENT = 0.15, 0.10, 252
 NEWEST, HISTORY = ["as_of"], ["policy", "date"]
 
 
-def _latched(d) -> str:
-    """The newest board, the date it is of, and whether each candidate's latch is on."""
-    own = "PARTITION BY strategy ORDER BY date"
-    parts = (
-        ("tn", f"SELECT strategy, date, {growth('net', own)} AS nav FROM bp"), ("td", f"SELECT *, 1 - nav / max(nav) OVER ({own} ROWS BETWEEN 125 PRECEDING AND CURRENT ROW) AS fall FROM tn"),
-        ("te", f"SELECT strategy, max(CASE WHEN fall > {SET} THEN date END) AS went, max(CASE WHEN fall < {CLEAR} THEN date END) AS came, max(date) AS as_of FROM td GROUP BY strategy"),
-    )
-    return ctes(d, *board_queries.board(d), *parts) + """SELECT te.as_of, b.candidate, b.strategy, b.action, b.alpha, b.net_alpha, b.cost, b.turn_penalty, b.risk_penalty, b.utility, b.turnover, b.overlap, b.vol, b.dd, b.required,
+_OWN = "PARTITION BY strategy ORDER BY date"
+#: When each strategy's latch last went on and off, by its P&L ``bp``.
+LATCH = (
+    ("tn", f"SELECT strategy, date, {growth('net', _OWN)} AS nav FROM bp"), ("td", f"SELECT *, 1 - nav / max(nav) OVER ({_OWN} ROWS BETWEEN 125 PRECEDING AND CURRENT ROW) AS fall FROM tn"),
+    ("te", f"SELECT strategy, max(CASE WHEN fall > {SET} THEN date END) AS went, max(CASE WHEN fall < {CLEAR} THEN date END) AS came, max(date) AS as_of FROM td GROUP BY strategy"),
+)
+#: The newest board, the date it is of, and whether each candidate's latch is on.
+LATCHED = """ SELECT te.as_of, b.candidate, b.strategy, b.action, b.alpha, b.net_alpha, b.cost, b.turn_penalty, b.risk_penalty, b.utility, b.turnover, b.overlap, b.vol, b.dd, b.required,
  CASE WHEN b.action = 'rebalance' THEN te.went IS NOT NULL AND (te.came IS NULL OR te.went > te.came) ELSE false END AS kill, b.eligible AND NOT CASE WHEN b.action = 'rebalance' THEN te.went IS NOT NULL AND (te.came IS NULL OR te.went > te.came) ELSE false END AS eligible
  FROM bd b JOIN te ON te.strategy = b.strategy"""
 
 
+def _latched(d) -> str:
+    return ctes(d, *board_queries.board(d), *LATCH) + LATCHED
+
+
 def newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest board of six strategies, kept once for all queries on it; holds and cadences aren't known there."""
-    sql = text(_latched, "spark")
-    got = keyed(spark, lambda: run_sql(spark, sf_dir, sql), f"newest-board-{signature(spark, [f'{sf_dir}/{t}.parquet' for t in ('lineitem', 'supplier')], sql)}")
+    """The newest board of six strategies, kept once for all queries on it; holds and cadences aren't known there.
+
+    Books and their P&L are kept first: the board reads them many times, and a plan that holds a copy of all factors for each takes the driver's memory.
+    """
+    d = Dialect("spark")
+    *first, bp = board_queries.books(d)
+    rows = text(lambda d: ctes(d, *first) + "SELECT strategy, date, asset, score, ret, w, prior, nxt FROM bk", "spark")
+    rest = text(lambda d: "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in (*board_queries.board(d)[len(first) + 1 :], *LATCH)) + LATCHED, "spark")
+    sign = signature(spark, [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "supplier")], rows, bp[1], rest)
+    bk = keyed(spark, lambda: run_sql(spark, sf_dir, rows), f"board-rows-{sign}")
+    paid = keyed(spark, lambda: run_sql(spark, sf_dir, text(lambda _: bp[1], "spark"), bk=bk), f"board-pnl-{sign}")
+    got = keyed(spark, lambda: run_sql(spark, sf_dir, rest, bk=bk, bp=paid), f"newest-board-{sign}")
     unknown = F.lit(None).cast("boolean")
     return got.withColumn("hold_lock", unknown).withColumn("cadence_due", unknown)
 
