@@ -11,7 +11,7 @@ from crosswind.operators.factors import REGISTRY
 from crosswind.operators.kernel import zs
 from crosswind.operators.strategies import factor_rows
 from crosswind.plans.factor_queries import scores
-from crosswind.plans.meta_queries import factor_level, unpivot, values
+from crosswind.plans.meta_queries import factor_level, kept_scores, unpivot, values
 from crosswind.plans.panel_queries import Dialect, ctes, rd, text
 from crosswind.sources.panels import run_sql
 
@@ -78,7 +78,7 @@ def factor_states(d) -> str:
 
 
 def queries() -> dict:
-    return {"factor_snapshot": factor_snapshot, "redundancy_warnings": redundancy_warnings, "factor_states": lambda spark, sf_dir: run_sql(spark, sf_dir, text(factor_states, "spark"))}
+    return {"factor_snapshot": factor_snapshot, "redundancy_warnings": redundancy_warnings, "factor_states": lambda spark, sf_dir: run_sql(spark, sf_dir, text(factor_states, "spark"), scores=kept_scores(spark, sf_dir))}
 
 
 def oracle_sql() -> dict[str, str]:
