@@ -34,18 +34,11 @@ def _latched(d) -> str:
 
 
 def newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest board of six strategies, kept once for all queries on it; holds and cadences aren't known there.
-
-    Books and their P&L are kept first: the board reads them many times, and a plan that holds a copy of all factors for each takes the driver's memory.
-    """
-    d = Dialect("spark")
-    *first, bp = board_queries.books(d)
-    rows = text(lambda d: ctes(d, *first) + "SELECT strategy, date, asset, score, ret, w, prior, nxt FROM bk", "spark")
-    rest = text(lambda d: "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in (*board_queries.board(d)[len(first) + 1 :], *LATCH)) + LATCHED, "spark")
-    sign = signature(spark, [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "supplier")], rows, bp[1], rest)
-    bk = keyed(spark, lambda: run_sql(spark, sf_dir, rows), f"board-rows-{sign}")
-    paid = keyed(spark, lambda: run_sql(spark, sf_dir, text(lambda _: bp[1], "spark"), bk=bk), f"board-pnl-{sign}")
-    got = keyed(spark, lambda: run_sql(spark, sf_dir, rest, bk=bk, bp=paid), f"newest-board-{sign}")
+    """The newest board of six strategies, kept once for all queries on it; holds and cadences aren't known there."""
+    books = board_queries.kept_books(spark, sf_dir)
+    rest = text(lambda d: "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in (*board_queries.board(d), *LATCH)) + LATCHED, "spark")
+    sign = signature(spark, [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "supplier")], repr(board_queries.books(Dialect("spark"))), rest)
+    got = keyed(spark, lambda: run_sql(spark, sf_dir, rest, **books), f"newest-board-{sign}")
     unknown = F.lit(None).cast("boolean")
     return got.withColumn("hold_lock", unknown).withColumn("cadence_due", unknown)
 

@@ -1,11 +1,19 @@
 """Derived bars, factor scores, books and sleeves are made once and read where they are kept."""
 
+import pytest
+
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
 
 
+@pytest.mark.parametrize("name", ["board_hash", "unit_book", "sleeve_weights", "ensemble_score", "ic_state", "bars_densify"])
+def test_line_items_are_read_for_the_bars_alone(spark, name):
+    files = QUERIES[name](spark, DATA).inputFiles()
+    assert files and not [f for f in files if "lineitem" in f]
+
+
 def test_sleeves_are_not_part_of_the_statement_above_them(spark):
     files = QUERIES["sleeve_weights"](spark, DATA).inputFiles()
     assert any("/sleeves-" in f for f in files) and not any("/scores-" in f for f in files)
