@@ -13,7 +13,7 @@ from crosswind.plans.board_queries import STRATEGIES, books
 from crosswind.plans.meta_queries import base, long_scores
 from crosswind.plans.panel_queries import EPS, P, QUERIES, RETS, Dialect, ctes, growth, rd, text
 from crosswind.sources.panels import run_sql
-from crosswind.sources.shared import stored
+from crosswind.sources.shared import keyed, signature, stored
 
 #: Blends of the registered strategies, one of each method.
 BLENDS = (
@@ -30,7 +30,9 @@ def _rows(d) -> str:
 
 
 def unit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_sql(spark, sf_dir, text(_rows, "spark"))
+    """Kept once for the tables' files, as seats, targets and dates are all made of these rows."""
+    sql = text(_rows, "spark")
+    return keyed(spark, lambda: run_sql(spark, sf_dir, sql), f"unit-rows-{signature(spark, [f'{sf_dir}/{t}.parquet' for t in ('lineitem', 'supplier')], sql)}")
 
 
 def unit_book(spark: SparkSession, sf_dir: str) -> DataFrame:
