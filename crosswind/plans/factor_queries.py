@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 
 from crosswind.functions.expr import rounded, staged
@@ -27,11 +29,20 @@ def compute(spark: SparkSession, panel: DataFrame, names: list[str] | None = Non
     return spark.sql(sql, panel=panel)
 
 
+#: Factors of one statement; the driver's memory and time for a statement of all of them grow faster than their number.
+BATCH = 15
+
+
 def scores(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
     """(date, asset, factors): z scores, computed once for each set of factors, their definitions and the tables' files."""
-    sql = staged({n: zs(REGISTRY[n].make()) for n in names}, "panel", "spark", given=given("spark"))
     tables = [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "supplier")]
-    return keyed(spark, lambda: run_sql(spark, sf_dir, sql), f"factors-{signature(spark, tables, sql)}")
+    sql = [staged({n: zs(REGISTRY[n].make()) for n in names[i : i + BATCH]}, "panel", "spark", given=given("spark")) for i in range(0, len(names), BATCH)]
+
+    def make() -> DataFrame:
+        parts = [keyed(spark, lambda q=q: run_sql(spark, sf_dir, q), f"factors-{signature(spark, tables, q)}") for q in sql]
+        return reduce(lambda x, y: x.join(y, ["date", "asset"]), parts).select("date", "asset", *names)
+
+    return keyed(spark, make, f"factors-{signature(spark, tables, 'whole', *sql)}")
 
 
 def queries() -> dict:

@@ -131,7 +131,12 @@ def strategy_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(strategy_id, date, pos, alpha, vol, kill): expected alpha in basis points from what was known before each date.
 
     Slopes of the next return on scores, through the origin, and active returns, both smoothed; the slope is worth what the book's tilt makes of it.
+    Kept, as boards and history replay the same facts.
     """
+    return _kept(spark, sf_dir, "strategy-facts", lambda: _facts(spark, sf_dir))
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = _kept(spark, sf_dir, "panel-rows", lambda: panel_rows(spark, sf_dir))
     d, decay, own = Dialect("spark"), 1 - 0.5 ** (1 / HALFLIFE), "PARTITION BY strategy_id ORDER BY date"
     parts = (

@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
+from crosswind.operators.factors import REGISTRY
+from crosswind.plans import factor_queries
 
 DATA = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
@@ -17,3 +19,13 @@ def test_line_items_are_read_for_the_bars_alone(spark, name):
 def test_sleeves_are_not_part_of_the_statement_above_them(spark):
     files = QUERIES["sleeve_weights"](spark, DATA).inputFiles()
     assert any("/sleeves-" in f for f in files) and not any("/scores-" in f for f in files)
+
+
+def test_factors_of_several_statements_are_those_of_one(spark, monkeypatch):
+    names = tuple(list(REGISTRY)[:5])
+    got = factor_queries.scores(spark, DATA, names).toPandas()
+    monkeypatch.setattr(factor_queries, "BATCH", 2)
+    split = factor_queries.scores(spark, DATA, names).toPandas()
+    keys = ["date", "asset"]
+    assert list(got.columns) == list(split.columns) == [*keys, *names]
+    assert split.sort_values(keys, ignore_index=True).equals(got.sort_values(keys, ignore_index=True))
