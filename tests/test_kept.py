@@ -4,7 +4,8 @@ import pytest
 
 import __spark_entry__ as entry
 from crosswind.operators.factors import REGISTRY
-from crosswind.plans import factor_queries
+from crosswind.plans import ensemble_queries, factor_queries, strategy_queries
+from crosswind.sources.panels import run_sql
 
 DATA = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
@@ -16,6 +17,19 @@ def test_line_items_are_read_for_the_bars_alone(spark, name):
     assert files and not [f for f in files if "lineitem" in f]
 
 
+@pytest.mark.parametrize("part", [strategy_queries.panel_rows, ensemble_queries._targets])
+def test_rows_of_strategies_and_sleeves_are_made_of_kept_bars(spark, part):
+    files = part(spark, DATA).inputFiles()
+    assert files and not [f for f in files if "lineitem" in f]
+
+
+def test_factors_of_strategies_are_made_of_kept_bars(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(factor_queries, "run_sql", lambda spark, sf_dir, sql: read.append(run_sql(spark, sf_dir, sql).inputFiles()) or run_sql(spark, sf_dir, sql))
+    factor_queries.scores(spark, DATA, tuple(list(REGISTRY)[5:8]))
+    assert read and not [f for files in read for f in files if "lineitem" in f]
+
+
 def test_sleeves_are_not_part_of_the_statement_above_them(spark):
     files = QUERIES["sleeve_weights"](spark, DATA).inputFiles()
     assert any("/sleeves-" in f for f in files) and not any("/scores-" in f for f in files)
