@@ -166,9 +166,10 @@ def _sketch(classes: DataFrame, coordinates: int) -> np.ndarray:
         at = np.flatnonzero(counts >= max(2.0, 1 + 6 * total / COUNTERS))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["cell", "n"])
 
-    got = classes.select("sig").mapInArrow(run, _COUNTED).groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    # as columns: COUNTERS rows as Row objects take over 3 GB of the driver
+    got = classes.select("sig").mapInArrow(run, _COUNTED).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(COUNTERS, np.uint64)
-    out[got["cell"].to_numpy(np.int64)] = np.minimum(got["n"].to_numpy(np.int64), (1 << 19) - 1).astype(np.uint64)
+    out[got["cell"].to_numpy()] = np.minimum(got["n"].to_numpy(), (1 << 19) - 1).astype(np.uint64)
     return out
 
 
@@ -215,9 +216,9 @@ def _sets(spark: SparkSession, docs: DataFrame, ids: DataFrame, k: int) -> DataF
     are made, and a join drops the rest.
     """
     place = F.pmod(F.xxhash64("cls"), F.lit(FILTER_BITS))
-    words = ids.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits")).toPandas()
+    words = ids.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
     sent = spark.sparkContext.broadcast(bits)
 
     def make():

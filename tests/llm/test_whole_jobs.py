@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from crosswind.llm import edit_fingerprint
+from crosswind.llm import edit_fingerprint, near_dup
 
 
 def test_near_fingerprints_are_grouped_as_by_brute_force(spark, monkeypatch):
@@ -70,3 +70,23 @@ def test_rows_without_an_id_or_anything_else(spark):
     ):
         assert made.count() == 4
     assert html_text.extract(pages).count() == 2 == url_cascade.judge(spark, pages).count()
+
+
+def test_what_near_duplicates_send_to_the_driver_comes_as_columns(spark, monkeypatch):
+    """Up to 4,194,304 counters and 524,288 words of bits: as Row objects they take gigabytes of the driver."""
+    texts = [" ".join(f"w{(i * 7 + j) % 400}" for j in range(40)) for i in range(30)]
+    texts += [t + " more" for t in texts[:10]] + [texts[3], None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def rows(self):
+        raise AssertionError("rows are made into objects on the driver")
+
+    for name in ("toPandas", "collect"):
+        monkeypatch.setattr(type(docs), name, rows)
+    got = near_dup.find(spark, docs).toArrow().sort_by("doc_id")["component_id"].to_pylist()
+    assert got == [*range(30), *range(10), 3, 41]
+    classes = near_dup.signatures(docs.where("text is not null"), 5)
+    sigs = near_dup._rows_of(classes.toArrow()["sig"], near_dup.COORDINATES)
+    cells = (near_dup._pairs_of(sigs) >> np.uint64(42)).astype(np.int64).ravel()
+    count = np.bincount(cells, minlength=near_dup.COUNTERS)
+    assert near_dup._sketch(classes.coalesce(1), near_dup.COORDINATES).tolist() == np.where(count >= 2, count, 0).tolist() and (count >= 2).sum() > 100
